@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import bpe
+from symgraph.llm import bpe, exact, mixing, parsing, simhash, tokens, urls, warc
 from symgraph.session import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +17,46 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixity audit of the pages' WARC records against a damaged replica."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(warc.pages_records(pages), warc.damaged(pages))
+
+
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written as ORC and read back."""
+    return tokens.round_trip(table(spark, sf_dir, "documents"), LIBRARY, public_tokenizers.PATTERN)
+
+
+def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the sources' targets."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among all documents."""
+    return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rules_table(spark))
+
+
+def op10_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return parsing.compare(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_warc_fixity, op4_token_orc, op5_entropy_mixing, op6_exact_dedup, op9_url_filter, op10_parsing)}
+
+EXACT_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+ sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+ORACLES: dict[str, str] = {"op3_warc_fixity": warc.ORACLE, "op6_exact_dedup": EXACT_SQL, "op9_url_filter": urls.ORACLE}
