@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import bpe, exact, mixing, parsing, simhash, tokens, urls, warc
+from symgraph.llm import bpe, exact, mixing, parsing, quality, simhash, tokens, toxicity, urls, warc
 from symgraph.session import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,6 +43,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return urls.judge(table(spark, sf_dir, "pages"), urls.rules_table(spark))
@@ -53,7 +63,7 @@ def op10_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_warc_fixity, op4_token_orc, op5_entropy_mixing, op6_exact_dedup, op9_url_filter, op10_parsing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_warc_fixity, op4_token_orc, op5_entropy_mixing, op6_exact_dedup, op7_nnpu_toxicity, op8_nbsvm_quality, op9_url_filter, op10_parsing)}
 
 EXACT_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
