@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm.common import per_batch, rows_of, text_of
+from symgraph.llm.pieces import Pieces
 
-#: Pieces and pairs that a worker remembers; beyond it the memory starts anew (results don't depend on it).
+#: Pairs that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
 
 
@@ -142,25 +143,16 @@ class PieceTable:
         return out[::-1]
 
 
-class Encoder(dict):
-    """Piece -> its ids packed as little-endian unsigned 32-bit integers, filled when first asked for."""
+class Encoder(Pieces):
+    """Pieces encoded by their prefix tables."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        super().__init__()
-        self.v, self.split = vocabulary, regex.compile(pattern).findall
+        super().__init__(pattern)
+        self.v = vocabulary
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
+    def made(self, piece: str) -> bytes:
         ids = PieceTable(self.v, piece.encode()).tokens()
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """The text's ids, packed."""
-        return b"".join(map(self.__getitem__, self.split(text)))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class EditableText:

@@ -10,49 +10,51 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.llm.common import per_batch, rows_of, text_of
+from symgraph.llm.pieces import Pieces
 from symgraph.session import shared_path
 
-REMEMBERED = 400_000
-ORC = {"compression": "zlib", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20)}
+ORC = {"compression": "snappy", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20)}
 
 
-class LibraryEncoder(dict):
-    """Piece -> packed ids. The tokenizers library encodes each piece when it is first seen.
+@lru_cache(1)
+def byte_names() -> dict[int, str]:
+    """Byte-level BPE's name of each byte: printable ones name themselves, the others take characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(other)) for b in range(256)}
 
-    The library splits a text by the same pattern before it merges, so a text's ids are those of its pieces.
+
+class LibraryEncoder(Pieces):
+    """Pieces encoded by the tokenizers library's model, each when it is first seen.
+
+    The library splits a text by the same pattern and names its bytes before it asks the model, so a text's ids are
+    those of its pieces.
     """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.library, self.split = Tokenizer.from_file(path), regex.compile(pattern).findall
-
-    def _ids(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        super().__init__(pattern)
+        self.library, self.names = Tokenizer.from_file(path), byte_names()
+        self.model = self.library.model
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        out = self._ids(piece)
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
+    def made(self, piece: str) -> bytes:
+        named = f"{self.names[32]}{piece[1:]}" if piece[0] == " " and piece.isascii() and piece[1:].isalnum() else piece.encode().decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:  # may hold a special token, which the library looks for before it splits
-            return self._ids(text)
-        return b"".join(map(self.__getitem__, self.split(text)))
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return super().encode(text)
 
 
 @lru_cache(2)
@@ -84,20 +86,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int, pa
                 place += len(ids[-1])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            sizes = np.diff(offsets).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.int64()), lists], names=["doc_id", "part", "place", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.int64()), pa.array(sizes), lists], names=["doc_id", "part", "place", "n_tokens", "ids"])
 
-    rows.mapInArrow(run, "doc_id long, part int, place long, ids array<int>").write.options(**ORC).orc(path)
+    rows.mapInArrow(run, "doc_id long, part int, place long, n_tokens int, ids array<int>").write.options(**ORC).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, part, place, ids of the files; predicates on doc_id prune stripes and row groups."""
-    return spark.read.schema("doc_id long, part int, place long, ids array<int>").orc(path)
+    """doc_id, part, place, n_tokens, ids of the files; predicates on doc_id prune stripes and row groups."""
+    return spark.read.schema("doc_id long, part int, place long, n_tokens int, ids array<int>").orc(path)
 
 
 def starts(rows: DataFrame) -> DataFrame:
     """part and the number of ids in the parts before it: one row for each part that has rows."""
-    ends = rows.groupBy("part").agg(F.max(F.col("place") + F.size("ids")).alias("n"))
+    ends = rows.groupBy("part").agg(F.max(F.col("place") + F.col("n_tokens")).alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return ends.select("part", F.coalesce(before, F.lit(0)).alias("base"))
 
@@ -105,6 +108,7 @@ def starts(rows: DataFrame) -> DataFrame:
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, all from the files."""
     rows = read(spark, path)
+    slim = rows.select("doc_id", "part", "place", "ids")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -115,7 +119,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
         return each
 
-    found = rows.mapInArrow(per_batch(make), "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
+    found = slim.mapInArrow(per_batch(make), "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
     joined = found.join(F.broadcast(starts(rows)), "part")  # a row a part, and the writer sets the number of parts
     return joined.select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
