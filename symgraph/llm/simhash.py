@@ -4,7 +4,9 @@ Candidates come from Golay-code fuzzy hashing. The fingerprint is cut into three
 differing bits or fewer, either a segment is equal and another differs in 2 bits at most (the equal one's bits with a
 Golay key of the other: 33 bits), or all three differ and two of them in exactly one bit. These two segments then differ
 in parity, so it is enough that each word of even parity gives its own nearest codeword and each of odd parity all its
-keys (24 bits). A fingerprint has some 60 keys; two that share one are candidates and are verified.
+keys (24 bits, and whether both parities are alike, which they are for both texts or for neither). A fingerprint has some
+60 keys; two that share one are candidates and are verified. Beyond WIDE distinct fingerprints, 24 bits would meet too
+often by chance; then the third segment, which differs in two bits at most, adds its Golay key (36 bits, some 190 keys).
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from itertools import combinations, permutations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm import golay
@@ -28,6 +30,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles whose bits are counted at a time.
 AT_ONCE = 1 << 16
 BROADCAST_ROWS = 1_000_000
+#: Distinct fingerprints from which on keys are wide. Links are the same either way.
+WIDE = 30_000_000
 
 
 def fingerprint(text: str, size: int = 4) -> int:
@@ -62,7 +66,18 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     return rows.mapInArrow(per_batch(make), "doc_id long, print long, x long")
 
 
-def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def crossed(i: np.ndarray, k: np.ndarray, j: np.ndarray, m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All of k with all of m at each of n positions; i and j are their positions. The result is position and k << 12 | m."""
+    order = np.argsort(j, kind="stable")
+    m, times = m[order], np.bincount(j, minlength=n)
+    first = np.cumsum(times) - times
+    each = times[i]
+    left = np.repeat(np.arange(len(i)), each)
+    inner = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each)
+    return i[left], k[left].astype(np.int64) << 12 | m[first[i[left]] + inner].astype(np.int64)
+
+
+def keys_of(prints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Positions in prints (unsigned) and their keys."""
     parts = [((prints >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.uint32) for low, bits in SEGMENTS]
     near = [golay.keys(p, bits) for p, (_, bits) in zip(parts, SEGMENTS, strict=True)]
@@ -80,27 +95,32 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         even = np.flatnonzero(~odd)
         some.append((np.concatenate([i[odd[i]], even]), np.concatenate([k[odd[i]], golay.nearest(p[even])])))
     for a, b in combinations(range(3), 2):
-        (i, k), (j, m) = some[a], some[b]
-        order_a, order_b = np.argsort(i, kind="stable"), np.argsort(j, kind="stable")
-        i, k, j, m = i[order_a], k[order_a], j[order_b], m[order_b]
-        n_a, n_b = np.bincount(i, minlength=len(prints)), np.bincount(j, minlength=len(prints))
-        first = np.concatenate([[0], np.cumsum(n_b)[:-1]])
-        times = n_b[i]  # each key of a meets all of b's
-        left = np.repeat(np.arange(len(i)), times)
-        inner = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
-        at.append(i[left])
-        out.append((np.int64(kind) << 40) | k[left].astype(np.int64) << 12 | m[first[i[left]] + inner].astype(np.int64))
+        i, pair = crossed(*some[a], *some[b], len(prints))
+        if wide:
+            i, pair = crossed(i, pair, *near[3 - a - b], len(prints))
+        alike = (np.bitwise_count(parts[a][i]) + np.bitwise_count(parts[b][i])) & 1
+        at.append(i)
+        out.append((np.int64(kind) << 40) | alike.astype(np.int64) << 36 | pair)
         kind += 1
     return np.concatenate(at), np.concatenate(out)
 
 
-def key_rows(prints: DataFrame) -> DataFrame:
+def odd_of() -> Column:
+    """Of a key that needs two parities, the first segment's parity in this fingerprint; else null."""
+    kind, out = F.shiftright("key", 40), F.lit(None).cast("int")
+    for k, (a, _) in enumerate(combinations(range(3), 2)):
+        low, bits = SEGMENTS[a]
+        out = F.when(kind == 6 + k, F.bit_count(F.col("print").bitwiseAND(F.lit(((1 << bits) - 1) << low))) % 2).otherwise(out)
+    return out
+
+
+def key_rows(prints: DataFrame, wide: bool = False) -> DataFrame:
     """key, print for each key of each distinct fingerprint."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             p = np.asarray(batch.column(0)).astype(np.int64)
-            at, k = keys_of(p.view(np.uint64))
+            at, k = keys_of(p.view(np.uint64), wide)
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(p[at])], names=["key", "print"])
 
         return each
@@ -108,25 +128,28 @@ def key_rows(prints: DataFrame) -> DataFrame:
     return prints.select("print").mapInArrow(per_batch(make), "key long, print long")
 
 
-def links(prints: DataFrame, most: int = 4) -> DataFrame:
+def links(prints: DataFrame, most: int = 4, wide: bool = False) -> DataFrame:
     """u, v: links between distinct fingerprints that chain together exactly those within most bits of one another.
 
     First each bucket's members are held against its smallest one; most large groups become one component by that. Then
     only pairs from different components are made, in buckets that hold several, so that a group of near copies doesn't
-    give all its pairs and yet no link that would join two components is missed.
+    give all its pairs and yet no link that would join two components is missed. Buckets of keys that need two different
+    parities count only if they hold both.
     """
-    rows = key_rows(prints)
-    buckets = rows.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low != high")
+    rows = key_rows(prints, wide).withColumn("odd", odd_of())
+    several = (F.col("low") != F.col("high")) & ((F.col("key") < F.lit(6 << 40)) | (F.col("some") != F.col("all")))
+    buckets = rows.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.max("odd").alias("some"), F.min("odd").alias("all")).where(several)
     shared = materialise(rows.join(buckets.select("key", "low"), "key"), "simhash-keys")
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
     stars = materialise(shared.where(within("print", "low") & (F.col("print") != F.col("low"))).select(F.col("print").alias("u"), F.col("low").alias("v")).distinct(), "simhash-stars")
     roots = materialise(components(stars), "simhash-roots")
-    named = shared.select("key", "print").join(broadcast_if(roots, BROADCAST_ROWS), F.col("print") == F.col("node"), "left")
-    named = named.select("key", "print", F.coalesce("root", "print").alias("root"))
+    named = shared.join(broadcast_if(roots, BROADCAST_ROWS), F.col("print") == F.col("node"), "left")
+    named = materialise(named.select("key", "print", "odd", F.coalesce("root", "print").alias("root")), "simhash-named")
     mixed = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-    named = materialise(named.join(mixed, "key", "left_semi"), "simhash-mixed")
-    one, two = named.select("key", F.col("print").alias("u"), F.col("root").alias("a")), named.select("key", F.col("print").alias("v"), F.col("root").alias("b"))
-    more = one.join(two, "key").where((F.col("a") < F.col("b")) & within("u", "v")).select("u", "v").distinct()
+    named = materialise(named.join(broadcast_if(materialise(mixed, "simhash-open"), BROADCAST_ROWS), "key", "left_semi"), "simhash-mixed")
+    one, two = named.select("key", F.col("print").alias("u"), F.col("root").alias("a"), "odd"), named.select("key", F.col("print").alias("v"), F.col("root").alias("b"), F.col("odd").alias("even"))
+    apart = (F.col("a") < F.col("b")) & ((F.col("key") < F.lit(6 << 40)) | (F.col("odd") != F.col("even")))
+    more = one.join(two, "key").where(apart & within("u", "v")).select("u", "v").distinct()
     return materialise(stars.unionByName(more), "simhash-links")
 
 
@@ -140,7 +163,7 @@ def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
     """
     rows = materialise(fingerprints(docs, size), "simhash-prints")
     nodes = materialise(rows.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    found = components(links(nodes, most)).withColumnRenamed("node", "print")
+    found = components(links(nodes, most, nodes.count() > WIDE)).withColumnRenamed("node", "print")
     small = found.join(nodes, "print").groupBy("root").agg(F.min("first").alias("least"))
     linked = materialise(found.join(small, "root").select("print", "least"), "simhash-components")
     ids = materialise(nodes.join(broadcast_if(linked, BROADCAST_ROWS), "print", "left").select("print", F.coalesce("least", "first").alias("component_id")), "simhash-ids")
