@@ -36,7 +36,7 @@ def features(text: str) -> np.ndarray:
     return np.array([f for t in sorted(set(text.lower().split())) for f in word_features(t)], np.int32)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.1, shrink: float = 0.005, beta: float = 0.0, gamma: float = 1.0) -> dict[int, float]:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.1, shrink: float = 0.003, beta: float = 0.0, gamma: float = 1.0) -> dict[int, float]:
     """Weights by feature number, and the bias at -1.
 
     Features are kept that at least 3 toxic documents have, that toxic ones have 3 times as often as unlabelled text, and

@@ -96,7 +96,8 @@ def test_simhash_on_documents(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, _, c in want})
 
 
-def test_simhash_links_random_neighbours_and_chains(spark):
+@pytest.mark.parametrize("wide", [False, True])
+def test_simhash_links_random_neighbours_and_chains(spark, wide):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
     prints = []
@@ -108,7 +109,7 @@ def test_simhash_links_random_neighbours_and_chains(spark):
                 p ^= np.uint64(1) << np.uint64(b)
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    found = components(simhash.links(spark.createDataFrame([(p,) for p in signed], "print long")))
+    found = components(simhash.links(spark.createDataFrame([(p,) for p in signed], "print long"), wide=wide))
     root = {r.node: r.root for r in found.collect()}
     want = brute_components(prints)
     got = {}
@@ -117,6 +118,26 @@ def test_simhash_links_random_neighbours_and_chains(spark):
     assert all(len(v) == 1 for v in got.values()) and len({next(iter(v)) for v in got.values()}) == len(got)
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_four_errors_share_a_key_of_both_parities(wide):
+    rng = np.random.default_rng(11)
+    p = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    q = p.copy()
+    for _ in range(4):
+        q ^= np.uint64(1) << rng.integers(0, 64, 4000, dtype=np.uint64)
+    a, b = set(zip(*simhash.keys_of(p, wide), strict=True)), set(zip(*simhash.keys_of(q, wide), strict=True))
+    good = set()
+    for i, k in a & b:
+        kind = int(k) >> 40
+        if kind >= 6:
+            low, bits = simhash.SEGMENTS[list(combinations(range(3), 2))[kind - 6][0]]
+            mask = np.uint64(((1 << bits) - 1) << low)
+            if np.bitwise_count(p[i] & mask) % 2 == np.bitwise_count(q[i] & mask) % 2:
+                continue
+        good.add(int(i))
+    assert good == set(range(4000))
+
+
 def test_simhash_edges(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     twice = frame(spark, [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, "zz yy xx ww vv")])
