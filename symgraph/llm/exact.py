@@ -116,8 +116,8 @@ def exact_groups(docs: DataFrame, prime: int = PRIME) -> DataFrame:
     key.append("apart")
     best = F.max(F.struct("doc_id", (-F.col("row")).alias("row"))).alias("best")
     groups = split.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), best)
-    many = groups.where("group_size > 1")
-    found = split.join(many, key, "left")
+    many = materialise(groups.where("group_size > 1"), "exact-many")
+    found = split.join(broadcast_if(many, BROADCAST_ROWS), key, "left")
     alone = F.col("best").isNull()
     return found.select(
         "doc_id",
