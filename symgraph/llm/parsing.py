@@ -160,9 +160,9 @@ def in_order(docs: DataFrame, rows_a_part: int = 1024, most_parts: int = 1 << 16
     cell = F.expr(f"coalesce((doc_id - {least}L) div {width}L, -1L)")
     counted = rows.select(cell.alias("cell"), place.alias("place")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("top")).collect()
     found: list[list] = []  # part, cells, largest place
-    size = rows_a_part
+    size = 0
     for r in sorted(counted, key=lambda r: -r["cell"]):
-        if size >= max(rows_a_part, n // parts):
+        if not found or size >= max(rows_a_part, n // parts):
             found.append([[], r["top"]])
             size = 0
         found[-1][0].append(r["cell"])
