@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from symgraph.plans import queries_graph, queries_retrieval, queries_search, queries_sources, queries_tables  # noqa: F401
+from symgraph.registry import ORACLES, QUERIES  # noqa: F401
