@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,3 +33,13 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) ->
 
     return run
 
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until docs has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out

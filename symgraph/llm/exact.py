@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import per_batch, rows_of, text_of
+from symgraph.llm.common import per_batch, rows_of, text_of, unused
 from symgraph.session import broadcast_if, materialise
 
 PRIME = (1 << 31) - 1
@@ -137,11 +137,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = materialise(exact_groups(docs), "exact-groups")
     mark = found.groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("stays"))
-    gone = materialise(mark.where("n > 1 or not stays").select(F.col("doc_id").alias("gone_id"), F.col("x").alias("gone_x"), "stays"), "exact-gone")
-    here = [F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), F.xxhash64(text_of()) == F.col("gone_x")]
-    rest = docs.join(broadcast_if(gone, BROADCAST_ROWS), here, "left_anti")
-    twins = gone.where("stays")
+    return without(docs, mark.where("n > 1 or not stays"))
+
+
+def without(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs without the rows of marked (doc_id, x, stays); of rows that stay and are equal in doc_id and text, one is left."""
+    i, x = unused(docs, "gone_id", "gone_x")
+    gone = materialise(marked.select(F.col("doc_id").alias(i), F.col("x").alias(x), "stays"), "gone")
+    here = [F.col("doc_id").cast("long").eqNullSafe(F.col(i)), F.xxhash64(text_of()) == F.col(x)]
+    rest = docs.join(broadcast_if(gone.select(i, x), BROADCAST_ROWS), here, "left_anti")
+    twins = gone.where("stays").select(i, x)
     if twins.isEmpty():
         return rest
-    again = docs.join(broadcast_if(twins, BROADCAST_ROWS), here, "left_semi")
-    return rest.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    return rest.unionByName(docs.join(broadcast_if(twins, BROADCAST_ROWS), here, "left_semi").dropDuplicates(["doc_id", "text"]))

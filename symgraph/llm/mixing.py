@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import WORD, text_of
+from symgraph.llm.common import WORD, text_of, unused
 from symgraph.session import broadcast_if, materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -163,18 +163,15 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     taken = mix(docs.select("doc_id", "text", "source")).groupBy("x").agg(F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("rows"))
     taken = materialise(taken, "mix-copies")
-    here = F.xxhash64(F.col("doc_id").cast("long"), text_of()) == F.col("mix_x")
-    once = broadcast_if(taken.where("rows = 1 and sum != 1").select(F.col("x").alias("mix_x"), F.col("sum").alias("mix_n")), BROADCAST_ROWS * 10)
-    out = docs.join(once, here, "left").withColumn("mix_n", F.coalesce("mix_n", F.lit(1)))
-    twins = taken.where("rows > 1").select(F.col("x").alias("mix_x"), F.col("sum").alias("mix_twice"))
+    x, n, each = unused(docs, "mix_x", "mix_n", "mix_each")
+    here = F.xxhash64(F.col("doc_id").cast("long"), text_of()) == F.col(x)
+    once = broadcast_if(taken.where("rows = 1 and sum != 1").select(F.col("x").alias(x), F.col("sum").alias(n)), BROADCAST_ROWS * 10)
+    twins = taken.where("rows > 1").select(F.col("x").alias(x), F.col("sum").alias(n))
+    some, single = docs, None
     if not twins.isEmpty():
         twins = broadcast_if(materialise(twins, "mix-twins"), BROADCAST_ROWS)
-        both = docs.join(twins, here, "left_semi").dropDuplicates(["doc_id", "text"]).join(twins, here).withColumnRenamed("mix_twice", "mix_n")
-        out = docs.join(twins, here, "left_anti").join(once, here, "left").withColumn("mix_n", F.coalesce("mix_n", F.lit(1))).unionByName(both, allowMissingColumns=True)
-    return _spread(out, docs.columns)
-
-
-def _spread(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row mix_n times."""
-    times = rows.where("mix_n > 0").withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_n").cast("int"))))
-    return times.select(*columns)
+        single = docs.join(twins.select(x), here, "left_semi").dropDuplicates(["doc_id", "text"]).join(twins, here)
+        some = docs.join(twins.select(x), here, "left_anti")
+    out = some.join(once, here, "left").withColumn(n, F.coalesce(n, F.lit(1)))
+    out = out if single is None else out.unionByName(single)
+    return out.where(F.col(n) > 0).withColumn(each, F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int")))).select(*docs.columns)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from symgraph.llm import golay
 from symgraph.llm.common import per_batch, rows_of, text_of
 from symgraph.llm.components import components
+from symgraph.llm.exact import without
 from symgraph.session import broadcast_if, materialise
 
 SEED = 42
@@ -178,11 +179,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "x")).alias("best"), F.count(F.lit(1)).alias("n"))
     several = found.alias("f").join(best.where("n > 1").alias("b"), F.expr("f.component_id <=> b.component_id"))
     stays = F.expr("f.doc_id <=> if(b.best.none, null, b.best.doc_id) and f.x = b.best.x")
-    mark = several.groupBy(F.col("f.doc_id").alias("gone_id"), F.col("f.x").alias("gone_x")).agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays"))
-    gone = materialise(mark.where("n > 1 or not stays"), "near-gone")
-    here = [F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), F.xxhash64(text_of()) == F.col("gone_x")]
-    rest = docs.join(broadcast_if(gone, BROADCAST_ROWS), here, "left_anti")
-    twins = gone.where("stays")
-    if twins.isEmpty():
-        return rest
-    return rest.unionByName(docs.join(broadcast_if(twins, BROADCAST_ROWS), here, "left_semi").dropDuplicates(["doc_id", "text"]))
+    mark = several.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.x").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays"))
+    return without(docs, mark.where("n > 1 or not stays"))
