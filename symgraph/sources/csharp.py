@@ -107,7 +107,7 @@ class Reader:
         full = f"{owner}.{name}" if owner else f"global::{name}"
         vis = {m for m in mods if m in ("public", "internal", "protected", "private")}
         access = {frozenset({"protected", "internal"}): "ProtectedInternal", frozenset({"private", "protected"}): "PrivateProtected"}.get(frozenset(vis), next(iter(vis), "NotApplicable" if kind == "Namespace" else "Private" if owner != space and kind != "Type" else "Internal").capitalize() if vis or kind != "Namespace" else "NotApplicable")
-        self.rows.append({"row": "declaration", "name": name, "full_name": full, "kind": kind, "owner": owner, "namespace": space, "start_line": self.tokens[first].line, "end_line": self.tokens[min(last, len(self.tokens) - 1)].line, "access": access, "flags": sorted({m for m in mods if m in ("static", "abstract", "sealed", "virtual", "override", "async", "readonly", "const", "volatile")})} | more)
+        self.rows.append({"row": "declaration", "name": name, "full_name": full, "kind": kind, "owner": owner, "namespace": space, "start_line": self.tokens[first].line, "end_line": self.tokens[min(last, len(self.tokens) - 1)].line, "access": access, "flags": sorted({m for m in mods if m in ("static", "abstract", "sealed", "virtual", "override", "async", "readonly", "const", "volatile", "generic")})} | more)
         return full
 
     def mention(self, first: int, last: int, source: str, space: str) -> None:
@@ -219,6 +219,19 @@ class Reader:
             j = self.close(j) + 1 if self.at(j) == "{" else j + 1
         return j
 
+    def ends(self, j: int, stop: int) -> list[int]:
+        """Places of the commas outside brackets between two tokens, and the last."""
+        out, depth = [], 0
+        for n in range(j, stop):
+            depth += (self.at(n) in ("(", "{", "[")) - (self.at(n) in (")", "}", "]"))
+            if self.at(n) == "," and not depth and self.angles_closed(j, n):
+                out.append(n)
+        return [*out, stop]
+
+    def angles_closed(self, j: int, n: int) -> bool:
+        """True if no list of type arguments that begins after j is open at n."""
+        return not any(self.at(k) == "<" and k + 1 <= n < self.angles(k) for k in range(j, n))
+
     def plain_member(self, first: int, i: int, end: int, owner: str, space: str, mods: list[str], attributes: list[str]) -> int:
         j = self.type_at(i)
         if self.at(i) == "~" or j == i or self.at(j) == "(" and self.tokens[j - 1].word or "operator" in (self.at(i), self.at(j), self.at(j + 1)) or self.at(j) == "this":
@@ -249,19 +262,22 @@ class Reader:
                 self.mention(stop + 1, last, owner, space)
                 stop = last
             return stop + 1
-        stop = self.body(k, end) if self.at(k) in ("=", ",", ";") else k
-        depth, start = 0, j
-        for n in range(j, stop + 1):
-            depth += self.at(n) in ("(", "{", "[")
-            depth -= self.at(n) in (")", "}", "]")
-            if n == stop or self.at(n) == "," and not depth:
-                value = self.words(start + 2, n) if self.at(start + 1) == "=" else None
-                meta = {"Type": of, "IsReadOnly": str("readonly" in mods), "IsConst": str("const" in mods), "IsVolatile": str("volatile" in mods)} | ({"ConstantValue": value} if value and "const" in mods else {})
-                self.declare("Field", self.at(start), owner, space, first, n, mods + ["sealed"] * ("readonly" in mods), type_name=of, return_type=of, attributes=attributes, metadata=meta)
-                self.mention(start + 1, n, owner, space)
-                start = n + 1
+        stop, start = self.field_end(k, end), j
+        for n in self.ends(j, stop):
+            value = self.words(start + 2, n) if self.at(start + 1) == "=" else None
+            meta = {"Type": of, "IsReadOnly": str("readonly" in mods), "IsConst": str("const" in mods), "IsVolatile": str("volatile" in mods)} | ({"ConstantValue": value} if value and "const" in mods else {})
+            self.declare("Field", self.at(start), owner, space, first, n, mods + ["sealed"] * ("readonly" in mods), type_name=of, return_type=of, attributes=attributes, metadata=meta)
+            self.mention(start + 1, n, owner, space)
+            start = n + 1
         return stop + 1
 
+    def field_end(self, k: int, end: int) -> int:
+        """Index of the semicolon that ends a field, past blocks and brackets in its value."""
+        while k < end and self.at(k) != ";":
+            opening = self.at(k)
+            k = self.close(k, opening, {"{": "}", "(": ")", "[": "]"}[opening]) + 1 if opening in ("{", "(", "[") else k + 1
+        return k
+
 
 def read_file(path: str, text: str) -> list[dict]:
     """Rows of one file; what can't be read is skipped to the next member."""
