@@ -30,7 +30,7 @@ def members(symbols: DataFrame, container_only: bool = False) -> DataFrame:
 
 def large_classes(symbols: DataFrame, over: int = 30, container_only: bool = False) -> DataFrame:
     """A5: repository, id, name, n of classes with more members."""
-    classes = symbols.where("kind = 'Type' and type_name = 'Class'")
+    classes = symbols.where("kind = 'Type' and type_name = 'Class'").select("repository", "id", "name")
     return classes.join(members(symbols, container_only), F.col("owner") == F.col("id")).where(F.col("n") > over).select("repository", "id", "name", "n")
 
 
