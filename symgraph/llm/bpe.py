@@ -22,7 +22,7 @@ from symgraph.llm.common import per_batch, rows_of, text_of
 from symgraph.llm.pieces import Pieces
 
 #: Pairs that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,7 +53,7 @@ class Vocabulary:
             elif len(parts) == 2:
                 self.made[rank] = (ranks[parts[0]], ranks[parts[1]])
                 self.reachable[token] = rank
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
 
     def stay_apart(self, a: int, b: int) -> bool:
         """True if the merges over both tokens' bytes end in a followed by b.
@@ -61,7 +61,7 @@ class Vocabulary:
         Undoes merges on both sides of the border, the latest first: a token across the border that would have been
         merged before the sides' own merges would have broken them.
         """
-        key = (a, b)
+        key = a << 32 | b
         if (known := self.apart.get(key)) is None:
             if len(self.apart) > REMEMBERED:
                 self.apart.clear()

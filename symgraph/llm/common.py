@@ -22,14 +22,18 @@ def rows_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, str]]:
         yield i, x.as_py() or ""
 
 
+#: Rows that a worker turns into results at a time.
+AT_ONCE = 512
+
+
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable:
-    """A mapInArrow function: make() runs once in each task and gives the function for its batches."""
+    """A mapInArrow function: make() runs once in each task and gives the function for its batches, AT_ONCE rows each."""
 
     def run(batches):
         each = make()
         for b in batches:
-            if b.num_rows:
-                yield each(b)
+            for at in range(0, b.num_rows, AT_ONCE):
+                yield each(b.slice(at, AT_ONCE))
 
     return run
 

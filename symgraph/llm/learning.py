@@ -28,15 +28,18 @@ def sampled(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def feature_rows(docs: DataFrame, sample: DataFrame, features: Callable[[str], np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of the sampled documents (doc_id, label): computed by the executors, gathered as numbers.
+def feature_rows(docs: DataFrame, sample: DataFrame, features: Callable[[], Callable[[str], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of the sampled documents (doc_id, label): computed by the executors (features() runs once in a
+    task), gathered as numbers.
 
     The sample is broadcast: its size is bounded by sampled(). Documents that occur in it several times count each time.
     """
 
     def make():
+        of = features()
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = pa.array([features(t) for _, t in rows_of(batch, "text")], pa.list_(pa.int32()))
+            rows = pa.array([of(t) for _, t in rows_of(batch, "text")], pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["doc_id", "label", "features"])
 
         return each
@@ -59,9 +62,9 @@ class Sparse:
     def __init__(self, rows: list[np.ndarray], values: list[np.ndarray] | None = None):
         self.n = len(rows)
         self.lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.at = np.repeat(np.arange(self.n), self.lengths)
-        self.ids = np.concatenate(rows).astype(np.int64) if self.lengths.sum() else np.zeros(0, np.int64)
-        self.values = np.ones(len(self.ids)) if values is None else np.concatenate(values)
+        self.at = np.repeat(np.arange(self.n, dtype=np.int32), self.lengths)
+        self.ids = np.concatenate(rows).astype(np.int32) if self.lengths.sum() else np.zeros(0, np.int32)
+        self.values = np.ones(len(self.ids), np.float32) if values is None else np.concatenate(values).astype(np.float32)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, w[self.ids] * self.values, self.n)

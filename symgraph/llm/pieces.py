@@ -8,7 +8,7 @@ import regex
 
 #: Pieces that a worker's younger memory holds; when it is full it becomes the older one, whose entries come back when
 #: asked for, and the rest is forgotten. Results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Anything but ASCII and the letters (and two signs) from U+00C0 to U+024F.
@@ -23,8 +23,9 @@ def plain(pattern: str) -> str:
 class Pieces(dict):
     """Piece -> its ids packed as little-endian unsigned 32-bit integers; subclasses say how one is made."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, remembered: int = REMEMBERED):
         super().__init__()
+        self.remembered = remembered
         self.older: dict = {}
         self.any, self.common = regex.compile(pattern).findall, re.compile(plain(pattern)).findall
 
@@ -36,7 +37,7 @@ class Pieces(dict):
         if out is None:
             out = self.made(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.older = dict(self)
                 self.clear()
             self[piece] = out

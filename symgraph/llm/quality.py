@@ -9,7 +9,6 @@ shapes (case, digits, marks, and whether a word repeats the one before it), whic
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +20,11 @@ from symgraph.llm.learning import Sparse, feature_rows, frequencies, hashed, hel
 
 BITS = 20
 #: Labelled documents learned from at most.
-LABELLED = 12_000
+LABELLED = 8_000
 #: Fewest documents of the sample that have a feature in use.
 LEAST = 8
 SHAPES = 1 << 9
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 SPLIT = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 
 
@@ -42,32 +41,26 @@ def shape(token: str) -> str:
     return f"{before[:3]}{kind}{after[:3]}"
 
 
-class Shapes(dict):
-    """Token -> number of its shape and number of its word, filled when first asked for."""
+class Features(dict):
+    """Features of texts. As a dictionary: token -> numbers of its shape and of its word in one, filled when first asked for."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __missing__(self, token: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        out = self[token] = (hashed("s", shape(token), 8), hashed("w", token.lower(), BITS))
+        out = self[token] = hashed("s", shape(token), 8) << BITS | hashed("w", token.lower(), BITS)
         return out
 
-
-@lru_cache(1)
-def shapes() -> Shapes:
-    return Shapes()
-
-
-def features(text: str) -> np.ndarray:
-    """Distinct feature numbers of a text: its words, and 1- to 3-grams of its words' shapes."""
-    tokens = text.split()
-    if not tokens:
-        return np.zeros(0, np.int32)
-    pairs = np.array(list(map(shapes().__getitem__, tokens)), np.int64)
-    s = pairs[:, 0]
-    s[1:] += 256 * np.fromiter((a == b for a, b in zip(tokens, tokens[1:], strict=False)), np.int64, len(tokens) - 1)
-    grams = [s, s[:-1] * SHAPES + s[1:] + SHAPES, (s[:-2] * SHAPES + s[1:-1]) * SHAPES + s[2:] + SHAPES * (SHAPES + 1)]
-    mixed = np.concatenate(grams).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)
-    return np.unique(np.concatenate([mixed.astype(np.int64), pairs[:, 1]])).astype(np.int32)
+    def of(self, text: str) -> np.ndarray:
+        """Distinct feature numbers of a text: its words, and 1- to 3-grams of its words' shapes."""
+        tokens = text.split()
+        if not tokens:
+            return np.zeros(0, np.int32)
+        both = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        s = both >> BITS
+        s[1:] += 256 * np.fromiter((a == b for a, b in zip(tokens, tokens[1:], strict=False)), np.int64, len(tokens) - 1)
+        grams = [s, s[:-1] * SHAPES + s[1:] + SHAPES, (s[:-2] * SHAPES + s[1:-1]) * SHAPES + s[2:] + SHAPES * (SHAPES + 1)]
+        mixed = np.concatenate(grams).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)
+        return np.unique(np.concatenate([mixed.astype(np.int64), both & ((1 << BITS) - 1)])).astype(np.int32)
 
 
 def descend(x: Sparse, y: np.ndarray, width: int, c: float = 1.0, rounds: int = 15) -> np.ndarray:
@@ -137,7 +130,7 @@ class Scorer:
     """Scores texts by a model."""
 
     def __init__(self, model: dict):
-        self.model = model
+        self.model, self.features = model, Features().of
         self.number = np.full(1 << BITS, -1, np.int32)
         self.number[model["ids"]] = np.arange(len(model["ids"]))
 
@@ -145,7 +138,7 @@ class Scorer:
         m = self.model
         if not len(m["ids"]):
             return float(sigmoid(np.float64(m["place"])))
-        ids = self.number[features(text)]
+        ids = self.number[self.features(text)]
         ids = ids[ids >= 0]
         r = m["ratio"][ids]
         z = (m["weights"][ids] @ r + m["weights"][-1]) / np.sqrt((r**2).sum() + 1)
@@ -155,7 +148,7 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """A model from at most LABELLED labels (doc_id, quality 0 or 1) of rows that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    rows, y = feature_rows(docs, sampled(known, LABELLED), features)
+    rows, y = feature_rows(docs, sampled(known, LABELLED), lambda: Features().of)
     return train(rows, y)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.llm.common import per_batch, rows_of, text_of
-from symgraph.llm.pieces import Pieces
+from symgraph.llm.pieces import REMEMBERED, Pieces
 from symgraph.session import shared_path
 
 ORC = {"compression": "snappy", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20)}
@@ -43,7 +43,7 @@ class LibraryEncoder(Pieces):
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
-        super().__init__(pattern)
+        super().__init__(pattern, 2 * REMEMBERED)
         self.library, self.names = Tokenizer.from_file(path), byte_names()
         self.model = self.library.model
 

@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[int, float]:
     prior = known.agg(F.avg("label")).first()[0]
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out(F.col("doc_id")))
     some = sampled(known.where("label = 1"), POSITIVES).unionByName(sampled(ids, UNLABELLED).withColumn("label", F.lit(0)))
-    rows, y = feature_rows(docs, some, features)
+    rows, y = feature_rows(docs, some, lambda: features)
     return train([r for r, k in zip(rows, y, strict=True) if k], [r for r, k in zip(rows, y, strict=True) if not k], prior or 0.05)
 
 
