@@ -21,7 +21,7 @@ from symgraph.session import broadcast_if, materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents whose copies are dealt out in one window.
-CLASS_ROWS = 2000
+CLASS_ROWS = 256
 BROADCAST_ROWS = 100_000
 
 
