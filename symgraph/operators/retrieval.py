@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import ids
 from symgraph.functions.text import CONTEXT_STOP_WORDS, chunk_tokens, cosine, dot, euclidean, prompt_tokens, terms
-from symgraph.operators import graph, search
-from symgraph.session import materialise
+from symgraph.operators import graph, search, tables
+from symgraph.session import broadcast_if, materialise
 
 
 def asked_terms(questions: DataFrame, stop: list[str] | None = None) -> DataFrame:
@@ -197,7 +197,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, most: int = 10, where:
     """
     f = {"cosine": cosine, "dot": dot, "euclidean": lambda a, b: -euclidean(a, b)}[measure]
     rows = vectors if where is None else vectors.where(where)
-    pairs = rows.join(F.broadcast(queries.limit(1_000)), "collection").select("query", "id", f(F.col("vector"), F.col("target")).alias("score"))
+    pairs = rows.join(broadcast_if(queries, 10_000), "collection").select("query", "id", f(F.col("vector"), F.col("target")).alias("score"))
     if least is not None:
         pairs = pairs.where(F.col("score") >= least)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))  # limits each task's rows too
@@ -209,6 +209,16 @@ def scroll(vectors: DataFrame, collection: str, most: int, offset: int = 0) -> D
     return vectors.where(F.col("collection") == collection).orderBy("id").offset(offset).limit(most)
 
 
+def upsert_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
+    """K9: a collection begins with its first vector; a vector of the same id is replaced."""
+    return tables.upsert(vectors, new, ["collection", "id"])
+
+
+def delete_vectors(vectors: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the vectors of gone (collection, id), or the whole collections of gone (collection)."""
+    return vectors.join(gone.distinct(), [c for c in ("collection", "id") if c in gone.columns], "left_anti")
+
+
 def collections(vectors: DataFrame) -> DataFrame:
     """V6, K9."""
     return vectors.select("collection").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import contains_ci
+from symgraph.session import broadcast_if
 
 TIE = ("full_name", "id")
 
@@ -109,7 +110,7 @@ def resolve(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     same = symbols.join(q, F.lower(symbols["name"]) == F.lower(q["query"])).withColumn("tier", F.lit(2))
     near = full.unionByName(name).unionByName(same)
     rest = q.join(near.select("query").distinct(), "query", "left_anti")
-    loose = symbols.join(F.broadcast(rest.limit(10_000)), contains_ci(symbols["name"], rest["query"]) | contains_ci(symbols["full_name"], rest["query"])).withColumn("tier", F.when(F.startswith(F.lower("name"), F.lower("query")), 3).otherwise(4))
+    loose = symbols.join(broadcast_if(rest, 10_000), contains_ci(symbols["name"], rest["query"]) | contains_ci(symbols["full_name"], rest["query"])).withColumn("tier", F.when(F.startswith(F.lower("name"), F.lower("query")), 3).otherwise(4))
     return _picked(near.unionByName(loose), [F.col("tier"), kind, F.col("full_name"), F.col("id")])
 
 
@@ -127,7 +128,7 @@ def resolve_ranked(symbols: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 # What a kind asks for.
-KIND_NAMES = {"class": "Type", "interface": "Type", "struct": "Type", "enum": "Type", "method": "Method", "property": "Property", "field": "Field", "event": "Event"}
+KIND_NAMES = {"class": "Type", "type": "Type", "interface": "Type", "struct": "Type", "enum": "Type", "method": "Method", "property": "Property", "field": "Field", "event": "Event", "namespace": "Namespace"}
 
 
 def list_symbols(symbols: DataFrame, kind: str | None = None, name: str | None = None, most: int = 100) -> DataFrame:

@@ -190,6 +190,14 @@ def vector_scroll(spark, d):
     return retrieval.scroll(A.vectors(spark, d), "all", 20, 30).select("id")
 
 
+@query("SELECT vec_id AS id, label + CASE WHEN vec_id % 4 = 0 THEN 100 ELSE 0 END AS label FROM embeddings WHERE vec_id % 5 != 0")
+def vector_upsert_delete(spark, d):
+    v = A.vectors(spark, d)
+    new = v.where("id % 4 = 0").withColumn("payload", F.create_map(F.lit("label"), (F.col("payload")["label"].cast("int") + 100).cast("string")))
+    rows = retrieval.delete_vectors(retrieval.upsert_vectors(v, new), v.where("id % 5 = 0").select("collection", "id"))
+    return rows.select("id", F.col("payload")["label"].cast("int").alias("label"))
+
+
 @query("SELECT source || '/' || doc_id AS file_path, to_base64(unhex(md5(text))) AS content_hash FROM documents WHERE length(text) % 3 != 0")
 def embedding_cache_miss(spark, d):
     f = A.files(spark, d).withColumn("content_hash", ids.text_hash(F.col("content"))).withColumn("model", F.lit("m"))

@@ -94,6 +94,13 @@ def debounce(spark, d):
     return C.debounced(e, "2 hours").select("path", "events", "last")
 
 
+@query("SELECT 'u' || user_id AS path, max(CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END) AS priority, min(event_id) AS seq FROM events GROUP BY 1")
+def index_queue(spark, d):
+    e = table(spark, d, "events")
+    priority = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0)
+    return C.queued(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), priority.alias("priority"), F.col("event_id").alias("seq"))).drop("place")
+
+
 @query("SELECT event_id, (props->>'$.k')::bigint AS k FROM events")
 def json_props(spark, d):
     e = table(spark, d, "events")
@@ -133,10 +140,10 @@ def scene_components(spark, d):
     return unity.component_totals(unity.documents(_scenes(spark, d)))
 
 
-@query("SELECT 'G' || page_id || '.asset' AS file_path, 'G' || page_id AS \"group\", unnest(['g' || page_id, 'h' || page_id]) AS guid, unnest(['Assets/' || length(html) || '.cs', 'Assets/x.png']) AS asset FROM pages")
+@query("SELECT 'G' || page_id || '.asset' AS file_path, 'G' || page_id AS address, unnest(['a' || page_id, 'b' || page_id]) AS guid, unnest(['Assets/' || length(html) || '.cs', '']) AS asset FROM pages")
 def addressable_zip(spark, d):
     p = F.col("page_id").cast("string")
-    text = F.concat(F.lit("m_GUID: g"), p, F.lit("\nm_Address: Assets/"), F.length("html").cast("string"), F.lit(".cs\nm_GUID: h"), p, F.lit("\nm_Address: Assets/x.png\n"))
+    text = F.concat(F.lit("m_AssetGuid: a"), p, F.lit('\nm_AssetPath: "Assets/'), F.length("html").cast("string"), F.lit('.cs"\nm_AssetGuid: b'), p, F.lit("\n"))
     return unity.addressables(table(spark, d, "pages").select(F.concat(F.lit("G"), p, F.lit(".asset")).alias("file_path"), text.alias("content")))
 
 

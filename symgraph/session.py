@@ -33,9 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that shared_path() gave out.
+MADE: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below shared_dir()."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what this process has written into the shared folder: for the end of a job, when no result is read any more."""
+    while MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -375,3 +375,19 @@ def edges_of(symbols: DataFrame, resolved: DataFrame) -> DataFrame:
     calls = resolved.where("kind = 'Call'").select("source_id", "target_id", F.lit("Calls").alias("kind"))
     rows = declares.unionByName(inherits).unionByName(implements).unionByName(over.select("source_id", "target_id", "kind")).unionByName(calls).distinct()
     return rows.select(ids.edge_id(F.col("source_id"), F.col("target_id"), F.col("kind")).alias("id"), "source_id", "target_id", "kind", F.lit(1.0).alias("weight"))
+
+
+def design_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """Contains (namespace to type), Uses (symbol to the type of its attribute) and Implements (method to the method
+    of an interface that its type implements)."""
+    spaces = symbols.where("kind = 'Namespace'").select(F.col("id").alias("container_id"))
+    contains = symbols.where("kind = 'Type'").join(spaces, "container_id").select(F.col("container_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("Contains").alias("kind"))
+    types = symbols.where("kind = 'Type'").select(F.regexp_replace("name", "Attribute$", "").alias("attribute"), F.col("id").alias("target_id"))
+    named = symbols.select(F.col("id").alias("source_id"), F.explode("attributes").alias("attribute")).withColumn("attribute", F.regexp_replace("attribute", "Attribute$", ""))
+    uses = named.join(types, "attribute").select("source_id", "target_id", F.lit("Uses").alias("kind"))
+    methods = symbols.where("kind = 'Method'").select("id", "name", "declaring_type_id")
+    of = edges.where("kind = 'Implements'").select(F.col("source_id").alias("declaring_type_id"), F.col("target_id").alias("interface_id"))
+    asked = methods.select(F.col("id").alias("target_id"), "name", F.col("declaring_type_id").alias("interface_id"))
+    implements = methods.join(of, "declaring_type_id").join(asked, ["name", "interface_id"]).select(F.col("id").alias("source_id"), "target_id", F.lit("Implements").alias("kind"))
+    rows = contains.unionByName(uses).unionByName(implements).distinct()
+    return rows.select(ids.edge_id(F.col("source_id"), F.col("target_id"), F.col("kind")).alias("id"), "source_id", "target_id", "kind", F.lit(1.0).alias("weight"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from symgraph.functions.text import dirname, extension, segments_outside
 
 # What a scan reads and leaves out.
 EXTENSIONS = (".cs", ".csproj", ".sln")
-EXCLUDED = ("bin", "obj", ".git", ".vs", ".vscode", ".idea", "node_modules", "packages", "TestResults", ".nexus")
+EXCLUDED = (".git", "bin", "obj", "node_modules", ".vs", "packages", "Library", "Temp", "Logs", "UserSettings")
 LARGEST = 10 * 1024 * 1024
 
 
@@ -96,6 +97,14 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a table has rows; false if there is none."""
+    try:
+        return not spark.read.parquet(path).isEmpty()
+    except AnalysisException:
+        return False
+
+
 def register_paths(old: DataFrame, new: DataFrame) -> DataFrame:
     """K6: the registry of repository paths, one for each spelling but for case; the older one stays."""
     rows = old.select("path", F.lit(0).alias("age")).unionByName(new.select("path", F.lit(1).alias("age")))

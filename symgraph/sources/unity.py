@@ -10,13 +10,21 @@ from symgraph.functions.text import stem
 
 # Methods that the engine calls, and base types with their node kinds.
 LIFECYCLE = (
-    "Awake Start Update FixedUpdate LateUpdate OnEnable OnDisable OnDestroy OnCollisionEnter OnCollisionExit OnCollisionStay OnTriggerEnter OnTriggerExit OnTriggerStay OnMouseDown OnMouseUp OnGUI OnDrawGizmos "
-    "OnApplicationQuit OnApplicationPause OnValidate"
+    "Awake Start Update FixedUpdate LateUpdate OnEnable OnDisable OnDestroy OnCollisionEnter OnCollisionExit OnCollisionStay OnTriggerEnter OnTriggerExit OnTriggerStay OnMouseDown OnMouseUp OnMouseDrag OnGUI OnApplicationQuit "
+    "OnApplicationPause OnApplicationFocus"
 ).split()
 BASES = {"MonoBehaviour": "MonoBehaviour", "ScriptableObject": "ScriptableObject", "Editor": "Editor", "EditorWindow": "Editor"}
 NODE = ["id", "full_name", "label", "kind"]
 
 
+def types_by_text(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Id, full_name and three flags of classes whose file names a Unity base, as plain text shows it."""
+    has = lambda *bases: F.coalesce(*[F.when(F.contains("content", F.lit(f": {b}")), True) for b in bases], F.lit(False))
+    flags = {"is_mono": has("MonoBehaviour", "UnityEngine.MonoBehaviour"), "is_scriptable": has("ScriptableObject", "UnityEngine.ScriptableObject"), "is_editor": has("Editor", "UnityEditor.Editor")}
+    rows = symbols.where("kind = 'Type' and type_name = 'Class'").join(files.select("file_path", "content"), "file_path")
+    return rows.select("id", "full_name", *[v.alias(k) for k, v in flags.items()]).where("is_mono or is_scriptable or is_editor")
+
+
 def is_project(files: DataFrame) -> DataFrame:
     """Repository, unity: it has both an Assets and a ProjectSettings folder."""
     has = lambda d: F.max(F.array_contains(F.split("file_path", "/"), d))
@@ -92,26 +100,32 @@ def assembly_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def addressables(files: DataFrame) -> DataFrame:
-    """file_path, group, guid, asset of addressable groups; guids and paths go together by their place."""
-    both = F.arrays_zip(F.regexp_extract_all("content", F.lit(r"m_(?:Asset)?G(?:uid|UID): *(\w+)"), 1).alias("guid"), F.regexp_extract_all("content", F.lit(r"m_(?:AssetPath|Address): *(\S[^\r\n]*)"), 1).alias("asset"))
-    rows = files.where("file_path like '%.asset'").select("file_path", stem(F.col("file_path")).alias("group"), F.inline(both))
-    return rows.where("asset is not null and not startswith(asset, 'AssetGroups')")
+    """file_path, address, guid, asset of addressable entries; guids and paths go together by their place.
+
+    Group and schema files are left out; a guid without a path has an empty one."""
+    guids = F.regexp_extract_all("content", F.lit(r"m_AssetGuid:\s*([a-f0-9]+)"), 1)
+    paths = F.slice(F.regexp_extract_all("content", F.lit(r"m_AssetPath:[^\S\n]*([^\r\n]*)"), 1), F.lit(1), F.greatest(F.size(guids), F.lit(0)))
+    rows = files.where("file_path like '%.asset' and not contains(file_path, 'AssetGroups') and not contains(file_path, 'AssetGroupSchema')")
+    rows = rows.select("file_path", stem(F.col("file_path")).alias("address"), F.inline(F.arrays_zip(guids.alias("guid"), paths.alias("asset"))))
+    return rows.select("file_path", "address", "guid", F.expr("trim(both '\"' from coalesce(asset, ''))").alias("asset"))
 
 
 def addressable_graph(found: DataFrame, scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups and assets; AddressableRef edges, and References of .cs assets to scripts (name, id)."""
-    g, a = ids.asset_id("Addressable", F.col("group")), ids.asset_id("AddressableAsset", F.col("asset"))
-    rows = found.withColumn("g", g).withColumn("a", a)
-    nodes = rows.select(F.col("g").alias("id"), F.col("group").alias("full_name"), F.col("group").alias("label"), F.lit("Package").alias("kind")).unionByName(rows.select(F.col("a").alias("id"), F.col("asset").alias("full_name"), stem(F.col("asset")).alias("label"), F.lit("File").alias("kind")))
-    code = rows.where("endswith(lower(asset), '.cs')").withColumn("name", stem(F.col("asset"))).join(scripts.select("name", F.col("id").alias("target_id")), "name")
+    """The package and its assets; AddressableRef edges to them, and References of .cs assets to scripts (name, id)."""
+    rows = found.withColumn("a", ids.asset_id("AddressableAsset", F.col("asset"))).withColumn("g", ids.asset_id("Addressable", F.lit("Addressables")))
+    package = rows.select(F.col("g").alias("id"), F.lit("Unity.Addressables").alias("full_name"), F.lit("Addressables").alias("label"), F.lit("Package").alias("kind"))
+    nodes = package.unionByName(rows.select(F.col("a").alias("id"), F.col("asset").alias("full_name"), stem(F.col("asset")).alias("label"), F.lit("File").alias("kind")))
+    code = rows.where("endswith(asset, '.cs')").withColumn("name", stem(F.col("asset"))).join(scripts.select("name", F.col("id").alias("target_id")), "name")
     edges = rows.select(F.col("g").alias("source_id"), F.col("a").alias("target_id"), F.lit("AddressableRef").alias("kind")).unionByName(code.select(F.col("a").alias("source_id"), "target_id", F.lit("References").alias("kind")))
     return nodes.dropDuplicates(["id"]), edges.distinct()
 
 
 def event_fields(symbols: DataFrame) -> DataFrame:
-    """Id, full_name, type_name of event fields: UnityEvent or UnityAction, or serialised ones named like events."""
-    kind = F.col("type_name").rlike(r"^(UnityEvent|UnityAction)\b")
-    like = F.array_contains("attributes", "SerializeField") & (F.contains("name", F.lit("Event")) | F.startswith("name", F.lit("on")) | F.startswith("name", F.lit("On")))
+    """Id, full_name, type_name of event fields: of UnityEvent or UnityAction types, or serialised
+    ones whose type is named like an event, action or function."""
+    named = lambda *words: F.coalesce(*[F.when(F.contains("type_name", F.lit(w)), True) for w in words], F.lit(False))
+    kind = named("UnityEvent", "UnityAction") | F.coalesce(F.startswith("type_name", F.lit("UnityEngine.Events.")), F.lit(False))
+    like = (F.col("kind") == "Field") & F.array_contains("attributes", "SerializeField") & named("Event", "Action", "Func")
     return symbols.where(F.col("kind").isin("Field", "Property") & (kind | F.coalesce(like, F.lit(False)))).select("id", "full_name", "type_name", ids.asset_id("UnityEvent", F.col("full_name")).alias("event_id"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symgraph.sources.csharp import extract
 from symgraph.sources.files import change_set
 
 LOG = "seq long, file_path string, change_type string, hash string, old_path string"
@@ -48,6 +49,24 @@ def watch(spark: SparkSession, log: str, checkpoint: str, apply: Callable[[DataF
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
+def extract_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the extractor's rows for each new .cs file below a folder."""
+    texts = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.cs").schema("value string").load(path)
+    return extract(texts.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content")))
+
+
+def observed(rows: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """ST8: rows, and their number as it is known once an action on them has run."""
+    progress = Observation(name)
+    return rows.observe(progress, F.count(F.lit(1)).alias("rows")), progress
+
+
+def queued(requests: DataFrame) -> DataFrame:
+    """Path, priority, seq, place of the requests that wait: each path once, by its highest priority and first request."""
+    once = requests.groupBy("path").agg(F.max("priority").alias("priority"), F.min("seq").alias("seq"))
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("priority").orderBy("seq", "path")))
+
+
 def debounced(events: DataFrame, gap: str = "500 milliseconds", watermark: str = "1 minute") -> DataFrame:
     """Path, number of events and last time of each burst; works on streams and tables."""
     rows = events.withWatermark("ts", watermark) if events.isStreaming else events

@@ -228,3 +228,15 @@ def test_exports(spark):
     assert {r.target_label for r in export.graph_edges(n, e).collect()} == {"B", "External(Calls)"}
     assert {(r.size, r.color) for r in export.graph_nodes(n).collect()} == {(10, "#58a6ff"), (5, "#3fb950")}
     assert export.prometheus(spark.createDataFrame([("a.b", 1.234)], "name string, value double")).first()[0] == "symgraph_a_b 1.23"
+
+
+def test_written_tables_are_forgotten(spark):
+    from symgraph import session
+
+    kept = session.materialise(spark.range(5), "t")
+    assert kept.count() == 5 and session.MADE
+    path = session.MADE[-1].removeprefix("file://")
+    session.forget(spark)
+    import os
+
+    assert not session.MADE and not os.path.exists(path)

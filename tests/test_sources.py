@@ -176,17 +176,18 @@ def test_unity(spark):
     assert {r.name for r in unity.objects(unity.documents(spark.createDataFrame([("s", SCENE)], "file_path string, content string"), parity=True)).collect()} == {"inner", "Gun"}
     n, e = unity.prefab_graph(docs, scripts)
     assert n.where("kind = 'Prefab'").count() == 1 and e.where("kind = 'InstanceOf'").count() == 2
-    files = spark.createDataFrame([("Assets/a.asmdef", '{"name": "Core", "references": ["Util"]}'), ("Packages/b.asmdef", '{"name": "Skip"}'), ("Assets/c.asmdef", "not json"), ("Assets/g.asset", "m_GUID: 1\nm_Address: Assets/A.cs\nm_GUID: 2\nm_Address: AssetGroups/x\n"), ("ProjectSettings/p", "")], "file_path string, content string")
+    files = spark.createDataFrame([("Assets/a.asmdef", '{"name": "Core", "references": ["Util"]}'), ("Packages/b.asmdef", '{"name": "Skip"}'), ("Assets/c.asmdef", "not json"), ("Assets/g.asset", 'm_AssetGuid: 1\nm_AssetPath: "Assets/A.cs"\nm_AssetGuid: 2\n'), ("Assets/AssetGroups/h.asset", "m_AssetGuid: 3\n"), ("ProjectSettings/p", "")], "file_path string, content string")
     asm = unity.assemblies(files)
     assert [(r.name, r.autoReferenced) for r in asm.collect()] == [("Core", True)] and unity.assembly_graph(asm)[1].first().kind == "AssemblyDep"
     a = unity.addressables(files)
-    assert [(r.guid, r.asset) for r in a.collect()] == [("1", "Assets/A.cs")]
+    assert [(r.guid, r.asset) for r in a.collect()] == [("1", "Assets/A.cs"), ("2", "")]
     assert {r.kind for r in unity.addressable_graph(a, spark.createDataFrame([("A", "s")], "name string, id string"))[1].collect()} == {"AddressableRef", "References"}
     assert unity.is_project(files.withColumn("repository", F.lit("r"))).first().unity
     code = "public class Mob : MonoBehaviour { [SerializeField] private int hp; public int open; [NonSerialized] public int off; private int shut; public UnityEvent onHit; void Update() { } }"
     s = csharp.symbols_of(csharp.extract(spark.createDataFrame([("m.cs", code)], "file_path string, content string")))
     (t,) = unity.types(s).collect()
     assert (t.unity_kind, t.serialised, t.lifecycle) == ("MonoBehaviour", ["hp", "onHit", "open"], ["Update"])
+    assert unity.types_by_text(s, spark.createDataFrame([("m.cs", code)], "file_path string, content string")).first().is_mono
     assert unity.event_fields(s).first().full_name.endswith("onHit")
 
 
@@ -218,3 +219,23 @@ def test_change_helpers(spark):
     assert C.cache_left(cache, now, 2).count() == 3  # a quarter of three is none
     assert {r.key for r in C.cache_left(cache.unionByName(cache.select("cache", F.upper("key").alias("key"), "used")), now, 2).collect()} >= {"c", "C"}
     assert C.cache_left(cache, now, 10, "8 minutes 30 seconds").count() == 1
+
+
+def test_extract_stream_progress_and_queue(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    for name, body in GAME.items():
+        (src / name.split("/")[1]).write_text(body)
+    C.extract_stream(spark, f"file://{src}").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    rows, progress = C.observed(spark.read.parquet(out).where("row = 'declaration'"))
+    assert rows.count() == 22 and progress.get["rows"] == 22  # each file declares the namespace
+    assert S.has_data(spark, out) and not S.has_data(spark, str(tmp_path / "none"))
+    q = C.queued(spark.createDataFrame([("a", 0, 5), ("b", 1, 9), ("a", 1, 7), ("c", 0, 1)], "path string, priority int, seq long"))
+    assert sorted((r.path, r.priority, r.seq, r.place) for r in q.collect()) == [("a", 1, 5, 1), ("b", 1, 9, 2), ("c", 0, 1, 1)]
+
+
+def test_design_edges(spark, extracted):
+    _, s, found = extracted
+    name = {r.id: r.full_name.removeprefix("global::TestGame") for r in s.collect()}
+    got = {(name[r.source_id], r.kind, name[r.target_id]) for r in csharp.design_edges(s, csharp.edges_of(s, found)).collect()}
+    assert ("", "Contains", ".Enemy") in got and (".Enemy.TakeDamage", "Implements", ".IDamageable.TakeDamage") in got
