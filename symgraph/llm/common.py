@@ -47,3 +47,10 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
             n += "_"
         out.append(n)
     return out
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, which a file scan gives, over all cores: dealt anew if the scan has fewer partitions, which few or small files
+    do. Larger inputs are left as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from symgraph.llm import bpe, exact, mixing, parsing, quality, simhash, tokens, toxicity, urls, warc
+from symgraph.llm.common import spread
 from symgraph.session import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -14,12 +15,12 @@ LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document, and back."""
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
+    return bpe.encode_decode(spread(table(spark, sf_dir, "documents")), MULTI_RANKS, public_tokenizers.PATTERN)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_groups(spread(table(spark, sf_dir, "documents"))).select("doc_id", "fingerprint", "component_id")
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +46,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
