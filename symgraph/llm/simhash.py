@@ -175,7 +175,12 @@ def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest doc_id (of several such, the smallest text
     hash; of rows equal in both, one); all columns stay. Only what goes is shipped to the anti-join."""
-    found = materialise(near_groups(docs), "near-groups")
+    return keep_least(docs, near_groups(docs))
+
+
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one document of each component of groups (doc_id, component_id, x), as keep_one says."""
+    found = materialise(groups, "near-groups")
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "x")).alias("best"), F.count(F.lit(1)).alias("n"))
     several = found.alias("f").join(best.where("n > 1").alias("b"), F.expr("f.component_id <=> b.component_id"))
     stays = F.expr("f.doc_id <=> if(b.best.none, null, b.best.doc_id) and f.x = b.best.x")
