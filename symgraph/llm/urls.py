@@ -68,18 +68,44 @@ def ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.join(best, ["host", "path"], "left").select(*rows.columns, F.col("best.rule").alias("rule"), F.col("best.said").alias("said"))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path without its . and .. segments; .. at the top gives nothing."""
+    parts = F.slice(F.split(path, "/", -1), 2, 1 << 30)
+    empty = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(empty)
+    return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, empty, step), last), "/"))
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """A link's target as a whole url: with a scheme as it is; else relative to the page's url. Null for schemes without //."""
+    site, path = F.concat(F.regexp_extract(url, r"^([^:/?#]*://)", 1), host_of(url)), path_of(url)
+    own, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    query = F.regexp_extract(url, r"(?s)://[^?#]*(\?[^#]*)", 1)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(F.startswith(to, F.lit("//")), F.concat(F.lit("http:"), to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(to, F.lit("/")), F.concat(site, without_dots(own), rest))
+        .when(F.startswith(to, F.lit("?")), F.concat(site, path, rest))
+        .when(F.startswith(to, F.lit("#")), F.concat(site, path, query))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """u, v: nodes that a canonical link or a refresh in the page's html connects with the page's own url.
 
-    Targets may be absolute, start with // or with /; others, and html without such a tag, give nothing.
+    Targets may be absolute or relative to the page's url (not to a base tag); canonical may stand anywhere in rel. Html
+    without such a tag gives nothing.
     """
     some = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>", "").alias("html"))
     tags = some.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"""(?i)\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
+    canonical = F.when(F.col("tag").rlike(r"""(?i)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|'(?:[^']*\s)?canonical[\s']|canonical[\s/>])"""), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     refresh = F.when(F.col("tag").rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     found = tags.select("url", F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&")).alias("to")).where("to != ''")
-    scheme = F.regexp_extract("url", r"^([^:/?#]*://)", 1)
-    whole = F.when(F.col("to").contains("://"), F.col("to")).when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), "to")).when(F.startswith("to", F.lit("/")), F.concat(scheme, host_of(F.col("url")), "to"))
+    whole = resolved(F.col("to"), F.col("url"))
     return found.select(node_of(F.col("url")).alias("u"), node_of(whole).alias("v")).where("u is not null and v is not null and u != v").distinct()
 
 
