@@ -25,6 +25,8 @@ BASES = (1_000_003, 69_069_069)
 CHUNK = 1 << 16
 #: Most rows of a broadcast side: pairs of longs, 32 MB at most; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Texts of more bytes are cut into parts of PART bytes, which any task hashes.
+LARGE, PART = 1 << 24, 1 << 22
 
 
 @lru_cache(4)
@@ -60,9 +62,9 @@ def fingerprint(data: bytes, prime: int = PRIME) -> int:
     return found[0] << 31 | found[1]
 
 
-def fingerprints(docs: DataFrame, prime: int = PRIME, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, print (of the whole text), text_sha256, x (xxHash64 of the text), and the text if asked for."""
-    schema = "doc_id long, n_bytes long, print long, text_sha256 string, x long" + ", text string" * with_text
+def fingerprints(docs: DataFrame, prime: int = PRIME) -> DataFrame:
+    """doc_id, n_bytes, print (of the whole text), text_sha256, x (xxHash64 of the text)."""
+    schema = "doc_id long, n_bytes long, print long, text_sha256 string, x long"
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -73,12 +75,47 @@ def fingerprints(docs: DataFrame, prime: int = PRIME, with_text: bool = False) -
                 p.append(fingerprint(data, prime))
                 sha.append(hashlib.sha256(data).hexdigest())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(p, pa.int64()), pa.array(sha, pa.string()), batch.column(2)]
-            return pa.RecordBatch.from_arrays(columns + [batch.column(1)] * with_text, names=["doc_id", "n_bytes", "print", "text_sha256", "x"] + ["text"] * with_text)
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "print", "text_sha256", "x"])
 
         return each
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return rows.withColumn("x", F.xxhash64("text")).mapInArrow(per_batch(make), schema)
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("x", F.xxhash64("text"))
+    large = F.octet_length("text") > LARGE
+    small = rows.where(~large).mapInArrow(per_batch(make), schema)
+    huge = rows.where(large).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "x")
+    huge = materialise(huge, "exact-huge")
+    if huge.isEmpty():
+        return small
+    prints = materialise(huge_prints(rows.where(large), prime), "exact-huge-prints")
+    return small.unionByName(huge.join(broadcast_if(prints, BROADCAST_ROWS), "text_sha256").select(*small.columns))
+
+
+def huge_prints(rows: DataFrame, prime: int = PRIME) -> DataFrame:
+    """text_sha256 and print of each text: its parts are dealt over all tasks, and their fingerprints combined in order."""
+
+    def hashed(batches):
+        for b in batches:
+            p = [fingerprint(b.column(3)[i].as_py(), prime) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(p, pa.int64())], names=["text_sha256", "part", "n", "print"])
+
+    def combined(batches):
+        for b in batches:
+            out = []
+            for parts in b.column(1):
+                found = [0, 0]
+                for r in parts.as_py():
+                    for k, base in enumerate(BASES):
+                        found[k] = combine(found[k], r["print"] >> 31 if k == 0 else r["print"] & PRIME, r["n"], base, prime)
+                out.append(found[0] << 31 | found[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["text_sha256", "print"])
+
+    texts = rows.select(F.sha2("text", 256).alias("text_sha256"), F.encode("text", "utf-8").alias("data"))
+    parts = texts.select("text_sha256", "data", F.explode(F.sequence(F.lit(0), F.expr(f"int((octet_length(data) - 1) div {PART})"))).alias("part"))
+    parts = parts.select("text_sha256", "part", F.expr(f"substring(data, part * {PART} + 1, {PART})").alias("data"))
+    parts = parts.select("text_sha256", "part", F.octet_length("data").cast("long").alias("n"), "data").repartition("text_sha256", "part")
+    done = parts.mapInArrow(hashed, "text_sha256 string, part int, n long, print long").dropDuplicates(["text_sha256", "part"])
+    whole = done.groupBy("text_sha256").agg(F.sort_array(F.collect_list(F.struct("part", "n", "print"))).alias("parts"))
+    return whole.mapInArrow(combined, "text_sha256 string, print long")
 
 
 def unequal(docs: DataFrame, groups: DataFrame, prime: int = PRIME) -> DataFrame:
@@ -89,8 +126,8 @@ def unequal(docs: DataFrame, groups: DataFrame, prime: int = PRIME) -> DataFrame
     third of all rows sends one row a task and chunk; they are equal iff all chunks are.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("key", F.xxhash64("text"))
-    nominated = rows.join(broadcast_if(groups.select(F.explode("xs").alias("key")).distinct(), BROADCAST_ROWS), "key", "left_semi")
-    texts = fingerprints(nominated, prime, with_text=True)
+    named = groups.select("print", "n_bytes", F.explode("xs").alias("key")).distinct()
+    texts = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).join(broadcast_if(named, BROADCAST_ROWS), ["key", "n_bytes"])
     last = F.greatest(F.floor((F.length("text") - 1) / CHUNK), F.lit(0))
     chunks = texts.select("print", "n_bytes", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
     chunks = chunks.withColumn("part", F.expr(f"substring(text, int(chunk * {CHUNK} + 1), {CHUNK})"))
