@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,15 +25,20 @@ def build(app: str = "symgraph", cores: int | str = "*", partitions: int = 8, me
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and the master is local, a
+    temporary one. A cluster without the setting is an error, as its machines don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not getattr(shared_dir, "own", None):
             shared_dir.own = "file://" + tempfile.mkdtemp(prefix="symgraph-")
         found = shared_dir.own
     return found.rstrip("/")
 
 
+#: Most bytes that broadcast_if() sends to every executor.
+BROADCAST_BYTES = 8 << 20
 #: Paths that shared_path() gave out.
 MADE: list[str] = []
 
@@ -43,27 +49,55 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return MADE[-1]
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes what this process has written into the shared folder: for the end of a job, when no result is read any more."""
-    while MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+def forget(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
+    """Deletes what this process has written into the shared folder, from the since-th path on but for some: for the end of
+    a job or a stage, when it isn't read any more."""
+    keep = [p for p in MADE[since:] if p in but]
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, [p for p in MADE[since:] if p not in but]):
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    MADE[since:] = keep
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def _sizes(df: DataFrame) -> list[Column]:
+    """Rows, and bytes that they take in a broadcast, about."""
+    fixed = 16 + 8 * len(df.columns)
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")]
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(sum(texts, F.lit(fixed).cast("long"))), F.lit(0).cast("long")).alias("bytes")]
+
+
+def materialise(df: DataFrame, name: str, counted: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts the lineage.
 
-    Unlike persist(), the copy outlives executors; unlike checkpoint(), it is columnar and compressed.
+    Unlike persist(), the copy outlives executors; unlike checkpoint(), it is columnar and compressed. If counted, rows()
+    and broadcast_if() know its size without another job.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    if not counted:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, *_sizes(df)).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._symgraph_held = (seen.get["rows"], seen.get["bytes"])
+    return out
+
+
+def _held(df: DataFrame) -> tuple[int, int]:
+    return df.__dict__.get("_symgraph_held") or tuple(df.agg(*_sizes(df)).first())
 
 
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (df should be materialised), else df: a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def rows(df: DataFrame) -> int:
+    """The number of rows of a table that is written."""
+    return _held(df)[0]
+
+
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES, else df: a shuffled join.
+
+    df should be materialised, as it is counted where its size isn't known.
+    """
+    n, size = _held(df)
+    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
