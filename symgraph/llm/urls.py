@@ -41,11 +41,11 @@ def node_of(url: Column) -> Column:
 def ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """rows (host, path and others) with rule and said (allow or block) of the longest rule that fits, else null.
 
-    rules has host, path, verdict; a null or empty table of rules fits nothing. Each host is looked up by its suffixes of
-    whole labels, so the work does not grow with the number of rules.
+    rules has host, path, verdict; a rule with a null in any of them, and an empty table, fit nothing. Of rules of one
+    length allow wins, be they equal or not; repeated rules count once. Each host is looked up by its suffixes of whole
+    labels, so the work does not grow with the number of rules.
     """
-    spark = rows.sparkSession
-    known = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_said"))
+    known = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_said")).dropna().distinct()
     few = known.limit(RULES_IN_PLAN + 1).collect()
     labels = F.split("host", r"\.", -1)
     suffixes = F.when(F.col("host") != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
@@ -55,16 +55,16 @@ def ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
             by.setdefault(r["rule_host"], []).append((len(r["rule_host"] + r["rule_path"]), r["rule_path"], r["rule_said"], r["rule_host"] + r["rule_path"]))
         if not by:
             return rows.withColumn("rule", F.lit(None).cast("string")).withColumn("said", F.lit(None).cast("string"))
-        one = lambda x: F.struct(F.lit(x[0]).alias("n"), F.lit(x[1]).alias("p"), F.lit(x[2]).alias("said"), F.lit(x[3]).alias("rule"))
+        one = lambda x: F.struct(*[F.lit(v).alias(k) for k, v in zip(("n", "p", "said", "rule"), x, strict=True)])
         lookup = F.create_map(*[c for h, xs in sorted(by.items()) for c in (F.lit(h), F.array(*map(one, xs)))])
         hits = F.flatten(F.filter(F.transform(suffixes, lambda s: F.try_element_at(lookup, s)), lambda a: a.isNotNull()))
         fits = F.filter(hits, lambda r: F.startswith(F.col("path"), r["p"]))
-        best = F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), r["rule"].alias("rule"), r["said"].alias("said"))))
+        best = F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), (r["said"] == "allow").alias("allow"), r["rule"].alias("rule"), r["said"].alias("said"))))
         return rows.withColumn("best", best).select(*rows.columns, F.col("best.rule").alias("rule"), F.col("best.said").alias("said"))
     places = rows.select("host", "path").distinct()
     hits = places.select("host", "path", F.explode(suffixes).alias("rule_host")).join(broadcast_if(known, BROADCAST_ROWS), "rule_host").where(F.startswith("path", "rule_path"))
     text = F.concat("rule_host", "rule_path")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), text.alias("rule"), F.col("rule_said").alias("said"))).alias("best"))
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), (F.col("rule_said") == "allow").alias("allow"), text.alias("rule"), F.col("rule_said").alias("said"))).alias("best"))
     return rows.join(best, ["host", "path"], "left").select(*rows.columns, F.col("best.rule").alias("rule"), F.col("best.said").alias("said"))
 
 
