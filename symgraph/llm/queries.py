@@ -24,9 +24,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixity audit of the pages' WARC records against a damaged replica."""
-    pages = table(spark, sf_dir, "pages")
-    return warc.audit(warc.pages_records(pages), warc.damaged(pages))
+    """Fixity audit of the pages as WARC files against a damaged replica's files."""
+    return warc.audit_of_damage(spark, table(spark, sf_dir, "pages"))
 
 
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import random
 from urllib.parse import urlsplit
 
 from symgraph.llm import urls, warc
@@ -41,6 +43,15 @@ def test_many_rules_are_joined_to_the_same_effect(spark, monkeypatch):
     assert sorted(map(str, urls.judge(frame(spark, PAGES), urls.rules_table(spark, RULES)).collect())) == few
 
 
+def test_allow_wins_among_rules_of_one_length(spark, monkeypatch):
+    rules = spark.createDataFrame([("a.com", "/", "block"), ("a.com", "/", "allow"), ("b.com", "/xy", "block"), ("a.b.com", "/", "allow"), ("c.com", "/", "block"), ("c.com", "/", "block"), ("d.com", None, "block"), (None, "/", "block"), ("e.com", "/", None)], "host string, path string, verdict string")
+    pages = frame(spark, [(i, f"http://{u}", None) for i, u in enumerate(("a.com/", "a.b.com/xyz", "c.com/", "d.com/", "e.com/"))])
+    want = {0: ("a.com/", "allow"), 1: ("a.b.com/", "allow"), 2: ("c.com/", "block"), 3: (None, "allow"), 4: (None, "allow")}
+    for most in (2_000, 1):
+        monkeypatch.setattr(urls, "RULES_IN_PLAN", most)
+        assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules).collect()} == want
+
+
 def test_known_redirects_and_empty_tables(spark):
     pages = frame(spark, [(1, "http://a.org/", None), (2, "http://b.org/", None)])
     edges = spark.createDataFrame([("a.org/", "t.co/1"), ("t.co/1", "spam.net/")], "u string, v string")
@@ -55,25 +66,105 @@ def test_plain_hosts_agree_with_urlsplit(spark):
         assert (r.h, r.p) == (urlsplit(r.url).netloc.lower(), urlsplit(r.url).path)
 
 
-def test_audit_finds_each_kind_of_damage(spark):
-    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(1500)] + [(None, None, None), (3, "http://h/3", "again")]
-    good = warc.pages_records(frame(spark, rows))
-    changed = [(i, u, h + "!" if i == 700 else h.replace("<p>", "<q>", 1) if i == 1201 else h) for i, u, h in rows[:1498]] + rows[1500:]
-    got = warc.audit(good, warc.pages_records(frame(spark, changed))).collect()
-    by = {s: [r for r in got if r.status == s] for s in ("ok", "corrupt", "moved", "missing", "extra")}
-    assert len(got) == 1502
-    assert {r.page_id for r in by["corrupt"]} == {700, 1201} and {r.page_id for r in by["missing"]} == {1498, 1499} and not by["extra"]
-    assert {r.page_id for r in by["moved"]} == set(range(701, 1024))
-    assert {r.page_id for r in warc.audit(warc.pages_records(frame(spark, changed)), good).collect() if r.status == "extra"} == {1498, 1499}
-    assert {r.status for r in warc.audit(good, good).collect()} == {"ok"}
-    none = warc.pages_records(frame(spark, []))
-    assert warc.audit(none, none).count() == 0 and {r.status for r in warc.audit(good, none).collect()} == {"missing"}
+def record(i, payload, n=None, name=None):
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <{name or i}>\r\nWARC-Target-URI: http://h/{i}\r\nContent-Length: {len(payload) if n is None else n}\r\n\r\n"
+    return head.encode() + payload + b"\r\n\r\n"
+
+
+def plain_audit(first, second):
+    """Pairs all records of two files by id and occurrence."""
+    def read(records):
+        at, seen, out = 0, {}, {}
+        for i, data in records:
+            seen[i] = seen.get(i, 0) + 1
+            out[i, seen[i]] = (at, data)
+            at += len(data)
+        return out
+    one, two = read(first), read(second)
+    says = lambda a, b: "missing" if b is None else "extra" if a is None else "corrupt" if a[1] != b[1] else "moved" if a[0] != b[0] else "ok"
+    return sorted((f"<{k[0]}>", says(one.get(k), two.get(k))) for k in one | two)
+
+
+def put(path, name, data, packed=False):
+    path.mkdir(exist_ok=True)
+    (path / name).write_bytes(gzip.compress(data) if packed else data)
+
+
+def judged(spark, a, b):
+    return warc.audit(warc.leaves(spark, str(a)), warc.leaves(spark, str(b))).collect()
+
+
+def test_audit_equals_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    good = [(i, record(i, bytes(rng.randrange(256) for _ in range(rng.randrange(90))) + b"\xff\xfe")) for i in range(700)]
+    changes = {
+        "same": lambda r: r,
+        "bytes": lambda r: [(i, d.replace(b"\xff\xfe", b"\xfe\xff") if i == 300 else d) for i, d in r],
+        "lost": lambda r: [x for x in r if x[0] != 5],
+        "lost first": lambda r: r[1:],
+        "added": lambda r: [*r[:77], (9999, record(9999, b"new")), *r[77:]],
+        "swapped": lambda r: [*r[:40], r[41], r[40], *r[42:]],
+        "several": lambda r: [*r[10:200], *[(i, record(i, b"x")) for i in range(200, 260)], *r[261:]],
+        "none": lambda r: [],
+    }
+    for k, change in enumerate(changes.values()):
+        put(tmp_path / "one", f"{k}.warc", b"".join(d for _, d in good), packed=k % 2)
+        put(tmp_path / "two", f"{k}.warc", b"".join(d for _, d in change(good)), packed=not k % 2)
+    put(tmp_path / "two", "only.warc", good[0][1])
+    got = judged(spark, tmp_path / "one", tmp_path / "two")
+    for k, change in enumerate(changes.values()):
+        assert sorted((r.record_id, r.status) for r in got if r.file == f"{k}.warc") == plain_audit(good, change(good))
+    assert [(r.record_id, r.status) for r in got if r.file == "only.warc"] == [("<0>", "extra")]
+    one = {(r.file, r.place): r for r in got if r.status != "extra"}
+    at = 0
+    for i, (_, d) in enumerate(good):
+        r = one["0.warc", i]
+        assert (r.offset, r.length, r.sha256, r.broken) == (at, len(d), hashlib.sha256(d).hexdigest(), False)
+        at += len(d)
+
+
+def test_a_lost_record_leaves_its_neighbours_alone(spark, tmp_path):
+    rows = [(i, record(i, b"%d" % i * 7)) for i in range(100)]
+    put(tmp_path / "one", "a", b"".join(d for _, d in rows))
+    put(tmp_path / "two", "a", b"".join(d for i, d in rows if i != 5))
+    says = {r.record_id: r.status for r in judged(spark, tmp_path / "one", tmp_path / "two")}
+    assert says["<5>"] == "missing" and not {"corrupt", "extra"} & set(says.values()) and all(says[f"<{i}>"] == ("ok" if i < 5 else "moved") for i in range(100) if i != 5)
+
+
+def test_broken_records(spark, tmp_path):
+    rows = [record(i, b"payload %d" % i) for i in range(60)]
+    whole = b"".join(rows)
+    put(tmp_path / "one", "cut", whole)
+    put(tmp_path / "two", "cut", whole[:-9])
+    put(tmp_path / "one", "length", whole)
+    put(tmp_path / "two", "length", b"".join([*rows[:20], record(20, b"payload 20", 9999), *rows[21:]]))
+    put(tmp_path / "one", "head", whole)
+    put(tmp_path / "two", "head", b"".join([*rows[:20], b"GARB" + rows[20][4:], *rows[21:]]))
+    put(tmp_path / "one", "empty", b"")
+    put(tmp_path / "two", "empty", b"")
+    packed = gzip.compress(whole, 0)
+    put(tmp_path / "one", "packed", packed)
+    put(tmp_path / "two", "packed", packed[:-200])
+    got = [(r.file, r.record_id, r.status) for r in judged(spark, tmp_path / "one", tmp_path / "two") if r.status not in ("ok", "moved")]
+    assert ("cut", "<59>", "corrupt") in got and ("length", "<20>", "corrupt") in got and ("head", "<20>", "missing") in got and ("head", None, "extra") in got
+    assert [x for x in got if x[0] in ("cut", "length")] == [("cut", "<59>", "corrupt"), ("length", "<20>", "corrupt")] and ("packed", "<59>", "missing") in got
+    broken = [(r.record_id, r.length) for r in warc.read_warc(spark, str(tmp_path / "two" / "cut")).where("broken").collect()]
+    assert broken == [("<59>", len(rows[59]) - 9)]
+    assert list(warc.records_of(b"no warc at all"))[0][5] and not list(warc.records_of(b""))
 
 
 def test_warc_files_round_trip(spark, tmp_path):
-    rows = [(i, f"http://h/{i}", "line\r\n\r\nnext é " * i) for i in range(30)] + [(40, None, None)]
-    records = warc.pages_records(frame(spark, rows))
-    warc.write_warc(records, str(tmp_path / "w"), 3)
+    rows = [(i, f"http://h/{i}", "line\r\n\r\nnext é " * i) for i in range(30)] + [(40, None, None), (None, "http://n", "x" * 3_000_000), (5000, "http://h/5000", ""), (5000, "http://h/5000", "")]
+    write = lambda df: warc.write_warc(warc.dealt(df), str(tmp_path / "w"))
+    write(warc.pages_records(frame(spark, rows)))
     got = warc.read_warc(spark, str(tmp_path / "w")).collect()
-    assert sorted((r.target, r.payload) for r in got) == sorted((u or "", h or "") for _, u, h in rows)
-    assert sorted(hashlib.sha256(r.record.encode()).hexdigest() for r in got) == sorted(hashlib.sha256(r.record.encode()).hexdigest() for r in records.collect())
+    assert sorted((r.target, bytes(r.payload)) for r in got) == sorted((u or "", (h or "").encode()) for _, u, h in rows) and not any(r.broken for r in got)
+    raw = spark.createDataFrame([(1, "a", bytearray(record(1, b"\xff\xfe\x00"))), (2, "b", None)], "page_id long, record_id string, record binary")
+    warc.write_warc(warc.dealt(raw), str(tmp_path / "raw"))
+    assert [bytes(r.record) for r in warc.read_warc(spark, str(tmp_path / "raw")).collect()] == [record(1, b"\xff\xfe\x00")]
+
+
+def test_audit_of_small_tables(spark):
+    assert warc.audit_of_damage(spark, frame(spark, [])).count() == 0
+    got = warc.audit_of_damage(spark, frame(spark, [(None, None, None), (None, None, None), (1, "u", "h")])).collect()
+    assert len(got) == 3 and {r.status for r in got} <= {"ok", "corrupt"}
