@@ -14,6 +14,7 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,50 +144,47 @@ def edited(text: str, following: str) -> str:
 
 
 def in_order(docs: DataFrame, rows_a_part: int = 1024, most_parts: int = 1 << 16) -> DataFrame:
-    """doc_id, text, part, role, place: rows dealt to parts of neighbouring ids, for a reader of each part in the order of
-    part, role, place descending, text. Role 0 is a part's own row; role 1 the first row of the next part (after the
-    last: of the first), so that each row meets its successor within its part.
+    """doc_id, text, part, role: rows dealt to parts of neighbouring ids, for a reader of each part in the order of part,
+    role, doc_id descending, text. Role 0 is a part's own row; role 1 the first row of the next part (after the last: of
+    the first), so that each row meets its successor within its part.
 
-    Ids are counted in cells of equal width; neighbouring cells are packed to parts of rows_a_part rows or more (one
-    cell can hold more: parts are read as streams). The count and the largest id of at most 16 cells a part go to the
-    driver. Null ids are the smallest.
+    Parts end at quantiles of the ids, so their sizes are even however the ids lie; ids may be any longs. The driver gets
+    one cut and one row a part. Null ids are the smallest. Rows of one id stay in one part, which is read as a stream.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    least, most, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    least, most = least or 0, most or 0
+    least, n = rows.agg(F.min("doc_id"), F.count(F.lit(1))).first()
     parts = max(1, min(most_parts, n // rows_a_part))
-    width = max(1, -(-(most - least + 1) // (16 * parts)))
-    place = F.coalesce("doc_id", F.lit(least - 1))
-    cell = F.expr(f"coalesce((doc_id - {least}L) div {width}L, -1L)")
-    counted = rows.select(cell.alias("cell"), place.alias("place")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("top")).collect()
-    found: list[list] = []  # part, cells, largest place
-    size = 0
-    for r in sorted(counted, key=lambda r: -r["cell"]):
-        if not found or size >= max(rows_a_part, n // parts):
-            found.append([[], r["top"]])
-            size = 0
-        found[-1][0].append(r["cell"])
-        size += r["n"]
-    k = len(found)
-    deal = [(c, i, (i - 1) % k, top) for i, (cells, top) in enumerate(found) for c in cells]
-    dealt = F.broadcast(docs.sparkSession.createDataFrame(deal, "cell long, part int, before int, top long"))  # 16 rows a part at most
-    joined = rows.withColumn("place", place).withColumn("cell", cell).join(dealt, "cell")
-    own, ahead = F.struct(F.col("part").alias("part"), F.lit(0).alias("role")), F.struct(F.col("before").alias("part"), F.lit(1).alias("role"))
-    roles = F.when(F.col("place") == F.col("top"), F.array(own, ahead)).otherwise(F.array(own))
-    return joined.select("doc_id", "text", "place", F.inline(roles))
+    # the distance from the smallest id, as doubles: in the order of the ids, and beyond the range of longs
+    offset = F.coalesce((F.col("doc_id").cast("decimal(20,0)") - F.lit(str(least or 0)).cast("decimal(20,0)")).cast("double"), F.lit(-1.0))
+    cuts = rows.agg(F.percentile_approx(offset, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else []
+    cuts = np.unique(np.array(cuts or [], np.float64))
+
+    @F.pandas_udf("int")
+    def part_of(x: pd.Series) -> pd.Series:
+        return pd.Series((len(cuts) - np.searchsorted(cuts, x.to_numpy(np.float64))).astype(np.int32))
+
+    dealt = rows.withColumn("part", part_of(offset) if len(cuts) else F.lit(0))
+    found = sorted(dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect())
+    before = [(p, found[i - 1][0], top) for i, (p, top) in enumerate(found)]
+    ends = F.broadcast(docs.sparkSession.createDataFrame(before, "part int, before int, top long"))  # a row a part
+    own, ahead = F.struct("part", F.lit(0).alias("role")), F.struct(F.col("before").alias("part"), F.lit(1).alias("role"))
+    roles = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, ahead)).otherwise(F.array(own))
+    return dealt.join(ends, "part").select("doc_id", "text", F.inline(roles))
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
 
-    A row's edited text takes its last half from the next row in descending doc_id (rows of equal doc_id by text; the
-    last row's next is the first; a single row's next is itself). Null texts are empty: their fingerprint is zeros, and
-    two such are alike. Texts are dealt once; a part is read as a stream with a bounded number of rows in memory.
+    A row's edited text takes its last half from the next row in descending doc_id, which may be any long (rows of equal
+    doc_id by text, null ids last; the last row's next is the first; a single row's next is itself). Null texts are empty:
+    their fingerprint is zeros, and two such are alike. An empty table gives an empty result; other columns are not read.
+    Texts are dealt once; a part is read as a stream with a bounded number of rows in memory. A long text is parsed as a
+    whole by one worker, in some 60 bytes a character.
     """
     spark = docs.sparkSession
     rows = in_order(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "part").sortWithinPartitions("part", "role", F.desc("place"), "text").select("doc_id", "text", "part", "role")
+    rows = rows.repartition(n, "part").sortWithinPartitions("part", "role", F.desc_nulls_last("doc_id"), "text").select("doc_id", "text", "part", "role")
 
     def run(batches):
         held = None  # the part's last own row: id, text, part, fingerprint

@@ -97,6 +97,20 @@ def test_compare_equals_brute_force(spark, rows_a_part, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("ids", [[-(2**63), 2**63 - 1, 0, 5, None], [-(2**62) - 5, 2**62 + 7, 3], [*range(3000), 2**60]])
+def test_ids_of_any_size(spark, ids):
+    rows = [(d, f"text of {d} " * 3) for d in ids]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    want = {d: hashlib.sha256(parsing.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest() for i, (d, t) in enumerate(order)}
+    assert {r.doc_id: r.edited_sha256 for r in parsing.compare(frame(spark, rows)).collect()} == want
+
+
+def test_an_outlying_id_leaves_parts_even(spark):
+    ids = [*range(20_000), 2**60, -(2**60)]
+    sizes = parsing.in_order(frame(spark, [(i, "x") for i in ids])).where("role = 0").groupBy("part").count().collect()
+    assert len(sizes) >= 18 and max(r["count"] for r in sizes) < 2_500 and sum(r["count"] for r in sizes) == len(ids)
+
+
 def test_compare_small_tables(spark):
     assert parsing.compare(frame(spark, [])).count() == 0
     (one,) = parsing.compare(frame(spark, [(5, "abcdef")])).collect()
