@@ -21,7 +21,7 @@ from symgraph.session import broadcast_if, materialise
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 69_069_069)
-#: Bytes hashed at a time, and characters compared at a time.
+#: Bytes hashed at a time, and compared at a time.
 CHUNK = 1 << 16
 #: Most rows of a broadcast side: pairs of longs, 32 MB at most; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -123,14 +123,15 @@ def unequal(docs: DataFrame, groups: DataFrame, prime: int = PRIME) -> DataFrame
 
     Only texts that are in a group of several are read again past the scan (a semi-join on the text's own hash). For each
     chunk number the group's smallest and largest chunk are kept, which is combined before the shuffle, so a group with a
-    third of all rows sends one row a task and chunk; they are equal iff all chunks are.
+    third of all rows sends one row a task and chunk; they are equal iff all chunks are. Chunks are cut from the text's
+    bytes, each in time of its own length.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("key", F.xxhash64("text"))
     named = groups.select("print", "n_bytes", F.explode("xs").alias("key")).distinct()
     texts = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).join(broadcast_if(named, BROADCAST_ROWS), ["key", "n_bytes"])
-    last = F.greatest(F.floor((F.length("text") - 1) / CHUNK), F.lit(0))
-    chunks = texts.select("print", "n_bytes", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
-    chunks = chunks.withColumn("part", F.expr(f"substring(text, int(chunk * {CHUNK} + 1), {CHUNK})"))
+    texts = texts.select("print", "n_bytes", F.encode("text", "utf-8").alias("data"))  # by itself, so that it is done once a text
+    chunks = texts.select("print", "n_bytes", "data", F.explode(F.expr(f"sequence(0, int(greatest(n_bytes - 1, 0) div {CHUNK}))")).alias("chunk"))
+    chunks = chunks.withColumn("part", F.expr(f"substring(data, chunk * {CHUNK} + 1, {CHUNK})"))
     ends = chunks.groupBy("print", "n_bytes", "chunk").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     return ends.where("low != high").select("print", "n_bytes").distinct()
 
