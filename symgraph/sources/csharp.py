@@ -16,19 +16,22 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import ids
 from symgraph.plans.schema import FLAGS, PARAMETER
+from symgraph.session import materialise
 
 TOKEN = re.compile(
     r'//[^\n]*|/\*.*?\*/|\#[^\n]*|\$*"""+.*?"""+|(?:\$@|@\$|@)"(?:[^"]|"")*"|\$?"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'|@?[^\W\d]\w*|\d[\w.]*|=>|::|\?\?|\?\.|&&|\|\||[-+*/%=!<>&|^]=|\S', re.S
 )
 MODIFIERS = {"public", "internal", "protected", "private", "static", "abstract", "sealed", "virtual", "override", "async", "readonly", "const", "volatile", "partial", "new", "extern", "unsafe", "required", "file", "ref"}
 TYPES = {"class": "Class", "struct": "Struct", "interface": "Interface", "record": "Record", "enum": "Enum"}
+#: Attributes of types whose first argument is kept as metadata.
+SPOKEN = {"RequireComponent", "AddComponentMenu"}
 KEYWORDS = {
     "if", "else", "for", "foreach", "while", "do", "switch", "case", "default", "return", "new", "throw", "try", "catch", "finally", "using", "lock", "var", "await", "is", "as", "in", "out", "ref", "null", "true", "false", "this", "base", "typeof",
     "nameof", "sizeof", "yield", "break", "continue", "int", "string", "bool", "void", "float", "double", "long", "object", "char", "byte", "decimal", "when", "and", "or", "not", "get", "set", "init", "value", "where", "params", "static", "const", "async", "uint", "short", "ulong", "checked", "unchecked", "stackalloc", "goto", "dynamic",
 }
 ROWS = (
     "file_path string, row string, name string, full_name string, kind string, type_name string, owner string, namespace string, start_line int, end_line int, access string, flags array<string>, return_type string, "
-    f"parameters array<{PARAMETER}>, bases array<string>, attributes array<string>, metadata map<string,string>, qualifier string, line int, column int, call boolean, context string"
+    f"parameters array<{PARAMETER}>, bases array<string>, attributes array<string>, metadata map<string,string>, qualifier string, line int, column int, call boolean, context string, key string, arguments int"
 )
 
 
@@ -103,12 +106,13 @@ class Reader:
     def words(self, i: int, j: int) -> str:
         return re.sub(r"\s*([<>\[\](),.?:]+)\s*", r"\1", " ".join(t.text for t in self.tokens[i:j])).replace(",", ", ")
 
-    def declare(self, kind: str, name: str, owner: str, space: str, first: int, last: int, mods: list[str], **more) -> str:
+    def declare(self, kind: str, name: str, owner: str, space: str, first: int, last: int, mods: list[str], signature: str = "", **more) -> str:
+        """Adds a declaration; returns its key: the full name and, of a method, what tells it from its overloads."""
         full = f"{owner}.{name}" if owner else f"global::{name}"
         vis = {m for m in mods if m in ("public", "internal", "protected", "private")}
         access = {frozenset({"protected", "internal"}): "ProtectedInternal", frozenset({"private", "protected"}): "PrivateProtected"}.get(frozenset(vis), next(iter(vis), "NotApplicable" if kind == "Namespace" else "Private" if owner != space and kind != "Type" else "Internal").capitalize() if vis or kind != "Namespace" else "NotApplicable")
-        self.rows.append({"row": "declaration", "name": name, "full_name": full, "kind": kind, "owner": owner, "namespace": space, "start_line": self.tokens[first].line, "end_line": self.tokens[min(last, len(self.tokens) - 1)].line, "access": access, "flags": sorted({m for m in mods if m in ("static", "abstract", "sealed", "virtual", "override", "async", "readonly", "const", "volatile", "generic")})} | more)
-        return full
+        self.rows.append({"row": "declaration", "name": name, "full_name": full, "key": full + signature, "kind": kind, "owner": owner, "namespace": space, "start_line": self.tokens[first].line, "end_line": self.tokens[min(last, len(self.tokens) - 1)].line, "access": access, "flags": sorted({m for m in mods if m in ("static", "abstract", "sealed", "virtual", "override", "async", "readonly", "const", "volatile", "generic")})} | more)
+        return full + signature
 
     def mention(self, first: int, last: int, source: str, space: str) -> None:
         """Names between two tokens, with the member or type that they are in."""
@@ -119,26 +123,50 @@ class Reader:
             after = self.angles(i + 1)
             call = self.at(after) == "(" and self.at(i - 1) != "new"
             qualifier = self.at(i - 2) if self.at(i - 1) in (".", "?.") and i >= 2 else None
-            self.rows.append({"row": "mention", "name": t.text, "owner": source, "namespace": space, "qualifier": qualifier, "line": t.line, "column": t.column, "call": call, "context": self.lines[t.line].strip()})
+            self.rows.append({"row": "mention", "name": t.text, "owner": source, "namespace": space, "qualifier": qualifier, "line": t.line, "column": t.column, "call": call, "arguments": self.arguments(after) if call else None, "context": self.lines[t.line].strip()})
+
+    def arguments(self, i: int) -> int:
+        """How many arguments are in the brackets that open at i."""
+        stop, depth, k = self.close(i, "(", ")"), 0, i + 1
+        n = int(stop > k)
+        while k < stop:
+            t = self.at(k)
+            if t == "<" and self.at(after := self.angles(k)) in ("(", ")", ",", ".", "[", "{") and after > k:
+                k = after  # type arguments
+                continue
+            depth += (t in ("(", "[", "{")) - (t in (")", "]", "}"))
+            n += t == "," and not depth
+            k += 1
+        return n
 
     def members(self, i: int, end: int, owner: str, space: str, kind: str) -> None:
         while i < end:
             i = self.member(i, end, owner, space, kind)
 
     def member(self, i: int, end: int, owner: str, space: str, kind: str) -> int:
-        first, mods, attributes = i, [], []
+        first, mods, attributes, said = i, [], [], {}
         while self.at(i) == "[":
             j = self.close(i, "[", "]")
-            attributes += [self.at(k) for k in range(i + 1, j) if self.tokens[k].word and self.at(k - 1) in ("[", ",")]
+            for k in range(i + 1, j):
+                if self.tokens[k].word and self.at(k - 1) in ("[", ","):
+                    attributes.append(self.at(k))
+                    if self.at(k) in SPOKEN and self.at(k + 1) == "(":
+                        until = self.ends(k + 2, self.close(k + 1, "(", ")"))[0]
+                        said.setdefault(self.at(k), []).append(re.sub(r'^typeof\((.*)\)$|^@?"(.*)"$', r"\1\2", self.words(k + 2, until)))
             i = j + 1
         while self.at(i) in MODIFIERS:
             mods.append(self.at(i))
             i += 1
+        if kind == "Interface" and not {"public", "internal", "protected", "private"} & {*mods}:
+            mods.append("public")
         t = self.at(i)
         if t in ("using", "extern", "delegate"):
-            while i < end and self.at(i) != ";":
-                i += 1
-            return i + 1
+            j = i
+            while j < end and self.at(j) != ";":
+                j += 1
+            if t == "using" and "=" not in (words := [x.text for x in self.tokens[i + 1 : j]]) and "static" not in words:
+                self.rows.append({"row": "using", "name": "global::" + "".join(words).removeprefix("global::")})
+            return j + 1
         if t == "namespace":
             j = i + 1
             while self.at(j) not in ("{", ";") and j < end:
@@ -150,7 +178,7 @@ class Reader:
             self.members(j + 1, stop, parent, parent, "Namespace")
             return stop + 1
         if t in TYPES and self.tokens[min(i + 1, len(self.tokens) - 1)].word:
-            return self.type_declaration(first, i, end, owner, space, mods, attributes)
+            return self.type_declaration(first, i, end, owner, space, mods, attributes, {k: ",".join(v) for k, v in said.items()})
         if t == "event":
             j = self.type_at(i + 1)
             name, stop = self.at(j), j + 1
@@ -166,7 +194,7 @@ class Reader:
             return i + 1
         return self.plain_member(first, i, end, owner, space, mods, attributes)
 
-    def type_declaration(self, first: int, i: int, end: int, owner: str, space: str, mods: list[str], attributes: list[str]) -> int:
+    def type_declaration(self, first: int, i: int, end: int, owner: str, space: str, mods: list[str], attributes: list[str], said: dict[str, str]) -> int:
         what = TYPES[self.at(i)]
         i += 1 + (self.at(i) == "record" and self.at(i + 1) in ("class", "struct"))
         name, j = self.at(i), self.angles(i + 1)
@@ -187,10 +215,10 @@ class Reader:
         while j < end and self.at(j) not in ("{", ";"):
             j += 1
         stop = self.close(j) if self.at(j) == "{" else j
-        meta = {"TypeKind": what, "Namespace": space.removeprefix("global::")} | ({"BaseType": bases[0]} if bases else {}) | ({"Interfaces": ",".join(bases)} if bases else {})
+        meta = {"TypeKind": what, "Namespace": space.removeprefix("global::")} | ({"BaseType": bases[0]} if bases else {}) | ({"Interfaces": ",".join(bases)} if bases else {}) | said
         full = self.declare("Type", name, owner, space, first, stop, mods + ["generic"] * generic, type_name=what, bases=bases, attributes=attributes, metadata=meta)
         if what != "Enum" and self.at(j) == "{":
-            self.members(j + 1, stop, full, space, "Type")
+            self.members(j + 1, stop, full, space, "Interface" if what == "Interface" else "Type")
         return stop + 1
 
     def parameters(self, i: int, j: int) -> list[dict]:
@@ -248,7 +276,10 @@ class Reader:
             ps = self.parameters(k + 1, close)
             how = "Extension" if ps and ps[0]["is_this"] else "Static" if "static" in mods else "Regular"
             meta = {"MethodKind": how, "ReturnType": of, "ParameterCount": str(len(ps))}
-            full = self.declare("Method", name, owner, space, first, stop, mods + ["generic"] * (k > j + 1), type_name=of, return_type=of, parameters=ps, attributes=attributes, metadata=meta)
+            generic = sum(self.at(n) == "," for n in range(j + 1, k)) + 1 if self.at(k - 1) == ">" else 0
+            ways = [" ".join([w for w in ("ref", "out", "in") if p[f"is_{w}"]] + [p["type_name"]]) for p in ps]
+            signature = f"`{generic}" * (generic > 0) + "(" + ",".join(ways) + ")"
+            full = self.declare("Method", name, owner, space, first, stop, mods + ["generic"] * (k > j + 1), signature, type_name=of, return_type=of, parameters=ps, attributes=attributes, metadata=meta)
             self.mention(close + 1, stop, full, space)
             return stop + 1
         if self.at(k) in ("{", "=>"):
@@ -287,7 +318,9 @@ def read_file(path: str, text: str) -> list[dict]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Rows of all .cs files (file_path, content); a file whose text fails gives none."""
+    """Rows of all .cs files (file_path, content); a file that can't be read gives one, an error.
+
+    Null and empty contents give no rows."""
     names = [c.split(" ")[0] for c in re.split(r", (?![^<]*>)", ROWS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,24 +329,36 @@ def extract(files: DataFrame) -> DataFrame:
             for p, t in zip(pdf["file_path"], pdf["content"], strict=True):
                 try:
                     rows += read_file(p, t or "")
-                except (IndexError, RecursionError):
-                    continue
+                except (IndexError, RecursionError, ValueError) as e:
+                    rows.append({"file_path": p, "row": "error", "name": type(e).__name__, "context": str(e)[:200]})
             yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names).astype(object).where(lambda d: d.notna(), None)
 
     return files.where(F.lower("file_path").endswith(".cs")).select("file_path", "content").mapInPandas(run, ROWS)
 
 
+def errors_of(rows: DataFrame) -> DataFrame:
+    """file_path, error, message of the files that could not be read."""
+    return rows.where("row = 'error'").select("file_path", F.col("name").alias("error"), F.col("context").alias("message"))
+
+
 def symbols_of(rows: DataFrame, identity: str = "qualified") -> DataFrame:
-    """Symbols of declarations (X1 to X13); identity simple names members by their names alone, as one may be used to."""
+    """Symbols of declarations (X1 to X13). Overloads are symbols of their own, told apart by key; a type's parts are one,
+    which has the bases of all. identity simple names members by their names alone, as one may be used to."""
     d = rows.where("row = 'declaration'")
-    full = F.when(F.col("kind").isin("Type", "Namespace"), F.col("full_name")).otherwise(F.col("name") if identity == "simple" else F.col("full_name"))
+    whole = F.col("kind").isin("Type", "Namespace")
+    full = F.when(whole, F.col("full_name")).otherwise(F.col("name") if identity == "simple" else F.col("full_name"))
     flag = lambda f: F.array_contains("flags", f.removeprefix("is_")).alias(f)
     owner = F.when(F.col("owner") != "", ids.node_id(F.col("owner")))
     out = d.select(
-        ids.node_id(full).alias("id"), "name", full.alias("full_name"), "kind", "type_name", F.when(F.col("kind") == "Type", owner).alias("container_id"), F.when(~F.col("kind").isin("Type", "Namespace"), owner).alias("declaring_type_id"), "file_path", "start_line", "end_line",
-        F.lit(True).alias("is_definition"), "access", *[flag(f) for f in FLAGS], "return_type", "parameters", "metadata", "bases", "attributes", "owner", "namespace",
+        ids.node_id(full if identity == "simple" else F.col("key")).alias("id"), "name", full.alias("full_name"), "kind", "type_name", F.when(F.col("kind") == "Type", owner).alias("container_id"), F.when(~whole, owner).alias("declaring_type_id"), "file_path", "start_line", "end_line",
+        F.lit(True).alias("is_definition"), "access", *[flag(f) for f in FLAGS], "return_type", "parameters", "metadata", "bases", "attributes", "owner", "namespace", "key",
     )
-    return out.dropDuplicates(["id"]) if identity == "simple" else out.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("file_path", "start_line"))).where("_n = 1").drop("_n")
+    if identity == "simple":
+        return out.dropDuplicates(["id"])
+    same = Window.partitionBy("id")
+    every = F.array_distinct(F.flatten(F.collect_list("bases").over(same)))
+    out = out.withColumn("bases", F.when(F.col("kind") == "Type", every)).withColumn("_n", F.row_number().over(same.orderBy("file_path", "start_line")))
+    return out.where("_n = 1").drop("_n")
 
 
 def nodes_of(symbols: DataFrame) -> DataFrame:
@@ -326,26 +371,32 @@ def resolve(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """target_id, source_id, kind, line and place of each mention that is understood.
 
     In this order: a member of the type of the mention's qualifier, a member of the same type or of a base, a name of the
-    same namespace, the only symbol of that name. Calls go to methods; other mentions of methods are left out. Each
-    mention is joined to the declarations of its name.
+    same namespace, the only symbol of that name. Calls go to methods, of overloads to one that takes as many arguments
+    (the first by its key; argument types are not looked at); other mentions of methods are left out. Each mention is
+    joined to the declarations of its name.
     """
     m = rows.where("row = 'mention'").withColumn("mention", F.xxhash64("file_path", "line", "column", "owner"))
-    s = symbols.where("kind != 'Namespace'").select(F.col("id").alias("target_id"), "name", F.col("kind").alias("target_kind"), F.col("owner").alias("home"), F.col("namespace").alias("target_space"), F.col("full_name").alias("target_name"))
+    s = symbols.where("kind != 'Namespace'").select(F.col("id").alias("target_id"), "name", F.col("kind").alias("target_kind"), F.col("owner").alias("home"), F.col("namespace").alias("target_space"), F.col("full_name").alias("target_name"), F.col("key").alias("target_key"), "parameters")
     types = symbols.where("kind = 'Type'").select(F.col("name").alias("type"), F.explode_outer("bases").alias("base")).distinct()
     last = lambda c: F.element_at(F.split(c, r"\."), -1)
     held = symbols.where("kind in ('Property', 'Field')").select(F.col("owner").alias("h_owner"), F.col("name").alias("h_name"), F.regexp_extract("type_name", r"^(?:.*\.)?(\w+)", 1).alias("h_type")).dropDuplicates(["h_owner", "h_name"])
     owner_type = F.when(F.col("o.kind") == "Type", F.col("o.full_name")).otherwise(F.col("o.owner"))
-    o = symbols.select("full_name", "kind", "owner")
-    m = m.alias("m").join(o.alias("o"), F.col("m.owner") == F.col("o.full_name")).select("m.mention", "m.name", "m.qualifier", "m.file_path", "m.line", "m.column", "m.call", "m.context", F.col("m.namespace").alias("space"), F.col("m.owner").alias("source"), owner_type.alias("in_type"))
+    o = symbols.select("full_name", "kind", "owner", "key")
+    m = m.alias("m").join(o.alias("o"), F.col("m.owner") == F.col("o.key")).select("m.mention", "m.name", "m.qualifier", "m.file_path", "m.line", "m.column", "m.call", "m.arguments", "m.context", F.col("m.namespace").alias("space"), F.col("m.owner").alias("source"), owner_type.alias("in_type"))
     m = m.join(held, (F.col("in_type") == F.col("h_owner")) & (F.col("qualifier") == F.col("h_name")), "left").drop("h_owner", "h_name")
     found = m.join(s, "name").where((F.col("target_kind") == "Method") == F.col("call"))
     found = found.join(types, (last(F.col("in_type")) == F.col("type")) & (last(F.col("home")) == F.col("base")), "left")
     own = F.col("home") == F.col("in_type")
     rank = F.when(F.coalesce(last(F.col("home")) == F.coalesce("h_type", "qualifier"), F.lit(False)), 0).when(F.col("qualifier").isNull() | (F.col("qualifier") == "this"), F.when(own, 1).when(F.col("base").isNotNull(), 2).when(F.col("target_kind") == "Type", F.when(F.col("target_space") == F.col("space"), 3).otherwise(4)).otherwise(6)).when(F.col("target_kind") == "Type", 4).otherwise(5)
     found = found.withColumn("rank", rank)
+    n = F.size("parameters")
+    least = F.size(F.filter("parameters", lambda p: ~p["has_default"] & ~p["is_params"] & ~p["is_this"]))
+    fits = F.coalesce(F.col("arguments").between(least, F.when(F.exists("parameters", lambda p: p["is_params"]), F.lit(1 << 30)).otherwise(n)), F.lit(False))
+    found = found.withColumn("fits", fits).withColumn("exact", F.coalesce(n == F.col("arguments"), F.lit(False)))
     w = Window.partitionBy("mention")
-    best = found.withColumn("least", F.min("rank").over(w)).where("rank = least").withColumn("n", F.count(F.lit(1)).over(w))
-    return best.where("(rank < 5 or (n = 1 and rank = 5)) and (n = 1 or rank < 4)").withColumn("_p", F.row_number().over(w.orderBy("target_name"))).where("_p = 1").select(
+    best = found.withColumn("least", F.min("rank").over(w)).where("rank = least").withColumn("n", F.size(F.collect_set("target_name").over(w)))
+    order = w.orderBy(F.desc("fits"), F.desc("exact"), "target_name", "target_key")
+    return best.where("(rank < 5 or (n = 1 and rank = 5)) and (n = 1 or rank < 4)").withColumn("_p", F.row_number().over(order)).where("_p = 1").select(
         "target_id", ids.node_id(F.col("source")).alias("source_id"), F.when(F.col("target_kind") == "Method", "Call").when(F.col("target_kind") == "Type", "Type").otherwise("Read").alias("kind"), "file_path", "line", "column", "context"
     )
 
@@ -356,38 +407,63 @@ def refs_of(resolved: DataFrame) -> DataFrame:
     return rows.unionByName(rows.where("kind = 'Call'"))
 
 
-def edges_of(symbols: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Declares, Inherits, Implements (of all interfaces), Overrides, Calls among the repository's symbols."""
+def bases_of(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """source_id, target_id, base_kind: each base that a type names and the type of the repository that it means.
+
+    Of several types of that name, in this order: one whose full name ends with the name as it is written with its
+    qualifier; one in the outer types, the namespace, or an enclosing one (the nearest); one of a namespace that the file
+    uses; one without a namespace. A name that is left counts if only one type has it.
+    """
+    types = symbols.where("kind = 'Type'")
+    plain = F.regexp_replace(F.regexp_replace("written", r"<.*", ""), r"^global::", "")
+    asked = types.select(F.col("id").alias("source_id"), F.col("full_name").alias("of"), "namespace", "file_path", F.explode("bases").alias("written")).withColumn("written", plain)
+    asked = asked.withColumn("base", F.regexp_extract("written", r"(\w+)$", 1))
+    target = types.select(F.col("id").alias("target_id"), F.col("name").alias("base"), F.col("type_name").alias("base_kind"), F.col("full_name").alias("target_name"), F.col("owner").alias("home"))
+    used = rows.where("row = 'using'").select(F.col("file_path").alias("in_file"), F.col("name").alias("space"), F.lit(True).alias("used")).distinct()
+    hits = asked.join(target, "base").where("source_id != target_id").join(used, F.expr("file_path = in_file and home = space"), "left")
+    near = F.when(F.contains("written", F.lit(".")), F.when(F.endswith("target_name", F.concat(F.lit("."), F.col("written"))) | F.endswith("target_name", F.concat(F.lit("::"), F.col("written"))), 0))
+    near = F.coalesce(near, F.when(F.startswith("of", F.concat("home", F.lit("."))), 1).when(F.col("used"), 2).when(F.col("home") == "", 3).otherwise(5))
+    w = Window.partitionBy("source_id", "written")
+    order = w.orderBy("near", F.desc(F.length("home")), "target_id")
+    best = hits.withColumn("near", near).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("_p", F.row_number().over(order)).where("_p = 1 and (near < 5 or n = 1)")
+    return best.select("source_id", "target_id", "base_kind")
+
+
+def edges_of(symbols: DataFrame, resolved: DataFrame, rows: DataFrame) -> DataFrame:
+    """Declares, Inherits, Implements (of all interfaces), Overrides, Calls among the repository's symbols.
+
+    An override goes to the nearest base's method of its name with the same parameter types, else with as many parameters,
+    as type arguments may be written for type parameters.
+    """
     from symgraph.operators.graph import bfs
 
-    types = symbols.where("kind = 'Type'").select("id", "name", "type_name", "bases")
-    target = types.select(F.col("id").alias("target_id"), F.col("name").alias("base"), F.col("type_name").alias("base_kind")).withColumn("_n", F.row_number().over(Window.partitionBy("base").orderBy("target_id"))).where("_n = 1")
-    direct = types.select(F.col("id").alias("source_id"), F.col("type_name"), F.explode("bases").alias("base")).withColumn("base", F.regexp_extract("base", r"^(?:.*\.)?(\w+)", 1)).join(target, "base")
-    up = direct.select("source_id", "target_id", F.lit("Up").alias("kind"))
+    types = symbols.where("kind = 'Type'").select("id", "type_name")
+    direct = materialise(bases_of(rows, symbols), "bases")
     inherits = direct.where("base_kind != 'Interface'").select("source_id", "target_id", F.lit("Inherits").alias("kind"))
-    every = bfs(up, types.select(F.col("id").alias("seed")), 3, "out")  # interfaces of bases, up to three steps
+    every = bfs(direct.select("source_id", "target_id", F.lit("Up").alias("kind")), direct.select(F.col("source_id").alias("seed")), None, "out").where("node != seed")
     implements = every.join(types.where("type_name = 'Interface'"), F.col("node") == F.col("id"), "left_semi").select(F.col("seed").alias("source_id"), F.col("node").alias("target_id"), F.lit("Implements").alias("kind"))
     declares = symbols.where("kind in ('Method', 'Property', 'Field')").select(F.col("declaring_type_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("Declares").alias("kind"))
-    methods = symbols.where("kind = 'Method'").select("id", "name", "declaring_type_id", "is_override")
+    methods = symbols.where("kind = 'Method'").select("id", "name", "declaring_type_id", "is_override", F.size("parameters").alias("n"), F.regexp_extract("key", r"(\(.*)$", 1).alias("signature"))
     base = every.select(F.col("seed").alias("declaring_type_id"), F.col("node").alias("base_id"), "depth")
-    over = methods.where("is_override").join(base, "declaring_type_id").join(methods.select(F.col("id").alias("target_id"), "name", F.col("declaring_type_id").alias("base_id")), ["name", "base_id"])
-    over = over.groupBy(F.col("id").alias("source_id")).agg(F.min_by("target_id", "depth").alias("target_id")).withColumn("kind", F.lit("Overrides"))
+    above = methods.select(F.col("id").alias("target_id"), "name", "n", F.col("declaring_type_id").alias("base_id"), F.col("signature").alias("other"))
+    over = methods.where("is_override").join(base, "declaring_type_id").join(above, ["name", "n", "base_id"])
+    over = over.groupBy(F.col("id").alias("source_id")).agg(F.min_by("target_id", F.struct((F.col("signature") != F.col("other")).alias("unlike"), "depth", "target_id")).alias("target_id")).withColumn("kind", F.lit("Overrides"))
     calls = resolved.where("kind = 'Call'").select("source_id", "target_id", F.lit("Calls").alias("kind"))
-    rows = declares.unionByName(inherits).unionByName(implements).unionByName(over.select("source_id", "target_id", "kind")).unionByName(calls).distinct()
-    return rows.select(ids.edge_id(F.col("source_id"), F.col("target_id"), F.col("kind")).alias("id"), "source_id", "target_id", "kind", F.lit(1.0).alias("weight"))
+    found = declares.unionByName(inherits).unionByName(implements).unionByName(over.select("source_id", "target_id", "kind")).unionByName(calls).distinct()
+    return found.select(ids.edge_id(F.col("source_id"), F.col("target_id"), F.col("kind")).alias("id"), "source_id", "target_id", "kind", F.lit(1.0).alias("weight"))
 
 
 def design_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Contains (namespace to type), Uses (symbol to the type of its attribute) and Implements (method to the method
-    of an interface that its type implements)."""
+    of an interface that its type implements, with as many parameters)."""
     spaces = symbols.where("kind = 'Namespace'").select(F.col("id").alias("container_id"))
     contains = symbols.where("kind = 'Type'").join(spaces, "container_id").select(F.col("container_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("Contains").alias("kind"))
     types = symbols.where("kind = 'Type'").select(F.regexp_replace("name", "Attribute$", "").alias("attribute"), F.col("id").alias("target_id"))
     named = symbols.select(F.col("id").alias("source_id"), F.explode("attributes").alias("attribute")).withColumn("attribute", F.regexp_replace("attribute", "Attribute$", ""))
     uses = named.join(types, "attribute").select("source_id", "target_id", F.lit("Uses").alias("kind"))
-    methods = symbols.where("kind = 'Method'").select("id", "name", "declaring_type_id")
+    methods = symbols.where("kind = 'Method'").select("id", "name", "declaring_type_id", F.size("parameters").alias("n"))
     of = edges.where("kind = 'Implements'").select(F.col("source_id").alias("declaring_type_id"), F.col("target_id").alias("interface_id"))
-    asked = methods.select(F.col("id").alias("target_id"), "name", F.col("declaring_type_id").alias("interface_id"))
-    implements = methods.join(of, "declaring_type_id").join(asked, ["name", "interface_id"]).select(F.col("id").alias("source_id"), "target_id", F.lit("Implements").alias("kind"))
+    asked = methods.select(F.col("id").alias("target_id"), "name", "n", F.col("declaring_type_id").alias("interface_id"))
+    implements = methods.join(of, "declaring_type_id").join(asked, ["name", "n", "interface_id"]).select(F.col("id").alias("source_id"), "target_id", F.lit("Implements").alias("kind"))
     rows = contains.unionByName(uses).unionByName(implements).distinct()
     return rows.select(ids.edge_id(F.col("source_id"), F.col("target_id"), F.col("kind")).alias("id"), "source_id", "target_id", "kind", F.lit(1.0).alias("weight"))

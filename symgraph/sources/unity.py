@@ -9,10 +9,10 @@ from symgraph.functions import ids
 from symgraph.functions.text import stem
 
 # Methods that the engine calls, and base types with their node kinds.
-LIFECYCLE = (
-    "Awake Start Update FixedUpdate LateUpdate OnEnable OnDisable OnDestroy OnCollisionEnter OnCollisionExit OnCollisionStay OnTriggerEnter OnTriggerExit OnTriggerStay OnMouseDown OnMouseUp OnMouseDrag OnGUI OnApplicationQuit "
-    "OnApplicationPause OnApplicationFocus"
-).split()
+LIFECYCLE = [
+    "Awake", "Start", "Update", "FixedUpdate", "LateUpdate", "OnEnable", "OnDisable", "OnDestroy", "OnCollisionEnter", "OnCollisionExit", "OnCollisionStay", "OnTriggerEnter", "OnTriggerExit", "OnTriggerStay", "OnMouseDown", "OnMouseUp", "OnMouseDrag",
+    "OnGUI", "OnApplicationQuit", "OnApplicationPause", "OnApplicationFocus",
+]
 BASES = {"MonoBehaviour": "MonoBehaviour", "ScriptableObject": "ScriptableObject", "Editor": "Editor", "EditorWindow": "Editor"}
 NODE = ["id", "full_name", "label", "kind"]
 
@@ -141,10 +141,35 @@ def serialised(attributes: Column, access: Column) -> Column:
 
 
 def types(symbols: DataFrame) -> DataFrame:
-    """Id, name, unity_kind, fields and lifecycle methods of types with a Unity base."""
+    """Id, name, unity_kind, fields and lifecycle methods of types with a Unity base, the components that they
+    require, and their menu."""
     base = F.filter(F.transform("bases", lambda b: F.try_element_at(F.create_map(*[x for k, v in BASES.items() for x in (F.lit(k), F.lit(v))]), F.regexp_extract(b, r"(\w+)$", 1))), lambda b: b.isNotNull())
-    rows = symbols.where("kind = 'Type'").select("id", "name", "full_name", F.get(base, 0).alias("unity_kind"), "attributes").where("unity_kind is not null")
+    rows = symbols.where("kind = 'Type'").select("id", "name", "full_name", F.get(base, 0).alias("unity_kind"), "attributes", F.try_element_at("metadata", F.lit("RequireComponent")).alias("required"), F.try_element_at("metadata", F.lit("AddComponentMenu")).alias("component_menu")).where("unity_kind is not null")
     kept = symbols.where("kind = 'Field'").where(serialised(F.col("attributes"), F.col("access"))).groupBy("declaring_type_id").agg(F.array_sort(F.collect_list("name")).alias("serialised"))
     life = symbols.where(F.col("kind") == "Method").where(F.col("name").isin(LIFECYCLE)).groupBy("declaring_type_id").agg(F.array_sort(F.collect_list("name")).alias("lifecycle"))
     rows = rows.join(kept, F.col("id") == kept["declaring_type_id"], "left").drop("declaring_type_id").join(life, F.col("id") == life["declaring_type_id"], "left").drop("declaring_type_id")
-    return rows.withColumn("requires_component", F.coalesce(F.array_contains("attributes", "RequireComponent"), F.lit(False)))
+    required = F.when(F.col("required").isNull(), F.array().cast("array<string>")).otherwise(F.split("required", ","))
+    return rows.withColumn("requires_component", F.coalesce(F.array_contains("attributes", "RequireComponent"), F.lit(False))).withColumn("required", required)
+
+
+def project_graph(files: DataFrame, symbols: DataFrame, guids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one Unity project: assemblies, scenes, prefabs and addressables; each id once, with what is
+    found first in this order. guids has guid and name of scripts, as their .meta files say; a script is the smallest type
+    of its name. Files of repositories that are no Unity projects give nothing."""
+    own = files.join(is_project(files).where("unity").select("repository"), "repository", "left_semi")
+    scripts = symbols.where("kind = 'Type'").groupBy("name").agg(F.min("id").alias("id"))
+    known = guids.join(scripts, "name").select("guid", "id").distinct()
+    parts = [assembly_graph(assemblies(own)), scene_graph(documents(own.where("file_path like '%.unity'")), known), prefab_graph(documents(own.where("file_path like '%.prefab'")), known), addressable_graph(addressables(own), scripts)]
+    nodes, edges = None, None
+    for i, (n, e) in enumerate(parts):
+        n = n.select(*NODE, F.lit(i).alias("part"))
+        nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
+    nodes = nodes.groupBy("id").agg(F.min(F.struct("part", "full_name", "label", "kind")).alias("n")).select("id", "n.full_name", "n.label", "n.kind")
+    edges = edges.distinct().withColumn("id", ids.edge_id(F.col("source_id"), F.col("target_id"), F.col("kind")))
+    return nodes, edges.select("id", "source_id", "target_id", "kind", F.lit(1.0).alias("weight"))
+
+
+def script_guids(files: DataFrame) -> DataFrame:
+    """guid, name of scripts, from their .cs.meta files."""
+    metas = files.where("file_path like '%.cs.meta'")
+    return metas.select(F.regexp_extract("content", r"(?m)^guid:\s*(\w+)", 1).alias("guid"), F.regexp_extract("file_path", r"([^/\\]*?)\.cs\.meta$", 1).alias("name")).where("guid != ''")

@@ -44,7 +44,7 @@ def test_extractor_golden_counts(extracted):
     rows, s, found = extracted
     assert {r.kind: r["count"] for r in s.groupBy("kind").count().collect()} == {"Namespace": 1, "Type": 5, "Property": 6, "Method": 6}
     assert csharp.nodes_of(s).count() == 17
-    e = csharp.edges_of(s, found)
+    e = csharp.edges_of(s, found, rows)
     assert {r.kind: r["count"] for r in e.groupBy("kind").count().collect()} == {"Declares": 12, "Implements": 1, "Calls": 2}
     name = {r.id: r.full_name for r in s.collect()}
     calls = {(name[r.source_id], name[r.target_id]) for r in e.where("kind = 'Calls'").collect()}
@@ -109,10 +109,49 @@ namespace A.B
     assert got["Field", "Node.Max"].metadata["ConstantValue"] == "3" and got["Field", "Node.map"].is_sealed
     found = csharp.resolve(rows, s)
     name = {r.id: r.full_name.removeprefix("global::A.B.") for r in s.collect()}
-    e = {(name[r.source_id], r.kind, name[r.target_id]) for r in csharp.edges_of(s, found).collect()}
+    e = {(name[r.source_id], r.kind, name[r.target_id]) for r in csharp.edges_of(s, found, rows).collect()}
     assert {("Node", "Calls", "Node.Helper"), ("Node.Load", "Calls", "Node.Helper"), ("Derived", "Inherits", "Base"), ("Derived.Go", "Overrides", "Base.Go"), ("Node", "Inherits", "Base"), ("Node", "Implements", "IThing")} <= e
 
 
+def linked(spark, **texts):
+    rows = csharp.extract(spark.createDataFrame(sorted(texts.items()), "file_path string, content string").withColumn("file_path", F.concat("file_path", F.lit(".cs")))).cache()
+    s = csharp.symbols_of(rows).cache()
+    key = {r.id: r.key.removeprefix("global::") for r in s.collect()}
+    return s, {(key[r.source_id], r.kind, key[r.target_id]) for r in csharp.edges_of(s, csharp.resolve(rows, s), rows).where("kind != 'Declares'").collect()}
+
+
+def test_interfaces_and_overrides_at_any_depth(spark):
+    _, e = linked(spark, a="interface I0 {} interface I1 : I0 {} interface I2 : I1 {} interface I3 : I2 {} interface I4 : I3 {} class C : I4 {} class D : C {} class B0 { public virtual void Go(int x) {} } class B1 : B0 {} class B2 : B1 {} class B3 : B2 {} class B4 : B3 {} class B5 : B4 { public override void Go(int y) {} }")
+    assert {t for s, k, t in e if s == "C" and k == "Implements"} == {f"I{i}" for i in range(5)} == {t for s, k, t in e if s == "D" and k == "Implements"}
+    assert {x for x in e if x[1] == "Overrides"} == {("B5.Go(int)", "Overrides", "B0.Go(int)")}
+
+
+def test_overloads_are_symbols_of_their_own(spark):
+    s, e = linked(spark, a="""namespace N; class A {
+  public virtual void F() { F(1); }
+  public virtual void F(int x) { F("a", Max<int, long>(x, 2), 3); }
+  public void F(string s, params int[] rest) { }
+  public int Max<T, U>(T a, U b) => F2(a < b, c > d);
+  void F2(bool a, bool b = true) {}
+}
+class B : A { public override void F(int y) { this.F2(true); } public override void F() {} }""")
+    assert sorted(r.key for r in s.where("name = 'F'").collect()) == [f"global::N.{x}" for x in ("A.F()", "A.F(int)", "A.F(string,int [ ])", "B.F()", "B.F(int)")]
+    assert s.where("kind = 'Method'").select("id").distinct().count() == 7
+    assert {x for x in e if x[1] == "Calls"} == {("N.A.F()", "Calls", "N.A.F(int)"), ("N.A.F(int)", "Calls", "N.A.F(string,int [ ])"), ("N.A.F(int)", "Calls", "N.A.Max`2(T,U)"), ("N.A.Max`2(T,U)", "Calls", "N.A.F2(bool,bool)"), ("N.B.F(int)", "Calls", "N.A.F2(bool,bool)")}
+    assert {x for x in e if x[1] == "Overrides"} == {("N.B.F(int)", "Overrides", "N.A.F(int)"), ("N.B.F()", "Overrides", "N.A.F()")}
+
+
+def test_bases_are_found_by_namespace(spark):
+    _, e = linked(spark, a="namespace A { class Base {} class One : Base {} }", b="namespace B { class Base {} namespace In { class Two : Base {} class Three : A.Base {} } }", c="using B; namespace C; class Four : Base {}", d="namespace D; class Five : Base {} class Six : Only {}", f="namespace F; class Only {} partial class P {}", g="namespace F; partial class P : Only {}")
+    assert {x for x in e if x[1] == "Inherits"} == {("A.One", "Inherits", "A.Base"), ("B.In.Two", "Inherits", "B.Base"), ("B.In.Three", "Inherits", "A.Base"), ("C.Four", "Inherits", "B.Base"), ("D.Six", "Inherits", "F.Only"), ("F.P", "Inherits", "F.Only")}
+
+
+def test_a_file_that_cannot_be_read_leaves_a_row(spark):
+    deep = "class A { int x = " + "(" * 5000 + "1" + ")" * 5000 + "; } " + "namespace N { " * 3000
+    rows = csharp.extract(spark.createDataFrame([("deep.cs", deep), ("ok.cs", "class B {}")], "file_path string, content string"))
+    assert [r.file_path for r in csharp.errors_of(rows).collect()] == ["deep.cs"] and [r.name for r in csharp.symbols_of(rows).collect()] == ["B"]
+
+
 def test_scan_projects_and_changes(spark, tmp_path):
     for path, body in {**GAME, "src/TestProject.csproj": "<Project><PropertyGroup><TargetFramework>net9.0</TargetFramework></PropertyGroup></Project>", "a.sln": 'Project("{X}") = "T", "src\\TestProject.csproj", "{Y}"\nEndProject\n', "src/bin/x.cs": "x", "src/Combine.cs": "class Combine {}", "readme.md": "x"}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
@@ -235,7 +274,7 @@ def test_extract_stream_progress_and_queue(spark, tmp_path):
 
 
 def test_design_edges(spark, extracted):
-    _, s, found = extracted
+    rows, s, found = extracted
     name = {r.id: r.full_name.removeprefix("global::TestGame") for r in s.collect()}
-    got = {(name[r.source_id], r.kind, name[r.target_id]) for r in csharp.design_edges(s, csharp.edges_of(s, found)).collect()}
+    got = {(name[r.source_id], r.kind, name[r.target_id]) for r in csharp.design_edges(s, csharp.edges_of(s, found, rows)).collect()}
     assert ("", "Contains", ".Enemy") in got and (".Enemy.TakeDamage", "Implements", ".IDamageable.TakeDamage") in got
