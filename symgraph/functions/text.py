@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that questions are stripped of.
-STOP_WORDS = "the a an is are was how what does do in to for of and or not this that why when where which".split()
+STOP_WORDS = ["the", "a", "an", "is", "are", "was", "how", "what", "does", "do", "in", "to", "for", "of", "and", "or", "not", "this", "that", "why", "when", "where", "which"]
 #: The shorter list of the context builder.
 CONTEXT_STOP_WORDS = STOP_WORDS[:19]
 

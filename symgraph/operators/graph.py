@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.session import materialise
+from symgraph.session import materialise, rows
 
 
 def oriented(edges: DataFrame, direction: str = "out", kinds: tuple[str, ...] = ()) -> DataFrame:
     """src, dst in the direction of travel: out, in or both."""
-    rows = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
-    out = rows.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    some = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
+    out = some.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
     back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
 
@@ -20,8 +20,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, direct
     """seed, node, depth, parent: what each seed reaches, by the least number of steps.
 
     A seed is not marked as reached, so it is in its own result if a cycle leads back to it; it is expanded once. With
-    nodes (id), others are neither reported nor expanded. A cap stops a seed's search once it has so many nodes. Up to
-    3 levels stay one lazy plan; beyond it each level is written, and an empty one ends the search, so cycles do.
+    nodes (id), others are neither reported nor expanded. A cap stops a seed's search once it has so many nodes. Each level
+    but the last is written, so plans grow by a join a level, and an empty one ends the search, so cycles do; beyond 3
+    levels the edges are written once, too.
     """
     step = oriented(edges, direction, kinds)
     if nodes is not None:
@@ -36,9 +37,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, direct
         reached = frontier.join(step, frontier["at"] == step["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.min("at").alias("parent"))
         fresh = reached if found is None else reached.join(found.select("seed", "node"), ["seed", "node"], "left_anti")
         fresh = fresh.select("seed", "node", F.lit(depth).alias("depth"), "parent")
-        if long:
-            fresh = materialise(fresh, "bfs-level")
-            if fresh.isEmpty():
+        if depth != max_depth:
+            fresh = materialise(fresh, "bfs-level", True)
+            if not rows(fresh):
                 break
         found = fresh if found is None else found.unionByName(fresh)
         frontier = fresh.where("node != seed").select("seed", F.col("node").alias("at"))
@@ -125,19 +126,33 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 4, direct
     for _ in range(max_depth):
         ahead = level.join(step, level["node"] == step["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.min("path").alias("before"))
         level = ahead.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.concat("before", F.array("node")).alias("path"))
+        level = materialise(level, "paths", True)
+        if not rows(level):
+            break
         seen = seen.unionByName(level)
     return seen.join(pairs.select("seed", F.col("target").alias("node")), ["seed", "node"]).select("seed", F.col("node").alias("target"), (F.size("path") - 1).alias("depth"), "path")
 
 
 def all_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 3, max_paths: int = 100, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """seed, target, path of simple paths, shortest first, at most max_paths a pair."""
+    """seed, target, path of simple paths, shortest first, at most max_paths a pair.
+
+    A path is only carried on to nodes from which a target can be reached in the steps that are left."""
     step = oriented(edges, "out", kinds)
+    near = front = pairs.select(F.col("target").alias("node")).distinct().withColumn("steps", F.lit(0))
+    for i in range(1, max_depth):
+        front = step.join(front, F.col("dst") == front["node"]).select(F.col("src").alias("node")).distinct().join(near, "node", "left_anti").withColumn("steps", F.lit(i))
+        front = materialise(front, "path-ends", True)
+        if not rows(front):
+            break
+        near = near.unionByName(front)
     level = pairs.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.array("seed").alias("path"))
     out = None
-    for _ in range(max_depth):
-        level = level.join(step, level["node"] == step["src"]).where(~F.array_contains("path", F.col("dst"))).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+    for i in range(max_depth):
+        ahead = step.join(near.where(F.col("steps") < max_depth - i), F.col("dst") == near["node"]).select("src", "dst")
+        level = level.join(ahead, level["node"] == ahead["src"]).where(~F.array_contains("path", F.col("dst"))).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        level = materialise(level, "paths") if i < max_depth - 1 else level
         out = level if out is None else out.unionByName(level)
-    hits = out.join(pairs.select("seed", F.col("target").alias("node")), ["seed", "node"])
+    hits = out.join(pairs.select("seed", F.col("target").alias("node")).distinct(), ["seed", "node"])
     place = F.row_number().over(Window.partitionBy("seed", "node").orderBy(F.size("path"), "path"))
     return hits.withColumn("_place", place).where(F.col("_place") <= max_paths).select("seed", F.col("node").alias("target"), "path")
 

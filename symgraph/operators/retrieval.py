@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from symgraph.functions import ids
 from symgraph.functions.text import CONTEXT_STOP_WORDS, chunk_tokens, cosine, dot, euclidean, prompt_tokens, terms
 from symgraph.operators import graph, search, tables
-from symgraph.session import broadcast_if, materialise
+from symgraph.session import materialise
 
 
 def asked_terms(questions: DataFrame, stop: list[str] | None = None) -> DataFrame:
@@ -49,6 +49,7 @@ def prompts(found: DataFrame, symbols: DataFrame, relations: DataFrame, most_sym
     text = F.concat(F.lit("- "), "from_name", F.lit(" → "), "to_name", F.lit(": "), "kind", F.lit("\n"))
     lines = links.groupBy("question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"]), "").alias("relations"))
     rows = found.select("question").distinct().join(blocks, "question", "left").join(lines, "question", "left").fillna("", ["symbols", "relations"])
+    # The prompt's wording.
     prompt = F.concat(
         F.lit("You are a C# code expert. Answer based on the following code context.\n\nQuestion: "), "question", F.lit("\n\n## Relevant Code Symbols\n"), "symbols", F.lit("## Code Relationships\n"), "relations",
         F.lit("\nProvide a comprehensive answer explaining how the code works.\n"),
@@ -84,6 +85,22 @@ def context_summary(questions: DataFrame, chosen: DataFrame, links: DataFrame) -
     return rows.select("question", "symbols", "relations", "tokens", "confidence", (F.col("confidence") > 0.65).alias("sufficient"))
 
 
+def context_prompts(questions: DataFrame, chosen: DataFrame, links: DataFrame, symbols: DataFrame, most_relations: int = 20) -> DataFrame:
+    """Question, prompt of a context (chosen and links as context() gives them); parts without rows are left out."""
+    gathered = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("line").alias("t")))), lambda x: x["t"]), "")
+    named = chosen.join(symbols.select("id", "full_name", "kind", "file_path", "start_line", "return_type"), "id")
+    # The prompt's wording.
+    line = F.concat(F.lit("- **"), "full_name", F.lit("** ("), "kind", F.lit(")\n  File: "), F.coalesce("file_path", F.lit("")), F.lit(":"), F.coalesce("start_line", F.lit(0)).cast("string"), F.coalesce(F.concat(F.lit("\n  Returns: "), "return_type"), F.lit("")), F.lit("\n\n"))
+    one = named.withColumn("line", line).groupBy("question").agg(F.concat(F.lit("## Relevant Symbols\n"), gathered(["place"])).alias("symbols"))
+    name = lambda k: symbols.select(F.col("id").alias(f"{k}_id"), F.col("full_name").alias(k))
+    said = links.join(name("from"), "from_id").join(name("to"), "to_id").withColumn("line", F.concat(F.lit("- "), "from", F.lit(" → "), "to", F.lit(": "), "kind", F.lit("\n")))
+    said = said.withColumn("n", F.row_number().over(Window.partitionBy("question").orderBy("from", "to"))).where(F.col("n") <= most_relations)
+    two = said.groupBy("question").agg(F.concat(F.lit("## Relationships\n"), gathered(["n"]), F.lit("\n")).alias("relations"))
+    rows = questions.select("question").distinct().join(one, "question", "left").join(two, "question", "left").fillna("", ["symbols", "relations"])
+    prompt = F.concat(F.lit("You are a C# code expert. Answer based on the provided context.\n\nQuestion: "), "question", F.lit("\n\n"), "symbols", "relations", F.lit("Provide a comprehensive answer based on the above context.\n"))
+    return rows.select("question", prompt.alias("prompt"))
+
+
 def within_budget(rows: DataFrame, budget: int, by: list[str], order: list) -> DataFrame:
     """The first rows of each group whose tokens together stay within the budget."""
     total = F.sum("tokens").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -184,20 +201,61 @@ def batched(rows: DataFrame, size: int = 32, order: str = "content_hash") -> Dat
     return rows.withColumn("part", part).withColumn("batch", F.expr("(row_number() over (partition by part order by " + order + ") - 1) div " + str(size)))
 
 
+def embed_queue(pending: DataFrame, embedder: Callable[[pd.Series], pd.Series], most: int = 3, size: int = 32) -> tuple[DataFrame, DataFrame]:
+    """V3, ST9, D17: vectors (content_hash, model, vector, tries) and what failed (content_hash, model, content, tries) of
+    the texts that wait (content_hash, model, content).
+
+    A batch of size texts is one call of the embedder; a batch that fails is queued again by itself, at most so many times,
+    so one bad text doesn't hold up others. Each round writes what it embedded; equal texts are embedded once."""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), size):
+                some = pdf.iloc[at : at + size]
+                try:
+                    found = list(embedder(some["content"]))
+                except Exception:  # the model's own: the batch is asked for again
+                    found = [None] * len(some)
+                yield some[["content_hash", "model", "content"]].assign(vector=found)
+
+    left, done = pending.select("content_hash", "model", "content").dropDuplicates(["content_hash", "model"]), None
+    for tries in range(1, most + 1):
+        out = materialise(left.mapInPandas(run, "content_hash string, model string, content string, vector array<float>"), "embedded")
+        good = out.where("vector is not null").select("content_hash", "model", "vector", F.lit(tries).alias("tries"))
+        done = good if done is None else done.unionByName(good)
+        left = out.where("vector is null").select("content_hash", "model", "content")
+        if left.isEmpty():
+            break
+        size = max(1, size // 4)  # smaller batches set a bad text apart
+    return done, left.withColumn("tries", F.lit(tries))
+
+
 def replace_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """V4, Q21: embeddings of changed files are replaced as a whole."""
     return old.join(new.select("file_path").distinct(), "file_path", "left_anti").unionByName(new)
 
 
+#: Queries that are broadcast at a time (8 KB each with 1,024 numbers), and parts that a block's vectors are dealt over.
+QUERIES_AT_ONCE, SALTS = 1_000, 64
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, most: int = 10, where: Column | None = None, measure: str = "cosine", least: float | None = None) -> DataFrame:
     """Query, id, score, the best of each query (query, collection, target).
 
     Queries are the small side: each is held against all vectors of its collection, and each task keeps its best before
-    the shuffle. where is a predicate on vectors; least drops lower scores; euclidean distances are negated.
+    the shuffle. More queries than a broadcast may hold are dealt in blocks, and each block's vectors over SALTS parts. where is a predicate on vectors; least drops lower scores; euclidean distances are negated.
     """
     f = {"cosine": cosine, "dot": dot, "euclidean": lambda a, b: -euclidean(a, b)}[measure]
     rows = vectors if where is None else vectors.where(where)
-    pairs = rows.join(broadcast_if(queries, 10_000), "collection").select("query", "id", f(F.col("vector"), F.col("target")).alias("score"))
+    n = queries.count()
+    if n <= QUERIES_AT_ONCE:
+        near = rows.join(F.broadcast(queries), "collection")
+    else:
+        blocks = -(-n // QUERIES_AT_ONCE)
+        asked = queries.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        near = spread.join(asked, ["collection", "_block", "_salt"])
+    pairs = near.select("query", "id", f(F.col("vector"), F.col("target")).alias("score"))
     if least is not None:
         pairs = pairs.where(F.col("score") >= least)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))  # limits each task's rows too

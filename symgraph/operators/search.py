@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions.text import contains_ci, terms, trigrams
 from symgraph.operators.graph import neighbourhood
+from symgraph.session import broadcast_if, materialise
 
 SEARCHED = ("Type", "Method", "Property", "Field")
 ORDER = ("full_name", "id")
@@ -17,10 +18,28 @@ def _ranked(rows: DataFrame, by: list[str], order: list, most: int, name: str =
     return rows.drop(name) if name == "_place" else rows
 
 
+def _keyed(symbols: DataFrame, asked: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+    """query, columns, match for each query that is a symbol's full name, its name or, whatever the case, how it begins.
+
+    Each symbol offers its names and the beginnings of its name that are as long as some query, so this is one equi-join on
+    (match, _key) and one reading of the symbols; the driver gets the queries' different lengths."""
+    low = F.lower("name")
+    lengths = [r[0] for r in asked.select(F.length(F.lower("query"))).distinct().collect() if r[0] is not None]
+    way = lambda match, key: F.struct(F.lit(match).alias("match"), key.alias("_key"))
+    offered = [F.when(F.col("kind").isin(*SEARCHED) & (F.length(low) >= n), way("prefix", F.substring(low, 1, n))) for n in lengths]
+    wanted = [way("prefix", F.lower("query"))]
+    if exact:
+        offered += [way("exact_full", F.col("full_name")), way("exact_name", F.col("name"))]
+        wanted += [way("exact_full", F.col("query")), way("exact_name", F.col("query"))]
+    if not offered:
+        return symbols.limit(0).select(F.lit("").alias("query"), *columns, F.lit("").alias("match"))
+    keys = symbols.select(*columns, F.inline(F.filter(F.array(*offered), lambda x: x.isNotNull())))
+    return keys.join(broadcast_if(asked.select("query", F.inline(F.array(*wanted))), 100_000), ["match", "_key"]).select("query", *columns, "match")
+
+
 def by_prefix(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """H2: query and symbol, where the name begins with the query, whatever its case. The queries are the small side."""
-    few = symbols.where(F.col("kind").isin(*SEARCHED))
-    return few.join(queries.select("query").distinct(), F.startswith(F.lower("name"), F.lower("query")))
+    """H2: query and symbol, where the name begins with the query, whatever its case."""
+    return _keyed(symbols, queries.select("query").distinct(), symbols.columns, exact=False).drop("match")
 
 
 def trigram_index(symbols: DataFrame) -> DataFrame:
@@ -33,47 +52,58 @@ def by_trigrams(symbols: DataFrame, queries: DataFrame, most: int = 20, index: D
 
     Repeated trigrams of a query count each time. Queries' grams are summed before the join, so it is an equi-join of
     one row a gram and query. by may add repository: then the best of each repository."""
-    asked = queries.select("query").distinct()
+    best = _overlaps(symbols, queries.select("query").distinct(), ["id", "full_name"], index, by, most)
+    return best.select(*by, "id", "overlap", "graded")
+
+
+def _overlaps(symbols: DataFrame, asked: DataFrame, columns: list[str], index: DataFrame | None, by: tuple[str, ...], most: int) -> DataFrame:
+    """by, columns, overlap, graded of the best most. Without an index the symbols are read once."""
+    own = [*by[1:], *columns]
     grams = asked.select("query", F.explode(trigrams(F.col("query"))).alias("gram")).groupBy("query", "gram").agg(F.count(F.lit(1)).alias("times"))
-    size = asked.select("query", F.size(trigrams(F.col("query"))).alias("grams"))
-    hits = (index if index is not None else trigram_index(symbols)).join(grams, "gram").groupBy("query", "id").agg(F.sum("times").alias("overlap"))
-    named = hits.join(symbols.select("id", "full_name", *by[1:]), "id").join(size, "query")
-    best = _ranked(named, list(by), [F.desc("overlap"), *ORDER], most)
-    return best.select(*by, "id", "overlap", (F.lit(0.3) + F.lit(0.4) * F.col("overlap") / F.col("grams")).alias("graded"))
+    grams = grams.withColumn("grams", F.sum("times").over(Window.partitionBy("query")))
+    if index is None:
+        held = symbols.where(F.col("kind").isin(*SEARCHED)).select(*own, F.explode(F.array_distinct(trigrams(F.col("name")))).alias("gram"))
+    else:
+        held = index.join(symbols.select(*own), "id")
+    hits = held.join(grams, "gram").groupBy("query", "id").agg(F.sum("times").alias("overlap"), F.first("grams").alias("grams"), *[F.first(c).alias(c) for c in own if c != "id"])
+    best = _ranked(hits, list(by), [F.desc("overlap"), *ORDER], most)
+    return best.select("query", *own, "overlap", (F.lit(0.3) + F.lit(0.4) * F.col("overlap") / F.col("grams")).alias("graded"))
 
 
 def tiered(symbols: DataFrame, queries: DataFrame, fewest: int = 5, graded: bool = False, by: tuple[str, ...] = ("query",)) -> DataFrame:
-    """H1: by, id, score, match of all hits.
+    """H1: by, id, name, full_name, kind, score, match of all hits.
 
     Tiers: full name 1.0, name 0.9, prefix 0.7, and where there are fewer hits than fewest, trigrams 0.4 (or graded). A
-    symbol keeps its best tier."""
-    asked = queries.select("query").distinct()
-    hit = lambda df, score, match: df.select(*by, "id", F.lit(score).alias("score"), F.lit(match).alias("match"))
-    tiers = hit(symbols.join(asked, F.col("full_name") == F.col("query")), 1.0, "exact_full").unionByName(hit(symbols.join(asked, F.col("name") == F.col("query")), 0.9, "exact_name")).unionByName(hit(by_prefix(symbols, asked), 0.7, "prefix"))
-    best = F.max(F.struct("score", "match")).alias("best")
+    symbol keeps its best tier. The hits of the first three are written, as they also say which queries need the last."""
+    columns = [*by[1:], "id", "name", "full_name", "kind"]
+    asked = materialise(queries.select("query").distinct(), "queries", True)
+    score = F.when(F.col("match") == "exact_full", 1.0).when(F.col("match") == "exact_name", 0.9).otherwise(0.7)
+    tiers = materialise(_keyed(symbols, asked, columns).withColumn("score", score), "tiers")
     enough = tiers.groupBy(*by).agg(F.count_distinct("id").alias("n")).where(F.col("n") >= fewest)
     open_ = asked if len(by) > 1 else asked.join(enough, "query", "left_anti")
-    fuzzy = by_trigrams(symbols, open_, by=by).select(*by, "id", (F.col("graded") if graded else F.lit(0.4)).alias("score"), F.lit("fuzzy").alias("match"))
+    fuzzy = _overlaps(symbols, open_, columns[len(by) - 1 :], None, by, 20)
+    fuzzy = fuzzy.select("query", *columns, (F.col("graded") if graded else F.lit(0.4)).alias("score"), F.lit("fuzzy").alias("match"))
     if len(by) > 1:
         fuzzy = fuzzy.join(enough, list(by), "left_anti")
-    return tiers.unionByName(fuzzy).groupBy(*by, "id").agg(best).select(*by, "id", "best.score", "best.match")
+    both = tiers.unionByName(fuzzy)
+    best = both.groupBy(*by, "id").agg(F.max(F.struct("score", "match", "name", "full_name", "kind")).alias("best"))
+    return best.select(*by, "id", "best.name", "best.full_name", "best.kind", "best.score", "best.match")
 
 
 def find_symbols(symbols: DataFrame, queries: DataFrame, most: int = 50, fewest: int = 5, kind: str | None = None, graded: bool = False) -> DataFrame:
     """Query, id, name, full_name, kind, score, match, the best most of each query.
 
     The kind filter follows the tiers: it comes after the count that opens the last one."""
-    rows = tiered(symbols, queries, fewest, graded).join(symbols.select("id", "name", "full_name", "kind"), "id")
+    hits = tiered(symbols, queries, fewest, graded)
     if kind:
-        rows = rows.where(F.col("kind") == kind)
-    return _ranked(rows, ["query"], [F.desc("score"), *ORDER], most).select("query", "id", "name", "full_name", "kind", "score", "match")
+        hits = hits.where(F.col("kind") == kind)
+    return _ranked(hits, ["query"], [F.desc("score"), *ORDER], most).select("query", "id", "name", "full_name", "kind", "score", "match")
 
 
 def find_across(symbols: DataFrame, queries: DataFrame, most: int = 20, a_repository: int = 50) -> DataFrame:
     """The best over all repositories, each searched by itself; with the repository."""
     by = ["query", "repository"]
-    hits = tiered(symbols, queries, by=tuple(by)).join(symbols.select("id", "name", "full_name", "kind"), "id")
-    hits = _ranked(hits, by, [F.desc("score"), *ORDER], a_repository)
+    hits = _ranked(tiered(symbols, queries, by=tuple(by)), by, [F.desc("score"), *ORDER], a_repository)
     return _ranked(hits, ["query"], [F.desc("score"), "repository", *ORDER], most)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import contains_ci
-from symgraph.session import broadcast_if
+from symgraph.session import broadcast_if, materialise, rows
 
 TIE = ("full_name", "id")
 
@@ -103,13 +103,15 @@ def resolve(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """Each query's symbol by full name, then name (a Type, else a Method, else any), then equal but for case, then
     beginning with or containing the query (P9). All queries are answered in one pass; tiers are equi-joins but for the
     last, which only the unanswered queries reach."""
-    q = queries.select("query").distinct()
+    q = materialise(queries.select("query").distinct(), "queries", True)
     kind = F.when(F.col("kind") == "Type", 0).when(F.col("kind") == "Method", 1).otherwise(2)
-    full = symbols.join(q, symbols["full_name"] == q["query"]).withColumn("tier", F.lit(0))
-    name = symbols.join(q, symbols["name"] == q["query"]).withColumn("tier", F.lit(1))
-    same = symbols.join(q, F.lower(symbols["name"]) == F.lower(q["query"])).withColumn("tier", F.lit(2))
-    near = full.unionByName(name).unionByName(same)
-    rest = q.join(near.select("query").distinct(), "query", "left_anti")
+    way = lambda tier, key: F.struct(F.lit(tier).alias("tier"), key.alias("_key"))
+    offered = symbols.select(*symbols.columns, F.inline(F.array(way(0, F.col("full_name")), way(1, F.col("name")), way(2, F.lower("name")))))
+    wanted = q.select("query", F.inline(F.array(way(0, F.col("query")), way(1, F.col("query")), way(2, F.lower("query")))))
+    near = materialise(offered.join(broadcast_if(wanted, 100_000), ["tier", "_key"]).drop("_key"), "resolved")
+    rest = materialise(q.join(near.select("query").distinct(), "query", "left_anti"), "unresolved", True)
+    if not rows(rest):
+        return _picked(near, [F.col("tier"), kind, F.col("full_name"), F.col("id")])
     loose = symbols.join(broadcast_if(rest, 10_000), contains_ci(symbols["name"], rest["query"]) | contains_ci(symbols["full_name"], rest["query"])).withColumn("tier", F.when(F.startswith(F.lower("name"), F.lower("query")), 3).otherwise(4))
     return _picked(near.unionByName(loose), [F.col("tier"), kind, F.col("full_name"), F.col("id")])
 
