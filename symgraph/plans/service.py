@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 
 from symgraph.operators import analysis, graph, retrieval, search, tables
 from symgraph.plans import export
-from symgraph.session import materialise
+from symgraph.session import broadcast_if, materialise, shared_dir
+from symgraph.session import rows as rows_of
 from symgraph.sources import csharp
 from symgraph.sources import files as S
 
 SHARED = ("id", "name", "full_name", "kind", "type_name", "container_id", "declaring_type_id", "file_path", "start_line", "end_line", "return_type", "access", "bases", "attributes", "owner", "namespace", "parameters", "metadata")
 
 
+TABLES = ("files", "rows", "symbols", "refs", "nodes", "edges")
+#: Megabytes of the driver's heap from which on health is degraded.
+MEMORY_MB = 1000
+
+
 @dataclass(frozen=True)
 class Index:
     """Lazy tables of any number of repositories; each has a repository column."""
 
     files: DataFrame
+    rows: DataFrame
     symbols: DataFrame
     refs: DataFrame
     nodes: DataFrame
@@ -31,11 +38,16 @@ class Index:
     @classmethod
     def of_files(cls, files: DataFrame, repository: str) -> Index:
         """Extracts, resolves and links the .cs files of one repository."""
-        rows = materialise(csharp.extract(files), "extract")
+        return cls.of_rows(files, csharp.extract(files), repository)
+
+    @classmethod
+    def of_rows(cls, files: DataFrame, rows: DataFrame, repository: str) -> Index:
+        """Resolves and links the extractor's rows of all files."""
+        rows = materialise(rows, "extract")
         s = materialise(csharp.symbols_of(rows), "symbols")
         found = materialise(csharp.resolve(rows, s), "resolved")
         mark = lambda df: df.withColumn("repository", F.lit(repository))
-        return cls(mark(files.drop("repository")), mark(s.select(*SHARED)), mark(csharp.refs_of(found)), mark(csharp.nodes_of(s)), mark(materialise(csharp.edges_of(s, found), "edges")))
+        return cls(mark(files.drop("repository")), mark(rows), mark(s.select(*SHARED)), mark(csharp.refs_of(found)), mark(csharp.nodes_of(s)), mark(materialise(csharp.edges_of(s, found, rows), "edges")))
 
     @classmethod
     def of_path(cls, spark: SparkSession, path: str, repository: str) -> Index:
@@ -43,7 +55,7 @@ class Index:
         return cls.of_files(S.scan(spark, path, repository=repository), repository)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {k: getattr(self, k) for k in ("files", "symbols", "refs", "nodes", "edges")}
+        return {k: getattr(self, k) for k in TABLES}
 
     def add(self, other: Index) -> Index:
         """With another index's repositories, which replace those of the same name."""
@@ -57,10 +69,15 @@ class Index:
         return Index(**{k: df.where(F.col("repository") == repository) for k, df in self.tables().items()})
 
     def refresh(self, files: DataFrame, repository: str) -> Index:
-        """E21, ST5: the repository's changed files again; what files say of others is linked anew, as names may now mean
-        something else. Unchanged repositories are left alone."""
-        changes = S.change_set(S.manifest(self.files.where(F.col("repository") == repository)), S.manifest(files))
-        return self if changes.isEmpty() else self.add(Index.of_files(files, repository))
+        """E21, ST5: only the repository's new and modified files are read again, rows of deleted ones go; what all files say
+        of others is linked anew, by joins, as names may now mean something else. Unchanged repositories are left alone."""
+        old = self.only(repository)
+        changes = materialise(S.change_set(S.manifest(old.files), S.manifest(files)), "changes", True)
+        if not rows_of(changes):
+            return self
+        fresh = csharp.extract(files.join(broadcast_if(changes.where("change_type != 'Deleted'").select("file_path"), 100_000), "file_path", "left_semi"))
+        kept = old.rows.drop("repository").join(changes.select("file_path"), "file_path", "left_anti")
+        return self.add(Index.of_rows(files, kept.unionByName(fresh), repository))
 
     def counts(self) -> DataFrame:
         """One row a repository: files, symbols, nodes, edges (RepoIndex)."""
@@ -68,7 +85,8 @@ class Index:
         out = n("symbols")
         for k in ("files", "nodes", "edges"):
             out = out.join(n(k), "repository", "full_outer")
-        return out.fillna(0)
+        errors = self.rows.groupBy("repository").agg(F.count_if(F.col("row") == "error").alias("unreadable"))
+        return out.join(errors, "repository", "left").fillna(0)
 
     def save(self, path: str) -> None:
         """K1, K2, K7: full schemas, a folder a table, partitioned by repository."""
@@ -78,7 +96,7 @@ class Index:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         """S10, S11."""
-        return cls(**{k: S.load(spark, f"{path}/{k}") for k in ("files", "symbols", "refs", "nodes", "edges")})
+        return cls(**{k: S.load(spark, f"{path}/{k}") for k in TABLES})
 
 
 class Tools:
@@ -128,8 +146,9 @@ class Tools:
         rows = found.join(self.index.symbols.select(F.col("id").alias("node"), "full_name", "file_path", "start_line"), "node").orderBy("depth", "full_name").limit(most)
         return [r.asDict() for r in rows.select("full_name", "depth", "file_path", "start_line").collect()]
 
-    def _rows(self, df: DataFrame, most: int = 100) -> list[dict]:
-        return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+    def _rows(self, df: DataFrame, most: int | None = None, offset: int = 0) -> list[dict]:
+        df = df.offset(offset) if offset else df
+        return [r.asDict(recursive=True) for r in (df if most is None else df.limit(most)).collect()]
 
     # tools ----------------------------------------------------------------------------------------------------------
 
@@ -139,9 +158,36 @@ class Tools:
         self.index = new if self.index is None else self.index.add(new)
         return self._rows(self.index.only(repository).counts())
 
+    def tool_index_status(self, repository: str) -> dict:
+        """Whether a repository is indexed, its counts, and the files that could not be read."""
+        i = None if self.index is None else self.index.only(repository)
+        counts = [] if i is None else self._rows(i.counts())
+        return {"repository": repository, "status": "Indexed" if counts else "Unknown"} | (counts[0] | {"errors": self._rows(csharp.errors_of(i.rows).orderBy("file_path"))} if counts else {})
+
+    def tool_refresh_repository(self, path: str, repository: str = "repo") -> list[dict]:
+        """Index what has changed in a folder since it was indexed."""
+        self.index = self.index.refresh(S.scan(self.spark, path, repository=repository), repository)
+        return self._rows(self.index.only(repository).counts())
+
+    def tool_health_check(self) -> dict:
+        """Whether the extractor works, the shared folder can be reached, and memory is free."""
+        checks = {}
+        try:
+            checks["extractor"] = ("Healthy" if csharp.read_file("t.cs", "class Test {}") else "Unhealthy", "reads a class")
+        except Exception as e:
+            checks["extractor"] = ("Unhealthy", str(e)[:200])
+        runtime = self.spark._jvm.java.lang.Runtime.getRuntime()
+        used = (runtime.totalMemory() - runtime.freeMemory()) / (1 << 20)
+        checks["memory"] = ("Healthy" if used < MEMORY_MB else "Degraded", f"Memory: {used:.1f} MB")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(shared_dir(self.spark))
+        there = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        checks["storage"] = ("Healthy" if there else "Degraded", str(folder))
+        said = {x for x, _ in checks.values()}
+        return {"status": next(x for x in ("Unhealthy", "Degraded", "Healthy") if x in said), "checks": [{"name": k, "status": x, "description": y} for k, (x, y) in checks.items()]}
+
     def tool_list_repositories(self) -> list[dict]:
         """Counts of each repository."""
-        return self._rows(self.index.counts())
+        return self._rows(self.index.counts().orderBy("repository"))
 
     def tool_remove_repository(self, repository: str) -> str:
         """Forget a repository."""
@@ -224,17 +270,18 @@ class Tools:
         """Counts of nodes by kind."""
         return self._rows(analysis.counts_by_kind(self.index.nodes))
 
-    def tool_graph_nodes(self, kind: str) -> list[dict]:
-        """Nodes of a kind."""
-        return self._rows(self.index.nodes.where(F.lower("kind") == kind.lower()).select("id", "label", "full_name", "kind"))
+    def tool_graph_nodes(self, kind: str, limit: int | None = None, offset: int = 0) -> list[dict]:
+        """Nodes of a kind by full name and id, all of them or a page."""
+        return self._rows(self.index.nodes.where(F.lower("kind") == kind.lower()).select("id", "label", "full_name", "kind").orderBy("full_name", "id"), limit, offset)
 
-    def tool_graph_edges(self, kind: str) -> list[dict]:
-        """Edges of a kind."""
-        return self._rows(self.index.edges.where(F.lower("kind") == kind.lower()).select("source_id", "target_id", "kind", "weight"))
+    def tool_graph_edges(self, kind: str, limit: int | None = None, offset: int = 0) -> list[dict]:
+        """Edges of a kind by their ends, all of them or a page."""
+        return self._rows(self.index.edges.where(F.lower("kind") == kind.lower()).select("source_id", "target_id", "kind", "weight").orderBy("source_id", "target_id"), limit, offset)
 
-    def tool_graph_export(self, limit: int = 1000) -> dict:
-        """Nodes and edges with labels and colours."""
-        return {"nodes": self._rows(export.graph_nodes(self.index.nodes), limit), "edges": self._rows(export.graph_edges(self.index.nodes, self.index.edges), limit)}
+    def tool_graph_export(self, limit: int | None = None, offset: int = 0) -> dict:
+        """Nodes and edges with labels and colours, all of them or a page of each."""
+        n, e = export.graph_nodes(self.index.nodes), export.graph_edges(self.index.nodes, self.index.edges)
+        return {"nodes": self._rows(n.orderBy("id"), limit, offset), "edges": self._rows(e.orderBy("source_id", "target_id", "kind"), limit, offset)}
 
     def tool_mermaid(self) -> str:
         """A diagram of the graph."""
@@ -255,6 +302,16 @@ class Tools:
         """Counts of common and unique symbols of two repositories."""
         return self._rows(analysis.compare_counts(self.index.symbols, first, second))
 
+    def tool_compare_symbols(self, first: str, second: str, status: str | None = None, limit: int | None = None, offset: int = 0) -> list[dict]:
+        """The symbols of two repositories, each Common, UniqueToFirst or UniqueToSecond."""
+        rows = analysis.compare(self.index.symbols, first, second).orderBy("status", "full_name")
+        return self._rows(rows if status is None else rows.where(F.col("status") == status), limit, offset)
+
+    def tool_context_prompt(self, question: str) -> list[dict]:
+        """The prompt that the context of a question gives."""
+        q = self.spark.createDataFrame([(question,)], "question string")
+        return self._rows(retrieval.context_prompts(q, *retrieval.context(self.index.symbols, self.index.edges, q), self.index.symbols))
+
     def tool_health(self, repository: str) -> list[dict]:
         """Score, warnings and suggestions of a repository."""
         i = self.index.only(repository)

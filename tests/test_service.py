@@ -61,6 +61,49 @@ def test_reports(tools):
     assert any(r["source"] == "text" for r in call(tools, "search_code", query="Spawn"))
 
 
+def test_whole_results_and_pages(spark, tools):
+    nodes, edges = call(tools, "graph_nodes", kind="method"), call(tools, "graph_edges", kind="declares")
+    assert len(nodes) == 6 and len(edges) == 12 and [n["full_name"] for n in nodes] == sorted(n["full_name"] for n in nodes)
+    assert call(tools, "graph_nodes", kind="method", limit=2, offset=3) == nodes[3:5] and len(call(tools, "graph_export", limit=4)["nodes"]) == 4
+    more = tools.index.nodes.crossJoin(spark.range(40).withColumnRenamed("id", "k")).drop("k")
+    wide = Tools(spark, Index(**{**tools.index.tables(), "nodes": tools.index.nodes.unionByName(more)}))
+    assert len(wide.tool_graph_nodes("Method")) == 6 * 41
+    assert len(call(tools, "compare_symbols", first="game", second="none", status="UniqueToFirst")) == 18
+    assert "## Relevant Symbols" in call(tools, "context_prompt", question="What does Fire do?")[0]["prompt"]
+
+
+def test_status_and_health(spark, tools, tmp_path):
+    assert call(tools, "index_status", repository="game")["status"] == "Indexed" and call(tools, "index_status", repository="other")["status"] == "Unknown"
+    deep = spark.createDataFrame([("d.cs", "namespace N { " * 3000, ".cs"), ("e.cs", "class E {}", ".cs")], "file_path string, content string, ext string")
+    (row,) = Index.of_files(deep, "deep").counts().collect()
+    assert (row.files, row.symbols, row.unreadable) == (2, 1, 1)
+    said = call(tools, "health_check")
+    assert said["status"] in ("Healthy", "Degraded") and {c["name"]: c["status"] for c in said["checks"]}["extractor"] == "Healthy"
+
+
+def test_command_line(spark, tools, tmp_path, capsys):
+    from symgraph.__main__ import main
+
+    out = str(tmp_path / "stored")
+    assert main([f"file://{tools.path}", "--repository", "cli", "--out", out, "--call", "find_symbol", "name=Fire"]) == 0
+    first, second = capsys.readouterr().out.strip().splitlines()
+    assert json.loads(first)["symbols"] == 18 and json.loads(second)[0]["kind"] == "Method"
+    assert main([out, "--stored", "--call", "nope"]) == 1 and main([str(tmp_path / "none"), "--stored"]) == 1
+
+
+def test_refresh_reads_changed_files_only(spark, tools, monkeypatch):
+    from symgraph.sources import csharp
+
+    seen, extract = [], csharp.extract
+    monkeypatch.setattr(csharp, "extract", lambda files: seen.append(sorted(r.file_path for r in files.collect())) or extract(files))
+    files = [(r.file_path, "namespace TestGame; public class Enemy { void Go() { new Weapon().Fire(); } }" if "Enemy" in r.file_path else r.content, ".cs") for r in tools.index.files.collect() if "IDamage" not in r.file_path]
+    now = tools.index.refresh(spark.createDataFrame(files, "file_path string, content string, ext string"), "game")
+    assert [len(s) for s in seen] == [1] and "Enemy" in seen[0][0]
+    whole = Index.of_files(spark.createDataFrame(files, "file_path string, content string, ext string"), "game")
+    for k in ("symbols", "nodes", "edges"):
+        assert sorted(r.id for r in getattr(now, k).collect()) == sorted(r.id for r in getattr(whole, k).collect())
+
+
 def test_several_repositories(spark, tools, tmp_path):
     copy = Index.of_path(spark, f"file://{tools.path}", "copy")
     both = tools.index.add(copy)
