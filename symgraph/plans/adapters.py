@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symgraph import session
 from symgraph.functions import ids
-from symgraph.session import table
+from symgraph.session import materialise, table
+
+_STORED: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def stored(make):
+    """make(spark, d), written at its first use in a session: an index is built once and read by all queries."""
+
+    def get(spark: SparkSession, d: str) -> DataFrame:
+        key = (make.__name__, spark.sparkContext.applicationId, d)
+        if key not in _STORED or _STORED[key][0] not in session.MADE:
+            made = materialise(make(spark, d), f"index-{make.__name__}")
+            _STORED[key] = (session.MADE[-1], made)
+        return _STORED[key][1]
+
+    get.__doc__ = make.__doc__
+    return get
 
 
 def _symbol(full, name, kind, type_name, repository, owner=None, member=False, key=None):
@@ -18,6 +35,7 @@ def _symbol(full, name, kind, type_name, repository, owner=None, member=False, k
     ]
 
 
+@stored
 def symbols(spark: SparkSession, d: str) -> DataFrame:
     """Regions are namespaces, nations classes in them, suppliers and customers their methods, parts properties."""
     c, none = F.col, F.lit(None).cast("string")
@@ -60,6 +78,7 @@ def declares(spark: SparkSession, d: str) -> DataFrame:
 DECLARES = "declares AS (SELECT declaring_type_id AS source_id, id AS target_id, 'Declares' AS kind, repository FROM symbols WHERE declaring_type_id IS NOT NULL)"
 
 
+@stored
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """A part calls the part of the next line of an order; ids are part keys."""
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")

@@ -77,45 +77,56 @@ def relationships(spark, d):
 
 
 RISK = "least(100, least(5 * callers, 50) + least(2 * callees, 20) + least(refs, 15) + least(10 * derived, 15) + least(5 * implementations, 10))"
+IMPACT = """sym AS (SELECT 'p' || p_partkey AS id, 'Method' AS kind, '' AS of FROM part UNION ALL SELECT 'c' || c_custkey, 'Type', 'Class' FROM customer UNION ALL SELECT DISTINCT p_type, 'Type', 'Interface' FROM part),
+links AS (SELECT 'p' || source_id AS s, 'p' || target_id AS t, 'Calls' AS kind FROM calls UNION ALL SELECT 'c' || source_id, 'c' || target_id, 'Inherits' FROM inherits UNION ALL SELECT 'p' || p_partkey, p_type, 'Implements' FROM part),
+used AS (SELECT 'p' || symbol_id AS id, count(*) AS refs, count(*) FILTER (contains(context, 'Test')) AS tests FROM refs GROUP BY 1)"""
+LEVEL = "CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' WHEN score >= 15 THEN 'LOW' ELSE 'MINIMAL' END AS level"
+
+
+def _impact(spark, d):
+    """Parts as methods, customers as classes, types of parts as interfaces; their edges and references."""
+    c = lambda prefix, name: F.concat(F.lit(prefix), F.col(name).cast("string"))
+    row = lambda df, x, kind, of: df.select(x.alias("id"), x.alias("name"), x.alias("full_name"), F.lit(kind).alias("kind"), F.lit(of).cast("string").alias("type_name"))
+    part = table(spark, d, "part")
+    s = row(part, c("p", "p_partkey"), "Method", None).unionByName(row(table(spark, d, "customer"), c("c", "c_custkey"), "Type", "Class")).unionByName(row(part.select("p_type").distinct(), F.col("p_type"), "Type", "Interface"))
+    ends = lambda df, a, b: df.select(c(a, "source_id").alias("source_id"), c(b, "target_id").alias("target_id"), "kind")
+    e = ends(A.calls(spark, d), "p", "p").unionByName(ends(A.inherits(spark, d), "c", "c")).unionByName(ends(A.implements(spark, d), "p", ""))
+    return s, e, A.refs(spark, d).withColumn("symbol_id", c("p", "symbol_id"))
 
 
 @query(
     with_ctes(
-        f"""SELECT id, callers, callees, refs, tests, score, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' WHEN score >= 15 THEN 'LOW' ELSE 'MINIMAL' END AS level FROM (SELECT *, ({RISK})::int AS score FROM (
-SELECT p_partkey AS id, coalesce(i.n, 0) AS callers, coalesce(o.n, 0) AS callees, coalesce(r.n, 0) AS refs, coalesce(r.t, 0) AS tests, 0 AS derived, 0 AS implementations FROM part LEFT JOIN (SELECT target_id, count(*) AS n FROM calls GROUP BY 1) i ON i.target_id = p_partkey
-LEFT JOIN (SELECT source_id, count(*) AS n FROM calls GROUP BY 1) o ON o.source_id = p_partkey LEFT JOIN (SELECT symbol_id, count(*) AS n, count(*) FILTER (contains(context, 'Test')) AS t FROM refs GROUP BY 1) r ON r.symbol_id = p_partkey))""",
-        CALLS, REFS,
+        f"""SELECT seed, kind, callers, callees, refs, tests, derived, implementations, score, {LEVEL} FROM (SELECT *, ({RISK})::int AS score FROM (
+SELECT sym.id AS seed, kind, coalesce(i.n, 0) AS callers, coalesce(o.n, 0) AS callees, coalesce(refs, 0) AS refs, coalesce(tests, 0) AS tests, coalesce(w.n, 0) AS derived, coalesce(m.n, 0) AS implementations FROM sym
+LEFT JOIN (SELECT t, count(*) AS n FROM links WHERE kind = 'Calls' GROUP BY 1) i ON i.t = id LEFT JOIN (SELECT s, count(*) AS n FROM links WHERE kind = 'Calls' GROUP BY 1) o ON o.s = id LEFT JOIN used USING (id)
+LEFT JOIN (SELECT seed, count(DISTINCT node) AS n FROM walk GROUP BY 1) w ON w.seed = id LEFT JOIN (SELECT t, count(*) AS n FROM links WHERE kind = 'Implements' GROUP BY 1) m ON m.t = id))""",
+        CALLS, INHERITS, REFS, IMPACT, "seeds(seed) AS (SELECT id FROM sym WHERE of = 'Class')", "down AS (SELECT * FROM links WHERE kind = 'Inherits')", _walk("seeds", "t", "s", "down", 60),
     )
 )
 def blast_radius(spark, d):
-    """G6 at depth 1 for every part: the flagship query."""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_name").alias("full_name"), F.lit("Property").alias("kind"), F.col("p_type").alias("type_name"))
-    e, r = A.calls(spark, d), A.refs(spark, d)
-    up = e.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
-    down = e.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("callees"))
-    used = r.groupBy(F.col("symbol_id").alias("id")).agg(F.count(F.lit(1)).alias("refs"), F.count_if(F.contains("context", F.lit("Test"))).alias("tests"))
-    rows = part.join(up, "id", "left").join(down, "id", "left").join(used, "id", "left").fillna(0, ["callers", "callees", "refs", "tests"])
-    rows = rows.withColumn("score", analysis.risk(F.col("callers"), F.col("callees"), F.col("refs"), F.lit(0), F.lit(0)).cast("int"))
-    return rows.select("id", "callers", "callees", "refs", "tests", "score", analysis.risk_level(F.col("score")).alias("level"))
+    """G6 at depth 1 for every symbol: the flagship query."""
+    s, e, r = _impact(spark, d)
+    rows = analysis.blast_radius(s, e, r, s.select(F.col("id").alias("seed")), 1)
+    return rows.drop("full_name", "direct", "indirect", "summary").withColumn("score", F.col("score").cast("int"))
 
 
 @query(
     with_ctes(
-        f"""SELECT seed, callers, direct, indirect, callees, refs, tests, derived, implementations, score, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' WHEN score >= 15 THEN 'LOW' ELSE 'MINIMAL' END AS level,
-'Changing p' || seed || ' (Method) would directly affect ' || callers || ' caller(s).' || CASE WHEN callees > 0 THEN ' It calls ' || callees || ' other method(s).' ELSE '' END || CASE WHEN refs > 1 THEN ' There are ' || refs || ' total references.' ELSE '' END
+        f"""SELECT seed, callers, direct, indirect, callees, refs, tests, derived, implementations, score, {LEVEL},
+'Changing ' || seed || ' (' || kind || ') would directly affect ' || callers || ' caller(s).' || CASE WHEN callees > 0 THEN ' It calls ' || callees || ' other method(s).' ELSE '' END || CASE WHEN refs > 1 THEN ' There are ' || refs || ' total references.' ELSE '' END
+ || CASE WHEN derived > 0 THEN ' ' || derived || ' type(s) inherit from this type.' ELSE '' END || CASE WHEN implementations > 0 THEN ' ' || implementations || ' type(s) implement this interface.' ELSE '' END
  || CASE WHEN tests = 0 THEN ' ⚠️ WARNING: No test coverage found.' ELSE ' ✓ ' || tests || ' test(s) reference this symbol.' END AS summary
-FROM (SELECT *, ({RISK})::int AS score FROM (SELECT seed, (SELECT count(*) FROM up WHERE up.seed = s.seed) AS callers, (SELECT count(*) FROM up WHERE up.seed = s.seed AND depth = 1) AS direct, (SELECT count(*) FROM up WHERE up.seed = s.seed AND depth > 1) AS indirect,
-(SELECT count(*) FROM down WHERE down.seed = s.seed) AS callees, (SELECT count(*) FROM refs WHERE symbol_id = s.seed) AS refs, (SELECT count(*) FROM refs WHERE symbol_id = s.seed AND contains(context, 'Test')) AS tests, 0::bigint AS derived, 0::bigint AS implementations FROM seeds s))""",
-        SEEDS, CALLS, REFS, _walk("seeds", "target_id", "source_id", "calls", 2), "up AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY 1, 2)",
-        _walk("seeds", "source_id", "target_id", "calls", 2).replace("walk", "walk2"), "down AS (SELECT seed, node, min(depth) AS depth FROM walk2 GROUP BY 1, 2)",
+FROM (SELECT *, ({RISK})::int AS score FROM (SELECT seed, kind, (SELECT count(*) FROM up WHERE up.seed = x.seed) AS callers, (SELECT count(*) FROM up WHERE up.seed = x.seed AND depth = 1) AS direct, (SELECT count(*) FROM up WHERE up.seed = x.seed AND depth > 1) AS indirect,
+(SELECT count(*) FROM down WHERE down.seed = x.seed) AS callees, coalesce((SELECT refs FROM used WHERE used.id = x.seed), 0) AS refs, coalesce((SELECT tests FROM used WHERE used.id = x.seed), 0) AS tests,
+(SELECT count(DISTINCT node) FROM below WHERE below.seed = x.seed) AS derived, CASE WHEN of = 'Interface' THEN (SELECT count(*) FROM links WHERE kind = 'Implements' AND t = x.seed) ELSE 0 END AS implementations FROM seeds x JOIN sym ON sym.id = x.seed))""",
+        "seeds(seed) AS (VALUES ('p0'), ('p17'), ('c1'), ('c2'), ('PROMO'))", CALLS, INHERITS, REFS, IMPACT, "c AS (SELECT * FROM links WHERE kind = 'Calls')", "i AS (SELECT * FROM links WHERE kind = 'Inherits')", _walk("seeds", "t", "s", "c", 2), "up AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY 1, 2)",
+        _walk("seeds", "s", "t", "c", 2).replace("walk", "walk2"), "down AS (SELECT seed, node, min(depth) AS depth FROM walk2 GROUP BY 1, 2)", _walk("seeds", "t", "s", "i", 60).replace("walk", "below"),
     )
 )
 def blast_radius_depth2(spark, d):
-    part = table(spark, d, "part")
-    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
-    s = part.select(F.col("p_partkey").alias("id"), name.alias("name"), name.alias("full_name"), F.lit("Method").alias("kind"), F.lit(None).cast("string").alias("type_name"))
-    rows = analysis.blast_radius(s, A.calls(spark, d), A.refs(spark, d), seeds(spark))
-    return rows.drop("full_name", "kind").withColumn("score", F.col("score").cast("int"))
+    asked = spark.createDataFrame([(x,) for x in ("p0", "p17", "c1", "c2", "PROMO")], "seed string")
+    s, e, r = _impact(spark, d)
+    return analysis.blast_radius(s, e, r, asked).drop("full_name", "kind").withColumn("score", F.col("score").cast("int"))
 
 
 @query(
@@ -137,9 +148,10 @@ def cross_repo_implementations(spark, d):
     return found.join(part, "node").select("repository", "node", F.lit(1.0).alias("score"), F.lit("implements").alias("relation"))
 
 
-@query(with_ctes("SELECT DISTINCT node FROM walk WHERE node = seed", "seeds(seed) AS (SELECT DISTINCT c_custkey // 5 FROM customer)", "loops AS (SELECT c_custkey AS source_id, c_custkey // 5 AS target_id FROM customer WHERE c_custkey > 0 UNION ALL SELECT 7, 42 UNION ALL SELECT 3, 100)", _walk("seeds", "source_id", "target_id", "loops", 12)))
+@query(with_ctes("SELECT DISTINCT node FROM walk WHERE node = seed", "seeds(seed) AS (SELECT c_custkey FROM customer)", "loops AS (SELECT c_custkey AS source_id, c_custkey // 5 AS target_id FROM customer WHERE c_custkey > 0 UNION ALL SELECT 1, 30 UNION ALL SELECT 2, 13 UNION ALL SELECT 17, 17)", _walk("seeds", "source_id", "target_id", "loops", 12)))
 def cycle_detection(spark, d):
-    e = A.inherits(spark, d).unionByName(spark.createDataFrame([(7, 42, "Inherits"), (3, 100, "Inherits")], "source_id long, target_id long, kind string"))
+    """The planted edges close 1, 30, 6 and 2, 13 to cycles, and 17 upon itself."""
+    e = A.inherits(spark, d).unionByName(spark.createDataFrame([(1, 30, "Inherits"), (2, 13, "Inherits"), (17, 17, "Inherits")], "source_id long, target_id long, kind string"))
     return graph.cyclic_core(e)
 
 

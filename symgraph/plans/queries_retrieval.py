@@ -35,13 +35,15 @@ def _questions(spark):
     return spark.createDataFrame([(q,) for q in QUESTIONS], "question string")
 
 
-#: Calls among symbols: a supplier calls the parts of its larger order lines.
-SOLD = "calls AS (SELECT DISTINCT s.id AS source_id, md5('part:' || l_partkey::varchar) AS target_id FROM lineitem JOIN symbols s ON s.name = 'Supplier#' || lpad(l_suppkey::varchar, 9, '0') WHERE l_quantity > 45)"
+#: Calls among symbols: a supplier calls the parts of its order lines.
+SOLD = "calls AS (SELECT DISTINCT s.id AS source_id, md5('part:' || l_partkey::varchar) AS target_id FROM lineitem JOIN symbols s ON s.name = 'Supplier#' || lpad(l_suppkey::varchar, 9, '0'))"
 
 
+@A.stored
 def _sold(spark, d):
+    """Calls of suppliers to parts."""
     s = A.symbols(spark, d).where("kind = 'Method'").select("id", "name")
-    line = table(spark, d, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("name"), ids.node_id(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("target_id"))
+    line = table(spark, d, "lineitem").select(F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("name"), ids.node_id(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("target_id"))
     return line.join(s, "name").select(F.col("id").alias("source_id"), "target_id", F.lit("Calls").alias("kind")).distinct()
 
 
@@ -105,6 +107,21 @@ def context_relationships(spark, d):
     return retrieval.context(A.symbols(spark, d), _sold(spark, d), _questions(spark))[1].select("question", "from_id", "to_id")
 
 
+@query(
+    with_ctes(
+        """SELECT question, 'You are a C# code expert. Answer based on the provided context.' || n || n || 'Question: ' || question || n || n || CASE WHEN s IS NULL THEN '' ELSE '## Relevant Symbols' || n || s END
+ || CASE WHEN l IS NULL THEN '' ELSE '## Relationships' || n || l || n END || 'Provide a comprehensive answer based on the above context.' || n AS prompt FROM (SELECT question, chr(10) AS n,
+(SELECT string_agg('- **' || full_name || '** (' || kind || ')' || chr(10) || '  File: :0' || chr(10) || chr(10), '' ORDER BY place) FROM chosen JOIN symbols USING (id) WHERE chosen.question = q.question) AS s,
+(SELECT string_agg('- ' || f || ' → ' || t || ': Calls' || chr(10), '' ORDER BY f, t) FROM (SELECT a.full_name AS f, b.full_name AS t, row_number() OVER (ORDER BY a.full_name, b.full_name) AS k FROM links JOIN symbols a ON a.id = from_id JOIN symbols b ON b.id = to_id WHERE links.question = q.question) WHERE k <= 20) AS l FROM questions q)""",
+        SYMBOLS, QUESTIONS_SQL, SOLD, CONTEXT,
+    )
+)
+def context_prompt(spark, d):
+    s = A.symbols(spark, d)
+    chosen, links = retrieval.context(s, _sold(spark, d), _questions(spark))
+    return retrieval.context_prompts(_questions(spark), chosen, links, s)
+
+
 @query(
     with_ctes(
         """SELECT question, symbols, relations, length(question) // 4 + 50 * symbols + 20 * relations AS tokens, round(conf, 9) AS confidence, conf > 0.65 AS sufficient FROM (SELECT *, CASE WHEN symbols = 0 THEN 0.0::double ELSE least(1.0::double, 0.6::double * best + 0.3::double * least(1.0::double, relations / 10.0::double) + CASE WHEN symbols >= 3 THEN 0.1::double ELSE 0.0::double END) END AS conf
@@ -212,7 +229,7 @@ def embedding_batches(spark, d):
     return retrieval.batched(rows).groupBy("part", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT source || '/' || doc_id AS file_path, to_base64(unhex(md5(text))) AS content_hash, 64 AS size FROM documents")
 def embed_documents(spark, d):
     f = A.files(spark, d).select("file_path", F.lit(0).alias("chunk_index"), "content")
     cache = spark.createDataFrame([], "content_hash string, model string, vector array<float>")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from symgraph.operators import search
 from symgraph.plans import adapters as A
-from symgraph.plans.adapters import FILES, REFS, SYMBOLS, with_ctes
+from symgraph.plans.adapters import DECLARES, FILES, REFS, SYMBOLS, with_ctes
 from symgraph.registry import query
 
 ASKED = ("red bolt", "NATION_1", "cold", "Supplier#00000001", "bolt", "global::ASIA.NATION_2", "xyzzy gear", "re")
@@ -104,19 +103,30 @@ def reference_relevance(spark, d):
     return search.reference_relevance(A.refs(spark, d)).groupBy("symbol_id", "kind").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
+#: Queries of several words, and the terms that they hold, which are searched for by themselves.
+HYBRID = {"red bolt": ("red", "bolt"), "NATION_1": ("NATION_1",), "What is the Supplier#00000001?": ("Supplier#00000001",), "cold gear of NATION_2, xyzzy": ("cold", "gear", "NATION_2", "xyzzy"), "re": ()}
+HYBRID_SQL = ", ".join([
+    "asked(query) AS (VALUES " + ", ".join(f"('{w}')" for w in sorted({*HYBRID, *(t for ts in HYBRID.values() for t in ts)})) + ")", "by_term(query, term) AS (VALUES " + ", ".join(f"('{q}', '{t}')" for q, ts in HYBRID.items() for t in ts) + ")",
+    "whole(query) AS (VALUES " + ", ".join(f"('{q}')" for q in HYBRID) + ")",
+])
+NEAR = """seeds AS (SELECT DISTINCT b.query, f.id AS seed FROM by_term b JOIN found f ON f.query = b.term AND f.place <= 5),
+ways AS (SELECT source_id AS src, target_id AS dst FROM declares UNION SELECT target_id, source_id FROM declares),
+one AS (SELECT DISTINCT seed, dst AS node FROM seeds JOIN ways ON src = seed), two AS (SELECT DISTINCT seed, dst AS node FROM one JOIN ways ON src = node),
+steps AS (SELECT seed, node, 1 AS depth FROM one UNION ALL SELECT seed, node, 2 FROM two WHERE (seed, node) NOT IN (FROM one)),
+hood AS (SELECT seed, node, 1.0::double / (1 + depth) AS score FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS n FROM steps WHERE node != seed) WHERE n <= 50),
+near AS (SELECT query, node AS id, max(score) AS g FROM hood JOIN seeds USING (seed) WHERE node IN (SELECT id FROM symbols) GROUP BY 1, 2),
+ranks AS (SELECT query, id, 1.0::double / (60 + place) AS f FROM found WHERE place <= 30 AND query IN (FROM whole))"""
+
+
 @query(
     with_ctes(
-        """SELECT query, id, round(coalesce(f, 0) + 0.5 * coalesce(g, 0), 9) AS score, round(coalesce(f, 0), 9) AS fuzzy_score, round(coalesce(g, 0), 9) AS graph_score FROM (
-SELECT *, row_number() OVER (PARTITION BY query ORDER BY coalesce(f, 0) + 0.5 * coalesce(g, 0) DESC, id) AS n FROM (SELECT query, id, 1.0::double / (60 + place) AS f FROM found WHERE place <= 30) a FULL JOIN near b USING (query, id)) WHERE n <= 10""",
-        SYMBOLS, ASKED_SQL, GRAMS, TIERS, "near AS (SELECT query, declaring_type_id AS id, 0.5::double AS g FROM (SELECT * FROM found WHERE place <= 5) f JOIN symbols s ON s.id = f.id WHERE declaring_type_id IS NOT NULL GROUP BY 1, 2)",
+        """SELECT query, id, round(f + 0.5 * g, 9) AS score, round(f, 9) AS fuzzy_score, round(g, 9) AS graph_score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY f + 0.5 * g DESC, id) AS n FROM (
+SELECT query, id, coalesce(f, 0) AS f, coalesce(g, 0) AS g FROM ranks FULL JOIN near USING (query, id))) WHERE n <= 10""",
+        SYMBOLS, DECLARES, HYBRID_SQL, GRAMS, TIERS, NEAR,
     )
 )
 def hybrid_rrf(spark, d):
-    s = A.symbols(spark, d)
-    found = search.find_symbols(s, asked(spark), 30)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "full_name", "id")))
-    near = ranked.where("rank <= 5").join(s.select("id", "declaring_type_id"), "id").where("declaring_type_id is not null").select("query", F.col("declaring_type_id").alias("id"), F.lit(0.5).alias("score")).distinct()
-    rows = search.fused(ranked.select("query", "id", "rank"), near)
+    rows = search.hybrid(A.symbols(spark, d), A.declares(spark, d), asked(spark, *HYBRID))
     return rows.select("query", "id", *[F.round(c, 9).alias(c) for c in ("score", "fuzzy_score", "graph_score")])
 
 

@@ -107,9 +107,9 @@ def json_props(spark, d):
     return e.select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
 
 
-@query("SELECT 'Assembly.' || event_type AS name, event_id::varchar AS to, substr(sha256('Assembly:' || 'Assembly.' || event_type), 1, 32) AS source_id FROM events WHERE value > 40")
+@query("SELECT 'Assembly.' || event_type AS name, event_id::varchar AS to, substr(sha256('Assembly:' || 'Assembly.' || event_type), 1, 32) AS source_id FROM events")
 def asmdef_parse(spark, d):
-    e = table(spark, d, "events").where("value > 40")
+    e = table(spark, d, "events")
     text = F.format_string('{"name": "Assembly.%s", "references": ["%s"], "other": %s}', "event_type", F.col("event_id").cast("string"), "props")
     found = unity.assemblies(e.select(F.concat(F.lit("Assets/"), F.col("event_id").cast("string"), F.lit(".asmdef")).alias("file_path"), text.alias("content")))
     return found.select("name", F.explode("references").alias("to"), unity.ids.asset_id("Assembly", F.col("name")).alias("source_id"))
@@ -183,7 +183,7 @@ def graph_store_round_trip(spark, d):
 
 SAMPLE = {
     "Game.cs": "namespace Shop;\npublic interface IPriced { decimal Price(); }\npublic class Item : IPriced {\n  public int Count { get; set; }\n  public virtual decimal Price() => Count * Rate();\n  private decimal Rate() { return 2; }\n}\n",
-    "Gift.cs": "namespace Shop;\npublic class Gift : Item {\n  private readonly Item inner = new Item();\n  public override decimal Price() { return inner.Price(); }\n}\n",
+    "Gift.cs": "namespace Shop;\npublic class Gift : Item {\n  private readonly Item inner = new Item();\n  public override decimal Price() { return inner.Price(); }\n  public decimal Price(int n) => n * Price();\n}\n",
 }
 
 
@@ -191,21 +191,44 @@ def _sample(spark):
     return spark.createDataFrame(sorted(SAMPLE.items()), "file_path string, content string")
 
 
-@query()
+#: What the sample declares: full name, kind, type, access, first and last line.
+DECLARED = """VALUES ('global::Shop', 'Namespace', NULL, 'NotApplicable', 0, 6), ('global::Shop.IPriced', 'Type', 'Interface', 'Public', 1, 1), ('global::Shop.IPriced.Price', 'Method', 'decimal', 'Public', 1, 1),
+('global::Shop.Item', 'Type', 'Class', 'Public', 2, 6), ('global::Shop.Item.Count', 'Property', 'int', 'Public', 3, 3), ('global::Shop.Item.Price', 'Method', 'decimal', 'Public', 4, 4), ('global::Shop.Item.Rate', 'Method', 'decimal', 'Private', 5, 5),
+('global::Shop.Gift', 'Type', 'Class', 'Public', 1, 5), ('global::Shop.Gift.inner', 'Field', 'Item', 'Private', 2, 2), ('global::Shop.Gift.Price', 'Method', 'decimal', 'Public', 3, 3), ('global::Shop.Gift.Price', 'Method', 'decimal', 'Public', 4, 4)"""
+#: How what it declares hangs together.
+LINKED = """VALUES ('IPriced', 'IPriced.Price', 'Declares'), ('Item', 'Item.Count', 'Declares'), ('Item', 'Item.Price', 'Declares'), ('Item', 'Item.Rate', 'Declares'), ('Gift', 'Gift.inner', 'Declares'), ('Gift', 'Gift.Price', 'Declares'), ('Gift', 'Gift.Price(int)', 'Declares'),
+('Gift', 'Item', 'Inherits'), ('Item', 'IPriced', 'Implements'), ('Gift', 'IPriced', 'Implements'), ('Gift.Price', 'Item.Price', 'Overrides'), ('Item.Price', 'Item.Rate', 'Calls'), ('Gift.Price', 'Item.Price', 'Calls'), ('Gift.Price(int)', 'Gift.Price', 'Calls')"""
+DESIGNED = """VALUES ('', 'IPriced', 'Contains'), ('', 'Item', 'Contains'), ('', 'Gift', 'Contains'), ('Item.Price', 'IPriced.Price', 'Implements'), ('Gift.Price', 'IPriced.Price', 'Implements')"""
+
+
+@query(f"SELECT * FROM ({DECLARED}) t(full_name, kind, type_name, access, start_line, end_line)")
 def extract_csharp(spark, d):
     rows = csharp.extract(_sample(spark))
     return csharp.symbols_of(rows).select("full_name", "kind", "type_name", "access", "start_line", "end_line")
 
 
-@query()
+def _short(df, s):
+    """Edges by their ends' keys, without the namespace and empty brackets."""
+    key = F.regexp_replace(F.regexp_replace("key", r"^global::Shop\.?", ""), r"\(\)$", "")
+    name = lambda k: s.select(F.col("id").alias(f"{k}_id"), key.alias(k))
+    return df.join(name("source"), "source_id").join(name("target"), "target_id").select("source", "target", "kind")
+
+
+@query(f"SELECT * FROM ({LINKED}) t(source, target, kind)")
 def extract_csharp_edges(spark, d):
     rows = csharp.extract(_sample(spark))
     s = csharp.symbols_of(rows)
-    name = lambda k: s.select(F.col("id").alias(f"{k}_id"), F.col("full_name").alias(k))
-    return csharp.edges_of(s, csharp.resolve(rows, s)).join(name("source"), "source_id").join(name("target"), "target_id").select("source", "target", "kind")
+    return _short(csharp.edges_of(s, csharp.resolve(rows, s), rows), s)
 
 
-@query()
+@query(f"SELECT * FROM ({DESIGNED}) t(source, target, kind)")
+def extract_design_edges(spark, d):
+    rows = csharp.extract(_sample(spark))
+    s = csharp.symbols_of(rows)
+    return _short(csharp.design_edges(s, csharp.edges_of(s, csharp.resolve(rows, s), rows)), s)
+
+
+@query(with_ctes("SELECT file_path, change_type, hash FROM changes", FILES, CHANGES))
 def stream_changes(spark, d):
     """The change log of two manifests, streamed; the result is what the stream applied."""
     log, out = shared_path(spark, "change-log"), shared_path(spark, "applied")

@@ -204,15 +204,33 @@ def graph_density(spark, d):
     return rows.select("repository", "nodes", "edges", F.round(analysis.density(F.col("nodes"), F.col("edges")), 9).alias("density"), F.round(F.try_divide(F.col("edges").cast("double"), F.col("nodes")), 9).alias("average"))
 
 
+HEALTH = """uses AS (SELECT DISTINCT s.declaring_type_id AS source_id, md5('part:' || l_partkey::varchar) AS target_id, 'Uses' AS kind, s.repository FROM lineitem JOIN symbols s ON s.kind = 'Method' AND s.name = 'Supplier#' || lpad(l_suppkey::varchar, 9, '0')),
+loops AS (SELECT a.id AS source_id, b.id AS target_id, 'Inherits' AS kind, a.repository FROM nodes a, nodes b WHERE (a.label, b.label) IN (('NATION_3', 'NATION_8'), ('NATION_8', 'NATION_3'), ('NATION_4', 'NATION_3'))),
+links AS (FROM declares UNION ALL FROM uses UNION ALL FROM loops),
+large AS (SELECT s.repository, count(*) AS n FROM symbols s JOIN (SELECT declaring_type_id AS owner, count(*) AS n FROM symbols GROUP BY 1) m ON m.owner = s.id WHERE s.kind = 'Type' AND m.n > 30 GROUP BY 1),
+god AS (SELECT s.repository, count(*) AS n FROM symbols s JOIN (SELECT source_id, count(*) AS n FROM links WHERE kind IN ('Calls', 'Uses') GROUP BY 1) m ON m.source_id = s.id WHERE s.kind = 'Type' AND m.n > 20 GROUP BY 1),
+cyclic AS (SELECT repository, 1 AS n FROM nodes WHERE label IN ('NATION_3', 'NATION_8') GROUP BY 1),
+dense AS (SELECT repository, nodes, coalesce(edges, 0)::double / (nodes::double * (nodes - 1) / 2) AS density FROM (SELECT repository, count(*) AS nodes FROM nodes GROUP BY 1) LEFT JOIN (SELECT repository, count(*) AS edges FROM links GROUP BY 1) USING (repository))"""
+
+
 @query(
     with_ctes(
-        """SELECT t.repository, greatest(0, least(100, 100 - 5 * coalesce(l.n, 0)))::double AS score, t.total, coalesce(l.n, 0) AS n_large FROM (SELECT repository, count(*) AS total FROM symbols GROUP BY 1) t
-LEFT JOIN (SELECT repository, count(*) AS n FROM (SELECT s.repository FROM symbols s JOIN (SELECT declaring_type_id AS owner, count(*) AS n FROM symbols GROUP BY 1) m ON m.owner = s.id WHERE s.kind = 'Type' AND m.n > 30) GROUP BY 1) l USING (repository)""",
-        SYMBOLS,
+        """SELECT repository, greatest(0, least(100, 100 - 5 * n_large - 15 * n_cycle - 10 * n_god - CASE WHEN density > 0.5 THEN 5 ELSE 0 END))::double AS score, total, n_large, n_god, n_cycle, round(density, 9) AS density
+FROM (SELECT t.repository, t.total, coalesce(l.n, 0) AS n_large, coalesce(g.n, 0) AS n_god, coalesce(c.n, 0) AS n_cycle, d.density FROM (SELECT repository, count(*) AS total FROM symbols GROUP BY 1) t
+LEFT JOIN large l USING (repository) LEFT JOIN god g USING (repository) LEFT JOIN cyclic c USING (repository) LEFT JOIN dense d USING (repository))""",
+        SYMBOLS, NODES, DECLARES, HEALTH,
     )
-)
+)
 def health_score(spark, d):
-    return analysis.health(A.symbols(spark, d), A.nodes(spark, d), A.declares(spark, d)).select("repository", "score", "total", "n_large")
+    """Classes use the parts that their suppliers deliver, and two inherit from one another."""
+    s, n = A.symbols(spark, d), A.nodes(spark, d)
+    line = table(spark, d, "lineitem").select(F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("name"), ids.node_id(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("target_id"))
+    uses = line.join(s.where("kind = 'Method'"), "name").select(F.col("declaring_type_id").alias("source_id"), "target_id", F.lit("Uses").alias("kind"), "repository").distinct()
+    pairs = spark.createDataFrame([("NATION_3", "NATION_8"), ("NATION_8", "NATION_3"), ("NATION_4", "NATION_3")], "a string, b string")
+    end = lambda k, name: n.select(F.col("label").alias(k), F.col("id").alias(name), F.col("repository").alias(f"{k}_repository"))
+    loops = pairs.join(end("a", "source_id"), "a").join(end("b", "target_id"), "b").select("source_id", "target_id", F.lit("Inherits").alias("kind"), F.col("a_repository").alias("repository"))
+    rows = analysis.health(s, n, A.declares(spark, d).unionByName(uses).unionByName(loops))
+    return rows.select("repository", "score", "total", "n_large", "n_god", "n_cycle", F.round("density", 9).alias("density"))
 
 
 COMPARE = """one AS (SELECT DISTINCT full_name AS n FROM (SELECT 'x.' || p_name AS full_name FROM part WHERE p_brand = 'Brand#3')), two AS (SELECT DISTINCT 'x.' || p_name AS n FROM part WHERE p_brand = 'Brand#7')"""
@@ -239,9 +257,10 @@ def symbol_repo_count(spark, d):
     return repositories_of(table(spark, d, "part").select(F.col("p_name").alias("full_name"), F.col("p_brand").alias("repository")))
 
 
-@query(with_ctes("SELECT min(file_path) AS path FROM (SELECT file_path, lower(substr(file_path, 1, 4)) AS k FROM files) GROUP BY k", FILES))
+@query(with_ctes("SELECT file_path AS path FROM files UNION ALL SELECT file_path || '.new' FROM files", FILES))
 def registry_paths(spark, d):
+    """All paths are registered again in capitals, which adds none, and with a new ending."""
     from symgraph.sources.files import register_paths
 
-    rows = A.files(spark, d).select(F.lower(F.substring("file_path", 1, 4)).alias("k"), "file_path").groupBy("k").agg(F.min("file_path").alias("path")).select("path")
-    return register_paths(rows, rows.select(F.upper("path").alias("path")))
+    rows = A.files(spark, d).select(F.col("file_path").alias("path"))
+    return register_paths(rows, rows.select(F.upper("path").alias("path")).unionByName(rows.select(F.concat("path", F.lit(".new")).alias("path"))))
