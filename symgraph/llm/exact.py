@@ -179,7 +179,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """docs without the rows of marked (doc_id, x, stays); of rows that stay and are equal in doc_id and text, one is left."""
+    """docs without the rows of marked (doc_id, x, stays); of rows that stay and are equal in doc_id and text, one is left.
+
+    A null doc_id is a value like others, a null text equals an empty one, long texts are hashed where they lie, and empty
+    tables on either side change nothing."""
     i, x = unused(docs, "gone_id", "gone_x")
     gone = materialise(marked.select(F.col("doc_id").alias(i), F.col("x").alias(x), "stays"), "gone")
     here = [F.col("doc_id").cast("long").eqNullSafe(F.col(i)), F.xxhash64(text_of()) == F.col(x)]

@@ -51,7 +51,8 @@ def solve(counts: DataFrame, goals: dict, total: int, n: int, share: float, most
     """Each source's multiplier; counts has source, size, n. A source whose target is all it may give gets infinity.
 
     A step sums, over the cluster, the words that the present multipliers take and the sum's slope, by source; the
-    driver holds a few numbers a source. Steps that leave the bracket of the root are halved into it.
+    driver holds a few numbers a source. Steps that leave the bracket of the root are halved into it. Targets that are not
+    met after so many rounds are an error.
     """
     scale, base = max(1.0, total / max(1, n)), min(share, most * 0.999)
     t = {s: 0.0 for s in goals}
@@ -90,6 +91,8 @@ def solve(counts: DataFrame, goals: dict, total: int, n: int, share: float, most
                 t[k] = max(1.0, 2 * low[k] if low[k] > 0 else 1.0)
             else:
                 t[k] = (low[k] + high[k]) / 2
+    if left := [s for s in goals if s not in done]:
+        raise RuntimeError(f"{len(left)} sources did not meet their targets in {rounds} steps: {left[:5]}")
     return t
 
 
@@ -156,7 +159,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs as mixed: each row as often as it has copies, none for 0; all columns stay.
+    """docs as mixed: each row as often as it has copies, none for 0; all columns stay; nulls and empty tables as in mix().
 
     The copies are joined back by the hash of doc_id and text; rows equal in both take their copies together: the sum is
     put on one row each.

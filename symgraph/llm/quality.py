@@ -164,7 +164,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, whole, whose score reaches the threshold; filtered in the scan, without a shuffle."""
+    """The rows of docs, whole, whose score reaches the threshold; filtered in the scan, without a shuffle.
+
+    Null and empty texts have the score of a text without features; repeated rows stay or go together; an empty table stays
+    empty; long texts are read whole."""
     model = fit(docs, labels)
 
     def make():

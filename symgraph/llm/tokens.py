@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import per_batch, rows_of, text_of
+from symgraph.llm.common import AT_ONCE, per_batch, rows_of, text_of
 from symgraph.llm.pieces import REMEMBERED, Pieces
 from symgraph.session import shared_path
 
@@ -66,29 +66,30 @@ def loaded(path: str, pattern: str) -> LibraryEncoder:
 def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int, parts: int | None = None) -> None:
     """Encodes each row's text, appends the end id, and writes ORC files in ascending doc_id order.
 
-    Texts are dealt by ranges of doc_id and encoded once, on the far side. Null texts are empty (the end id alone); a
-    null doc_id comes first; rows of equal doc_id are ordered by text; an empty table writes files without rows.
+    Texts are dealt by ranges of doc_id and of how they begin, so many rows of one id, or without one, are dealt to several
+    parts, and encoded once, on the far side, AT_ONCE rows at a time. Null texts are empty (the end id alone); a null
+    doc_id comes first; rows of equal doc_id are ordered by text; an empty table writes files without rows. A long text is
+    encoded whole by one worker and is one row.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows = rows.withColumn("part", F.spark_partition_id())
     tail = struct.pack("<I", end)
 
     def run(batches):
         encoder, place = loaded(tokenizer, pattern), 0
-        for batch in batches:
-            ids, places = [], []
-            for _, text in rows_of(batch, "text"):
-                ids.append(np.frombuffer(encoder.encode(text) + tail, "<i4"))
-                places.append(place)
-                place += len(ids[-1])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            sizes = np.diff(offsets).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.int64()), pa.array(sizes), lists], names=["doc_id", "part", "place", "n_tokens", "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch, ids, places = whole.slice(at, AT_ONCE), [], []
+                for _, text in rows_of(batch, "text"):
+                    ids.append(np.frombuffer(encoder.encode(text) + tail, "<i4"))
+                    places.append(place)
+                    place += len(ids[-1])
+                sizes = np.array([len(x) for x in ids], np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.int64()), pa.array(sizes), lists], names=["doc_id", "part", "place", "n_tokens", "ids"])
 
     rows.mapInArrow(run, "doc_id long, part int, place long, n_tokens int, ids array<int>").write.options(**ORC).orc(path)
 

@@ -79,3 +79,116 @@ def test_accepted_keeps_columns_and_whole_rows(spark, tables):
     assert kept.schema == docs.schema
     good = {r.doc_id for r in quality.score(docs, labels).where("predicted = 1").collect()}
     assert {r.doc_id for r in kept.collect()} == good
+
+
+def sample_texts():
+    rng = np.random.default_rng(9)
+    good = [" ".join(rng.choice(["The", "river", "runs", "slowly,", "past", "old", "mills.", "We", "saw", "42", "boats"], 30)) for _ in range(60)]
+    bad = [" ".join(rng.choice(["CLICK", "here!!!", "buy", "buy", "now", "free$$", "xx1", "river", "old"], 25)) for _ in range(60)]
+    return good + bad, np.array([1] * 60 + [0] * 60)
+
+
+def crc(kind, name, bits):
+    return zlib.crc32(f"{kind}\t{name}".encode()) % 2**bits
+
+
+def test_toxicity_equals_a_plain_twin():
+    """The same learner with dense rows and loops in place of hashed sparse ones."""
+    texts, y = sample_texts()
+    def features(text):
+        out = []
+        for token in set(text.lower().split()):
+            word = token.strip("!?.,$*")
+            out += [crc("w", word, 20)] + [crc("p", word[:n], 20) for n in (4, 5, 6, 7) if len(word) > n]
+        return out
+    prior, rows = 0.4, [features(t) for t in texts]
+    assert [sorted(r) for r in rows] == [sorted(toxicity.features(t).tolist()) for t in texts]
+    p, u = [r for r, k in zip(rows, y, strict=True) if not k], rows
+    found = toxicity.train([np.array(r, np.int32) for r in p], [np.array(r, np.int32) for r in u], prior)
+    kept = []
+    for f in sorted({f for r in p for f in r}):
+        a, b = sum(f in r for r in p), sum(f in r for r in u)
+        d = (a / len(p) - b / len(u)) / np.sqrt((a + b + 1) / (len(p) + len(u)) * (1 / len(p) + 1 / len(u)))
+        kept += [f] * (a >= 3 and a / len(p) > 3 * b / len(u) and d > 3)
+    kept = [f for f in kept]
+    dense = lambda some: np.array([[r.count(f) for f in kept] + [1] for r in some], float)
+    xp, xu, w = dense(p), dense(u), np.zeros(len(kept) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, 301):
+        zp, zu = xp @ w, xu @ w
+        loss = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+        rest = xu.T @ (1 / (1 + np.exp(-zu))) / len(u) - prior * xp.T @ (1 / (1 + np.exp(-zp))) / len(p)
+        g = prior * (xp.T @ (-1 / (1 + np.exp(zp)))) / len(p) + rest if loss >= 0 else -rest
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - 0.003, 0)
+    assert sorted(k for k in found if k >= 0) == kept and found[-1] == pytest.approx(w[-1], abs=1e-6)
+    assert [found[f] for f in kept] == pytest.approx(list(w[:-1]), abs=1e-6)
+    score = toxicity.Scorer(found).score
+    for t in [*texts[::7], "", "plain words"]:
+        z = found[-1] + sum(found.get(f, 0) for f in features(t))
+        assert score(t) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+
+
+def test_quality_equals_a_plain_twin():
+    """Ratios, hinge weights, mixture and scores by dictionaries and loops."""
+    texts, y = sample_texts()
+    order = np.random.default_rng(3).permutation(len(y))
+    texts, y = [texts[i] for i in order], y[order]
+    of = lambda t: [int(f) for f in quality.Features().of(t)]
+    model = quality.train([np.array(of(t), np.int32) for t in texts], y)
+    train = [(of(t), 1 if k else -1) for i, (t, k) in enumerate(zip(texts, y, strict=True)) if i % 5]
+    count = {}
+    for fs, _ in train:
+        for f in fs:
+            count[f] = count.get(f, 0) + 1
+    kept = sorted(f for f, n in count.items() if n >= min(quality.LEAST, max(2, len(train) // 50)) and n < len(train))
+    share = lambda k: {f: 1 + sum(f in fs for fs, y_ in train if y_ == k) for f in kept}
+    good, bad = share(1), share(-1)
+    ratio = {f: np.log(good[f] / sum(good.values()) / (bad[f] / sum(bad.values()))) for f in kept}
+    assert model["ids"].tolist() == kept and model["ratio"] == pytest.approx([ratio[f] for f in kept], abs=1e-9)
+
+    def scaled(fs):
+        x = {f: ratio[f] for f in fs if f in ratio} | {-1: 1.0}
+        n = np.sqrt(sum(v * v for v in x.values()))
+        return {f: v / n for f, v in x.items()}
+
+    rows = [(scaled(fs), k) for fs, k in train]
+    w, alpha = dict.fromkeys([*kept, -1], 0.0), [0.0] * len(rows)
+    most = {k: len(rows) / (2 * sum(y_ == k for _, y_ in rows)) for k in (-1, 1)}
+    shuffle = np.random.default_rng(7)
+    for _ in range(15):
+        moved = 0.0
+        for i in shuffle.permutation(len(rows)):
+            x, k = rows[i]
+            slope = k * sum(w[f] * v for f, v in x.items()) - 1
+            new = min(max(alpha[i] - slope / sum(v * v for v in x.values()), 0), most[k])
+            for f, v in x.items():
+                w[f] += (new - alpha[i]) * k * v
+            moved, alpha[i] = max(moved, abs(new - alpha[i])), new
+        if moved < 1e-3:
+            break
+    mean = sum(abs(w[f]) for f in kept) / len(kept)
+    want = [mean / 2 + w[f] / 2 for f in kept] + [w[-1]]
+    assert model["weights"] == pytest.approx(want, abs=1e-3)
+    score = quality.Scorer(model).score
+    weight = dict(zip([*kept, -1], model["weights"], strict=True))
+    for t in [*texts[::9], "", "unseen"]:
+        z = sum(weight[f] * v for f, v in scaled(of(t)).items())
+        assert score(t) == pytest.approx(1 / (1 + np.exp(-(model["slope"] * z + model["place"]))), abs=1e-6)
+    margins = [(sum(weight[f] * v for f, v in scaled(of(t)).items()), k) for i, (t, k) in enumerate(zip(texts, y, strict=True)) if i % 5 == 0]
+    assert np.mean([(model["slope"] * z + model["place"] > 0) == bool(k) for z, k in margins]) == 1
+
+
+def test_repeated_documents_are_learned_from_once(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, label int")
+    docs = frame(spark, [(i, f"word{i} text") for i in range(1, 60)] * 5 + [(1, "another text")] * 100)
+    rows, y = learning.feature_rows(docs, labels, lambda: lambda t: np.array([len(t)], np.int32))
+    assert len(rows) == 59 and y.sum() == 30
+
+
+def test_long_texts_are_learned_from_by_a_bounded_sample():
+    found = np.arange(20_000, dtype=np.int32)
+    kept = learning.bounded(found)
+    assert len(kept) == learning.MOST_FEATURES and (np.diff(kept) > 0).all() and (learning.bounded(found[:100]) == found[:100]).all()

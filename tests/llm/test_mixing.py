@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,31 @@ def test_newton_meets_any_target(spark, goal):
     rates = [mixing.rate(t["s"], z, 1.5, 2, (size + 50) / 164)[0] for z in (1, 3, 40, 900, 20_000)]
     got = sum(float(r) * z * n for r, z, n in zip(rates, (1, 3, 40, 900, 20_000), (50, 80, 20, 3, 1), strict=True))
     assert got == pytest.approx(goal * size, rel=2e-4) and t["t"] == float("inf")
+
+
+@pytest.mark.parametrize("goal", [0.3, 0.9, 1.7])
+def test_rates_are_nearest_in_entropy(spark, goal):
+    """No other rates that meet the target are closer to the common rate: small feasible moves in any direction cost more."""
+    sizes, many = np.array([1, 3, 40, 90, 200.0]), np.array([50, 80, 20, 3, 1.0])
+    counts = spark.createDataFrame([("s", int(z), int(n)) for z, n in zip(sizes, many, strict=True)], "source string, size long, n long")
+    total = float(sizes @ many)
+    t = mixing.solve(counts, {"s": (goal * total, total)}, int(total), int(many.sum()), 1.5, 2, near=1e-10)
+    rates = mixing.rate(t["s"], sizes, 1.5, 2, total / many.sum())[0]
+
+    def entropy(r):
+        p, q = r / 2, 1.5 / 2
+        return many @ (p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q)))
+
+    rng, room = np.random.default_rng(1), np.minimum(rates, 2 - rates)
+    weight = sizes * many * room
+    for _ in range(300):
+        move = rng.normal(size=5)
+        move -= weight * (move @ weight) / (weight @ weight)  # the target stays met
+        assert entropy(rates + 0.1 * room * move / np.abs(move).max()) > entropy(rates) - 1e-9
+        assert entropy(rates + 0.9 * room * move / np.abs(move).max()) > entropy(rates) - 1e-9
+
+
+def test_unmet_targets_are_an_error(spark):
+    counts = spark.createDataFrame([("s", 3, 10), ("s", 50, 2)], "source string, size long, n long")
+    with pytest.raises(RuntimeError, match="1 sources did not meet"):
+        mixing.solve(counts, {"s": (70.0, 130)}, 130, 12, 1.5, 2, rounds=1)

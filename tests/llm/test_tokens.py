@@ -79,3 +79,30 @@ def test_orc_files_are_ordered_and_prune(spark, tmp_path):
     assert len(spans) > 1 and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
     one = rows.where("doc_id = 17")
     assert one.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in one._jdf.queryExecution().toString()
+
+
+def read_by(df):
+    """Rows that the scan gave when df was collected."""
+    assert df.collect() is not None
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_index_and_bloom_filters_spare_rows(spark, tmp_path):
+    docs = spark.range(24_000).selectExpr("id * 2 as doc_id", "concat('text ', id) as text")
+    path = str(tmp_path / "ids")
+    tokens.write(docs, path, P.path("byte_bpe_50k.json"), P.PATTERN, 2, parts=2)
+    rows = tokens.read(spark, path).select("doc_id", "n_tokens")
+    assert read_by(rows) == 24_000
+    there, between = rows.where("doc_id = 9000"), rows.where("doc_id = 9001")
+    assert there.count() == 1 and read_by(there) <= 2_048  # one row group
+    assert read_by(between) == 0  # within all ranges: the Bloom filter knows that it isn't there
+    assert read_by(rows.where("doc_id between 100 and 300")) <= 2_048
+
+
+def test_rows_of_one_id_are_dealt_to_several_parts(spark, tmp_path):
+    docs = spark.range(3_000).selectExpr("cast(null as long) as doc_id", "concat(md5(cast(id as string)), ' words') as text")
+    path = str(tmp_path / "ids")
+    tokens.write(docs, path, P.path("byte_bpe_50k.json"), P.PATTERN, 2, parts=4)
+    sizes = [r["count"] for r in tokens.read(spark, path).groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1_500
