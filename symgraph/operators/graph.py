@@ -165,9 +165,11 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int =
     return nodes.join(ids, "id", "left_semi"), inside
 
 
-def match_pattern(nodes: DataFrame, edges: DataFrame, kinds: list[str | None], links: list[str]) -> DataFrame:
-    """Bindings n0, n1, ... of a chain of nodes of these kinds (None: any) joined by edges of these kinds."""
-    at = lambda i: (nodes.where(F.col("kind") == kinds[i]) if kinds[i] else nodes).select(F.col("id").alias(f"n{i}"))
+def match_pattern(nodes: DataFrame, edges: DataFrame, kinds: list[str | None], links: list[str], where: dict[int, str] | None = None) -> DataFrame:
+    """Bindings n0, n1, ... of a chain of nodes of these kinds (None: any) joined by edges of these kinds (D4). where has, by
+    place, conditions on the nodes' columns as SQL, like {1: "full_name = 'Weapon.Fire'"}."""
+    of_kind = lambda i: nodes.where(F.col("kind") == kinds[i]) if kinds[i] else nodes
+    at = lambda i: (of_kind(i).where((where or {}).get(i, "true"))).select(F.col("id").alias(f"n{i}"))
     found = at(0)
     for i, kind in enumerate(links):
         step = edges.where(F.col("kind") == kind).select(F.col("source_id").alias(f"n{i}"), F.col("target_id").alias(f"n{i + 1}"))

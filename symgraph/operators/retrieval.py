@@ -107,6 +107,24 @@ def within_budget(rows: DataFrame, budget: int, by: list[str], order: list) -> D
     return rows.withColumn("total", total).where(F.col("total") <= budget)
 
 
+def compressed(items: DataFrame, budget: int, least: float = 0.5) -> DataFrame:
+    """The items of each question (question, id, kind: symbol, snippet or relation, score, distance, content, tokens) in
+    four steps, each for the questions whose tokens still exceed the budget: scores below least go; snippets are cut to
+    equal shares of the budget; relations of more than one step go; then the first items, symbols before others and by
+    score, that fit."""
+    by = Window.partitionBy("question")
+    total = lambda df: df.withColumn("total", F.sum("tokens").over(by))
+    rows = total(items).where((F.col("total") <= budget) | (F.col("score") >= least))
+    snippet = F.col("kind") == "snippet"
+    share = F.expr(f"{budget} div n").cast("long")
+    rows = total(rows).withColumn("n", F.greatest(F.count_if(snippet).over(by), F.lit(1))).withColumn("cut", (F.col("total") > budget) & snippet & (F.col("tokens") > share))
+    rows = rows.withColumn("content", F.when(F.col("cut"), F.substring("content", F.lit(1), (share * 4).cast("int"))).otherwise(F.col("content"))).withColumn("tokens", F.when(F.col("cut"), share).otherwise(F.col("tokens")))
+    rows = total(rows).where((F.col("total") <= budget) | (F.col("kind") != "relation") | (F.col("distance") <= 1))
+    order = by.orderBy(F.col("kind") != "symbol", F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = total(rows).withColumn("upto", F.sum("tokens").over(order))
+    return rows.where((F.col("total") <= budget) | (F.col("upto") <= budget)).select("question", "id", "kind", "score", "content", "tokens")
+
+
 def intent(question: Column) -> Column:
     """What a question is after."""
     q = F.lower(question)
@@ -226,7 +244,7 @@ def embed_queue(pending: DataFrame, embedder: Callable[[pd.Series], pd.Series],
         left = out.where("vector is null").select("content_hash", "model", "content")
         if left.isEmpty():
             break
-        size = max(1, size // 4)  # smaller batches set a bad text apart
+        size = max(1, size // 4) if tries + 1 < most else 1  # smaller batches, at last single texts, set a bad one apart
     return done, left.withColumn("tries", F.lit(tries))
 
 

@@ -52,6 +52,26 @@ def mermaid(nodes: DataFrame, edges: DataFrame, most_nodes: int = 50, most_edges
     return lines.select(F.array_join(F.concat(F.array(F.lit("graph TD")), F.transform("x", lambda r: r["t"])), "\n").alias("mermaid"))
 
 
+# How edges are drawn, and what marks a kind of node.
+ARROWS = {"Inherits": "-->|inherits|", "Implements": "-.->|implements|", "Requires": "-->|requires|", "References": "-.->|references|"}
+MARKS = {"Interface": ("interface", "#e1f5fe"), "MonoBehaviour": ("monoBehaviour", "#c8e6c9")}
+
+
+def diagram(nodes: DataFrame, edges: DataFrame, way: str = "TD") -> DataFrame:
+    """One row: a diagram of these nodes and of the edges among them, for call graphs, hierarchies, dependencies (way LR),
+    components and architectures, as the caller picks nodes and edges; nodes by full name, edges by their ends."""
+    mark = F.coalesce(F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(f":::{m}")) for k, (m, _) in MARKS.items())), F.col("kind")), F.lit(""))
+    arrow = F.coalesce(F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(a)) for k, a in ARROWS.items())), F.col("kind")), F.lit("-->"))
+    line = lambda order, t: F.struct(*[x.cast("string").alias(f"o{i}") for i, x in enumerate(order)], t.alias("t"))
+    n = nodes.select(line((F.lit(0), F.col("full_name"), F.col("id"), F.lit("")), F.concat(F.lit("    "), F.col("id").cast("string"), F.lit('["'), "label", F.lit('"]'), mark)).alias("x"), F.array_intersect(F.array(F.col("kind")), F.array(*map(F.lit, MARKS))).alias("marks"))
+    ends = nodes.select("id")
+    inside = edges.join(ends.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ends.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    e = inside.select(line((F.lit(1), F.col("source_id"), F.col("target_id"), F.col("kind")), F.concat(F.lit("    "), F.col("source_id").cast("string"), F.lit(" "), arrow, F.lit(" "), F.col("target_id").cast("string"))).alias("x"), F.array().cast("array<string>").alias("marks"))
+    rows = n.unionByName(e).agg(F.array_sort(F.collect_list("x")).alias("lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("marks"))
+    styles = F.transform("marks", lambda k: F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(f"    classDef {m} fill:{c}")) for k, (m, c) in MARKS.items())), k))
+    return rows.select(F.array_join(F.concat(F.array(F.lit(f"graph {way}")), F.transform("lines", lambda r: r["t"]), styles), "\n").alias("mermaid"))
+
+
 def prometheus(metrics: DataFrame, prefix: str = "symgraph") -> DataFrame:
     """One line for each (name, value)."""
     return metrics.select(F.concat(F.lit(f"{prefix}_"), F.replace("name", F.lit("."), F.lit("_")), F.lit(" "), F.format_string("%.2f", F.col("value").cast("double"))).alias("line"))

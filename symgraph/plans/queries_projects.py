@@ -181,3 +181,46 @@ def event_edges(spark, d):
     part = table(spark, d, "part")
     fields = part.where("p_size % 4 = 0").select(F.col("p_name").alias("full_name"), ids.asset_id("UnityEvent", F.col("p_name")).alias("event_id"))
     return unity.event_edges(fields, part.select(F.col("p_name").alias("full_name"), F.col("p_partkey").alias("target_id")))
+
+
+# Designs ----------------------------------------------------------------------------------------------------------------
+
+
+@query(with_ctes("SELECT a.source_id AS n0, a.target_id AS n1 FROM inherits a JOIN customer x ON x.c_custkey = a.source_id JOIN customer y ON y.c_custkey = a.target_id WHERE x.c_acctbal < 0 AND y.c_mktsegment = 'MACHINERY' AND y.c_name LIKE '%1'", INHERITS))
+def pattern_constraints(spark, d):
+    n = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"), "c_acctbal", "c_name")
+    return graph.match_pattern(n, A.inherits(spark, d), [None, "MACHINERY"], ["Inherits"], {0: "c_acctbal < 0", 1: "c_name like '%1'"})
+
+
+STEPS = """items AS (SELECT source AS question, doc_id AS id, ['symbol', 'snippet', 'relation'][doc_id % 3 + 1] AS kind, (doc_id % 10) / 10.0::double AS score, doc_id % 4 AS distance, text AS content, length(text) // 4 AS tokens FROM documents),
+s1 AS (SELECT * EXCLUDE total FROM (SELECT *, sum(tokens) OVER (PARTITION BY question) AS total FROM items) WHERE total <= 20000 OR score >= 0.5),
+s2 AS (SELECT * REPLACE (CASE WHEN total > 20000 AND kind = 'snippet' THEN least(tokens, 20000 // n) ELSE tokens END AS tokens) FROM (SELECT *, sum(tokens) OVER (PARTITION BY question) AS total, greatest(count(*) FILTER (kind = 'snippet') OVER (PARTITION BY question), 1) AS n FROM s1)),
+s3 AS (SELECT * EXCLUDE t FROM (SELECT *, sum(tokens) OVER (PARTITION BY question) AS t FROM s2) WHERE t <= 20000 OR kind != 'relation' OR distance <= 1)"""
+
+
+@query(with_ctes("SELECT question, id, kind, tokens::bigint AS tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY question) AS t, sum(tokens) OVER (PARTITION BY question ORDER BY kind != 'symbol', score DESC, id ROWS UNBOUNDED PRECEDING) AS upto FROM s3) WHERE t <= 20000 OR upto <= 20000", STEPS))
+def context_compressed(spark, d):
+    """Documents as symbols, snippets and relations of a question about their source."""
+    k, text_ = F.col("doc_id"), F.col("text")
+    items = table(spark, d, "documents").select(
+        F.col("source").alias("question"), k.alias("id"), F.element_at(F.array(F.lit("symbol"), F.lit("snippet"), F.lit("relation")), (k % 3 + 1).cast("int")).alias("kind"), ((k % 10) / F.lit(10.0)).alias("score"), (k % 4).alias("distance"),
+        text_.alias("content"), F.expr("length(text) div 4").alias("tokens"),
+    )
+    return retrieval.compressed(items, 20_000).select("question", "id", "kind", "tokens")
+
+
+@query(
+    with_ctes(
+        """SELECT 'graph TD' || chr(10) || (SELECT string_agg('    ' || c_custkey || '["' || c_name || '"]' || CASE WHEN c_custkey % 2 = 0 THEN ':::interface' ELSE '' END, chr(10) ORDER BY c_name) FROM customer WHERE c_custkey IN (FROM near)) || chr(10)
+ || (SELECT string_agg('    ' || source_id || ' -->|inherits| ' || target_id, chr(10) ORDER BY source_id::varchar, target_id::varchar) FROM inherits WHERE source_id IN (FROM near) AND target_id IN (FROM near)) || chr(10) || '    classDef interface fill:#e1f5fe' AS mermaid""",
+        INHERITS, "near AS (SELECT 7 AS k UNION SELECT 1 UNION SELECT source_id FROM inherits WHERE target_id = 7)",
+    )
+)
+def hierarchy_diagram(spark, d):
+    """A class, its base and what derives from it."""
+    from symgraph.plans import export
+
+    e, seed = A.inherits(spark, d), spark.createDataFrame([(7,)], "seed long")
+    kind = F.when(F.col("c_custkey") % 2 == 0, "Interface").otherwise("Class")
+    n = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.col("c_name").alias("label"), kind.alias("kind"))
+    return export.diagram(*graph.subgraph(n, e, seed, 1))

@@ -173,3 +173,23 @@ def script_guids(files: DataFrame) -> DataFrame:
     """guid, name of scripts, from their .cs.meta files."""
     metas = files.where("file_path like '%.cs.meta'")
     return metas.select(F.regexp_extract("content", r"(?m)^guid:\s*(\w+)", 1).alias("guid"), F.regexp_extract("file_path", r"([^/\\]*?)\.cs\.meta$", 1).alias("name")).where("guid != ''")
+
+
+def components_like(nodes: DataFrame, pattern: str) -> DataFrame:
+    """MonoBehaviours whose label contains a text, whatever its case."""
+    return nodes.where((F.col("kind") == "MonoBehaviour") & F.contains(F.lower("label"), F.lit(pattern.lower())))
+
+
+def dependents(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Seed, node: what requires or refers to each seed."""
+    return edges.where("kind in ('Requires', 'References')").join(seeds, F.col("target_id") == F.col("seed")).select("seed", F.col("source_id").alias("node")).distinct()
+
+
+def lifecycle_flow(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """type_id, place, method, callees: the lifecycle methods of each type in the order in which the engine calls them,
+    and what they call."""
+    order = F.array_position(F.array(*map(F.lit, LIFECYCLE)), F.col("name"))
+    steps = symbols.where((F.col("kind") == "Method") & F.col("name").isin(LIFECYCLE)).select("id", F.col("declaring_type_id").alias("type_id"), F.col("name").alias("method"), order.alias("place"))
+    called = edges.where("kind = 'Calls'").join(symbols.select(F.col("id").alias("target_id"), "full_name"), "target_id")
+    called = called.groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_set("full_name")).alias("callees"))
+    return steps.join(called, "id", "left").select("type_id", "place", "method", F.coalesce("callees", F.array().cast("array<string>")).alias("callees"))

@@ -240,3 +240,29 @@ def test_written_tables_are_forgotten(spark):
     import os
 
     assert not session.MADE and not os.path.exists(path)
+
+
+def test_embedding_queue_asks_again(spark):
+    import pandas as pd
+
+    from symgraph.operators import retrieval
+
+    def embedder(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("down")
+        return pd.Series([[float(len(t))] for t in texts])
+
+    rows = [(f"h{i}", "m", "bad text" if i == 7 else f"text {i}") for i in range(40)] + [("h1", "m", "text 1")]
+    done, failed = retrieval.embed_queue(spark.createDataFrame(rows, "content_hash string, model string, content string").coalesce(1), embedder)
+    assert [(r.content_hash, r.tries) for r in failed.collect()] == [("h7", 3)]
+    assert done.count() == 39 and done.where("tries > 1").count() > 0 and done.where("content_hash = 'h1'").first().vector == [6.0]
+
+
+def test_many_vector_queries_are_dealt_in_blocks(spark, monkeypatch):
+    from symgraph.operators import retrieval
+
+    v = spark.range(60).selectExpr("'c' as collection", "id", "array(cast(id as float), cast(1 as float)) as vector")
+    q = v.selectExpr("id as query", "collection", "vector as target")
+    few = sorted((r.query, r.id, r.place) for r in retrieval.vector_search(v, q, 3).collect())
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 7)
+    assert sorted((r.query, r.id, r.place) for r in retrieval.vector_search(v, q, 3).collect()) == few and len(few) == 180

@@ -278,3 +278,34 @@ def test_design_edges(spark, extracted):
     name = {r.id: r.full_name.removeprefix("global::TestGame") for r in s.collect()}
     got = {(name[r.source_id], r.kind, name[r.target_id]) for r in csharp.design_edges(s, csharp.edges_of(s, found, rows)).collect()}
     assert ("", "Contains", ".Enemy") in got and (".Enemy.TakeDamage", "Implements", ".IDamageable.TakeDamage") in got
+
+
+UNITY = {
+    "p/Assets/Player.cs": 'using UnityEngine;\nnamespace G;\n[RequireComponent(typeof(Body)), AddComponentMenu("Game/Player")]\npublic class Player : MonoBehaviour {\n  [SerializeField] int hp;\n  void Update() { Move(); }\n  void Awake() { }\n  void Move() { }\n}\n',
+    "p/Assets/Player.cs.meta": "fileFormatVersion: 2\nguid: abc123\n",
+    "p/Assets/Game.asmdef": '{"name": "Game", "references": ["Core"]}',
+    "p/Assets/Main.unity": "%YAML 1.1\n--- !u!1 &10\nGameObject:\n  m_Name: Hero\n--- !u!4 &11\nTransform:\n  m_GameObject: {fileID: 10}\n  m_Father: {fileID: 0}\n--- !u!114 &12\nMonoBehaviour:\n  m_GameObject: {fileID: 10}\n  m_Script: {fileID: 1, guid: abc123}\n",
+    "p/Assets/Hero.prefab": "--- !u!1 &20\nGameObject:\n  m_Name: Hero\n",
+    "p/Assets/Group.asset": "m_AssetGuid: aa\nm_AssetPath: Assets/Player.cs\n",
+    "p/ProjectSettings/x.asset": "",
+}
+
+
+def test_one_graph_of_a_unity_project(spark):
+    files = spark.createDataFrame([("game", p, t) for p, t in UNITY.items()] + [("plain", "src/Main.unity", UNITY["p/Assets/Main.unity"])], "repository string, file_path string, content string")
+    rows = csharp.extract(files)
+    s = csharp.symbols_of(rows).cache()
+    n, e = unity.project_graph(files, s, unity.script_guids(files))
+    got = {r.id: r for r in n.collect()}
+    assert sorted((r.kind, r.label) for r in got.values()) == [("Assembly", "Game"), ("File", "Player"), ("GameObject", "Hero"), ("GameObject", "Hero"), ("Package", "Addressables"), ("Prefab", "Hero")]
+    script = s.where("name = 'Player'").first().id
+    assert {(r.kind, r.target_id == script) for r in e.collect()} == {("AssemblyDep", False), ("Component", True), ("InstanceOf", False), ("AddressableRef", False), ("References", True)}
+    assert e.count() == e.select("id").distinct().count() == 5
+    (t,) = unity.types(s).collect()
+    assert (t.required, t.component_menu, t.serialised, t.lifecycle) == (["Body"], "Game/Player", ["hp"], ["Awake", "Update"])
+    flow = unity.lifecycle_flow(s, csharp.edges_of(s, csharp.resolve(rows, s), rows)).orderBy("place").collect()
+    assert [(r.method, [c.rsplit(".", 1)[1] for c in r.callees]) for r in flow] == [("Awake", []), ("Update", ["Move"])]
+    nodes = spark.createDataFrame([("a", "PlayerController", "MonoBehaviour"), ("b", "Body", "Class")], "id string, label string, kind string")
+    assert [r.id for r in unity.components_like(nodes, "CONTROL").collect()] == ["a"]
+    edges = spark.createDataFrame([("a", "b", "Requires"), ("a", "b", "References"), ("c", "b", "Calls")], "source_id string, target_id string, kind string")
+    assert [(r.seed, r.node) for r in unity.dependents(edges, spark.createDataFrame([("b",)], "seed string")).collect()] == [("b", "a")]
