@@ -195,6 +195,19 @@ def hashing_embedder(texts: pd.Series, size: int = 64) -> pd.Series:
     return texts.map(one)
 
 
+def available(embedder: Callable[[pd.Series], pd.Series]) -> bool:
+    """Whether the embedder answers."""
+    try:
+        return embedder(pd.Series(["x"])).iloc[0] is not None
+    except Exception:  # the model's own
+        return False
+
+
+def models(cache: DataFrame) -> DataFrame:
+    """Model, texts, dimension of what was embedded so far (content_hash, model, vector)."""
+    return cache.groupBy("model").agg(F.count_distinct("content_hash").alias("texts"), F.max(F.size("vector")).alias("dimension"))
+
+
 def embed(chunks: DataFrame, cache: DataFrame, model: str, embedder: Callable[[pd.Series], pd.Series] = hashing_embedder) -> DataFrame:
     """file_path, chunk_index, content_hash, model, vector; only what the cache (content_hash, model, vector)
     lacks is embedded, each text once. A text that the embedder fails on has a null vector."""

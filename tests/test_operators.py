@@ -253,8 +253,10 @@ def test_embedding_queue_asks_again(spark):
         return pd.Series([[float(len(t))] for t in texts])
 
     rows = [(f"h{i}", "m", "bad text" if i == 7 else f"text {i}") for i in range(40)] + [("h1", "m", "text 1")]
+    assert retrieval.available(retrieval.hashing_embedder) and not retrieval.available(lambda t: 1 / 0)
     done, failed = retrieval.embed_queue(spark.createDataFrame(rows, "content_hash string, model string, content string").coalesce(1), embedder)
     assert [(r.content_hash, r.tries) for r in failed.collect()] == [("h7", 3)]
+    assert [tuple(r) for r in retrieval.models(done).collect()] == [("m", 39, 1)]
     assert done.count() == 39 and done.where("tries > 1").count() > 0 and done.where("content_hash = 'h1'").first().vector == [6.0]
 
 
