@@ -9,8 +9,7 @@ import __spark_entry__
 
 
 @pytest.mark.parametrize("name", ["op3_warc_fixity", "op6_exact_dedup", "op9_url_filter"])
-@pytest.mark.parametrize("d", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def test_oracle(spark, name, d):
+def test_oracle(spark, name, d="/root/testdata/sf0.001"):
     con = duckdb.connect()
     for f in os.listdir(d):
         con.execute(f"create view {f.split('.')[0]} as select * from '{d}/{f}'")
