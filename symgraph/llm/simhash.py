@@ -21,16 +21,18 @@ from pyspark.sql import functions as F
 
 from symgraph.llm import golay
 from symgraph.llm.common import per_batch, rows_of, text_of
-from symgraph.llm.components import components
+from symgraph.llm.components import chained, components
 from symgraph.llm.exact import without
-from symgraph.session import broadcast_if, materialise
+from symgraph.session import broadcast_if, materialise, rows
 
 SEED = 42
 #: Lowest bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles whose bits are counted at a time.
 AT_ONCE = 1 << 16
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
+#: Fingerprints of which one task makes keys, and members from which on a bucket is split further.
+PRINTS_IN_TASK, CROWD = 50_000, 64
 #: Distinct fingerprints from which on keys are wide. Links are the same either way.
 WIDE = 30_000_000
 
@@ -63,8 +65,8 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
 
         return each
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("x", F.xxhash64("text"))
-    return rows.mapInArrow(per_batch(make), "doc_id long, print long, x long")
+    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("x", F.xxhash64("text"))
+    return texts.mapInArrow(per_batch(make), "doc_id long, print long, x long")
 
 
 def crossed(i: np.ndarray, k: np.ndarray, j: np.ndarray, m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,29 +131,60 @@ def key_rows(prints: DataFrame, wide: bool = False) -> DataFrame:
     return prints.select("print").mapInArrow(per_batch(make), "key long, print long")
 
 
-def links(prints: DataFrame, most: int = 4, wide: bool = False) -> DataFrame:
-    """u, v: links between distinct fingerprints that chain together exactly those within most bits of one another.
+def _spread_out(prints: DataFrame) -> DataFrame:
+    """prints, counted, over so many tasks that each gives some million keys at most."""
+    return prints.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, rows(prints) // PRINTS_IN_TASK))
+
+
+def turned(prints: np.ndarray) -> np.ndarray:
+    """The same bits in another order, in which neighbours stand apart."""
+    out = np.zeros_like(prints)
+    for i in range(64):
+        out |= (prints >> np.uint64(i) & np.uint64(1)) << np.uint64(i * 27 % 64)
+    return out
+
+
+def split(members: DataFrame) -> DataFrame:
+    """members (key, print and others) of large buckets, with sub: a row for each key of the print's turned bits. Two that
+    are near share one of these too, so pairs need only be sought within (key, sub)."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            p = np.asarray(batch.column(batch.schema.get_field_index("print"))).astype(np.int64)
+            at, k = keys_of(turned(p.view(np.uint64)))
+            return pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(k)], names=[*batch.schema.names, "sub"])
+
+        return each
+
+    return members.mapInArrow(per_batch(make), ", ".join(f"{n} {kind}" for n, kind in members.dtypes) + ", sub long")
+
+
+def linked(prints: DataFrame, most: int = 4, wide: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two tables of node, root: what links within most bits chain together of distinct fingerprints (print, counted). The
+    second one chains roots of the first; fingerprints without a link are in neither.
 
     First each bucket's members are held against its smallest one; most large groups become one component by that. Then
     only pairs from different components are made, in buckets that hold several, so that a group of near copies doesn't
-    give all its pairs and yet no link that would join two components is missed. Buckets of keys that need two different
-    parities count only if they hold both.
+    give all its pairs and yet no link that would join two components is missed. Such buckets of more than CROWD members
+    are split by further keys before. Buckets of keys that need two different parities count only if they hold both.
     """
-    rows = key_rows(prints, wide).withColumn("odd", odd_of())
+    keyed = key_rows(_spread_out(prints), wide).withColumn("odd", odd_of())
     several = (F.col("low") != F.col("high")) & ((F.col("key") < F.lit(6 << 40)) | (F.col("some") != F.col("all")))
-    buckets = rows.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.max("odd").alias("some"), F.min("odd").alias("all")).where(several)
-    shared = materialise(rows.join(buckets.select("key", "low"), "key"), "simhash-keys")
+    buckets = keyed.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.max("odd").alias("some"), F.min("odd").alias("all")).where(several)
+    shared = materialise(keyed.join(buckets.select("key", "low"), "key"), "simhash-keys")
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
-    stars = materialise(shared.where(within("print", "low") & (F.col("print") != F.col("low"))).select(F.col("print").alias("u"), F.col("low").alias("v")).distinct(), "simhash-stars")
-    roots = materialise(components(stars), "simhash-roots")
+    stars = shared.where(within("print", "low") & (F.col("print") != F.col("low"))).select(F.col("print").alias("u"), F.col("low").alias("v"))
+    roots = materialise(components(stars), "simhash-roots", True)
     named = shared.join(broadcast_if(roots, BROADCAST_ROWS), F.col("print") == F.col("node"), "left")
     named = materialise(named.select("key", "print", "odd", F.coalesce("root", "print").alias("root")), "simhash-named")
-    mixed = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-    named = materialise(named.join(broadcast_if(materialise(mixed, "simhash-open"), BROADCAST_ROWS), "key", "left_semi"), "simhash-mixed")
-    one, two = named.select("key", F.col("print").alias("u"), F.col("root").alias("a"), "odd"), named.select("key", F.col("print").alias("v"), F.col("root").alias("b"), F.col("odd").alias("even"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("key", "n")
+    mixed = materialise(mixed, "simhash-mixed", True)
+    left = materialise(named.join(broadcast_if(mixed, BROADCAST_ROWS), "key"), "simhash-open")
+    left = left.where(F.col("n") <= CROWD).withColumn("sub", F.lit(0).cast("long")).unionByName(split(left.where(F.col("n") > CROWD))).drop("n")
+    one, two = left.select("key", "sub", F.col("print").alias("u"), F.col("root").alias("a"), "odd"), left.select("key", "sub", F.col("print").alias("v"), F.col("root").alias("b"), F.col("odd").alias("even"))
     apart = (F.col("a") < F.col("b")) & ((F.col("key") < F.lit(6 << 40)) | (F.col("odd") != F.col("even")))
-    more = one.join(two, "key").where(apart & within("u", "v")).select("u", "v").distinct()
-    return materialise(stars.unionByName(more), "simhash-links")
+    more = one.join(two, ["key", "sub"]).where(apart & within("u", "v")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return roots, materialise(components(more), "simhash-more", True)
 
 
 def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
@@ -159,25 +192,34 @@ def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
 
     Null texts count as empty; a text without words has fingerprint zero and is linked like any other; fewer words than a
     shingle has make one shingle. Repeated rows give repeated results; a null doc_id is never the smallest unless its
-    whole component has none. Other columns are not read. Rows of equal fingerprint are one node, so copies are never
-    paired.
+    whole component has none. An empty table gives an empty result; other columns are not read. A long text is read by one
+    worker, AT_ONCE shingles at a time. Rows of equal fingerprint are one node, so copies are never paired.
     """
-    rows = materialise(fingerprints(docs, size), "simhash-prints")
-    nodes = materialise(rows.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    found = components(links(nodes, most, nodes.count() > WIDE)).withColumnRenamed("node", "print")
-    small = found.join(nodes, "print").groupBy("root").agg(F.min("first").alias("least"))
-    linked = materialise(found.join(small, "root").select("print", "least"), "simhash-components")
-    ids = materialise(nodes.join(broadcast_if(linked, BROADCAST_ROWS), "print", "left").select("print", F.coalesce("least", "first").alias("component_id")), "simhash-ids")
-    hexed = F.lower(F.lpad(F.hex("print"), 16, "0"))
-    return rows.join(ids, "print").select("doc_id", hexed.alias("fingerprint"), "component_id", "print", "x")
+    found = materialise(fingerprints(docs, size), "simhash-prints")
+    nodes = materialise(found.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-nodes", True)
+    roots, more = linked(nodes, most, rows(nodes) > WIDE)
+    groups = materialise(chained(roots, more).withColumnRenamed("node", "print").join(nodes, "print"), "simhash-chained")
+    least = groups.groupBy("root").agg(F.min("first").alias("least"))
+    groups = materialise(groups.join(least, "root").select("print", "least"), "simhash-groups", True)
+    ids = nodes.join(broadcast_if(groups, BROADCAST_ROWS), "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
+    return found.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "print", "x")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest doc_id (of several such, the smallest text
-    hash; of rows equal in both, one); all columns stay. Only what goes is shipped to the anti-join."""
+    hash; of rows equal in both, one; null ids last); all columns stay. Nulls, empty and long texts and empty tables as in
+    near_groups. Only what goes is shipped to the anti-join."""
     return keep_least(docs, near_groups(docs))
 
 
+def keep_similar(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component of five-word shingles at a Jaccard similarity of 0.8 or more, the one with
+    the smallest doc_id; all columns stay. That is wider than fingerprint bits reach; symgraph.llm.similar has the keys."""
+    from symgraph.llm import similar
+
+    return similar.keep_one(docs)
+
+
 def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs with one document of each component of groups (doc_id, component_id, x), as keep_one says."""
     found = materialise(groups, "near-groups")

@@ -96,8 +96,10 @@ def test_simhash_on_documents(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, _, c in want})
 
 
+@pytest.mark.parametrize("crowd", [64, 1])
 @pytest.mark.parametrize("wide", [False, True])
-def test_simhash_links_random_neighbours_and_chains(spark, wide):
+def test_simhash_links_random_neighbours_and_chains(spark, monkeypatch, wide, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
     prints = []
@@ -109,8 +111,9 @@ def test_simhash_links_random_neighbours_and_chains(spark, wide):
                 p ^= np.uint64(1) << np.uint64(b)
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    found = components(simhash.links(spark.createDataFrame([(p,) for p in signed], "print long"), wide=wide))
-    root = {r.node: r.root for r in found.collect()}
+    first, more = simhash.linked(spark.createDataFrame([(p,) for p in signed], "print long"), wide=wide)
+    last = {r.node: r.root for r in more.collect()}
+    root = {p: last.get(p, p) for p in signed} | {r.node: last.get(r.root, r.root) for r in first.collect()}
     want = brute_components(prints)
     got = {}
     for p, w in zip(signed, want, strict=True):
@@ -138,6 +141,19 @@ def test_four_errors_share_a_key_of_both_parities(wide):
     assert good == set(range(4000))
 
 
+def test_wide_keys_give_the_same_groups(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few = sorted(map(str, simhash.near_groups(docs).collect()))
+    monkeypatch.setattr(simhash, "WIDE", 1)
+    assert sorted(map(str, simhash.near_groups(docs).collect())) == few
+
+
+def test_turned_bits_keep_distances():
+    p = np.random.default_rng(1).integers(0, 1 << 63, 100, dtype=np.uint64)
+    t = simhash.turned(p)
+    assert (np.bitwise_count(t[1:] ^ t[:-1]) == np.bitwise_count(p[1:] ^ p[:-1])).all()
+
+
 def test_simhash_edges(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     twice = frame(spark, [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, "zz yy xx ww vv")])

@@ -1,8 +1,8 @@
 import hashlib
 import re
 
-from test_dedup import brute_components, plain_fingerprint
 from test_mixing import water
+from test_similar import brute_kept
 
 import corpus_pipeline
 from symgraph.llm import quality
@@ -32,9 +32,7 @@ def test_stages_against_brute_force(spark):
         best[t] = max(best.get(t, d), d)
     assert sorted(rows["exact dedup"]) == sorted((d, t) for t, d in best.items())
     kept = sorted(rows["exact dedup"])
-    roots = brute_components([plain_fingerprint(t) for _, t in kept])
-    least = {r: min(kept[j][0] for j in range(len(kept)) if roots[j] == r) for r in set(roots)}
-    assert sorted(d for d, _ in rows["near dedup"]) == sorted(least.values())
+    assert sorted(d for d, _ in rows["near dedup"]) == brute_kept(kept)
     source = {r.doc_id: r.source for r in docs.collect()}
     size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t in rows["near dedup"]}
     sources = sorted({source[d] for d in size})
