@@ -18,7 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import per_batch, rows_of, text_of
+from symgraph.llm.common import in_batches, per_batch, rows_of, text_of
+from symgraph.llm.pieces import REMEMBERED as REMEMBERED_PIECES
 from symgraph.llm.pieces import Pieces
 
 #: Pairs that a worker remembers; beyond it the memory starts anew.
@@ -146,8 +147,8 @@ class PieceTable:
 class Encoder(Pieces):
     """Pieces encoded by their prefix tables."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        super().__init__(pattern)
+    def __init__(self, vocabulary: Vocabulary, pattern: str, remembered: int = REMEMBERED_PIECES):
+        super().__init__(pattern, remembered)
         self.v = vocabulary
 
     def made(self, piece: str) -> bytes:
@@ -216,23 +217,23 @@ class Decoder:
 
 
 @lru_cache(2)
-def loaded(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder]:
+def loaded(ranks_path: str, pattern: str, remembered: int = REMEMBERED_PIECES) -> tuple[Encoder, Decoder]:
     """A worker's encoder and decoder, kept from task to task."""
     v = Vocabulary(read_ranks(ranks_path))
-    return Encoder(v, pattern), Decoder(v)
+    return Encoder(v, pattern, remembered), Decoder(v)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, remembered: int = REMEMBERED_PIECES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row, and ids (packed) if asked for.
 
     Null texts count as empty (no tokens, digests of nothing); texts are encoded whole; repeated rows give repeated
     results; other columns of docs are not read; an empty table gives an empty one. One pass, no shuffle; a worker keeps
-    REMEMBERED pieces at most.
+    twice so many pieces as remembered says at most, which costs memory and saves time but doesn't change results.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def make():
-        (encoder, decoder), sha = loaded(ranks_path, pattern), hashlib.sha256
+        (encoder, decoder), sha = loaded(ranks_path, pattern, remembered), hashlib.sha256
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, a, b, raw = [], [], [], []
@@ -248,5 +249,5 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
 
         return each
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(per_batch(make), schema)
+    return in_batches(docs).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(per_batch(make), schema)
 

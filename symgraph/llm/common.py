@@ -26,6 +26,19 @@ def rows_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, str]]:
 AT_ONCE = 512
 
 
+#: Rows of an Arrow batch between Spark and its Python workers. Texts are long: the usual 10,000 rows would hold tens of
+#: megabytes several times over in each worker and, outside the heap, in each executor.
+ROWS_IN_BATCH = 1024
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, for a Python function over Arrow batches; sets its session's batches to ROWS_IN_BATCH at most."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ROWS_IN_BATCH:
+        conf.set(name, str(ROWS_IN_BATCH))
+    return df
+
+
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable:
     """A mapInArrow function: make() runs once in each task and gives the function for its batches, AT_ONCE rows each."""
 
@@ -38,7 +51,6 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) ->
     return run
 
 
-
 def unused(docs: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until docs has no such column."""
     taken, out = {c.lower() for c in docs.columns}, []

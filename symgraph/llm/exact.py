@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import per_batch, rows_of, text_of, unused
+from symgraph.llm.common import in_batches, per_batch, rows_of, text_of, unused
 from symgraph.session import broadcast_if, materialise
 
 PRIME = (1 << 31) - 1
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, prime: int = PRIME) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("x", F.xxhash64("text"))
     large = F.octet_length("text") > LARGE
-    small = rows.where(~large).mapInArrow(per_batch(make), schema)
+    small = in_batches(rows.where(~large)).mapInArrow(per_batch(make), schema)
     huge = rows.where(large).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "x")
     huge = materialise(huge, "exact-huge")
     if huge.isEmpty():
@@ -113,7 +113,7 @@ def huge_prints(rows: DataFrame, prime: int = PRIME) -> DataFrame:
     parts = texts.select("text_sha256", "data", F.explode(F.sequence(F.lit(0), F.expr(f"int((octet_length(data) - 1) div {PART})"))).alias("part"))
     parts = parts.select("text_sha256", "part", F.expr(f"substring(data, part * {PART} + 1, {PART})").alias("data"))
     parts = parts.select("text_sha256", "part", F.octet_length("data").cast("long").alias("n"), "data").repartition("text_sha256", "part")
-    done = parts.mapInArrow(hashed, "text_sha256 string, part int, n long, print long").dropDuplicates(["text_sha256", "part"])
+    done = in_batches(parts).mapInArrow(hashed, "text_sha256 string, part int, n long, print long").dropDuplicates(["text_sha256", "part"])
     whole = done.groupBy("text_sha256").agg(F.sort_array(F.collect_list(F.struct("part", "n", "print"))).alias("parts"))
     return whole.mapInArrow(combined, "text_sha256 string, print long")
 

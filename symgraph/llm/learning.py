@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import per_batch, rows_of, text_of
+from symgraph.llm.common import in_batches, per_batch, rows_of, text_of
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -62,7 +62,7 @@ def feature_rows(docs: DataFrame, sample: DataFrame, features: Callable[[], Call
     wanted = sample.select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     joined = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("x"))
     first = joined.groupBy("doc_id", "label").agg(F.min(F.struct("x", "text")).alias("t")).select("doc_id", "label", "t.text")
-    got = first.mapInArrow(per_batch(make), "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    got = in_batches(first).mapInArrow(per_batch(make), "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     lists = got["features"].combine_chunks()
     return [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in lists], np.asarray(got["label"]).astype(np.int64)
 
@@ -114,4 +114,4 @@ def scores(docs: DataFrame, scorer: Callable[[], Callable[[str], float]], thresh
         return each
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), text_of().alias("text"))
-    return rows.mapInArrow(per_batch(make), "doc_id long, held_out boolean, score double, predicted int")
+    return in_batches(rows).mapInArrow(per_batch(make), "doc_id long, held_out boolean, score double, predicted int")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import text_of
+from symgraph.llm.common import in_batches, text_of
 
 #: Lanes of a fingerprint (a byte each), levels of phrases, and the first level whose names are sampled.
 LANES, LEVELS, FIRST = 128, 4, 2
@@ -213,4 +213,4 @@ def compare(docs: DataFrame) -> DataFrame:
                 if cur:
                     yield pairs(cur, nxt)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_batches(rows).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import per_batch, rows_of
+from symgraph.llm.common import in_batches, per_batch, rows_of
 from symgraph.llm.learning import Sparse, feature_rows, frequencies, hashed, held_out, sampled, scores, sigmoid
 
 BITS = 20
@@ -178,4 +178,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
         return each
 
-    return docs.mapInArrow(per_batch(make), docs.schema)
+    return in_batches(docs).mapInArrow(per_batch(make), docs.schema)

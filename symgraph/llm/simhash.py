@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm import golay
-from symgraph.llm.common import per_batch, rows_of, text_of
+from symgraph.llm.common import in_batches, per_batch, rows_of, text_of
 from symgraph.llm.components import chained, components
 from symgraph.llm.exact import without
 from symgraph.session import broadcast_if, materialise, rows
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
         return each
 
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("x", F.xxhash64("text"))
-    return texts.mapInArrow(per_batch(make), "doc_id long, print long, x long")
+    return in_batches(texts).mapInArrow(per_batch(make), "doc_id long, print long, x long")
 
 
 def crossed(i: np.ndarray, k: np.ndarray, j: np.ndarray, m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import AT_ONCE, per_batch, rows_of, text_of
+from symgraph.llm.common import AT_ONCE, in_batches, per_batch, rows_of, text_of
 from symgraph.llm.pieces import REMEMBERED, Pieces
 from symgraph.session import shared_path
 
@@ -91,7 +91,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int, pa
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.int64()), pa.array(sizes), lists], names=["doc_id", "part", "place", "n_tokens", "ids"])
 
-    rows.mapInArrow(run, "doc_id long, part int, place long, n_tokens int, ids array<int>").write.options(**ORC).orc(path)
+    in_batches(rows).mapInArrow(run, "doc_id long, part int, place long, n_tokens int, ids array<int>").write.options(**ORC).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -120,7 +120,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
         return each
 
-    found = slim.mapInArrow(per_batch(make), "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
+    found = in_batches(slim).mapInArrow(per_batch(make), "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
     joined = found.join(F.broadcast(starts(rows)), "part")  # a row a part, and the writer sets the number of parts
     return joined.select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
