@@ -179,8 +179,10 @@ def linked(prints: DataFrame, most: int = 4, wide: bool = False) -> tuple[DataFr
     named = materialise(named.select("key", "print", "odd", F.coalesce("root", "print").alias("root")), "simhash-named")
     mixed = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("key", "n")
     mixed = materialise(mixed, "simhash-mixed", True)
-    left = materialise(named.join(broadcast_if(mixed, BROADCAST_ROWS), "key"), "simhash-open")
-    left = left.where(F.col("n") <= CROWD).withColumn("sub", F.lit(0).cast("long")).unionByName(split(left.where(F.col("n") > CROWD))).drop("n")
+    left = materialise(named.join(broadcast_if(mixed.select("key"), BROADCAST_ROWS), "key", "left_semi"), "simhash-open")
+    crowded = broadcast_if(materialise(mixed.where(F.col("n") > CROWD).select("key"), "simhash-crowded", True), BROADCAST_ROWS)
+    few = left.join(crowded, "key", "left_anti").withColumn("sub", F.lit(0).cast("long"))
+    left = few.unionByName(split(left.join(crowded, "key", "left_semi")))
     one, two = left.select("key", "sub", F.col("print").alias("u"), F.col("root").alias("a"), "odd"), left.select("key", "sub", F.col("print").alias("v"), F.col("root").alias("b"), F.col("odd").alias("even"))
     apart = (F.col("a") < F.col("b")) & ((F.col("key") < F.lit(6 << 40)) | (F.col("odd") != F.col("even")))
     more = one.join(two, ["key", "sub"]).where(apart & within("u", "v")).select(F.col("a").alias("u"), F.col("b").alias("v"))
