@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import bpe, exact, mixing, parsing, quality, simhash, tokens, toxicity, urls, warc
+from symgraph.llm import bpe, divergence, exact, jaccard, mixing, parsing, quality, simhash, spelling, tokens, toxicity, urls, warc
 from symgraph.llm.common import spread
 from symgraph.session import table
 
@@ -63,10 +63,25 @@ def op10_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_warc_fixity, op4_token_orc, op5_entropy_mixing, op6_exact_dedup, op7_nnpu_toxicity, op8_nbsvm_quality, op9_url_filter, op10_parsing)}
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by the overlap of their five-word shingles."""
+    return jaccard.joined(spread(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(spread(table(spark, sf_dir, "documents")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of each language."""
+    return divergence.audit(spread(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_warc_fixity, op4_token_orc, op5_entropy_mixing, op6_exact_dedup, op7_nnpu_toxicity, op8_nbsvm_quality, op9_url_filter, op10_parsing, op11_jaccard, op12_spelling, op13_divergence)}
 
 EXACT_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
  sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
-ORACLES: dict[str, str] = {"op3_warc_fixity": warc.ORACLE, "op6_exact_dedup": EXACT_SQL, "op9_url_filter": urls.ORACLE}
+ORACLES: dict[str, str] = {"op3_warc_fixity": warc.ORACLE, "op6_exact_dedup": EXACT_SQL, "op9_url_filter": urls.ORACLE, "op11_jaccard": jaccard.ORACLE, "op12_spelling": spelling.ORACLE, "op13_divergence": divergence.ORACLE}
