@@ -165,7 +165,7 @@ WITH RECURSIVE step(b, c, k) AS (SELECT b, b, 0 FROM range(256) t(b) UNION ALL S
 byte AS MATERIALIZED (SELECT b, c FROM step WHERE k = 8),
 found AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
 runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY ALL),
-m AS (SELECT row_number() OVER () AS id, run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), c -> CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS bytes FROM runs),
+m AS (SELECT row_number() OVER () AS id, run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS bytes FROM runs),
 after(k, b, c) AS (SELECT 0, b, c FROM byte UNION ALL SELECT k + 1, a.b, xor(a.c >> 8, t.c) FROM after a JOIN byte t ON t.b = a.c & 255 WHERE k < (SELECT max(len(bytes)) FROM m)),
 spread AS (SELECT id, len(bytes) AS size, unnest(bytes) AS b, unnest(range(1, len(bytes) + 1)) AS i FROM m),
 sums AS (SELECT id, xor(bit_xor(c), 4294967295) AS h FROM spread JOIN after ON k = size - i AND after.b = CASE WHEN i <= 4 THEN xor(spread.b, 255) ELSE spread.b END GROUP BY id),
@@ -176,6 +176,6 @@ near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a
  UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)),
 best AS (SELECT a.word, count(*) AS n_near, max(b.n) AS most, min_by(other, (-b.n, other)) AS form FROM near a JOIN words b ON b.word = a.other GROUP BY a.word),
 formed AS MATERIALIZED (SELECT w.word, CASE WHEN most >= 10 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)),
-walk(word, at) AS (SELECT word, word FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w USING (word) JOIN formed l ON l.word = w.at AND l.form IS NULL
+walk(word, here) AS (SELECT word, word FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.here AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w USING (word) JOIN formed l ON l.word = w.here AND l.form IS NULL
 """

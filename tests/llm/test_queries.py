@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 
-@pytest.mark.parametrize("name", ["op3_warc_fixity", "op6_exact_dedup", "op9_url_filter"])
+@pytest.mark.parametrize("name", ["op3_warc_fixity", "op6_exact_dedup", "op9_url_filter", "op11_jaccard", "op12_spelling", "op13_divergence"])
 def test_oracle(spark, name, d="/root/testdata/sf0.001"):
     con = duckdb.connect()
     for f in os.listdir(d):
@@ -22,4 +22,4 @@ def test_oracle(spark, name, d="/root/testdata/sf0.001"):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in __spark_entry__.queries()
+    assert {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in __spark_entry__.queries()
