@@ -75,7 +75,7 @@ def test_equals_brute_force(spark):
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     want = formed(counted(rows))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
-    assert sum(r[1] is not None for r in want) > 50 and any(r[1] != r[2] for r in want if r[1])
+    assert sum(r[1] is not None for r in want) > 50
 
 
 def test_given_documents(spark):
@@ -89,16 +89,17 @@ def test_near_pairs_are_all_found_once(spark):
     words = list({"".join(rng.choices("abé", k=rng.randint(7, 9))) for _ in range(700)})
     got = spelling.near_pairs(spark.createDataFrame([(w, 1) for w in words], "word string, n long"))
     want = sorted(tuple(sorted(p)) for p in combinations(words, 2) if one_edit(*p))
-    assert sorted(tuple(sorted((r.a, r.b))) for r in got.collect()) == want and len(want) > 500
+    assert sorted(tuple(sorted((r.a, r.b))) for r in got.collect()) == want and len(want) > 400
 
 
 def test_ties_chains_and_roots(spark):
     rows = [("aaaaaaa", 1000), ("aaaaaab", 100), ("aaaaabb", 10), ("aaaabbb", 1)]
     forms = spark.createDataFrame([(w, rows[i - 1][0] if i else None) for i, (w, _) in enumerate(rows)], "word string, form string")
     assert {r.root for r in spelling.rooted(forms).collect()} == {"aaaaaaa"}
-    texts = " ".join(["zzzzzza"] * 20 + ["zzzzzzb"] * 20 + ["zzzzzzc"] * 2)
-    got = {r.word: (r.form, r.n_near) for r in spelling.variants(spark.createDataFrame([(k, texts) for k in (2, 3, 4)], "doc_id long, text string")).collect()}
-    assert got["zzzzzzc"] == ("zzzzzza", 2) and got["zzzzzza"] == (None, 2)
+    texts = " ".join(["zzzzzza"] * 20 + ["zzzzzzb"] * 20 + ["zzzzzzc"] * 2 + ["yyyyyyy"] * 200 + ["yyyyyyx"] * 20 + ["yyyyyxx"] * 2)
+    got = {r.word: (r.form, r.root, r.n_near) for r in spelling.variants(spark.createDataFrame([(k, texts) for k in (2, 3, 4)], "doc_id long, text string")).collect()}
+    assert got["zzzzzzc"] == ("zzzzzza", "zzzzzza", 2) and got["zzzzzza"] == (None, "zzzzzza", 2)
+    assert got["yyyyyxx"] == ("yyyyyyx", "yyyyyyy", 1) and got["yyyyyyx"] == ("yyyyyyy", "yyyyyyy", 2)
 
 
 @pytest.mark.parametrize("piece", [3, 1000])
