@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 from symgraph.functions import ids
 from symgraph.plans.schema import FLAGS, PARAMETER
 from symgraph.session import materialise
+from symgraph.session import rows as count_of
 
 TOKEN = re.compile(
     r'//[^\n]*|/\*.*?\*/|\#[^\n]*|\$*"""+.*?"""+|(?:\$@|@\$|@)"(?:[^"]|"")*"|\$?"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'|@?[^\W\d]\w*|\d[\w.]*|=>|::|\?\?|\?\.|&&|\|\||[-+*/%=!<>&|^]=|\S', re.S
 )
+#: Types without a declaration of their own.
+BUILT_IN = {"int", "string", "bool", "float", "double", "long", "object", "char", "byte", "decimal", "uint", "short", "ulong", "dynamic"}
+#: What may stand before a type in a declaration of a local.
+BEFORE_LOCAL = {"out", "in", "ref", "is", "not", "using", "await", "case", "const", "static", "readonly", "else", "do", "fixed", "and", "or", "scoped"}
 MODIFIERS = {"public", "internal", "protected", "private", "static", "abstract", "sealed", "virtual", "override", "async", "readonly", "const", "volatile", "partial", "new", "extern", "unsafe", "required", "file", "ref"}
 TYPES = {"class": "Class", "struct": "Struct", "interface": "Interface", "record": "Record", "enum": "Enum"}
 #: Attributes of types whose first argument is kept as metadata.
@@ -31,7 +36,7 @@ KEYWORDS = {
 }
 ROWS = (
     "file_path string, row string, name string, full_name string, kind string, type_name string, owner string, namespace string, start_line int, end_line int, access string, flags array<string>, return_type string, "
-    f"parameters array<{PARAMETER}>, bases array<string>, attributes array<string>, metadata map<string,string>, qualifier string, line int, column int, call boolean, context string, key string, arguments int"
+    f"parameters array<{PARAMETER}>, bases array<string>, attributes array<string>, metadata map<string,string>, qualifier string, line int, column int, call boolean, context string, key string, arguments int, chain array<string>"
 )
 
 
@@ -114,16 +119,136 @@ class Reader:
         self.rows.append({"row": "declaration", "name": name, "full_name": full, "key": full + signature, "kind": kind, "owner": owner, "namespace": space, "start_line": self.tokens[first].line, "end_line": self.tokens[min(last, len(self.tokens) - 1)].line, "access": access, "flags": sorted({m for m in mods if m in ("static", "abstract", "sealed", "virtual", "override", "async", "readonly", "const", "volatile", "generic")})} | more)
         return full + signature
 
-    def mention(self, first: int, last: int, source: str, space: str) -> None:
-        """Names between two tokens, with the member or type that they are in."""
+    def mention(self, first: int, last: int, source: str, space: str, known: dict[str, list[str]] | None = None) -> None:
+        """Names between two tokens, with the member or type that they are in.
+
+        known has what is known of the parameters; locals are added as they are declared, and forgotten with their block.
+        A name of either is no mention. Each mention has the chain of what it is taken from: names, calls (), elements [],
+        this, base, types (:Name), or ? for what can't be told; a parameter or local stands as what it was declared as.
+        """
+        scopes = [dict(known or {})]
         for i in range(first, last):
             t = self.tokens[i]
+            if t.text == "{":
+                scopes.append(scopes[-1].copy())
+            elif t.text == "}" and len(scopes) > 1:
+                scopes.pop()
+            local = self.local(i, last, scopes[-1])
+            if local:
+                scopes[-1][local[0]] = local[1]
             if not t.word or t.text in KEYWORDS or t.text in MODIFIERS:
                 continue
             after = self.angles(i + 1)
             call = self.at(after) == "(" and self.at(i - 1) != "new"
-            qualifier = self.at(i - 2) if self.at(i - 1) in (".", "?.") and i >= 2 else None
-            self.rows.append({"row": "mention", "name": t.text, "owner": source, "namespace": space, "qualifier": qualifier, "line": t.line, "column": t.column, "call": call, "arguments": self.arguments(after) if call else None, "context": self.lines[t.line].strip()})
+            member = self.at(i - 1) in (".", "?.", "!.")
+            if not member and t.text in scopes[-1]:
+                continue
+            qualifier = self.at(i - 2) if member and i >= 2 else None
+            chain = self.chain(i - 2, first, scopes[-1])[0] if member else []
+            self.rows.append({"row": "mention", "name": t.text, "owner": source, "namespace": space, "qualifier": qualifier, "line": t.line, "column": t.column, "call": call, "arguments": self.arguments(after) if call else None, "context": self.lines[t.line].strip(), "chain": chain})
+
+    def local(self, i: int, last: int, scope: dict[str, list[str]]) -> tuple[str, list[str]] | None:
+        """Name and chain of the local that is declared by a type at i or, of a lambda, at i."""
+        t, before = self.at(i), self.tokens[i - 1] if i else None
+        if self.tokens[i].word and self.at(i + 1) == "=>" and t not in KEYWORDS and self.at(i - 1) not in (".", "?."):
+            return t, ["?"]
+        if not self.tokens[i].word or t in KEYWORDS - BUILT_IN - {"var"} or before and (before.text in (".", "?.", "::", "<") or before.word and before.text not in BEFORE_LOCAL):
+            return None
+        j = self.type_at(i)
+        if j == i or j >= last or not self.tokens[j].word or self.at(j) in KEYWORDS or self.at(j) in MODIFIERS or self.at(j + 1) not in ("=", ";", ",", "in", ")", ":", "when", "&&", "||", "}", "=>"):
+            return None
+        name, of = self.at(j), self.words(i, j)
+        if t != "var":
+            return name, [":" + of]
+        if self.at(j + 1) == "in":
+            stop = self.close(self.opens(i), "(", ")")
+            return name, [*self.value(j + 2, stop, scope), "[]"]
+        return name, self.value(j + 2, self.ends(j + 2, self.field_end(j + 2, last))[0], scope) if self.at(j + 1) == "=" else ["?"]
+
+    def opens(self, i: int) -> int:
+        """Index of the nearest opening bracket before i."""
+        while i and self.at(i) != "(":
+            i -= 1
+        return i
+
+    def back(self, k: int, first: int) -> int:
+        """Index of the bracket that the closing one at k closes, or first - 1."""
+        depth = 0
+        for n in range(k, first - 1, -1):
+            depth += (self.at(n) in (")", "]", "}")) - (self.at(n) in ("(", "[", "{"))
+            if not depth:
+                return n
+        return first - 1
+
+    def value(self, i: int, stop: int, scope: dict[str, list[str]]) -> list[str]:
+        """The chain of an expression between two tokens; ["?"] if it isn't one of names, calls, elements or a new object."""
+        if i >= stop:
+            return ["?"]
+        if self.at(i) == "await":
+            return [*self.value(i + 1, stop, scope), "await"]
+        if self.at(i) == "new":
+            j = self.type_at(i + 1)
+            kind = self.words(i + 1, j)
+            if j > i + 1 and self.at(j) == "[" and self.close(j, "[", "]") + 1 <= stop:
+                return [f":{kind}[]"]
+            if j > i + 1 and (self.at(j) == "(" and self.close(j, "(", ")") + 1 == stop or self.at(j) == "{" or self.at(j) == "(" and self.at(self.close(j, "(", ")") + 1) == "{"):
+                return [":" + kind]
+        if self.at(i) == "(" and (close := self.close(i, "(", ")")) + 1 < stop and self.type_at(i + 1) == close and (self.tokens[close + 1].word or self.at(close + 1) == "("):
+            return [":" + self.words(i + 1, close)]  # a cast
+        as_ = [n for n in range(i, stop) if self.at(n) == "as"]
+        if as_ and self.type_at(as_[-1] + 1) == stop:
+            return [":" + self.words(as_[-1] + 1, stop)]
+        found, start = self.chain(stop - 1, i, scope)
+        return found if start == i else ["?"]
+
+    def chain(self, k: int, first: int, scope: dict[str, list[str]]) -> tuple[list[str], int]:
+        """The chain of the expression that ends at k, and where it starts."""
+        out: list[str] = []
+        while True:
+            if self.at(k) == "!" and k > first:
+                k -= 1
+            t, call = self.at(k), ""
+            if t == "]":
+                out.append("[]")
+                k = self.back(k, first) - 1
+                if k < first:
+                    return ["?"], first
+                continue
+            if t == ")":
+                k, call = self.back(k, first) - 1, "()"
+                closed = k + 1
+                if self.at(k) == ">":
+                    k = self.angle_back(k, first) - 1
+                if k < first or not self.tokens[k].word or self.at(k) in KEYWORDS - {"this", "base"}:
+                    if closed < first:
+                        return ["?"], first
+                    return [*self.value(closed + 1, self.close(closed, "(", ")"), scope), *reversed(out)], closed
+            elif t == ">":
+                k = self.angle_back(k, first) - 1
+            if k < first or not self.tokens[k].word:
+                return ([":string", *reversed(out)] if t[:1] in '"$@' and '"' in t else ["?"]), k
+            n = k
+            while self.at(n - 1) in (".", "::") and n - 2 >= first and self.tokens[n - 2].word:
+                n -= 2
+            if call and self.at(n - 1) == "new" and n - 1 >= first:
+                return [":" + self.words(n, k + 1), *reversed(out)], n - 1
+            name = self.at(k)
+            if name in KEYWORDS - BUILT_IN - {"this", "base"}:
+                return ["?"], k
+            if self.at(k - 1) in (".", "?.", "::") and k - 2 >= first:
+                out.append(name + call)
+                k -= 2
+                continue
+            if name in scope:
+                return [*(["?"] if call else scope[name]), *reversed(out)], k
+            return [(":" if name in BUILT_IN else "") + name + call, *reversed(out)], k
+
+    def angle_back(self, k: int, first: int) -> int:
+        """Index of the < whose list of type arguments ends at k."""
+        n = k
+        while n > first and not (self.at(n) == "<" and self.angles(n) == k + 1):
+            n -= 1
+        return n
 
     def arguments(self, i: int) -> int:
         """How many arguments are in the brackets that open at i."""
@@ -264,7 +389,11 @@ class Reader:
         j = self.type_at(i)
         if self.at(i) == "~" or j == i or self.at(j) == "(" and self.tokens[j - 1].word or "operator" in (self.at(i), self.at(j), self.at(j + 1)) or self.at(j) == "this":
             stop = self.body(i + (j == i), end)  # constructors, destructors, operators, indexers: mentions go to the type
-            self.mention(j, stop, owner, space)
+            k = self.angles(i + 1) if self.at(i + 1) == "(" else i + (j == i)
+            while k < stop and self.at(k) not in ("(", "[", "{"):
+                k += 1
+            ps = self.parameters(k + 1, self.close(k, self.at(k), {"(": ")", "[": "]"}[self.at(k)])) if self.at(k) in ("(", "[") and k < stop else []
+            self.mention(j, stop, owner, space, {p["name"]: [":" + p["type_name"]] for p in ps})
             return stop + 1
         of, name = self.words(i, j), self.at(j)
         k = self.angles(j + 1)
@@ -280,7 +409,7 @@ class Reader:
             ways = [" ".join([w for w in ("ref", "out", "in") if p[f"is_{w}"]] + [p["type_name"]]) for p in ps]
             signature = f"`{generic}" * (generic > 0) + "(" + ",".join(ways) + ")"
             full = self.declare("Method", name, owner, space, first, stop, mods + ["generic"] * (k > j + 1), signature, type_name=of, return_type=of, parameters=ps, attributes=attributes, metadata=meta)
-            self.mention(close + 1, stop, full, space)
+            self.mention(close + 1, stop, full, space, {p["name"]: [":" + p["type_name"]] for p in ps})
             return stop + 1
         if self.at(k) in ("{", "=>"):
             stop = self.close(k) if self.at(k) == "{" else self.body(k, end)
@@ -367,38 +496,158 @@ def nodes_of(symbols: DataFrame) -> DataFrame:
     return symbols.where("kind in ('Type', 'Method', 'Property', 'Field')").select("id", "full_name", F.col("name").alias("label"), kind.alias("kind"), F.map_from_arrays(F.array(F.lit("FilePath")), F.array("file_path")).alias("metadata"))
 
 
-def resolve(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+def named_types(asked: DataFrame, rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """asked (of, file_path, written) with target_id: the type of the repository that a name means where it is written.
+
+    of is the full name of the type it is written in. The name is sought, in this order, in that type and what encloses it
+    (the nearest first), in the namespaces that the file uses, and as it is; each place is a full name to look up, so no
+    join is on a simple name. A name that is left counts if one type only has it.
+    """
+    types = symbols.where("kind = 'Type'").select(F.col("id").alias("target_id"), "name", "full_name").dropDuplicates(["target_id"])
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("written", r"<.*", ""), r"^global::", ""), r"[?\[\], *]+$", "")
+    asked = asked.select("of", "file_path", "written").distinct().withColumn("plain", plain).where("plain != ''")
+    used = rows.where("row = 'using'").groupBy("file_path").agg(F.sort_array(F.collect_set("name")).alias("spaces"))
+    parts = F.split(F.regexp_replace("of", "^global::", ""), r"\.")
+    around = F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.struct((F.size(parts) - n).alias("near"), F.concat(F.lit("global::"), F.array_join(F.slice(parts, F.lit(1), n), "."), F.when(n > 0, ".").otherwise(""), "plain").alias("full_name")))
+    by_using = F.transform(F.coalesce("spaces", F.array().cast("array<string>")), lambda s: F.struct((F.size(parts) - F.lit(0.5)).alias("near"), F.concat(s, F.lit("."), "plain").alias("full_name")))
+    places = F.concat(F.transform(around, lambda p: F.struct(p["near"].cast("double").alias("near"), p["full_name"].alias("full_name"))), by_using)
+    sought = asked.join(used, "file_path", "left").withColumn("place", F.explode(places)).select("of", "file_path", "written", "place.*")
+    found = sought.join(types.drop("name"), "full_name").groupBy("of", "file_path", "written").agg(F.min_by("target_id", F.struct("near", "target_id")).alias("target_id"))
+    last = F.regexp_extract("plain", r"([^.:]+)$", 1)
+    only = types.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("target_id").alias("target_id"), F.first("full_name").alias("full_name")).where("n = 1").drop("n")
+    rest = asked.join(found, ["of", "file_path", "written"], "left_anti").withColumn("name", last).join(only, "name").where(F.endswith("full_name", F.concat(F.lit("."), "plain")) | F.endswith("full_name", F.concat(F.lit(":"), "plain")))
+    return found.unionByName(rest.select("of", "file_path", "written", "target_id"))
+
+
+def closure_of(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """type, base, depth: each type, its bases of all levels and, for names without a receiver (outer), those of the types around it."""
+    from symgraph.operators.graph import bfs
+
+    types = symbols.where("kind = 'Type'").select(F.col("id").alias("type"), "owner").distinct()
+    direct = materialise(bases_of(rows, symbols).select("source_id", "target_id", F.lit("Up").alias("kind")), "csharp-bases")
+    up = bfs(direct, direct.select(F.col("source_id").alias("seed")), None, "out").where("node != seed").select(F.col("seed").alias("type"), F.col("node").alias("base"), "depth")
+    up = materialise(types.select("type", F.col("type").alias("base"), F.lit(0).alias("depth")).unionByName(up), "csharp-closure")
+    nested = types.select(F.col("type").alias("source_id"), ids.node_id(F.col("owner")).alias("target_id"), F.lit("In").alias("kind")).join(types.select(F.col("type").alias("target_id")), "target_id", "left_semi")
+    nested = materialise(nested, "csharp-nested")
+    around = bfs(nested, nested.select(F.col("source_id").alias("seed")), None, "out").select(F.col("seed").alias("type"), F.col("node").alias("at"), (F.col("depth") * 1000).alias("far"))
+    outer = around.join(up.select(F.col("type").alias("at"), "base", "depth"), "at").select("type", "base", (F.col("depth") + F.col("far")).alias("depth"))
+    return up.withColumn("outer", F.lit(False)).unionByName(outer.withColumn("outer", F.lit(True)))
+
+
+def receivers(asked: DataFrame, rows: DataFrame, symbols: DataFrame, closure: DataFrame) -> DataFrame:
+    """asked (in_type, of, file_path, chain) with type_id: the type that a chain of names, calls and elements has in the end,
+    null if it is none of the repository's, and told: whether the chain's type is known to be none of it.
+
+    Chains are typed element by element, all at once: what is known so far is a type as it is written and where; an element
+    or await unwraps it, any other name is looked up as a member of the type it means and its bases, nearest first.
+    """
+    members = symbols.where("kind in ('Method', 'Property', 'Field', 'Event')").select(
+        F.col("declaring_type_id").alias("base"), F.concat("name", F.when(F.col("kind") == "Method", "()").otherwise("")).alias("step"), F.col("type_name").alias("next"), F.col("owner").alias("next_of"), F.col("file_path").alias("next_file"), F.col("key").alias("member")
+    )
+    # a base class's members are asked for with base.name, the type's own with anything else
+    head = F.get("chain", F.lit(0))
+    now = asked.withColumn("id", F.xxhash64("in_type", "file_path", "chain")).select("id", "in_type", "of", "file_path", "chain", head.alias("head"))
+    written = F.when(F.startswith("head", F.lit(":")), F.substring("head", 2, 1 << 30))
+    begun = now.select("id", "of", "file_path", "chain", "in_type", F.lit(1).alias("at"), written.alias("written"), F.when(F.col("head").isin("this", "base"), F.col("in_type")).alias("type_id"), (F.col("head") == "base").alias("above"), F.col("head").isin("?").alias("lost"), "head")
+    # a head that is a name: a member in scope, else a type, else a type with its namespace before it
+    named = begun.where("written is null and type_id is null and not lost")
+    hit = named.join(closure.select(F.col("type").alias("in_type"), "base", "depth"), "in_type").join(members, (F.col("head") == F.col("step")) & (closure["base"] == members["base"]))
+    hit = hit.groupBy("id").agg(F.min_by(F.struct("next", "next_of", "next_file"), F.struct("depth", "member")).alias("m"))
+    named = named.join(hit, "id", "left")
+    whole = F.when(~F.exists("chain", lambda c: c.rlike(r"[()\[\]:?]|^await$")), F.array_join("chain", "."))
+    named = named.withColumn("prefix", whole)
+    spelt = materialise(named, "csharp-heads")
+    loose = spelt.where("m is null")
+    asks = loose.select("of", "file_path", F.col("head").alias("written")).unionByName(loose.where("prefix is not null").select("of", "file_path", F.col("prefix").alias("written"))).where("written not like '%()'")
+    means = materialise(named_types(asks, rows, symbols), "csharp-named")
+    one, two = (means.select("of", "file_path", F.col("written").alias(c), F.col("target_id").alias(t)) for c, t in (("head", "as_type"), ("prefix", "as_whole")))
+    spelt = spelt.join(one, ["of", "file_path", "head"], "left").join(two, ["of", "file_path", "prefix"], "left")
+    unknown = F.col("m").isNull() & F.col("as_type").isNull() & F.col("as_whole").isNull()
+    spelt = spelt.select(
+        "id", F.when(F.col("m").isNotNull(), F.col("m.next_of")).otherwise(F.col("of")).alias("of"), F.when(F.col("m").isNotNull(), F.col("m.next_file")).otherwise(F.col("file_path")).alias("file_path"), "chain",
+        F.when(F.col("m").isNull() & F.col("as_type").isNull() & F.col("as_whole").isNotNull(), F.size("chain")).otherwise(F.lit(1)).alias("at"), F.col("m.next").alias("written"), F.when(F.col("m").isNull(), F.coalesce("as_type", "as_whole")).alias("type_id"), F.lit(False).alias("above"), unknown.alias("lost"),
+    )
+    state = begun.where("written is not null or type_id is not null or lost").select(spelt.columns).unionByName(spelt)
+    done = None
+    for _ in range(1000):
+        # unwrap what is written, then see what it means
+        step = F.get("chain", F.col("at"))
+        inner = F.when(F.endswith("written", F.lit("[]")), F.expr("left(written, length(written) - 2)")).otherwise(F.regexp_extract("written", r"^[^<]*<(?:.*,)?\s*([^<>]+(?:<.*>)?)\s*>\??$", 1))
+        task = F.regexp_extract("written", r"^(?:.*\.)?(?:Task|ValueTask)<(.*)>$", 1)
+        state = materialise(state, "csharp-typing", True)
+        if not count_of(state):
+            break
+        unwrapped = state.where((F.coalesce(step, F.lit("")).isin("[]", "await")) & F.col("written").isNotNull())
+        unwrapped = unwrapped.withColumn("written", F.when(step == "[]", inner).otherwise(F.when(task != "", task).otherwise(F.col("written")))).withColumn("at", F.col("at") + 1).withColumn("lost", F.col("lost") | (F.col("written") == ""))
+        rest = state.where(~(F.coalesce(step, F.lit("")).isin("[]", "await") & F.col("written").isNotNull()))
+        asked_types = named_types(rest.where("written is not null"), rows, symbols).withColumnRenamed("target_id", "means")
+        rest = materialise(rest.join(asked_types, ["of", "file_path", "written"], "left").withColumn("type_id", F.coalesce("type_id", "means")).drop("means"), "csharp-typed")
+        ended = rest.where((F.col("at") >= F.size("chain")) | F.col("type_id").isNull())
+        whole_chain = F.col("at") >= F.size("chain")
+        ended = ended.select("id", F.when(whole_chain, F.col("type_id")).alias("type_id"), F.when(whole_chain, F.col("above")).otherwise(False).alias("above"), (F.col("written").isNotNull() & F.col("type_id").isNull() & ~F.col("lost")).alias("told"))
+        done = ended if done is None else done.unionByName(ended)
+        going = rest.where((F.col("at") < F.size("chain")) & F.col("type_id").isNotNull()).withColumn("step", step)
+        looked = going.join(closure.where("not outer").select(F.col("type").alias("type_id"), "base", "depth"), "type_id").where("not above or depth > 0").join(members, ["base", "step"])
+        best = looked.groupBy("id").agg(F.min_by(F.struct("next", "next_of", "next_file"), F.struct("depth", "member")).alias("m"))
+        moved = going.join(best, "id").select("id", F.col("m.next_of").alias("of"), F.col("m.next_file").alias("file_path"), "chain", (F.col("at") + 1).alias("at"), F.col("m.next").alias("written"), F.lit(None).cast("string").alias("type_id"), F.lit(False).alias("above"), F.lit(False).alias("lost"))
+        # a type in a type, taken by its name; else the chain leaves what is known
+        failed = going.join(best, "id", "left_anti")
+        inner_type = failed.join(symbols.where("kind = 'Type'").select(F.col("container_id").alias("type_id"), F.col("name").alias("step"), F.col("id").alias("inner_id")), ["type_id", "step"])
+        nested = inner_type.select("id", "of", "file_path", "chain", (F.col("at") + 1).alias("at"), F.lit(None).cast("string").alias("written"), F.col("inner_id").alias("type_id"), F.lit(False).alias("above"), F.lit(False).alias("lost"))
+        gone = failed.join(inner_type, "id", "left_anti").select("id", F.lit(None).cast("string").alias("type_id"), F.lit(False).alias("above"), F.lit(False).alias("told"))
+        done = done.unionByName(gone)
+        state = unwrapped.select(state.columns).unionByName(moved.select(state.columns)).unionByName(nested.select(state.columns))
+    return now.select("id", "in_type", "file_path", "chain").join(done, "id", "left") if done is not None else now.select("id", "in_type", "file_path", "chain", F.lit(None).cast("string").alias("type_id"), F.lit(False).alias("above"), F.lit(False).alias("told"))
+
+
+def resolve(rows: DataFrame, symbols: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """target_id, source_id, kind, line and place of each mention that is understood.
 
-    In this order: a member of the type of the mention's qualifier, a member of the same type or of a base, a name of the
-    same namespace, the only symbol of that name. Calls go to methods, of overloads to one that takes as many arguments
-    (the first by its key; argument types are not looked at); other mentions of methods are left out. Each mention is
-    joined to the declarations of its name.
+    A mention after a receiver is a member of the receiver's type or the nearest of its bases (receivers() types chains of
+    parameters, locals, fields, calls, elements, casts, this and base); one without is a member of the type it stands in,
+    of its bases, or of the types around it, else a type as named_types() finds it. Calls go to methods, of overloads to
+    one that takes as many arguments (the nearest, then the first by its key; argument types are not looked at). What is
+    left after a receiver that can't be told is the only symbol of that name, if there is only one; after a type of
+    another repository, only if it is an extension method. All joins are on a type and a name, or on a name that one symbol
+    has, so frequent names don't meet.
     """
-    m = rows.where("row = 'mention'").withColumn("mention", F.xxhash64("file_path", "line", "column", "owner"))
-    s = symbols.where("kind != 'Namespace'").select(F.col("id").alias("target_id"), "name", F.col("kind").alias("target_kind"), F.col("owner").alias("home"), F.col("namespace").alias("target_space"), F.col("full_name").alias("target_name"), F.col("key").alias("target_key"), "parameters")
-    types = symbols.where("kind = 'Type'").select(F.col("name").alias("type"), F.explode_outer("bases").alias("base")).distinct()
-    last = lambda c: F.element_at(F.split(c, r"\."), -1)
-    held = symbols.where("kind in ('Property', 'Field')").select(F.col("owner").alias("h_owner"), F.col("name").alias("h_name"), F.regexp_extract("type_name", r"^(?:.*\.)?(\w+)", 1).alias("h_type")).dropDuplicates(["h_owner", "h_name"])
-    owner_type = F.when(F.col("o.kind") == "Type", F.col("o.full_name")).otherwise(F.col("o.owner"))
-    o = symbols.select("full_name", "kind", "owner", "key")
-    m = m.alias("m").join(o.alias("o"), F.col("m.owner") == F.col("o.key")).select("m.mention", "m.name", "m.qualifier", "m.file_path", "m.line", "m.column", "m.call", "m.arguments", "m.context", F.col("m.namespace").alias("space"), F.col("m.owner").alias("source"), owner_type.alias("in_type"))
-    m = m.join(held, (F.col("in_type") == F.col("h_owner")) & (F.col("qualifier") == F.col("h_name")), "left").drop("h_owner", "h_name")
-    found = m.join(s, "name").where((F.col("target_kind") == "Method") == F.col("call"))
-    found = found.join(types, (last(F.col("in_type")) == F.col("type")) & (last(F.col("home")) == F.col("base")), "left")
-    own = F.col("home") == F.col("in_type")
-    rank = F.when(F.coalesce(last(F.col("home")) == F.coalesce("h_type", "qualifier"), F.lit(False)), 0).when(F.col("qualifier").isNull() | (F.col("qualifier") == "this"), F.when(own, 1).when(F.col("base").isNotNull(), 2).when(F.col("target_kind") == "Type", F.when(F.col("target_space") == F.col("space"), 3).otherwise(4)).otherwise(6)).when(F.col("target_kind") == "Type", 4).otherwise(5)
-    found = found.withColumn("rank", rank)
-    n = F.size("parameters")
+    closure = closure_of(rows, symbols) if closure is None else closure
+    closure = materialise(closure, "csharp-scopes")
+    o = symbols.select(F.col("key").alias("owner"), F.when(F.col("kind") == "Type", F.col("id")).otherwise(F.col("declaring_type_id")).alias("in_type"), F.when(F.col("kind") == "Type", F.col("full_name")).otherwise(F.col("owner")).alias("of"))
+    m = rows.where("row = 'mention'").withColumn("mention", F.xxhash64("file_path", "line", "column", "owner")).drop("of", "in_type")
+    m = m.select("mention", "name", "file_path", "line", "column", "call", "arguments", "context", "chain", "owner").join(o, "owner").withColumnRenamed("owner", "source")
+    m = materialise(m, "csharp-mentions")
+    after = m.where(F.size("chain") > 0)
+    typed = receivers(after.select("in_type", "of", "file_path", "chain").distinct(), rows, symbols, closure)
+    after = after.join(typed.drop("id"), ["in_type", "file_path", "chain"], "left")
+    after = materialise(after, "csharp-received")
+    s = symbols.where("kind not in ('Namespace', 'Type')").select("declaring_type_id", F.col("id").alias("target_id"), "name", F.col("kind").alias("target_kind"), F.col("full_name").alias("target_name"), F.col("key").alias("target_key"), "parameters", (F.col("kind") == "Method").alias("call"))
+    place = ["mention", "name", "call", "arguments", "source", "file_path", "line", "column", "context"]
+    of_type = after.where("type_id is not null").join(closure.where("not outer").select(F.col("type").alias("type_id"), "base", "depth"), "type_id").where("not above or depth > 0").select(*place, "base", "depth")
+    bare = m.where(F.size("chain") == 0).join(closure.select(F.col("type").alias("in_type"), "base", "depth"), "in_type").select(*place, "base", "depth")
+    found = of_type.unionByName(bare).join(s.withColumnRenamed("declaring_type_id", "base"), ["base", "name", "call"]).drop("base")
+    found = materialise(found, "csharp-members")
+    # types by their names; after a receiver, types in types and, with the namespace before them, whole names
+    left = m.where(~F.col("call")).join(found.select("mention").distinct(), "mention", "left_anti")
+    dotted = left.where(~F.exists("chain", lambda c: c.rlike(r"[()\[\]:?]|^(await|this|base)$"))).withColumn("written", F.concat_ws(".", "chain", "name"))
+    t = named_types(dotted, rows, symbols).withColumnRenamed("target_id", "type_target")
+    of_types = dotted.join(t, ["of", "file_path", "written"]).select(*place, F.col("type_target").alias("target_id"))
+    # the only symbol of a name
+    unsure = after.where("type_id is null").join(found.select("mention").distinct(), "mention", "left_anti").join(of_types.select("mention"), "mention", "left_anti")
+    extends = F.exists("parameters", lambda p: p["is_this"])
+    only = s.groupBy("name", "call").agg(F.size(F.collect_set("target_name")).alias("n")).where("n = 1").select("name", "call")
+    alone = s.join(only, ["name", "call"]).withColumn("extends", F.coalesce(extends, F.lit(False))).drop("declaring_type_id")
+    known = after.where("type_id is not null").join(found.select("mention").distinct(), "mention", "left_anti").withColumn("told", F.lit(True))
+    lone = unsure.unionByName(known).join(alone, ["name", "call"]).where("extends or not coalesce(told, false)").drop("extends")
+    every = found.unionByName(lone.select(*place, F.lit(9000).alias("depth"), "target_id", "target_kind", "target_name", "target_key", "parameters"))
+    shift = F.when(F.exists("parameters", lambda p: p["is_this"]) & (F.col("depth") == 9000), 1).otherwise(0)
+    n = F.coalesce(F.size("parameters"), F.lit(0)) - shift
     least = F.size(F.filter("parameters", lambda p: ~p["has_default"] & ~p["is_params"] & ~p["is_this"]))
     fits = F.coalesce(F.col("arguments").between(least, F.when(F.exists("parameters", lambda p: p["is_params"]), F.lit(1 << 30)).otherwise(n)), F.lit(False))
-    found = found.withColumn("fits", fits).withColumn("exact", F.coalesce(n == F.col("arguments"), F.lit(False)))
-    w = Window.partitionBy("mention")
-    best = found.withColumn("least", F.min("rank").over(w)).where("rank = least").withColumn("n", F.size(F.collect_set("target_name").over(w)))
-    order = w.orderBy(F.desc("fits"), F.desc("exact"), "target_name", "target_key")
-    return best.where("(rank < 5 or (n = 1 and rank = 5)) and (n = 1 or rank < 4)").withColumn("_p", F.row_number().over(order)).where("_p = 1").select(
-        "target_id", ids.node_id(F.col("source")).alias("source_id"), F.when(F.col("target_kind") == "Method", "Call").when(F.col("target_kind") == "Type", "Type").otherwise("Read").alias("kind"), "file_path", "line", "column", "context"
-    )
+    order = F.struct((~fits).alias("a"), "depth", (~F.coalesce(n == F.col("arguments"), F.lit(False))).alias("b"), "target_name", "target_key")
+    best = every.groupBy("mention").agg(F.min_by(F.struct("target_id", "target_kind", "source", "file_path", "line", "column", "context"), order).alias("m")).select("m.*")
+    best = best.unionByName(of_types.select("target_id", F.lit("Type").alias("target_kind"), "source", "file_path", "line", "column", "context"))
+    return best.select("target_id", ids.node_id(F.col("source")).alias("source_id"), F.when(F.col("target_kind") == "Method", "Call").when(F.col("target_kind") == "Type", "Type").otherwise("Read").alias("kind"), "file_path", "line", "column", "context")
 
 
 def refs_of(resolved: DataFrame) -> DataFrame:
@@ -415,18 +664,10 @@ def bases_of(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     uses; one without a namespace. A name that is left counts if only one type has it.
     """
     types = symbols.where("kind = 'Type'")
-    plain = F.regexp_replace(F.regexp_replace("written", r"<.*", ""), r"^global::", "")
-    asked = types.select(F.col("id").alias("source_id"), F.col("full_name").alias("of"), "namespace", "file_path", F.explode("bases").alias("written")).withColumn("written", plain)
-    asked = asked.withColumn("base", F.regexp_extract("written", r"(\w+)$", 1))
-    target = types.select(F.col("id").alias("target_id"), F.col("name").alias("base"), F.col("type_name").alias("base_kind"), F.col("full_name").alias("target_name"), F.col("owner").alias("home"))
-    used = rows.where("row = 'using'").select(F.col("file_path").alias("in_file"), F.col("name").alias("space"), F.lit(True).alias("used")).distinct()
-    hits = asked.join(target, "base").where("source_id != target_id").join(used, F.expr("file_path = in_file and home = space"), "left")
-    near = F.when(F.contains("written", F.lit(".")), F.when(F.endswith("target_name", F.concat(F.lit("."), F.col("written"))) | F.endswith("target_name", F.concat(F.lit("::"), F.col("written"))), 0))
-    near = F.coalesce(near, F.when(F.startswith("of", F.concat("home", F.lit("."))), 1).when(F.col("used"), 2).when(F.col("home") == "", 3).otherwise(5))
-    w = Window.partitionBy("source_id", "written")
-    order = w.orderBy("near", F.desc(F.length("home")), "target_id")
-    best = hits.withColumn("near", near).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("_p", F.row_number().over(order)).where("_p = 1 and (near < 5 or n = 1)")
-    return best.select("source_id", "target_id", "base_kind")
+    asked = types.select(F.col("id").alias("source_id"), F.col("owner").alias("of"), "file_path", F.explode("bases").alias("written"))
+    target = types.select(F.col("id").alias("target_id"), F.col("type_name").alias("base_kind")).dropDuplicates(["target_id"])
+    found = asked.join(named_types(asked, rows, symbols), ["of", "file_path", "written"]).where("source_id != target_id")
+    return found.join(target, "target_id").select("source_id", "target_id", "base_kind").distinct()
 
 
 def edges_of(symbols: DataFrame, resolved: DataFrame, rows: DataFrame) -> DataFrame:

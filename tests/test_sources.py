@@ -309,3 +309,32 @@ def test_one_graph_of_a_unity_project(spark):
     assert [r.id for r in unity.components_like(nodes, "CONTROL").collect()] == ["a"]
     edges = spark.createDataFrame([("a", "b", "Requires"), ("a", "b", "References"), ("c", "b", "Calls")], "source_id string, target_id string, kind string")
     assert [(r.seed, r.node) for r in unity.dependents(edges, spark.createDataFrame([("b",)], "seed string")).collect()] == [("b", "a")]
+
+
+TYPED = {
+    "lib": """namespace O { public class A { public void M() { } public void K() { } public B Made; public A Self() => this; } public class B { public void M() { } public A[] All() => null; public System.Collections.Generic.List<A> Some { get; set; } }
+public class Up2 { public void Deep() { } public virtual void Both() { } } public class Up1 : Up2 { } public class Down : Up1 { public void Use() { Deep(); base.Both(); this.Deep(); } public override void Both() { } }
+public static class Ext { public static void Grow(this A a, int by) { } } }""",
+    "use": """using O; using System.Threading.Tasks;
+namespace Q { public class C { public A held; public static A One() => new A(); A Make() => held; B Other(int n) => null; async Task<A> Later() => null;
+ void Parameter(A a) { a.M(); } void Local() { var x = new A(); x.M(); } void Result() { Make().M(); } void Declared() { B b = Other(1); b.M(); }
+ void Chain(B b) { Make().Self().Self().Made.M(); b.All()[0].M(); b.Some[1].K(); } void Each(B b) { foreach (var a in b.All()) { a.M(); } foreach (A a in b.Some) a.K(); }
+ async void Awaited() { var x = await Later(); x.M(); (await Later()).K(); } void Cast(object o) { ((A)o).M(); (o as B).M(); if (o is A a) { a.K(); } }
+ void Static() { C.One().M(); Q.C.One().K(); } void Shadow(string held) { held.M(); } void After() { { var held = new B(); held.M(); } held.M(); } void Own() { this.held.M(); held?.K(); held!.M(); }
+ void Extended(A a) { a.Grow(1); } void Lambda() { Call(held => held.M()); } C(B made) { made.M(); } void New() { new A().M(); new O.B().M(); } void Call(object o) { } } }
+namespace P { public class A { public void M() { } } public class E : A { void Go() { K(); M(); } } }""",
+}
+
+
+def test_calls_go_to_the_type_of_their_receiver(spark):
+    _, e = linked(spark, **TYPED)
+    calls = {}
+    for s, k, t in e:
+        if k == "Calls":
+            calls.setdefault(s.split("(")[0].removeprefix("Q.C."), set()).add(t.removeprefix("O.").removesuffix("()"))
+    want = {
+        "Parameter": {"A.M"}, "Local": {"A.M"}, "Result": {"Q.C.Make", "A.M"}, "Declared": {"Q.C.Other(int)", "B.M"}, "Chain": {"Q.C.Make", "A.Self", "B.M", "B.All", "A.M", "A.K"}, "Each": {"B.All", "A.M", "A.K"},
+        "Awaited": {"Q.C.Later", "A.M", "A.K"}, "Cast": {"A.M", "B.M", "A.K"}, "Static": {"Q.C.One", "A.M", "A.K"}, "After": {"B.M", "A.M"}, "Own": {"A.M", "A.K"}, "Extended": {"Ext.Grow(A,int)"}, "Lambda": {"Q.C.Call(object)"},
+        "Q.C": {"B.M"}, "New": {"A.M", "B.M"}, "Make": set(), "O.Down.Use": {"Up2.Deep", "Up2.Both"}, "P.E.Go": {"P.A.M"},
+    }
+    assert {k: v for k, v in calls.items()} == {k: {x.replace("Ext.Grow(A,int)", "Ext.Grow(A,int)") for x in v} for k, v in want.items() if v}
