@@ -49,8 +49,9 @@ def grams(text: str, size: int) -> np.ndarray:
 
 def tiles(size: int, bits: int):
     """A mapInArrow function over x, text: for each of 2^bits blocks of columns and each worker's block of documents, the
-    documents (x, n), how many n-grams each has there that others of the block have too (both) and that it alone has
-    (alone, whose hashes follow in hashes), and the hashes (once) of those that several have (known)."""
+    places of the documents that have n-grams there (at), how many others of the block have too (both) and how many they
+    alone have (alone, whose hashes follow in hashes), and the hashes (once) of those that several have (known). The first
+    block of columns also has the documents' names and sizes (x, n)."""
 
     def run(batches):
         x, found, held = [], [], 0
@@ -67,13 +68,14 @@ def tiles(size: int, bits: int):
             column, column_known = (h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64) for h in (every, known))
             short, short_known = (((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32) for h in (every, known))
             names = np.array(x, np.int64)
+            block = xxhash.xxh64_intdigest(names.tobytes()) >> 1
             for c in sorted({0} | set(np.unique(column).tolist())):
                 here = column == c
                 both, alone = (np.bincount(of[here & m], minlength=len(n)) for m in (several, ~several))
-                some = np.flatnonzero(both + alone > 0) if c else np.arange(len(n))
-                values = [[c], [names[some]], [n[some]], [both[some]], [alone[some]], [short[here & ~several].tobytes()], [short_known[column_known == c].tobytes()]]
-                kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["c", "x", "n", "both", "alone", "hashes", "known"])
+                some = np.flatnonzero(both + alone > 0)
+                values = [[block], [c], [None if c else names], [None if c else n], [some], [both[some]], [alone[some]], [short[here & ~several].tobytes()], [short_known[column_known == c].tobytes()]]
+                kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 5, pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "c", "x", "n", "at", "both", "alone", "hashes", "known"])
             x.clear()
             found.clear()
 
@@ -92,21 +94,37 @@ def tiles(size: int, bits: int):
     return run
 
 
+TILE = "block long, c long, x array<long>, n array<long>, at array<long>, both array<long>, alone array<long>, hashes binary, known binary"
+COUNTED = "block long, x array<long>, n array<long>, at array<long>, shared array<long>"
+
+
 def shared_here(table: pa.Table) -> pa.Table:
-    """Of a block of columns: x, n, shared, the number of the document's n-grams in it that any other document has."""
+    """Of a block of columns, a row for each block of documents: the places of those that have n-grams in it which any other
+    document has, and how many; names and sizes are passed on."""
     alone = [np.frombuffer(h.as_py(), np.uint32) for h in table.column("hashes")]
     every = np.sort(np.concatenate([*alone, *[np.frombuffer(h.as_py(), np.uint32) for h in table.column("known")]]))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
+    places, shares = [], []
     for i, hashes in enumerate(alone):
-        x, n, both, counts = (np.asarray(table.column(c)[i].values) for c in ("x", "n", "both", "alone"))
-        at = np.searchsorted(twice, hashes)
-        hit = np.concatenate([[0], np.cumsum(twice[np.minimum(at, len(twice) - 1)] == hashes)]) if len(twice) else np.zeros(len(hashes) + 1, np.int64)
+        at, both, counts = (np.asarray(table.column(c)[i].values) for c in ("at", "both", "alone"))
+        found = np.searchsorted(twice, hashes)
+        hit = np.concatenate([[0], np.cumsum(twice[np.minimum(found, len(twice) - 1)] == hashes)]) if len(twice) else np.zeros(len(hashes) + 1, np.int64)
         ends = np.cumsum(counts)
         shared = both + hit[ends] - hit[ends - counts]
-        keep = (shared > 0) | (table.column("c")[i].as_py() == 0)
-        out.append((x[keep], n[keep], shared[keep]))
-    return pa.table({k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in zip(("x", "n", "shared"), zip(*out, strict=True), strict=True)})
+        places.append(at[shared > 0])
+        shares.append(shared[shared > 0])
+    longs = pa.list_(pa.int64())
+    return pa.table({"block": table.column("block"), "x": table.column("x"), "n": table.column("n"), "at": pa.array(places, longs), "shared": pa.array(shares, longs)})
+
+
+def shared_of(table: pa.Table) -> pa.Table:
+    """Of a block of documents: x, n, shared of each, added up over the blocks of columns."""
+    named = next(i for i in range(table.num_rows) if table.column("x")[i].is_valid)
+    x, n = (np.asarray(table.column(c)[named].values) for c in ("x", "n"))
+    shared = np.zeros(len(x), np.int64)
+    for i in range(table.num_rows):
+        shared[np.asarray(table.column("at")[i].values)] += np.asarray(table.column("shared")[i].values)
+    return pa.table({"x": pa.array(x, pa.int64()), "n": pa.array(n, pa.int64()), "shared": pa.array(shared)})
 
 
 def sets(size: int):
@@ -234,9 +252,9 @@ def joined(docs: DataFrame, size: int = 5) -> DataFrame:
     texts = named.join(copied, "x", "left").where("first is null or doc_id = first").select("x", "text")
     total = nodes.agg(F.sum("bytes")).first()[0] or 0
     bits = min(32, max(0, int(np.ceil(np.log2(max(1, total / 6 / COLUMN))))))
-    tiled = in_batches(texts).mapInArrow(tiles(size, bits), "c long, x array<long>, n array<long>, both array<long>, alone array<long>, hashes binary, known binary")
-    seen = tiled.groupBy("c").applyInArrow(shared_here, "x long, n long, shared long")
-    seen = materialise(seen.groupBy("x").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")), "jaccard-shared")
+    tiled = in_batches(texts).mapInArrow(tiles(size, bits), TILE).groupBy("c").applyInArrow(shared_here, COUNTED)
+    seen = tiled.groupBy("block").applyInArrow(shared_of, "x long, n long, shared long")
+    seen = materialise(seen.groupBy("x").agg(F.max("n").alias("n"), F.max("shared").alias("shared")), "jaccard-shared")
     some = materialise(seen.where("n > 0 and shared * 5 >= n * 4").select("x"), "jaccard-some", True)
     known = in_batches(texts.join(broadcast_if(some, BROADCAST_ROWS), "x", "left_semi")).mapInArrow(sets(size), "x long, n long, found array<long>")
     known = materialise(known.dropDuplicates(["x"]), "jaccard-sets")

@@ -97,6 +97,6 @@ def test_shared_counts(spark):
     rows = [(1, "a b c d e f g"), (2, "x a b c d e f y"), (3, "q r s t u v")]
     docs = spark.createDataFrame(rows, "x long, text string").repartition(3)
     for bits in (0, 2):
-        made = docs.mapInArrow(jaccard.tiles(5, bits), "c long, x array<long>, n array<long>, both array<long>, alone array<long>, hashes binary, known binary")
-        found = made.groupBy("c").applyInArrow(jaccard.shared_here, "x long, n long, shared long").groupBy("x").agg(F.max("n"), F.sum("shared"))
+        made = docs.mapInArrow(jaccard.tiles(5, bits), jaccard.TILE).groupBy("c").applyInArrow(jaccard.shared_here, jaccard.COUNTED)
+        found = made.groupBy("block").applyInArrow(jaccard.shared_of, "x long, n long, shared long")
         assert sorted(map(tuple, found.collect())) == [(1, 3, 2), (2, 4, 2), (3, 2, 0)]
