@@ -260,14 +260,14 @@ def joined(docs: DataFrame, size: int = 5) -> DataFrame:
     known = materialise(known.dropDuplicates(["x"]), "jaccard-sets")
     # the rarest n-grams of each document
     cells = known.select("x", "n", F.explode("found").alias("gram"))
-    often = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ranked = cells.join(often, "gram").groupBy("x").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("cells"))
+    often = materialise(cells.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "jaccard-often", True)
+    ranked = cells.join(broadcast_if(often, BROADCAST_ROWS), "gram").groupBy("x").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("cells"))
     first = F.expr("cast(greatest(0, n - (n * 4 + 4) div 5 + 1 - (n - size(cells))) as int)")
     rare = materialise(ranked.select("x", "n", F.explode(F.slice("cells", F.lit(1), first)).alias("cell")).select("cell.gram", "x", "n"), "jaccard-rare")
     # each column's members against two of them
     member = F.struct("x", "n")
     hubs = rare.groupBy("gram").agg(F.min(member).alias("a"), F.max(member).alias("b")).where("a.x != b.x").select("gram", F.array("a", "b").alias("hubs"))
-    stars = rare.join(hubs, "gram").select(F.col("x").alias("u"), F.col("n").alias("n1"), F.inline("hubs")).toDF("u", "n1", "v", "n2").where((F.col("u") != F.col("v")) & alike(F.col("n1"), F.col("n2")))
+    stars = rare.join(broadcast_if(materialise(hubs, "jaccard-hubs", True), BROADCAST_ROWS), "gram").select(F.col("x").alias("u"), F.col("n").alias("n1"), F.inline("hubs")).toDF("u", "n1", "v", "n2").where((F.col("u") != F.col("v")) & alike(F.col("n1"), F.col("n2")))
     roots = materialise(components(verified(known, stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())), "jaccard-roots", True)
     # what is still apart
     rooted = materialise(rare.join(broadcast_if(roots, BROADCAST_ROWS), F.col("x") == F.col("node"), "left").select("gram", "x", "n", F.coalesce("root", "x").alias("root")), "jaccard-rooted")
