@@ -28,16 +28,21 @@ def sampled(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-#: Features of one text that are learned from at most; scores use all.
-MOST_FEATURES = 8_000
-
-
-def bounded(found: np.ndarray) -> np.ndarray:
-    """found, or of more than MOST_FEATURES those with the smallest hashes, in their order."""
-    if len(found) <= MOST_FEATURES:
-        return found
-    hashes = found.astype(np.uint32) * np.uint32(2654435761)
-    return found[np.sort(np.argsort(hashes, kind="stable")[:MOST_FEATURES])]
+#: Characters that are learned from at most: of a sample with more, rows go, those whose ids have the largest hashes. A text
+#: that is learned from is learned from as a whole.
+MOST_CHARACTERS = 64 << 20
+
+
+def affordable(sizes: list[tuple[int, int, int, int]], most: int) -> list[tuple[int, int]]:
+    """doc_id and label of the first of the rows (hash, doc_id, label, characters), by hash, that have so many characters in
+    all at most; of each label one row at least."""
+    out, total, labels = [], 0, set()
+    for _, i, label, n in sorted(sizes):
+        if total + n <= most or label not in labels:
+            out.append((i, label))
+            labels.add(label)
+        total += n
+    return out
 
 
 def feature_rows(docs: DataFrame, sample: DataFrame, features: Callable[[], Callable[[str], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -45,15 +50,14 @@ def feature_rows(docs: DataFrame, sample: DataFrame, features: Callable[[], Call
     task), gathered as numbers.
 
     The sample is broadcast: its size is bounded by sampled(). Of documents with one doc_id the text with the smallest hash
-    is learned from, once for each label. So at most 4 * MOST_FEATURES bytes a sampled row come to the driver, for 9,000
-    rows 288 MB, were all texts so long.
+    is learned from, once for each label. The driver gets whole texts' features, of MOST_CHARACTERS characters at most.
     """
 
     def make():
         of = features()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = pa.array([bounded(of(t)) for _, t in rows_of(batch, "text")], pa.list_(pa.int32()))
+            rows = pa.array([of(t) for _, t in rows_of(batch, "text")], pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["doc_id", "label", "features"])
 
         return each
@@ -62,6 +66,10 @@ def feature_rows(docs: DataFrame, sample: DataFrame, features: Callable[[], Call
     wanted = sample.select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     joined = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("x"))
     first = joined.groupBy("doc_id", "label").agg(F.min(F.struct("x", "text")).alias("t")).select("doc_id", "label", "t.text")
+    sizes = [(r.h, r.doc_id, r.label, r["n"]) for r in first.select(F.xxhash64("doc_id").alias("h"), "doc_id", "label", F.length("text").alias("n")).collect()]
+    if sum(x[3] for x in sizes) > MOST_CHARACTERS:
+        kept = docs.sparkSession.createDataFrame(affordable(sizes, MOST_CHARACTERS), "doc_id long, label int")
+        first = first.join(F.broadcast(kept), ["doc_id", "label"])
     got = in_batches(first).mapInArrow(per_batch(make), "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     lists = got["features"].combine_chunks()
     return [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in lists], np.asarray(got["label"]).astype(np.int64)

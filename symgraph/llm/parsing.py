@@ -144,39 +144,69 @@ def edited(text: str, following: str) -> str:
 
 
 def in_order(docs: DataFrame, rows_a_part: int = 1024, most_parts: int = 1 << 16) -> DataFrame:
-    """doc_id, text, part, role: rows dealt to parts of neighbouring ids, for a reader of each part in the order of part,
-    role, doc_id descending, text. Role 0 is a part's own row; role 1 the first row of the next part (after the last: of
-    the first), so that each row meets its successor within its part.
+    """doc_id, text, hash, part, role: rows dealt to parts of neighbouring ids, for a reader of each part in the order of
+    part, role, doc_id descending, hash of the text, text. Role 0 is a part's own row; role 1 the first row of the next part
+    (after the last: of the first), so that each row meets its successor within its part.
 
-    Parts end at quantiles of the ids, so their sizes are even however the ids lie; ids may be any longs. The driver gets
-    one cut and one row a part. Null ids are the smallest. Rows of one id stay in one part, which is read as a stream.
+    Parts end at quantiles of the ids, so their sizes are even however the ids lie; ids may be any longs. Null ids are the
+    smallest. An id of many rows is a row of parts of its own, by the text's hash; a text that one id has many times, whose
+    order doesn't matter, by its place in the input. The driver gets a cut, a frequent id or text and a row for each part.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("hash", F.xxhash64("text")).withColumn("at", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)))
     least, n = rows.agg(F.min("doc_id"), F.count(F.lit(1))).first()
     parts = max(1, min(most_parts, n // rows_a_part))
+    often = max(rows_a_part, n // most_parts)
     # the distance from the smallest id, as doubles: in the order of the ids, and beyond the range of longs
     offset = F.coalesce((F.col("doc_id").cast("decimal(20,0)") - F.lit(str(least or 0)).cast("decimal(20,0)")).cast("double"), F.lit(-1.0))
     cuts = rows.agg(F.percentile_approx(offset, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else []
     cuts = np.unique(np.array(cuts or [], np.float64))
+    ids = [(r.doc_id, r["n"]) for r in rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often).collect()]
+    same = []
+    if ids:
+        frequent = F.broadcast(docs.sparkSession.createDataFrame(ids, "frequent long, n long").drop("n"))  # a row a part
+        same = [(r.doc_id, r.hash, r["n"]) for r in rows.join(frequent, F.col("doc_id").eqNullSafe(F.col("frequent"))).groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often).collect()]
+    levels = [np.array([(i is None, ~(i or 0), h, -(-k // rows_a_part)) for i, h, k in found], np.int64).reshape(-1, 4) for found in ([(i, 0, k) for i, k in ids], same)]
+
+    def place(of: np.ndarray, null: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many parts the frequent ids and texts up to each row make: k and one before the rows after it."""
+        out = np.zeros(len(of), np.int64)
+        for known, by_hash, u in ((levels[0], 0, (hashes >> 44) + (1 << 19)), (levels[1], 1, at)):  # u: 0 to 2^20, of hashes in their order
+            keys = np.concatenate([known[:, :3], np.stack([null, ~of, hashes * by_hash], 1)])
+            of_row = np.arange(len(keys)) >= len(known)
+            order = np.lexsort((of_row, keys[:, 2], keys[:, 1], keys[:, 0]))
+            parts_of = np.concatenate([known[:, 3], np.zeros(len(of), np.int64)])
+            made = np.cumsum(np.where(of_row, 0, parts_of + 1)[order])
+            last = np.maximum.accumulate(np.where(of_row[order], -1, np.arange(len(keys))))
+            mine = (last >= 0) & (keys[order[np.maximum(last, 0)]] == keys[order]).all(1)
+            k = np.where(mine, parts_of[order[np.maximum(last, 0)]], 0)
+            inside = np.concatenate([np.zeros(len(known), np.int64), u])[order] * k >> 20
+            found = np.empty(len(keys), np.int64)
+            found[order] = made - k + inside
+            out += found[len(known) :]
+        return out
 
     @F.pandas_udf("int")
-    def part_of(x: pd.Series) -> pd.Series:
-        return pd.Series((len(cuts) - np.searchsorted(cuts, x.to_numpy(np.float64))).astype(np.int32))
-
-    dealt = rows.withColumn("part", part_of(offset) if len(cuts) else F.lit(0))
-    found = sorted(dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect())
-    before = [(p, found[i - 1][0], top) for i, (p, top) in enumerate(found)]
-    ends = F.broadcast(docs.sparkSession.createDataFrame(before, "part int, before int, top long"))  # a row a part
-    own, ahead = F.struct("part", F.lit(0).alias("role")), F.struct(F.col("before").alias("part"), F.lit(1).alias("role"))
-    roles = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, ahead)).otherwise(F.array(own))
-    return dealt.join(ends, "part").select("doc_id", "text", F.inline(roles))
+    def part_of(x: pd.Series, of: pd.Series, null: pd.Series, hashes: pd.Series, at: pd.Series) -> pd.Series:
+        first = len(cuts) - np.searchsorted(cuts, x.to_numpy(np.float64))
+        return pd.Series((first + place(of.to_numpy(np.int64), null.to_numpy(bool), hashes.to_numpy(np.int64), at.to_numpy(np.int64))).astype(np.int32))
+
+    split = part_of(offset, F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull(), "hash", "at")
+    dealt = rows.withColumn("part", split if len(cuts) or ids else F.lit(0)).drop("at")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.coalesce("doc_id", F.lit(0)).cast("decimal(20,0)")).alias("less"), "hash")
+    found = sorted(tuple(r) for r in dealt.groupBy("part").agg(F.min_by(F.struct("doc_id", "hash"), order).alias("top")).select("part", "top.*").collect())
+    before = [(p, found[i - 1][0], top, h) for i, (p, top, h) in enumerate(found)]
+    tops = F.broadcast(docs.sparkSession.createDataFrame(before, "part int, before int, top long, top_hash long"))  # a row a part
+    heads = dealt.join(tops, "part").where(F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("hash") == F.col("top_hash")))
+    heads = heads.groupBy("before").agg(F.first("top").alias("doc_id"), F.first("top_hash").alias("hash"), F.min("text").alias("text"))
+    ahead = heads.select("doc_id", "text", "hash", F.col("before").alias("part"), F.lit(1).alias("role"))
+    return dealt.withColumn("role", F.lit(0)).unionByName(ahead)
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
 
     A row's edited text takes its last half from the next row in descending doc_id, which may be any long (rows of equal
-    doc_id by text, null ids last; the last row's next is the first; a single row's next is itself). Null texts are empty:
+    doc_id by the text's hash and by text, null ids last; the last row's next is the first; a single row's next is itself). Null texts are empty:
     their fingerprint is zeros, and two such are alike. An empty table gives an empty result; other columns are not read.
     Texts are dealt once; a part is read as a stream with a bounded number of rows in memory. A long text is parsed as a
     whole by one worker, in some 60 bytes a character.
@@ -184,7 +214,7 @@ def compare(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = in_order(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "part").sortWithinPartitions("part", "role", F.desc_nulls_last("doc_id"), "text").select("doc_id", "text", "part", "role")
+    rows = rows.repartition(n, "part").sortWithinPartitions("part", "role", F.desc_nulls_last("doc_id"), "hash", "text").select("doc_id", "text", "part", "role")
 
     def run(batches):
         held = None  # the part's last own row: id, text, part, fingerprint

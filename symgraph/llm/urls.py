@@ -21,20 +21,26 @@ BROADCAST_ROWS = 500_000
 RULES_IN_PLAN = 2_000
 
 
+def after_scheme(url: Column) -> Column:
+    """What follows the first ://; empty without one."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to a slash, question mark, number sign or the end, A-Z lower-cased; else empty."""
-    found = F.regexp_extract(url, r"(?s)^(?:(?!://).)*://([^/?#]*)", 1)
+    found = F.regexp_extract(after_scheme(url), r"^[^/?#]*", 0)
     return F.coalesce(F.translate(found, string.ascii_uppercase, string.ascii_lowercase), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """After the host up to a question mark, number sign or the end; else empty."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def node_of(url: Column) -> Column:
     """What two spellings of one resource share: host, path and query. Null without a host."""
-    query = F.coalesce(F.regexp_extract(url, r"(?s)://[^?#]*(\?[^#]*)", 1), F.lit(""))
+    query = F.coalesce(F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)", 1), F.lit(""))
     return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
 
 
@@ -82,7 +88,7 @@ def resolved(to: Column, url: Column) -> Column:
     site, path = F.concat(F.regexp_extract(url, r"^([^:/?#]*://)", 1), host_of(url)), path_of(url)
     own, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)", 1)
     folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
-    query = F.regexp_extract(url, r"(?s)://[^?#]*(\?[^#]*)", 1)
+    query = F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
     return (
         F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
         .when(F.startswith(to, F.lit("//")), F.concat(F.lit("http:"), to))
@@ -97,15 +103,17 @@ def resolved(to: Column, url: Column) -> Column:
 def link_edges(pages: DataFrame) -> DataFrame:
     """u, v: nodes that a canonical link or a refresh in the page's html connects with the page's own url.
 
-    Targets may be absolute or relative to the page's url (not to a base tag); canonical may stand anywhere in rel. Html
-    without such a tag gives nothing.
+    Targets may be absolute or relative to the page's first base tag, itself relative to the page's url, or without one to
+    that; canonical may stand anywhere in rel. Html without such a tag gives nothing.
     """
     some = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>", "").alias("html"))
-    tags = some.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)).alias("tag"))
+    base = F.replace(F.regexp_extract("html", r"""(?i)<base\b[^>]*?\shref\s*=\s*["']?([^"'\s>]+)""", 1), F.lit("&amp;"), F.lit("&"))
+    some = some.withColumn("base", F.when(base != "", resolved(base, F.col("url"))))
+    tags = some.select("url", "base", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)).alias("tag"))
     canonical = F.when(F.col("tag").rlike(r"""(?i)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|'(?:[^']*\s)?canonical[\s']|canonical[\s/>])"""), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     refresh = F.when(F.col("tag").rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
-    found = tags.select("url", F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&")).alias("to")).where("to != ''")
-    whole = resolved(F.col("to"), F.col("url"))
+    found = tags.select("url", "base", F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&")).alias("to")).where("to != ''")
+    whole = resolved(F.col("to"), F.coalesce("base", "url"))
     return found.select(node_of(F.col("url")).alias("u"), node_of(whole).alias("v")).where("u is not null and v is not null and u != v").distinct()
 
 
@@ -115,7 +123,8 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None) ->
     edges (u, v of node_of) are redirects known from elsewhere, beside those in the html. A page with a rule has the
     rule's verdict. One without has block if its component holds a blocked url and no allowed one, else allow; urls that
     are only link targets count too. Null urls and those without :// have empty host and path, no rule, no alias, and
-    are allowed. Repeated rows give repeated results; null html links nothing; an empty table gives an empty result.
+    are allowed. Repeated rows give repeated results; null html links nothing; very long urls are cut in one pass, without
+    recursion; an empty table gives an empty result.
     """
     found = link_edges(pages)
     found = materialise(found if edges is None else found.unionByName(edges.select("u", "v")).distinct(), "url-edges")

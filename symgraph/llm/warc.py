@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.session import broadcast_if, materialise, shared_path
+from symgraph.session import rows as count_of
 
 #: Neighbouring page_ids that a file holds; null ones are dealt over NULL_FILES files of their own.
 IDS_IN_FILE, NULL_FILES = 4096, 64
+#: Bytes of html from which on a file's records are dealt over several files of half as many.
+MOST_BYTES = 128 << 20
 #: One digest in so many ends a run, and so many records do at the latest.
 RUN, LONGEST_RUN = 16, 256
 BROADCAST_ROWS = 200_000
@@ -50,10 +53,20 @@ def pages_records(pages: DataFrame) -> DataFrame:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """rows with file, those of one file in one task: neighbouring page_ids, null ones by their hash."""
+    """rows with file, those of one file in one task: neighbouring page_ids, null ones by their hash.
+
+    Where such rows (page_id, url, html) have more than MOST_BYTES of html, they are dealt by their hash over several files,
+    and equal rows by their place in the input, so a file grows neither with its pages' sizes nor with how often an id is
+    repeated, beyond its largest record."""
     nulls = F.concat(F.lit("null-"), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(NULL_FILES)).cast("string"))
     name = F.coalesce(F.floor(F.col("page_id").cast("long") / IDS_IN_FILE).cast("string"), nulls)
-    return rows.withColumn("file", name).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    rows = rows.withColumn("file", name)
+    large = rows.groupBy("file").agg(F.sum(F.octet_length("html") + 1024).alias("bytes")).where(F.col("bytes") > MOST_BYTES)
+    large = materialise(large.select("file", F.expr(f"bytes div {MOST_BYTES // 2} + 1").alias("parts")), "warc-large", True)
+    if count_of(large):
+        place = F.xxhash64(*[F.col(c) for c in rows.columns], F.monotonically_increasing_id())
+        rows = rows.withColumn("place", place).join(broadcast_if(large, BROADCAST_ROWS), "file", "left").withColumn("file", F.when(F.col("parts").isNull(), F.col("file")).otherwise(F.concat_ws("-", "file", F.pmod("place", "parts").cast("string")))).drop("parts", "place")
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
 
 
 def write_warc(rows: DataFrame, path: str, *folders: str) -> None:
@@ -132,7 +145,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """path, offset, length, record_id, target, record, payload (both binary), broken of each record of a folder's files.
 
     Offsets are those in the unpacked file. A file is read by one task and is held whole, twice if it is packed: keep files
-    to some hundred MB, as is usual; Spark gives no file of over 2 GB. An empty file has no record.
+    to some hundred MB, as is usual and as dealt() does; Spark gives no file, and so no record, of over 2 GB. An empty file
+    has no record.
     """
     schema = "path string, offset long, length long, record_id string, target string, record binary, payload binary, broken boolean"
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.large_binary(), pa.large_binary(), pa.bool_())

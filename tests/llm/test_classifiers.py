@@ -188,7 +188,11 @@ def test_repeated_documents_are_learned_from_once(spark):
     assert len(rows) == 59 and y.sum() == 30
 
 
-def test_long_texts_are_learned_from_by_a_bounded_sample():
-    found = np.arange(20_000, dtype=np.int32)
-    kept = learning.bounded(found)
-    assert len(kept) == learning.MOST_FEATURES and (np.diff(kept) > 0).all() and (learning.bounded(found[:100]) == found[:100]).all()
+def test_a_sample_of_many_characters_loses_rows_but_no_part_of_a_text(spark, monkeypatch):
+    sizes = [(5, 1, 0, 40), (1, 2, 0, 50), (2, 3, 1, 60), (3, 4, 1, 10), (9, 5, 0, 1)]
+    assert learning.affordable(sizes, 100) == [(2, 0), (3, 1)] and learning.affordable(sizes, 1) == [(2, 0), (3, 1)]
+    assert len(learning.affordable(sizes, 1000)) == 5
+    monkeypatch.setattr(learning, "MOST_CHARACTERS", 3000)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    rows, y = learning.feature_rows(frame(spark, [(i, "x" * 200) for i in range(40)]), labels, lambda: lambda t: np.arange(len(t), dtype=np.int32))
+    assert 12 <= len(rows) <= 16 and all(len(r) == 200 for r in rows) and set(y) == {0, 1}

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from symgraph.llm import parsing
 
@@ -80,12 +81,18 @@ def test_batches_do_not_mix_texts():
     assert parsing.likeness(together[0], together[2]) == 1 and parsing.likeness(together[3], together[4]) < 0.1 and not together[1].any()
 
 
+def by_hash(text):
+    """What rows of one id are ordered by: the text's hash as a signed number, and the text."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (h >> 63 << 64), text or ""
+
+
 @pytest.mark.parametrize("rows_a_part", [3, 1024])
 def test_compare_equals_brute_force(spark, rows_a_part, monkeypatch):
     monkeypatch.setattr(parsing.in_order, "__defaults__", (rows_a_part, 1 << 16))
     rows = [(r.doc_id * 3 - 50, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows += [(10**12, None), (10**12 + 1, ""), (7, "tie b"), (7, "tie a"), (7, "tie a"), (None, "no id at all"), (10**12 + 5, "w " * 90_000)]
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), *by_hash(r[1])))
     marks = parsing.batches_of([t or "" for _, t in order])
     want = []
     for i, (d, t) in enumerate(order):
@@ -111,6 +118,23 @@ def test_an_outlying_id_leaves_parts_even(spark):
     assert len(sizes) >= 18 and max(r["count"] for r in sizes) < 2_500 and sum(r["count"] for r in sizes) == len(ids)
 
 
+@pytest.mark.parametrize("texts", [[f"text {i}" for i in range(15_000)], ["one text"] * 15_000])
+def test_a_frequent_id_is_several_parts(spark, texts):
+    rows = [(None, t) for t in texts] + [(i, f"own {i}") for i in range(4_000)] + [(-5, f"less {i % 700}") for i in range(1_000)]
+    found = parsing.in_order(frame(spark, rows).repartition(7), 1024).cache()
+    sizes = {r.part: r["count"] for r in found.where("role = 0").groupBy("part").count().collect()}
+    assert max(sizes.values()) <= 2_048 and sum(sizes.values()) == len(rows)
+    assert found.where("role = 1").count() == len(sizes)
+    ordered = sorted(((r.doc_id is None, -(r.doc_id or 0), *by_hash(r.text), r.part) for r in found.where("role = 0").collect()))
+    assert [r[-1] for r in ordered] == sorted(r[-1] for r in ordered)
+    heads = {r.part: (r.doc_id, r.text) for r in found.where("role = 1").collect()}
+    parts = sorted(sizes)
+    first = {}
+    for none, less, _, text, part in ordered:
+        first.setdefault(part, (None if none else -less, text))
+    assert heads == {parts[i - 1]: first[p] for i, p in enumerate(parts)}
+
+
 def test_compare_small_tables(spark):
     assert parsing.compare(frame(spark, [])).count() == 0
     (one,) = parsing.compare(frame(spark, [(5, "abcdef")])).collect()
