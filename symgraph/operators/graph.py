@@ -103,18 +103,94 @@ def relationships(symbols: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     return edges.join(s, "source_id").join(n, "target_id").select("source_id", "target_id", "from_name", "to_name", "kind")
 
 
-def cyclic_core(edges: DataFrame, kinds: tuple[str, ...] = ("Inherits", "Implements", "DependsOn")) -> DataFrame:
-    """Nodes left when those without an incoming or an outgoing edge are peeled off until none is: the cycles and what
-    lies between them. Each round is written."""
-    left = materialise(oriented(edges, "out", kinds), "core")
-    n = left.count()
-    while n:
+def peeled(left: DataFrame) -> DataFrame:
+    """left (src, dst) without the nodes that nothing leads to, or that lead to nothing, again and again. Each round is written."""
+    left = materialise(left, "core", True)
+    while rows(left):
         ends = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        left = materialise(ends.join(ends.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "core")
-        was, n = n, left.count()
-        if n == was:
+        now = materialise(ends.join(ends.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "core", True)
+        if rows(now) == rows(left):
+            return now
+        left = now
+    return left
+
+
+def strong_components(edges: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """node, component (its smallest node) of the nodes on a cycle: those that reach one another, and self-loops.
+
+    After peeling, every node takes the smallest node that reaches it as its colour; the nodes that reach their colour's own
+    node within the colour are its component. Components and edges between colours then go, the rest is peeled again, and
+    so on until nothing is left; a component never has two colours. A step along the edges is a job.
+    """
+    left, out = peeled(oriented(edges, "out", kinds)), None
+    if rows(left):
+        loops = materialise(left.where("src = dst").select(F.col("src").alias("node")), "loops")
+    while rows(left):
+        colour = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node"))
+        moved = True
+        while moved:
+            given = left.join(colour, left["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("given"))
+            colour = materialise(colour.join(given, "node", "left").select("node", F.least("colour", "given").alias("colour"), (F.col("given") < F.col("colour")).alias("moved")), "colours")
+            moved = not colour.where("moved").isEmpty()
+            colour = colour.drop("moved")
+        of = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+        inside = left.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour")
+        inside = materialise(inside.select("src", "dst", F.col("src_colour").alias("colour")), "coloured")
+        found = level = materialise(colour.where("node = colour"), "components", True)
+        while rows(level):
+            behind = inside.join(level.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            level = materialise(behind.join(found.select("node"), "node", "left_anti"), "components", True)
+            found = found.unionByName(level)
+        found = materialise(found, "components")
+        out = found if out is None else out.unionByName(found)
+        gone = found.select("node")
+        rest = inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = peeled(rest.select("src", "dst"))
+    if out is None:
+        return left.select(F.col("src").alias("node"), F.col("src").alias("component"))
+    several = out.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour")
+    kept = out.join(several, "colour", "left_semi").unionByName(out.join(several, "colour", "left_anti").join(loops, "node", "left_semi"))
+    return kept.select("node", F.col("colour").alias("component"))
+
+
+def cyclic_core(edges: DataFrame, kinds: tuple[str, ...] = ("Inherits", "Implements", "DependsOn")) -> DataFrame:
+    """The nodes that reach themselves."""
+    return strong_components(edges, kinds).select("node")
+
+
+def forest_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Node, parent, depth, pre, post, size (nodes below it, itself included) of a forest (node, parent), in depth-first
+    order: trees and children by their ids, pre and post from 0 over the whole forest.
+
+    A node's descendants are those whose pre lies in [pre, pre + size), so counts below a node need no pairs. Nodes double
+    the steps that they look upwards, so rounds are the logarithm of the depth: sizes are added to the node 2^k steps up,
+    and then a node's number is the sum, over itself and what is above it, of what comes before it under its parent.
+    A node with two parents, or a cycle, is an error; a parent that is not a node is one, as a root.
+    """
+    up = edges.select("node", "parent").where("parent is not null").distinct()
+    every = up.select("node").unionByName(up.select(F.col("parent").alias("node"))).distinct()
+    if nodes is not None:
+        every = every.unionByName(nodes.select("node")).distinct()
+    known = materialise(every.join(up, "node", "left").select("node", "parent", F.col("parent").alias("above"), F.lit(1).cast("long").alias("size"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "forest", True)
+    if rows(known) != every.count():
+        raise ValueError("a node has two parents")
+    at = known
+    for _ in range(64):
+        if at.where("above is not null").isEmpty():
             break
-    return left.select(F.col("src").alias("node")).distinct()
+        given = at.where("above is not null").groupBy(F.col("above").alias("node")).agg(F.sum("size").alias("more"))
+        ahead = at.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("depth").alias("further"))
+        at = at.join(ahead, "above", "left").join(given, "node", "left")
+        at = materialise(at.select("node", "parent", F.col("next").alias("above"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth")), "forest-sizes")
+    else:
+        raise ValueError("the edges have a cycle")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pre = at.select("node", "parent", "size", "depth", F.col("parent").alias("above"), (before + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("pre"))
+    pre = materialise(pre, "forest-numbers")
+    while not pre.where("above is not null").isEmpty():
+        ahead = pre.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("pre").alias("further"))
+        pre = materialise(pre.join(ahead, "above", "left").select("node", "parent", "size", "depth", F.col("next").alias("above"), (F.col("pre") + F.coalesce("further", F.lit(0))).alias("pre")), "forest-numbers")
+    return pre.select("node", "parent", "depth", "pre", (F.col("pre") + F.col("size") - 1 - F.col("depth")).alias("post"), "size")
 
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 4, direction: str = "out", kinds: tuple[str, ...] = ()) -> DataFrame:
@@ -177,6 +253,58 @@ def match_pattern(nodes: DataFrame, edges: DataFrame, kinds: list[str | None], l
     return found.select(*[f"n{i}" for i in range(len(kinds))])
 
 
+def match_graph(nodes: DataFrame, edges: DataFrame, kinds: dict[str, str | None], links: list[tuple[str, str, str]], where: dict[str, str] | None = None, apart: bool = True) -> DataFrame:
+    """Bindings (a column for each name) of a pattern of any shape: chains, branches and closed ones.
+
+    kinds has each name's node kind (None: any), links (from, kind, to), where a condition on a name's node columns as SQL.
+    One link after the other extends the bindings by a join; a link whose ends are both bound is a semi-join, and is taken
+    as soon as it can be. apart: different names are different nodes. For triangles of undirected edges see triangles().
+    """
+    of_kind = lambda v: (nodes.where(F.col("kind") == kinds[v]) if kinds[v] else nodes).where((where or {}).get(v, "true")).select(F.col("id").alias(v))
+    step = lambda a, kind, b: edges.where(F.col("kind") == kind).select(F.col("source_id").alias(a), F.col("target_id").alias(b)).distinct()
+    left, found = list(links), of_kind(links[0][0])
+    bound = {links[0][0]}
+    while left:
+        link = min(left, key=lambda x: (-len({x[0], x[2]} & bound), left.index(x)))
+        left.remove(link)
+        a, kind, b = link
+        ends = {a, b} & bound
+        if not ends:
+            raise ValueError("the pattern has several parts")
+        if a == b:
+            found = found.join(edges.where((F.col("kind") == kind) & (F.col("source_id") == F.col("target_id"))).select(F.col("source_id").alias(a)), a, "left_semi")
+            continue
+        if len(ends) == 2:
+            found = found.join(step(a, kind, b), [a, b], "left_semi")
+            continue
+        new = b if a in bound else a
+        found = found.join(step(a, kind, b), list(ends)).join(of_kind(new), new)
+        if apart:
+            for other in bound:
+                found = found.where(F.col(other) != F.col(new))
+        bound.add(new)
+    return found.select(*kinds)
+
+
+def triangles(edges: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """A < b < c of each three nodes that are joined pairwise, whatever the direction.
+
+    Each edge goes from the end of fewer edges to that of more, so a node has at most some square root of all edges ahead of
+    it, and a hub's neighbours are not paired with one another; pairs of what is ahead of a node are kept if an edge closes
+    them."""
+    ways = oriented(edges, "out", kinds).where("src != dst").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
+    ways = materialise(ways, "triangle-edges")
+    degree = ways.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    x, y = (degree.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n")) for c in "xy")
+    up = F.struct("x_n", "x") < F.struct("y_n", "y")
+    ahead = ways.join(x, "x").join(y, "y").select(F.when(up, F.col("x")).otherwise(F.col("y")).alias("low"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("high"))
+    ahead = materialise(ahead, "triangle-ahead")
+    wedges = ahead.select("low", F.col("high").alias("one")).join(ahead.select("low", F.col("high").alias("two")), "low").where("one < two")
+    closed = wedges.join(ways.select(F.col("x").alias("one"), F.col("y").alias("two")), ["one", "two"], "left_semi")
+    corners = F.array_sort(F.array("low", "one", "two"))
+    return closed.select(*[F.get(corners, F.lit(i)).alias(c) for i, c in enumerate("abc")])
+
+
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """node, rank (D5): ranks start at 1/N; what nodes without targets hold is not handed on."""
     step = materialise(oriented(edges, "out"), "rank-edges")

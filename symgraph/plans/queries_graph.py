@@ -148,10 +148,10 @@ def cross_repo_implementations(spark, d):
     return found.join(part, "node").select("repository", "node", F.lit(1.0).alias("score"), F.lit("implements").alias("relation"))
 
 
-@query(with_ctes("SELECT DISTINCT node FROM walk WHERE node = seed", "seeds(seed) AS (SELECT c_custkey FROM customer)", "loops AS (SELECT c_custkey AS source_id, c_custkey // 5 AS target_id FROM customer WHERE c_custkey > 0 UNION ALL SELECT 1, 30 UNION ALL SELECT 2, 13 UNION ALL SELECT 17, 17)", _walk("seeds", "source_id", "target_id", "loops", 12)))
+@query(with_ctes("SELECT DISTINCT node FROM walk WHERE node = seed", "seeds(seed) AS (SELECT c_custkey FROM customer)", "loops AS (SELECT c_custkey AS source_id, c_custkey // 5 AS target_id FROM customer WHERE c_custkey > 0 UNION ALL SELECT 1, 30 UNION ALL SELECT 2, 13 UNION ALL SELECT 17, 17 UNION ALL SELECT 2, 40)", _walk("seeds", "source_id", "target_id", "loops", 12)))
 def cycle_detection(spark, d):
-    """The planted edges close 1, 30, 6 and 2, 13 to cycles, and 17 upon itself."""
-    e = A.inherits(spark, d).unionByName(spark.createDataFrame([(1, 30, "Inherits"), (2, 13, "Inherits"), (17, 17, "Inherits")], "source_id long, target_id long, kind string"))
+    """The planted edges close 1, 30, 6 and 2, 13 to cycles, and 17 upon itself; 40 and 8 lie between two cycles."""
+    e = A.inherits(spark, d).unionByName(spark.createDataFrame([(1, 30, "Inherits"), (2, 13, "Inherits"), (17, 17, "Inherits"), (2, 40, "Inherits")], "source_id long, target_id long, kind string"))
     return graph.cyclic_core(e)
 
 
@@ -218,3 +218,62 @@ def all_paths(spark, d):
     pairs = table(spark, d, "customer").select(F.col("c_custkey").alias("target")).crossJoin(seeds(spark, 300, 777))  # two seeds
     found = graph.all_paths(A.inherits(spark, d), pairs, 2).where(F.size("path") == 3)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+CHAINS = "loops AS (SELECT c_custkey AS source_id, c_custkey // 5 AS target_id FROM customer WHERE c_custkey > 0 UNION ALL SELECT 1, 30 UNION ALL SELECT 2, 13 UNION ALL SELECT 17, 17 UNION ALL SELECT 2, 40), seeds(seed) AS (SELECT c_custkey FROM customer)"
+
+
+@query(with_ctes("SELECT a.seed AS node, min(a.node) AS component FROM walk a JOIN walk b ON a.seed = b.node AND a.node = b.seed GROUP BY a.seed", CHAINS, _walk("seeds", "source_id", "target_id", "loops", 12)))
+def cycle_components(spark, d):
+    """Which cycle each node of cycle_detection is on."""
+    e = A.inherits(spark, d).unionByName(spark.createDataFrame([(1, 30, "Inherits"), (2, 13, "Inherits"), (17, 17, "Inherits"), (2, 40, "Inherits")], "source_id long, target_id long, kind string"))
+    return graph.strong_components(e, ("Inherits",))
+
+
+@query(
+    with_ctes(
+        "SELECT node, any_value(parent) AS parent, max(depth) AS depth, any_value(pre) AS pre, any_value(post) AS post, any_value(size) AS size FROM numbers GROUP BY node",
+        "up AS (SELECT c_custkey AS node, CASE WHEN c_custkey > 0 THEN c_custkey // 5 END AS parent FROM customer)",
+        "paths(node, parent, path) AS (SELECT node, parent, [node] FROM up WHERE parent IS NULL UNION ALL SELECT up.node, up.parent, list_append(path, up.node) FROM up JOIN paths ON up.parent = paths.node)",
+        "below AS (SELECT unnest(path) AS node, count(*) AS size FROM paths GROUP BY 1)",
+        "numbers AS (SELECT node, parent, len(path) - 1 AS depth, row_number() OVER (ORDER BY path) - 1 AS pre, row_number() OVER (ORDER BY list_append(path, 9223372036854775807)) - 1 AS post, size FROM paths JOIN below USING (node))",
+    )
+)
+def depth_first_order(spark, d):
+    """Depth-first numbers of the customers' forest."""
+    up = A.inherits(spark, d).select(F.col("source_id").alias("node"), F.col("target_id").alias("parent"))
+    return graph.forest_order(up, table(spark, d, "customer").select(F.col("c_custkey").alias("node")))
+
+
+@query(with_ctes("SELECT DISTINCT a.x AS a, a.y AS b, b.y AS c FROM ways a JOIN ways b ON a.y = b.x JOIN ways c ON c.x = a.x AND c.y = b.y", CALLS, "ways AS (SELECT DISTINCT least(source_id, target_id) AS x, greatest(source_id, target_id) AS y FROM calls WHERE source_id != target_id)"))
+def pattern_triangles(spark, d):
+    """All triangles of the parts' calls."""
+    return graph.triangles(A.calls(spark, d))
+
+
+PATTERN_NODES = "kinds AS (SELECT p_partkey AS id, p_brand AS kind FROM part)"
+
+
+@query(
+    with_ctes(
+        "SELECT x.source_id AS hub, x.target_id AS one, y.target_id AS two, z.source_id AS back FROM calls x JOIN calls y ON x.source_id = y.source_id AND x.target_id != y.target_id JOIN calls z ON z.target_id = x.source_id AND z.source_id NOT IN (x.target_id, y.target_id) "
+        "JOIN kinds h ON h.id = x.source_id AND h.kind = 'Brand#11' JOIN kinds a ON a.id = x.target_id AND a.kind = 'Brand#7' JOIN kinds b ON b.id = y.target_id AND b.kind = 'Brand#23' JOIN kinds c ON c.id = z.source_id AND c.kind = 'Brand#17' WHERE x.source_id NOT IN (x.target_id, y.target_id, z.source_id)",
+        CALLS, PATTERN_NODES,
+    )
+)
+def pattern_star(spark, d):
+    """Parts of one brand with calls to two others and from a third."""
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"))
+    return graph.match_graph(n, A.calls(spark, d), {"hub": "Brand#11", "one": "Brand#7", "two": "Brand#23", "back": "Brand#17"}, [("hub", "Calls", "one"), ("hub", "Calls", "two"), ("back", "Calls", "hub")])
+
+
+@query(
+    with_ctes(
+        "SELECT x.source_id AS a, x.target_id AS b, y.target_id AS c FROM calls x JOIN calls y ON y.source_id = x.target_id JOIN calls z ON z.source_id = y.target_id AND z.target_id = x.source_id JOIN kinds k ON k.id = x.source_id AND k.kind = 'Brand#11' WHERE x.source_id != x.target_id AND y.target_id NOT IN (x.source_id, x.target_id)",
+        CALLS, PATTERN_NODES,
+    )
+)
+def pattern_cycle(spark, d):
+    """Directed cycles of three calls through a brand."""
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"))
+    return graph.match_graph(n, A.calls(spark, d), {"a": "Brand#11", "b": None, "c": None}, [("a", "Calls", "b"), ("b", "Calls", "c"), ("c", "Calls", "a")])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import ids
 from symgraph.plans.schema import FLAGS, PARAMETER
-from symgraph.session import materialise
+from symgraph.session import broadcast_if, materialise
 from symgraph.session import rows as count_of
 
 TOKEN = re.compile(
@@ -496,14 +496,36 @@ def nodes_of(symbols: DataFrame) -> DataFrame:
     return symbols.where("kind in ('Type', 'Method', 'Property', 'Field')").select("id", "full_name", F.col("name").alias("label"), kind.alias("kind"), F.map_from_arrays(F.array(F.lit("FilePath")), F.array("file_path")).alias("metadata"))
 
 
-def named_types(asked: DataFrame, rows: DataFrame, symbols: DataFrame) -> DataFrame:
+def visible(projects: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Projects (file_path, project), and project, seen: itself and what it references (project, target), at any depth."""
+    from symgraph.operators.graph import bfs
+
+    direct = references.select(F.col("project").alias("source_id"), F.col("target").alias("target_id"), F.lit("References").alias("kind"))
+    reached = bfs(direct, direct.select(F.col("source_id").alias("seed")), None, "out").select(F.col("seed").alias("project"), F.col("node").alias("seen"))
+    own = projects.select("project", F.col("project").alias("seen"))
+    return projects.select("file_path", "project").dropDuplicates(["file_path"]), materialise(own.unionByName(reached).distinct(), "csharp-visible", True)
+
+
+def seen_only(hits: DataFrame, scope: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """Those of hits (file_path, in_file) whose in_file is in a project that file_path's project sees; files without a project
+    see all, and are seen by all."""
+    if scope is None:
+        return hits.drop("in_file")
+    projects, seen = scope
+    of, to = projects.select("file_path", F.col("project").alias("_of")), projects.select(F.col("file_path").alias("in_file"), F.col("project").alias("_to"))
+    both = hits.join(of, "file_path", "left").join(to, "in_file", "left").join(broadcast_if(seen.select(F.col("project").alias("_of"), F.col("seen").alias("_to"), F.lit(True).alias("_sees")), 300_000), ["_of", "_to"], "left")
+    return both.where("_of is null or _to is null or _sees").drop("in_file", "_of", "_to", "_sees")
+
+
+def named_types(asked: DataFrame, rows: DataFrame, symbols: DataFrame, scope: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """asked (of, file_path, written) with target_id: the type of the repository that a name means where it is written.
 
     of is the full name of the type it is written in. The name is sought, in this order, in that type and what encloses it
     (the nearest first), in the namespaces that the file uses, and as it is; each place is a full name to look up, so no
-    join is on a simple name. A name that is left counts if one type only has it.
+    join is on a simple name. A name that is left counts if one type only has it. With a scope (visible()), types in projects
+    that the file's project doesn't see are passed over.
     """
-    types = symbols.where("kind = 'Type'").select(F.col("id").alias("target_id"), "name", "full_name").dropDuplicates(["target_id"])
+    types = symbols.where("kind = 'Type'").select(F.col("id").alias("target_id"), "name", "full_name", F.col("file_path").alias("in_file")).dropDuplicates(["target_id"])
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("written", r"<.*", ""), r"^global::", ""), r"[?\[\], *]+$", "")
     asked = asked.select("of", "file_path", "written").distinct().withColumn("plain", plain).where("plain != ''")
     used = rows.where("row = 'using'").groupBy("file_path").agg(F.sort_array(F.collect_set("name")).alias("spaces"))
@@ -512,20 +534,23 @@ def named_types(asked: DataFrame, rows: DataFrame, symbols: DataFrame) -> DataFr
     by_using = F.transform(F.coalesce("spaces", F.array().cast("array<string>")), lambda s: F.struct((F.size(parts) - F.lit(0.5)).alias("near"), F.concat(s, F.lit("."), "plain").alias("full_name")))
     places = F.concat(F.transform(around, lambda p: F.struct(p["near"].cast("double").alias("near"), p["full_name"].alias("full_name"))), by_using)
     sought = asked.join(used, "file_path", "left").withColumn("place", F.explode(places)).select("of", "file_path", "written", "place.*")
-    found = sought.join(types.drop("name"), "full_name").groupBy("of", "file_path", "written").agg(F.min_by("target_id", F.struct("near", "target_id")).alias("target_id"))
+    found = seen_only(sought.join(types.drop("name"), "full_name"), scope).groupBy("of", "file_path", "written").agg(F.min_by("target_id", F.struct("near", "target_id")).alias("target_id"))
     last = F.regexp_extract("plain", r"([^.:]+)$", 1)
-    only = types.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("target_id").alias("target_id"), F.first("full_name").alias("full_name")).where("n = 1").drop("n")
+    only = types.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("target_id").alias("target_id"), F.first("full_name").alias("full_name"), F.first("in_file").alias("in_file")).where("n = 1").drop("n")
     rest = asked.join(found, ["of", "file_path", "written"], "left_anti").withColumn("name", last).join(only, "name").where(F.endswith("full_name", F.concat(F.lit("."), "plain")) | F.endswith("full_name", F.concat(F.lit(":"), "plain")))
-    return found.unionByName(rest.select("of", "file_path", "written", "target_id"))
+    return found.unionByName(seen_only(rest.select("of", "file_path", "written", "target_id", "in_file"), scope))
+
 
+def closure_of(rows: DataFrame, symbols: DataFrame, scope: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """type, base, depth: each type, its bases of all levels and, for names without a receiver (outer), those of the types around it.
 
-def closure_of(rows: DataFrame, symbols: DataFrame) -> DataFrame:
-    """type, base, depth: each type, its bases of all levels and, for names without a receiver (outer), those of the types around it."""
+    Interfaces count for interfaces only: a class's members don't include those of the interfaces it implements."""
     from symgraph.operators.graph import bfs
 
-    types = symbols.where("kind = 'Type'").select(F.col("id").alias("type"), "owner").distinct()
-    direct = materialise(bases_of(rows, symbols).select("source_id", "target_id", F.lit("Up").alias("kind")), "csharp-bases")
+    types = symbols.where("kind = 'Type'").select(F.col("id").alias("type"), "owner", (F.col("type_name") == "Interface").alias("asks")).dropDuplicates(["type"])
+    direct = materialise(bases_of(rows, symbols, scope).select("source_id", "target_id", F.lit("Up").alias("kind")), "csharp-bases")
     up = bfs(direct, direct.select(F.col("source_id").alias("seed")), None, "out").where("node != seed").select(F.col("seed").alias("type"), F.col("node").alias("base"), "depth")
+    up = up.join(types.select("type", "asks"), "type").join(types.select(F.col("type").alias("base"), F.col("asks").alias("asked")), "base").where("asks or not asked").select("type", "base", "depth")
     up = materialise(types.select("type", F.col("type").alias("base"), F.lit(0).alias("depth")).unionByName(up), "csharp-closure")
     nested = types.select(F.col("type").alias("source_id"), ids.node_id(F.col("owner")).alias("target_id"), F.lit("In").alias("kind")).join(types.select(F.col("type").alias("target_id")), "target_id", "left_semi")
     nested = materialise(nested, "csharp-nested")
@@ -534,7 +559,7 @@ def closure_of(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     return up.withColumn("outer", F.lit(False)).unionByName(outer.withColumn("outer", F.lit(True)))
 
 
-def receivers(asked: DataFrame, rows: DataFrame, symbols: DataFrame, closure: DataFrame) -> DataFrame:
+def receivers(asked: DataFrame, rows: DataFrame, symbols: DataFrame, closure: DataFrame, scope: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """asked (in_type, of, file_path, chain) with type_id: the type that a chain of names, calls and elements has in the end,
     null if it is none of the repository's, and told: whether the chain's type is known to be none of it.
 
@@ -559,7 +584,7 @@ def receivers(asked: DataFrame, rows: DataFrame, symbols: DataFrame, closure: Da
     spelt = materialise(named, "csharp-heads")
     loose = spelt.where("m is null")
     asks = loose.select("of", "file_path", F.col("head").alias("written")).unionByName(loose.where("prefix is not null").select("of", "file_path", F.col("prefix").alias("written"))).where("written not like '%()'")
-    means = materialise(named_types(asks, rows, symbols), "csharp-named")
+    means = materialise(named_types(asks, rows, symbols, scope), "csharp-named")
     one, two = (means.select("of", "file_path", F.col("written").alias(c), F.col("target_id").alias(t)) for c, t in (("head", "as_type"), ("prefix", "as_whole")))
     spelt = spelt.join(one, ["of", "file_path", "head"], "left").join(two, ["of", "file_path", "prefix"], "left")
     unknown = F.col("m").isNull() & F.col("as_type").isNull() & F.col("as_whole").isNull()
@@ -580,7 +605,7 @@ def receivers(asked: DataFrame, rows: DataFrame, symbols: DataFrame, closure: Da
         unwrapped = state.where((F.coalesce(step, F.lit("")).isin("[]", "await")) & F.col("written").isNotNull())
         unwrapped = unwrapped.withColumn("written", F.when(step == "[]", inner).otherwise(F.when(task != "", task).otherwise(F.col("written")))).withColumn("at", F.col("at") + 1).withColumn("lost", F.col("lost") | (F.col("written") == ""))
         rest = state.where(~(F.coalesce(step, F.lit("")).isin("[]", "await") & F.col("written").isNotNull()))
-        asked_types = named_types(rest.where("written is not null"), rows, symbols).withColumnRenamed("target_id", "means")
+        asked_types = named_types(rest.where("written is not null"), rows, symbols, scope).withColumnRenamed("target_id", "means")
         rest = materialise(rest.join(asked_types, ["of", "file_path", "written"], "left").withColumn("type_id", F.coalesce("type_id", "means")).drop("means"), "csharp-typed")
         ended = rest.where((F.col("at") >= F.size("chain")) | F.col("type_id").isNull())
         whole_chain = F.col("at") >= F.size("chain")
@@ -600,7 +625,7 @@ def receivers(asked: DataFrame, rows: DataFrame, symbols: DataFrame, closure: Da
     return now.select("id", "in_type", "file_path", "chain").join(done, "id", "left") if done is not None else now.select("id", "in_type", "file_path", "chain", F.lit(None).cast("string").alias("type_id"), F.lit(False).alias("above"), F.lit(False).alias("told"))
 
 
-def resolve(rows: DataFrame, symbols: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+def resolve(rows: DataFrame, symbols: DataFrame, closure: DataFrame | None = None, scope: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """target_id, source_id, kind, line and place of each mention that is understood.
 
     A mention after a receiver is a member of the receiver's type or the nearest of its bases (receivers() types chains of
@@ -609,28 +634,28 @@ def resolve(rows: DataFrame, symbols: DataFrame, closure: DataFrame | None = Non
     one that takes as many arguments (the nearest, then the first by its key; argument types are not looked at). What is
     left after a receiver that can't be told is the only symbol of that name, if there is only one; after a type of
     another repository, only if it is an extension method. All joins are on a type and a name, or on a name that one symbol
-    has, so frequent names don't meet.
+    has, so frequent names don't meet. With a scope (visible()), only projects that a file's own project sees count (S6).
     """
-    closure = closure_of(rows, symbols) if closure is None else closure
+    closure = closure_of(rows, symbols, scope) if closure is None else closure
     closure = materialise(closure, "csharp-scopes")
     o = symbols.select(F.col("key").alias("owner"), F.when(F.col("kind") == "Type", F.col("id")).otherwise(F.col("declaring_type_id")).alias("in_type"), F.when(F.col("kind") == "Type", F.col("full_name")).otherwise(F.col("owner")).alias("of"))
     m = rows.where("row = 'mention'").withColumn("mention", F.xxhash64("file_path", "line", "column", "owner")).drop("of", "in_type")
     m = m.select("mention", "name", "file_path", "line", "column", "call", "arguments", "context", "chain", "owner").join(o, "owner").withColumnRenamed("owner", "source")
     m = materialise(m, "csharp-mentions")
     after = m.where(F.size("chain") > 0)
-    typed = receivers(after.select("in_type", "of", "file_path", "chain").distinct(), rows, symbols, closure)
+    typed = receivers(after.select("in_type", "of", "file_path", "chain").distinct(), rows, symbols, closure, scope)
     after = after.join(typed.drop("id"), ["in_type", "file_path", "chain"], "left")
     after = materialise(after, "csharp-received")
-    s = symbols.where("kind not in ('Namespace', 'Type')").select("declaring_type_id", F.col("id").alias("target_id"), "name", F.col("kind").alias("target_kind"), F.col("full_name").alias("target_name"), F.col("key").alias("target_key"), "parameters", (F.col("kind") == "Method").alias("call"))
+    s = symbols.where("kind not in ('Namespace', 'Type')").select("declaring_type_id", F.col("id").alias("target_id"), "name", F.col("kind").alias("target_kind"), F.col("full_name").alias("target_name"), F.col("key").alias("target_key"), "parameters", (F.col("kind") == "Method").alias("call"), F.col("file_path").alias("in_file"))
     place = ["mention", "name", "call", "arguments", "source", "file_path", "line", "column", "context"]
     of_type = after.where("type_id is not null").join(closure.where("not outer").select(F.col("type").alias("type_id"), "base", "depth"), "type_id").where("not above or depth > 0").select(*place, "base", "depth")
     bare = m.where(F.size("chain") == 0).join(closure.select(F.col("type").alias("in_type"), "base", "depth"), "in_type").select(*place, "base", "depth")
-    found = of_type.unionByName(bare).join(s.withColumnRenamed("declaring_type_id", "base"), ["base", "name", "call"]).drop("base")
+    found = of_type.unionByName(bare).join(s.withColumnRenamed("declaring_type_id", "base"), ["base", "name", "call"]).drop("base", "in_file")
     found = materialise(found, "csharp-members")
     # types by their names; after a receiver, types in types and, with the namespace before them, whole names
     left = m.where(~F.col("call")).join(found.select("mention").distinct(), "mention", "left_anti")
     dotted = left.where(~F.exists("chain", lambda c: c.rlike(r"[()\[\]:?]|^(await|this|base)$"))).withColumn("written", F.concat_ws(".", "chain", "name"))
-    t = named_types(dotted, rows, symbols).withColumnRenamed("target_id", "type_target")
+    t = named_types(dotted, rows, symbols, scope).withColumnRenamed("target_id", "type_target")
     of_types = dotted.join(t, ["of", "file_path", "written"]).select(*place, F.col("type_target").alias("target_id"))
     # the only symbol of a name
     unsure = after.where("type_id is null").join(found.select("mention").distinct(), "mention", "left_anti").join(of_types.select("mention"), "mention", "left_anti")
@@ -638,7 +663,7 @@ def resolve(rows: DataFrame, symbols: DataFrame, closure: DataFrame | None = Non
     only = s.groupBy("name", "call").agg(F.size(F.collect_set("target_name")).alias("n")).where("n = 1").select("name", "call")
     alone = s.join(only, ["name", "call"]).withColumn("extends", F.coalesce(extends, F.lit(False))).drop("declaring_type_id")
     known = after.where("type_id is not null").join(found.select("mention").distinct(), "mention", "left_anti").withColumn("told", F.lit(True))
-    lone = unsure.unionByName(known).join(alone, ["name", "call"]).where("extends or not coalesce(told, false)").drop("extends")
+    lone = seen_only(unsure.unionByName(known).join(alone, ["name", "call"]), scope).where("extends or not coalesce(told, false)").drop("extends")
     every = found.unionByName(lone.select(*place, F.lit(9000).alias("depth"), "target_id", "target_kind", "target_name", "target_key", "parameters"))
     shift = F.when(F.exists("parameters", lambda p: p["is_this"]) & (F.col("depth") == 9000), 1).otherwise(0)
     n = F.coalesce(F.size("parameters"), F.lit(0)) - shift
@@ -656,7 +681,7 @@ def refs_of(resolved: DataFrame) -> DataFrame:
     return rows.unionByName(rows.where("kind = 'Call'"))
 
 
-def bases_of(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+def bases_of(rows: DataFrame, symbols: DataFrame, scope: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """source_id, target_id, base_kind: each base that a type names and the type of the repository that it means.
 
     Of several types of that name, in this order: one whose full name ends with the name as it is written with its
@@ -666,11 +691,11 @@ def bases_of(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     types = symbols.where("kind = 'Type'")
     asked = types.select(F.col("id").alias("source_id"), F.col("owner").alias("of"), "file_path", F.explode("bases").alias("written"))
     target = types.select(F.col("id").alias("target_id"), F.col("type_name").alias("base_kind")).dropDuplicates(["target_id"])
-    found = asked.join(named_types(asked, rows, symbols), ["of", "file_path", "written"]).where("source_id != target_id")
+    found = asked.join(named_types(asked, rows, symbols, scope), ["of", "file_path", "written"]).where("source_id != target_id")
     return found.join(target, "target_id").select("source_id", "target_id", "base_kind").distinct()
 
 
-def edges_of(symbols: DataFrame, resolved: DataFrame, rows: DataFrame) -> DataFrame:
+def edges_of(symbols: DataFrame, resolved: DataFrame, rows: DataFrame, scope: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Declares, Inherits, Implements (of all interfaces), Overrides, Calls among the repository's symbols.
 
     An override goes to the nearest base's method of its name with the same parameter types, else with as many parameters,
@@ -679,13 +704,13 @@ def edges_of(symbols: DataFrame, resolved: DataFrame, rows: DataFrame) -> DataFr
     from symgraph.operators.graph import bfs
 
     types = symbols.where("kind = 'Type'").select("id", "type_name")
-    direct = materialise(bases_of(rows, symbols), "bases")
+    direct = materialise(bases_of(rows, symbols, scope), "bases")
     inherits = direct.where("base_kind != 'Interface'").select("source_id", "target_id", F.lit("Inherits").alias("kind"))
     every = bfs(direct.select("source_id", "target_id", F.lit("Up").alias("kind")), direct.select(F.col("source_id").alias("seed")), None, "out").where("node != seed")
     implements = every.join(types.where("type_name = 'Interface'"), F.col("node") == F.col("id"), "left_semi").select(F.col("seed").alias("source_id"), F.col("node").alias("target_id"), F.lit("Implements").alias("kind"))
     declares = symbols.where("kind in ('Method', 'Property', 'Field')").select(F.col("declaring_type_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("Declares").alias("kind"))
     methods = symbols.where("kind = 'Method'").select("id", "name", "declaring_type_id", "is_override", F.size("parameters").alias("n"), F.regexp_extract("key", r"(\(.*)$", 1).alias("signature"))
-    base = every.select(F.col("seed").alias("declaring_type_id"), F.col("node").alias("base_id"), "depth")
+    base = every.join(types.where("type_name != 'Interface'"), F.col("node") == F.col("id"), "left_semi").select(F.col("seed").alias("declaring_type_id"), F.col("node").alias("base_id"), "depth")
     above = methods.select(F.col("id").alias("target_id"), "name", "n", F.col("declaring_type_id").alias("base_id"), F.col("signature").alias("other"))
     over = methods.where("is_override").join(base, "declaring_type_id").join(above, ["name", "n", "base_id"])
     over = over.groupBy(F.col("id").alias("source_id")).agg(F.min_by("target_id", F.struct((F.col("signature") != F.col("other")).alias("unlike"), "depth", "target_id")).alias("target_id")).withColumn("kind", F.lit("Overrides"))
