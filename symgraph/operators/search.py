@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import contains_ci, terms, trigrams
@@ -107,24 +107,69 @@ def find_across(symbols: DataFrame, queries: DataFrame, most: int = 20, a_reposi
     return _ranked(hits, ["query"], [F.desc("score"), "repository", *ORDER], most)
 
 
-def source_text(files: DataFrame, queries: DataFrame, most: int | None = 20, symbols: DataFrame | None = None) -> DataFrame:
+#: Letters of a gram, and how many of a query's grams, the rarest, are looked up.
+GRAM, RAREST = 3, 3
+
+
+def postings(rows: DataFrame, text: Column, sizes: tuple[int, ...] = (1, 2, GRAM)) -> DataFrame:
+    """_key, gram: the different runs of so many letters in the lower-cased text of each row (_key). An index of all sizes
+    answers queries of any length."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("_low") - (n - 1)), lambda i: F.substring(F.col("_low"), i, F.lit(n)))
+    empty = F.array().cast("array<string>")
+    every = F.concat(*[F.when(F.length("_low") >= n, F.array_distinct(runs(n))).otherwise(empty) for n in sizes])
+    return rows.select("_key", F.lower(text).alias("_low")).select("_key", F.explode(every).alias("gram"))
+
+
+def containing(rows: DataFrame, text: Column, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """query, _key of the rows (_key) whose text may contain a query, whatever its case: rows that have the query's rarest
+    grams. Callers verify. No row is held against a query with which it has no gram in common; queries of one or two letters
+    are grams themselves. Without an index (postings()) the rows' grams are made here."""
+    low, n = F.lower("query"), F.least(F.lit(GRAM), F.length(F.lower("query")))
+    asked = queries.select("query").distinct().where(F.length(low) > 0)
+    wanted = asked.select("query", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n)))).alias("gram"))
+    wanted = materialise(wanted, "asked-grams", True)
+    if index is None:
+        index = postings(rows, text, tuple(sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())) or (GRAM,))
+    held = materialise(index.join(broadcast_if(wanted.select("gram").distinct(), 100_000), "gram", "left_semi"), "posting-lists")
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    rare = wanted.join(often, "gram", "left").withColumn("_place", F.row_number().over(Window.partitionBy("query").orderBy(F.col("often").asc_nulls_first(), "gram"))).where(F.col("_place") <= RAREST)
+    rare = materialise(rare.withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("query"))).select("query", "gram", "need"), "rare-grams", True)
+    found = held.join(broadcast_if(rare, 100_000), "gram").groupBy("query", "_key").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    return found.where("n = need").select("query", "_key")
+
+
+def file_key(files: DataFrame) -> DataFrame:
+    """files with _key, which a stored index of their lines refers to."""
+    return files.withColumn("_key", F.xxhash64("file_path", "content"))
+
+
+def text_index(files: DataFrame) -> DataFrame:
+    """postings() of files; write it, bucketed by gram if it is large, to answer source_text() many times."""
+    return postings(file_key(files.where("content is not null")), F.col("content")).distinct()
+
+
+def source_text(files: DataFrame, queries: DataFrame, most: int | None = 20, symbols: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """H7: query, file_path, line (from 1), content (trimmed), score: 1.0 where the line begins with the query, else 0.8.
 
     With symbols, only files that have a Type or Method. Blank queries and files without content give nothing.
+    Only files that have a query's rarest grams are cut into lines, which are then verified; index is text_index(files).
     """
     if symbols is not None:
         files = files.join(symbols.where("kind in ('Type', 'Method')").select("file_path").distinct(), "file_path", "left_semi")
     asked = queries.select("query").distinct().where("trim(query) != ''")
-    lines = files.where("content is not null").select("file_path", F.posexplode(F.split("content", "\r?\n", -1)).alias("line", "text"))
-    hits = lines.join(asked, contains_ci(F.col("text"), F.col("query")))
+    keyed = file_key(files.where("content is not null"))
+    may = containing(keyed, F.col("content"), asked, index).groupBy("_key").agg(F.collect_list("query").alias("queries"))
+    may = keyed.join(broadcast_if(materialise(may, "text-candidates", True), 100_000), "_key")
+    lines = may.select("file_path", "queries", F.posexplode(F.split("content", "\r?\n", -1)).alias("line", "text"))
+    hits = lines.select("file_path", "line", "text", F.explode(F.filter("queries", lambda q: contains_ci(F.col("text"), q))).alias("query"))
     rows = hits.select("query", "file_path", (F.col("line") + 1).alias("line"), F.trim("text").alias("content"), F.when(F.startswith(F.lower("text"), F.lower("query")), 1.0).otherwise(0.8).alias("score"))
     return rows if most is None else _ranked(rows, ["query"], [F.desc("score"), "file_path", "line"], most)
 
 
-def search_code(symbols: DataFrame, files: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
+def search_code(symbols: DataFrame, files: DataFrame, queries: DataFrame, most: int = 20, index: DataFrame | None = None) -> DataFrame:
     """H8: query, source (symbol or text), place, score."""
     one = find_symbols(symbols, queries, most).select("query", F.lit("symbol").alias("source"), F.col("full_name").alias("place"), "score")
-    two = source_text(files, queries, most).select("query", F.lit("text").alias("source"), F.concat_ws(":", "file_path", F.col("line").cast("string")).alias("place"), "score")
+    two = source_text(files, queries, most, index=index).select("query", F.lit("text").alias("source"), F.concat_ws(":", "file_path", F.col("line").cast("string")).alias("place"), "score")
     return one.unionByName(two)
 
 

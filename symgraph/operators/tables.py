@@ -101,8 +101,10 @@ def _picked(candidates: DataFrame, order: list[Column]) -> DataFrame:
 
 def resolve(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """Each query's symbol by full name, then name (a Type, else a Method, else any), then equal but for case, then
-    beginning with or containing the query (P9). All queries are answered in one pass; tiers are equi-joins but for the
-    last, which only the unanswered queries reach."""
+    beginning with or containing the query (P9). All queries are answered in one pass; tiers are equi-joins, the last one by
+    the unanswered queries' rarest grams, verified."""
+    from symgraph.operators.search import containing
+
     q = materialise(queries.select("query").distinct(), "queries", True)
     kind = F.when(F.col("kind") == "Type", 0).when(F.col("kind") == "Method", 1).otherwise(2)
     way = lambda tier, key: F.struct(F.lit(tier).alias("tier"), key.alias("_key"))
@@ -112,7 +114,9 @@ def resolve(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     rest = materialise(q.join(near.select("query").distinct(), "query", "left_anti"), "unresolved", True)
     if not rows(rest):
         return _picked(near, [F.col("tier"), kind, F.col("full_name"), F.col("id")])
-    loose = symbols.join(broadcast_if(rest, 10_000), contains_ci(symbols["name"], rest["query"]) | contains_ci(symbols["full_name"], rest["query"])).withColumn("tier", F.when(F.startswith(F.lower("name"), F.lower("query")), 3).otherwise(4))
+    keyed = symbols.withColumn("_key", F.xxhash64("id", "name", "full_name"))
+    may = materialise(containing(keyed, F.concat_ws("\n", "name", "full_name"), rest), "name-candidates", True)
+    loose = keyed.join(broadcast_if(may, 100_000), "_key").where(contains_ci(F.col("name"), F.col("query")) | contains_ci(F.col("full_name"), F.col("query"))).drop("_key").withColumn("tier", F.when(F.startswith(F.lower("name"), F.lower("query")), 3).otherwise(4))
     return _picked(near.unionByName(loose), [F.col("tier"), kind, F.col("full_name"), F.col("id")])
 
 

@@ -121,6 +121,14 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 FILES = "files AS (SELECT source AS repository, source || '/' || doc_id::varchar AS file_path, text AS content, doc_id FROM documents)"
 
 
+@stored
+def text_index(spark: SparkSession, d: str) -> DataFrame:
+    """The files' posting lists."""
+    from symgraph.operators import search
+
+    return search.text_index(files(spark, d))
+
+
 def manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two states of the files: every tenth is gone, every seventh changed, and as many new ones as are gone."""
     f = files(spark, d)

@@ -72,12 +72,12 @@ hits AS (SELECT query, file_path, line::int AS line, trim(text) AS content, CASE
 
 @query(with_ctes("SELECT file_path, line, score, content FROM hits", FILES, "asked(query) AS (VALUES ('the'))", TEXT))
 def source_text_search(spark, d):
-    return search.source_text(A.files(spark, d), asked(spark, "the"), None).select("file_path", "line", "score", "content")
+    return search.source_text(A.files(spark, d), asked(spark, "the"), None, index=A.text_index(spark, d)).select("file_path", "line", "score", "content")
 
 
-@query(with_ctes("SELECT query, file_path, line FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, file_path, line) AS n FROM hits) WHERE n <= 20", FILES, "asked(query) AS (VALUES ('the'), ('und'), ('trash'), ('que '))", TEXT))
+@query(with_ctes("SELECT query, file_path, line FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, file_path, line) AS n FROM hits) WHERE n <= 20", FILES, "asked(query) AS (VALUES ('the'), ('und'), ('trash'), ('que '), ('q'))", TEXT))
 def source_text_topk(spark, d):
-    return search.source_text(A.files(spark, d), asked(spark, "the", "und", "trash", "que ", " ")).select("query", "file_path", "line")
+    return search.source_text(A.files(spark, d), asked(spark, "the", "und", "trash", "que ", "q", " "), index=A.text_index(spark, d)).select("query", "file_path", "line")
 
 
 @query(
@@ -88,7 +88,7 @@ SELECT query, 'text', file_path || ':' || line, score FROM (SELECT *, row_number
     )
 )
 def search_code(spark, d):
-    return search.search_code(A.symbols(spark, d), A.files(spark, d), asked(spark))
+    return search.search_code(A.symbols(spark, d), A.files(spark, d), asked(spark), index=A.text_index(spark, d))
 
 
 @query(with_ctes("SELECT file_path, line, kind FROM refs WHERE symbol_id = 17", REFS))
