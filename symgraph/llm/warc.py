@@ -22,7 +22,7 @@ from symgraph.session import rows as count_of
 
 #: Neighbouring page_ids that a file holds; null ones are dealt over NULL_FILES files of their own.
 IDS_IN_FILE, NULL_FILES = 4096, 64
-#: Bytes of html from which on a file's records are dealt over several files of half as many.
+#: Bytes from which on a file's records are dealt over several files of half as many.
 MOST_BYTES = 128 << 20
 #: One digest in so many ends a run, and so many records do at the latest.
 RUN, LONGEST_RUN = 16, 256
@@ -55,13 +55,14 @@ def pages_records(pages: DataFrame) -> DataFrame:
 def dealt(rows: DataFrame) -> DataFrame:
     """rows with file, those of one file in one task: neighbouring page_ids, null ones by their hash.
 
-    Where such rows (page_id, url, html) have more than MOST_BYTES of html, they are dealt by their hash over several files,
+    Where such rows (page_id and texts) have more than MOST_BYTES, they are dealt by their hash over several files,
     and equal rows by their place in the input, so a file grows neither with its pages' sizes nor with how often an id is
     repeated, beyond its largest record."""
     nulls = F.concat(F.lit("null-"), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(NULL_FILES)).cast("string"))
     name = F.coalesce(F.floor(F.col("page_id").cast("long") / IDS_IN_FILE).cast("string"), nulls)
     rows = rows.withColumn("file", name)
-    large = rows.groupBy("file").agg(F.sum(F.octet_length("html") + 1024).alias("bytes")).where(F.col("bytes") > MOST_BYTES)
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in rows.dtypes if kind in ("string", "binary")), F.lit(512))
+    large = rows.groupBy("file").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > MOST_BYTES)
     large = materialise(large.select("file", F.expr(f"bytes div {MOST_BYTES // 2} + 1").alias("parts")), "warc-large", True)
     if count_of(large):
         place = F.xxhash64(*[F.col(c) for c in rows.columns], F.monotonically_increasing_id())

@@ -177,8 +177,8 @@ def test_files_are_cut_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(warc, "MOST_BYTES", 200_000)
     rows = [(i, f"http://a/{i}", "x" * 10_000) for i in range(40)] + [(5, "http://a/same", "y" * 1_000)] * 600 + [(9_000, "http://b", "small")]
     dealt = warc.dealt(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
-    sizes = {r.file: r.n for r in dealt.groupBy("file").agg(F.sum(F.octet_length("html") + 1024).alias("n")).collect()}
-    assert max(sizes.values()) < 260_000 and len(sizes) > 8 and sizes["2"] == 1029
+    sizes = {r.file: r.n for r in dealt.groupBy("file").agg(F.sum(F.octet_length("html") + 540).alias("n")).collect()}
+    assert max(sizes.values()) < 260_000 and len(sizes) > 8 and sizes["2"] == 545
     judged = warc.audit_of_damage(spark, spark.createDataFrame(rows[:200], "page_id long, url string, html string"))
     assert judged.where("status = 'ok' or status = 'moved'").count() > 100
 
