@@ -92,15 +92,23 @@ def summary(name: Column, kind: Column, callers: Column, callees: Column, refs:
 
 
 def blast_radius(symbols: DataFrame, edges: DataFrame, refs: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """One row a seed with counts, score, level and summary."""
+    """One row a seed with counts, score, level and summary. At depth 1 calls are degrees; derived types are
+    counted as sizes of trees; so pairs are made for calls at depth 2 and more only."""
     at = lambda df, name, *more: df.groupBy("seed").agg(F.count(F.lit(1)).alias(name), *more)
     picked = symbols.join(seeds, F.col("id") == F.col("seed"), "left_semi")
     types, interfaces = (picked.where(c).select(F.col("id").alias("seed")) for c in ("kind = 'Type'", "kind = 'Type' and type_name = 'Interface'"))
-    up = at(graph.callers(edges, seeds, depth), "callers", F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"))
-    down = at(graph.callees(edges, seeds, depth), "callees")
+    if depth == 1:  # degrees
+        calls = edges.where("kind = 'Calls'").select("source_id", "target_id").distinct()
+        one = lambda end, name: calls.groupBy(F.col(end).alias("seed")).agg(F.count(F.lit(1)).alias(name)).join(seeds, "seed", "left_semi")
+        up, down = one("target_id", "callers").withColumns({"direct": F.col("callers"), "indirect": F.lit(0).cast("long")}), one("source_id", "callees")
+    else:
+        up = at(graph.callers(edges, seeds, depth), "callers", F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"))
+        down = at(graph.callees(edges, seeds, depth), "callees")
+    derived = graph.count_below(edges.where("kind = 'Inherits'"), types).withColumnRenamed("n", "derived")
+    implemented = edges.where("kind = 'Implements'").select("source_id", F.col("target_id").alias("seed")).distinct().join(interfaces, "seed", "left_semi").groupBy("seed").agg(F.count(F.lit(1)).alias("implementations"))
     used = refs.join(seeds, F.col("symbol_id") == F.col("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("refs"), F.count_if(F.contains("context", F.lit("Test")) | F.contains("context", F.lit("test"))).alias("tests"))
     rows = picked.withColumn("seed", F.col("id"))
-    for df in (up, down, used, at(graph.derived_types(edges, types), "derived"), at(graph.implementations(edges, interfaces), "implementations")):
+    for df in (up, down, used, derived, implemented):
         rows = rows.join(df, "seed", "left")
     numbers = ["callers", "direct", "indirect", "callees", "refs", "tests", "derived", "implementations"]
     rows = rows.fillna(0, numbers)

@@ -158,15 +158,8 @@ def cyclic_core(edges: DataFrame, kinds: tuple[str, ...] = ("Inherits", "Impleme
     return strong_components(edges, kinds).select("node")
 
 
-def forest_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Node, parent, depth, pre, post, size (nodes below it, itself included) of a forest (node, parent), in depth-first
-    order: trees and children by their ids, pre and post from 0 over the whole forest.
-
-    A node's descendants are those whose pre lies in [pre, pre + size), so counts below a node need no pairs. Nodes double
-    the steps that they look upwards, so rounds are the logarithm of the depth: sizes are added to the node 2^k steps up,
-    and then a node's number is the sum, over itself and what is above it, of what comes before it under its parent.
-    A node with two parents, or a cycle, is an error; a parent that is not a node is one, as a root.
-    """
+def forest_sizes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, parent, depth, size of forest_order(), without its numbers."""
     up = edges.select("node", "parent").where("parent is not null").distinct()
     every = up.select("node").unionByName(up.select(F.col("parent").alias("node"))).distinct()
     if nodes is not None:
@@ -184,6 +177,19 @@ def forest_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         at = materialise(at.select("node", "parent", F.col("next").alias("above"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth")), "forest-sizes")
     else:
         raise ValueError("the edges have a cycle")
+    return at.select("node", "parent", "depth", "size")
+
+
+def forest_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Node, parent, depth, pre, post, size (nodes below it, itself included) of a forest (node, parent), in depth-first
+    order: trees and children by their ids, pre and post from 0 over the whole forest.
+
+    A node's descendants are those whose pre lies in [pre, pre + size), so counts below a node need no pairs. Nodes double
+    the steps that they look upwards, so rounds are the logarithm of the depth: sizes are added to the node 2^k steps up,
+    and then a node's number is the sum, over itself and what is above it, of what comes before it under its parent.
+    A node with two parents, or a cycle, is an error; a parent that is not a node is one, as a root.
+    """
+    at = forest_sizes(edges, nodes)
     before = F.coalesce(F.sum("size").over(Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pre = at.select("node", "parent", "size", "depth", F.col("parent").alias("above"), (before + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("pre"))
     pre = materialise(pre, "forest-numbers")
@@ -253,6 +259,16 @@ def match_pattern(nodes: DataFrame, edges: DataFrame, kinds: list[str | None], l
     return found.select(*[f"n{i}" for i in range(len(kinds))])
 
 
+def count_below(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed, n: how many nodes lead to each seed along edges of source_id and target_id, at any depth (0 is left out). In a
+    forest they are the sizes of trees; else each pair is found."""
+    try:
+        found = forest_sizes(edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("parent")))
+    except ValueError:
+        return bfs(edges, seeds, None, "in").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    return found.where("size > 1").select(F.col("node").alias("seed"), (F.col("size") - 1).alias("n")).join(seeds, "seed", "left_semi")
+
+
 def match_graph(nodes: DataFrame, edges: DataFrame, kinds: dict[str, str | None], links: list[tuple[str, str, str]], where: dict[str, str] | None = None, apart: bool = True) -> DataFrame:
     """Bindings (a column for each name) of a pattern of any shape: chains, branches and closed ones.
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import ids
 from symgraph.functions.text import CONTEXT_STOP_WORDS, STOP_WORDS
-from symgraph.operators import retrieval
+from symgraph.operators import retrieval, vector_index
 from symgraph.plans import adapters as A
 from symgraph.plans.adapters import CALLS, FILES, NODES, SYMBOLS, with_ctes
 from symgraph.plans.queries_search import GRAMS, TIERS
 from symgraph.registry import query
-from symgraph.session import table
+from symgraph.session import materialise, table
 
 
 def _terms(source: str, stop: list[str]) -> str:
@@ -181,25 +181,39 @@ COSINE = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x:
 NORM = lambda t: f"sqrt(list_sum(list_transform({t}.embedding, lambda x: x::double * x::double)))"
 
 
-def _targets(spark, d, *wanted):
-    v = table(spark, d, "embeddings").where(F.col("vec_id").isin(*wanted))
+def _targets(spark, d):
+    """Every fiftieth vector as a query."""
+    v = table(spark, d, "embeddings").where("vec_id % 50 = 0")
     return v.select(F.col("vec_id").alias("query"), F.lit("all").alias("collection"), F.col("embedding").alias("target"))
 
 
-@query(f"SELECT query, id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM (SELECT b.vec_id AS query, a.vec_id AS id, {COSINE} / ({NORM('a')} * {NORM('b')}) AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (0, 7))) WHERE n <= 10")
+def _top(score: str, where: str = "true") -> str:
+    return f"SELECT query, id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM (SELECT b.vec_id AS query, a.vec_id AS id, {score} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND {where})) WHERE n <= 10"
+
+
+@query(_top(f"{COSINE} / ({NORM('a')} * {NORM('b')})"))
 def vector_topk(spark, d):
-    return retrieval.vector_search(A.vectors(spark, d), _targets(spark, d, 0, 7)).select("query", "id", F.round("score", 5).alias("score"))
+    return retrieval.vector_search(A.vectors(spark, d), _targets(spark, d)).select("query", "id", F.round("score", 5).alias("score"))
 
 
-@query(f"SELECT id, round(score, 5) AS score FROM (SELECT a.vec_id AS id, {COSINE} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 3 AND a.label NOT IN (2, 5) AND {COSINE} >= 0) ORDER BY score DESC, id LIMIT 10")
+@query(_top(COSINE, f"a.label NOT IN (2, 5) AND {COSINE} >= 0"))
 def vector_filtered(spark, d):
     keep = ~F.try_element_at("payload", F.lit("label")).isin("2", "5")
-    return retrieval.vector_search(A.vectors(spark, d), _targets(spark, d, 3), where=keep, measure="dot", least=0.0).select("id", F.round("score", 5).alias("score"))
+    return retrieval.vector_search(A.vectors(spark, d), _targets(spark, d), where=keep, measure="dot", least=0.0).select("query", "id", F.round("score", 5).alias("score"))
 
 
-@query("SELECT id, round(score, 5) AS score FROM (SELECT a.vec_id AS id, 0.0::double - sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double)))) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 3) ORDER BY score DESC, id LIMIT 10")
+@query(_top("0.0::double - sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double))))"))
 def vector_euclidean(spark, d):
-    return retrieval.vector_search(A.vectors(spark, d), _targets(spark, d, 3), measure="euclidean").select("id", F.round("score", 5).alias("score"))
+    return retrieval.vector_search(A.vectors(spark, d), _targets(spark, d), measure="euclidean").select("query", "id", F.round("score", 5).alias("score"))
+
+
+@query()
+def vector_index_topk(spark, d):
+    """The same queries by inverted lists; tests hold their recall against the exact way."""
+    v = A.vectors(spark, d)
+    centres = vector_index.train(v)
+    index = materialise(vector_index.listed(v.select("collection", "id", "vector"), centres), "vector-index")
+    return vector_index.search(index, centres, _targets(spark, d)).select("query", "id", F.round("score", 5).alias("score"))
 
 
 @query("SELECT vec_id AS id FROM embeddings ORDER BY vec_id LIMIT 20 OFFSET 30")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from symgraph.sources.csharp import extract
 from symgraph.sources.files import change_set
@@ -38,14 +40,61 @@ def latest_changes(changes: DataFrame, known: DataFrame | None = None) -> DataFr
     return seen.where("change_type = 'Deleted' or was is null or was != hash").drop("was")
 
 
-def watch(spark: SparkSession, log: str, checkpoint: str, apply: Callable[[DataFrame, int], None], once: bool = True):
-    """ST1 to ST5, S8, ST9: streams the log and hands each batch's last changes to apply, which must bear repetition."""
-    stream = spark.readStream.schema(LOG).parquet(log)
+STATE = "hash string, gone boolean"
+
+
+def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The last of a path's changes, if it leaves another hash than the state has; the state lasts from batch to batch."""
+    rows = pd.concat(frames)
+    rows = rows.assign(_last=rows["change_type"] != "Deleted").sort_values(["seq", "_last"], kind="stable")
+    last = rows.iloc[-1]
+    was, gone = state.get if state.exists else (None, True)
+    deleted = last["change_type"] == "Deleted"
+    if not state.exists or deleted != gone or not deleted and last["hash"] != was:
+        yield rows.iloc[[-1]].drop(columns="_last")
+    state.update((None if deleted else last["hash"], bool(deleted)))
+
+
+def changed(changes: DataFrame) -> DataFrame:
+    """ST2: seq, hash, file_path, change_type of a stream of changes (expand_renames()) that leave a path with another hash
+    than the one it had, in this batch or any before: of a path's changes in one batch only the last counts, and one that
+    changes nothing is dropped. The hash of each path is kept in the state store and survives restarts."""
+    return changes.groupBy("file_path").applyInPandasWithState(_changed, "seq long, hash string, file_path string, change_type string", STATE, "append", GroupStateTimeout.NoTimeout)
+
 
-    def each(batch: DataFrame, number: int) -> None:
-        apply(latest_changes(expand_renames(batch)), number)
+def _read(ttl_ms: int):
+    """Hits and misses of one cache key in the order of its reads; each read refreshes the entry."""
 
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(frames).sort_values(["ts", "id"], kind="stable")
+        used = state.get[0] if state.exists else None
+        hits = []
+        for at in rows["ts"].astype("datetime64[us]").astype("int64").tolist():
+            hits.append(used is not None and at - used <= ttl_ms * 1000)
+            used = at if used is None else max(used, at)
+        state.update((used,))
+        state.setTimeoutTimestamp(max(used // 1000 + ttl_ms + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": rows["key"], "id": rows["id"], "ts": rows["ts"], "hit": hits})
+
+    return run
+
+
+def cache_reads(reads: DataFrame, ttl_ms: int = 30 * 60 * 1000, watermark: str = "1 minute") -> DataFrame:
+    """ST6: key, id, ts, hit of a stream of reads (key, id, ts): a read is a hit if the key was read at most ttl before, and
+    refreshes the entry. Entries are state with a timer: the watermark drops those that no read could still hit. Reads later
+    than the watermark are answered by the state as it is."""
+    kind = dict(reads.dtypes)["key"]
+    return reads.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(_read(ttl_ms), f"key {kind}, id long, ts timestamp, hit boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def watch(spark: SparkSession, log: str, checkpoint: str, apply: Callable[[DataFrame, int], None], once: bool = True):
+    """ST1 to ST5, S8, ST9: streams the log and hands each batch's last changes to apply, which must bear repetition. A change
+    that leaves a path's hash as it was in any batch before isn't handed on (changed())."""
+    stream = changed(expand_renames(spark.readStream.schema(LOG).parquet(log)))
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
