@@ -168,15 +168,15 @@ def forest_sizes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     if rows(known) != every.count():
         raise ValueError("a node has two parents")
     at = known
-    for _ in range(64):
+    for k in range(64):
         if at.where("above is not null").isEmpty():
             break
+        if 1 << k > rows(known):
+            raise ValueError("the edges have a cycle")
         given = at.where("above is not null").groupBy(F.col("above").alias("node")).agg(F.sum("size").alias("more"))
         ahead = at.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("depth").alias("further"))
         at = at.join(ahead, "above", "left").join(given, "node", "left")
         at = materialise(at.select("node", "parent", F.col("next").alias("above"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth")), "forest-sizes")
-    else:
-        raise ValueError("the edges have a cycle")
     return at.select("node", "parent", "depth", "size")
 
 

@@ -84,8 +84,8 @@ def _read(ttl_ms: int):
 
 def cache_reads(reads: DataFrame, ttl_ms: int = 30 * 60 * 1000, watermark: str = "1 minute") -> DataFrame:
     """ST6: key, id, ts, hit of a stream of reads (key, id, ts): a read is a hit if the key was read at most ttl before, and
-    refreshes the entry. Entries are state with a timer: the watermark drops those that no read could still hit. Reads later
-    than the watermark are answered by the state as it is."""
+    refreshes the entry. Entries are state with a timer: the watermark drops those that no read could still hit. Reads that
+    come later than the watermark are dropped."""
     kind = dict(reads.dtypes)["key"]
     return reads.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(_read(ttl_ms), f"key {kind}, id long, ts timestamp, hit boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)
 
