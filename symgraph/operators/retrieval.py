@@ -125,6 +125,52 @@ def compressed(items: DataFrame, budget: int, least: float = 0.5) -> DataFrame:
     return rows.where((F.col("total") <= budget) | (F.col("upto") <= budget)).select("question", "id", "kind", "score", "content", "tokens")
 
 
+def entities(questions: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
+    """Question columns with place (from 1), words, name, id: what of a dictionary (name, id) is named in each question
+    (question and others).
+
+    Questions are cut into words by marks and spaces, lower-cased; each run of up to longest words is looked up, so this is
+    one equi-join on whole names. A name within a longer one that is found isn't reported; of names with several ids all
+    are. Names of more words than longest are never found; null questions and names hold nothing; questions' rows are told
+    apart by all their columns, and repeated ones are one.
+    """
+    cut = lambda c: F.filter(F.split(F.lower(c), r"[\s.,;:?!()'\"]+"), lambda w: w != "")
+    words = questions.distinct().withColumn("_words", cut("question"))
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_words")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.struct(i.alias("place"), n.alias("words")))))
+    runs = words.where(F.size("_words") > 0).withColumn("_run", F.explode(F.filter(starts, lambda r: r["place"] + r["words"] - 1 <= F.size("_words"))))
+    runs = runs.select(*questions.columns, "_run.place", "_run.words", F.array_join(F.slice("_words", F.col("_run.place"), F.col("_run.words")), " ").alias("name"))
+    known = names.select(F.array_join(cut("name"), " ").alias("name"), "id").where("name != ''").distinct()
+    hits = runs.join(known, "name")
+    within = F.collect_set(F.struct("place", "words")).over(Window.partitionBy(*questions.columns))  # a question's own hits
+    hits = hits.withColumn("_all", within)
+    inside = F.exists("_all", lambda o: (o["words"] > F.col("words")) & (o["place"] <= F.col("place")) & (o["place"] + o["words"] >= F.col("place") + F.col("words")))
+    return hits.where(~inside).select(*questions.columns, "place", "words", "name", "id")
+
+
+def strategy(question: Column, found: Column) -> Column:
+    """Where to look: what the intent asks for, if something is named to begin with; else a search."""
+    return F.when(found == 0, "search").when(intent(question).isin("Callers", "Impact"), "callers").when(intent(question).isin("Implementations", "Hierarchy"), "types").when(found > 1, "paths").otherwise("neighbourhood")
+
+
+def versions(writes: DataFrame) -> DataFrame:
+    """Id, model, vector and others with version (from 1), valid_from, valid_to (null: still) of writes (id, model, at):
+    each is valid until the next one of its id and model. Writes of one time: the one with the largest seq stays."""
+    w = Window.partitionBy("id", "model").orderBy("at")
+    last = writes.withColumn("_n", F.row_number().over(Window.partitionBy("id", "model", "at").orderBy(F.desc("seq")))).where("_n = 1").drop("_n")
+    return last.withColumns({"version": F.row_number().over(w), "valid_to": F.lead("at").over(w)}).withColumnRenamed("at", "valid_from")
+
+
+def as_of(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """Asked (id, model, time and others) with the version, valid_from and seq that held (versions()) has at that time;
+    nulls before the first. Both sides are put in one order of time and the last version is carried on, so there is no join
+    on a range; versions of an id and model meet in one task, as rows that are read one after another."""
+    one = held.select("id", "model", F.col("valid_from").alias("_at"), F.struct("version", "valid_from", "seq").alias("_held"), F.lit(None).cast(asked.schema.simpleString()).alias("_asked"))
+    two = asked.select("id", "model", F.col("time").alias("_at"), F.lit(None).cast(one.schema["_held"].dataType).alias("_held"), F.struct(*asked.columns).alias("_asked"))
+    order = Window.partitionBy("id", "model").orderBy("_at", F.col("_asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = one.unionByName(two).withColumn("_last", F.last("_held", True).over(order))
+    return both.where("_asked is not null").select("_asked.*", "_last.version", "_last.valid_from", "_last.seq")
+
+
 def intent(question: Column) -> Column:
     """What a question is after."""
     q = F.lower(question)

@@ -70,9 +70,9 @@ def type_ancestors(spark, d):
     return graph.ancestors(A.inherits(spark, d), s).select("seed", "node", "depth")
 
 
-@query(with_ctes("SELECT e.source_id, s.full_name AS from_name, n.full_name AS to_name, e.kind FROM declares e JOIN symbols s ON s.id = e.source_id JOIN nodes n ON n.id = e.target_id WHERE s.repository = 'ASIA'", SYMBOLS, NODES, DECLARES))
+@query(with_ctes("SELECT e.source_id, s.full_name AS from_name, n.full_name AS to_name, e.kind FROM declares e JOIN symbols s ON s.id = e.source_id JOIN nodes n ON n.id = e.target_id", SYMBOLS, NODES, DECLARES))
 def relationships(spark, d):
-    s = A.symbols(spark, d).where("repository = 'ASIA'")
+    s = A.symbols(spark, d)
     return graph.relationships(s, A.nodes(spark, d), A.declares(spark, d)).select("source_id", "from_name", "to_name", "kind")
 
 

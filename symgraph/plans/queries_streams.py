@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from symgraph.operators import intervals
+from symgraph.operators import intervals, retrieval
 from symgraph.registry import query
 from symgraph.session import shared_path, table
 from symgraph.streaming import changes as C
@@ -78,3 +78,34 @@ def enclosing_spans(spark, d):
     spans = spans.select("file_path", F.expr("k * size + 1 + if(size = 7, 1, 0)").alias("start"), F.expr("least(n, (k + 1) * size)").alias("end"), "size")
     spans = spans.withColumn("id", F.concat_ws(":", "size", "start"))
     return intervals.enclosing(spans, places).select(F.col("file_path").alias("doc_id"), F.col("line").cast("long").alias("line"), F.col("id").alias("span"))
+
+
+@query(
+    """WITH w AS (SELECT vec_id AS id, event_type AS model, ts AS since, event_id AS seq FROM events JOIN embeddings ON vec_id = user_id),
+last AS (SELECT id, model, since, max(seq) AS seq FROM w GROUP BY ALL), v AS (SELECT *, row_number() OVER (PARTITION BY id, model ORDER BY since) AS version FROM last),
+asked AS (SELECT event_id, user_id AS id, 'view' AS model, ts - INTERVAL 3 HOUR AS time FROM events UNION ALL SELECT event_id, user_id, 'error', ts FROM events)
+SELECT a.event_id, a.id, a.model, version::int AS version, seq FROM asked a ASOF LEFT JOIN v ON a.id = v.id AND a.model = v.model AND a.time >= v.since"""
+)
+def embedding_as_of(spark, d):
+    """Events as new embeddings of a vector by a model, and which one was valid at each event, and before."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").cast("long").alias("id"), "event_type", "ts")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"))
+    held = retrieval.versions(e.join(v, "id").select("id", F.col("event_type").alias("model"), F.col("ts").alias("at"), F.col("event_id").alias("seq")))
+    asked = e.select("event_id", "id", F.lit("view").alias("model"), (F.col("ts") - F.expr("interval 3 hours")).alias("time")).unionByName(e.select("event_id", "id", F.lit("error").alias("model"), F.col("ts").alias("time")))
+    return retrieval.as_of(held, asked).select("event_id", "id", "model", "version", "seq")
+
+
+@query(
+    r"""WITH cut AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[\s.,;:?!()''"]+'), lambda w: w != '') AS w FROM conversations WHERE role = 'user'),
+heads AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\s.,;:?!()''"]+'), lambda w: w != '') AS w FROM documents),
+names AS (SELECT array_to_string(w[:n], ' ') AS name, min(doc_id) AS id FROM heads, range(1, 4) r(n) WHERE len(w) >= n GROUP BY 1),
+runs AS (SELECT conv_id, turn, p AS place, n AS words, array_to_string(w[p:p + n - 1], ' ') AS name FROM cut, range(1, 5) r(n), unnest(range(1, len(w) + 1)) t(p) WHERE p + n - 1 <= len(w)),
+hits AS (SELECT r.*, id FROM runs r JOIN names USING (name))
+SELECT conv_id, turn, place::int AS place, words::int AS words, name, id FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.conv_id = h.conv_id AND o.turn = h.turn AND o.words > h.words AND o.place <= h.place AND o.place + o.words >= h.place + h.words)"""
+)
+def question_entities(spark, d):
+    """What user turns name of the documents' beginnings: their first one to three words."""
+    asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    heads = table(spark, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), r"[\s.,;:?!()'\"]+"), lambda w: w != "").alias("w"))
+    names = heads.withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where("size(w) >= n").groupBy(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("name")).agg(F.min("doc_id").alias("id"))
+    return retrieval.entities(asked, names).select("conv_id", "turn", "place", "words", "name", "id")

@@ -20,8 +20,10 @@ SHARED = ("id", "name", "full_name", "kind", "type_name", "container_id", "decla
 
 
 TABLES = ("files", "rows", "symbols", "refs", "nodes", "edges")
-#: Megabytes of the driver's heap from which on health is degraded.
+# Fixed value: megabytes of the driver's heap from which on health is degraded.
 MEMORY_MB = 1000
+#: Rows that a tool call gives where the caller names no limit; export.as_json() and files.save() write whole tables.
+PAGE = 1000
 
 
 @dataclass(frozen=True)
@@ -142,13 +144,12 @@ class Tools:
         del self.recent[10:]
         return self.spark.createDataFrame([(r["seed"],) for r in found], "seed string")
 
-    def _named(self, found: DataFrame, most: int = 20) -> list[dict]:
-        rows = found.join(self.index.symbols.select(F.col("id").alias("node"), "full_name", "file_path", "start_line"), "node").orderBy("depth", "full_name").limit(most)
+    def _named(self, found: DataFrame, most: int = 20, offset: int = 0) -> list[dict]:
+        rows = found.join(self.index.symbols.select(F.col("id").alias("node"), "full_name", "file_path", "start_line"), "node").orderBy("depth", "full_name", "file_path", "start_line").offset(offset).limit(most)
         return [r.asDict() for r in rows.select("full_name", "depth", "file_path", "start_line").collect()]
 
-    def _rows(self, df: DataFrame, most: int | None = None, offset: int = 0) -> list[dict]:
-        df = df.offset(offset) if offset else df
-        return [r.asDict(recursive=True) for r in (df if most is None else df.limit(most)).collect()]
+    def _rows(self, df: DataFrame, most: int = PAGE, offset: int = 0) -> list[dict]:
+        return [r.asDict(recursive=True) for r in (df.offset(offset) if offset else df).limit(most).collect()]
 
     # tools ----------------------------------------------------------------------------------------------------------
 
@@ -173,7 +174,7 @@ class Tools:
         """Whether the extractor works, the shared folder can be reached, and memory is free."""
         checks = {}
         try:
-            checks["extractor"] = ("Healthy" if csharp.read_file("t.cs", "class Test {}") else "Unhealthy", "reads a class")
+            checks["extractor"] = ("Healthy" if csharp.read_file("probe.cs", "struct Probe { int n; }") else "Unhealthy", "reads a struct")
         except Exception as e:
             checks["extractor"] = ("Unhealthy", str(e)[:200])
         runtime = self.spark._jvm.java.lang.Runtime.getRuntime()
@@ -238,13 +239,13 @@ class Tools:
         """What a symbol needs: what it calls, its bases and interfaces."""
         return self._named(graph.bfs(self.index.edges, self._seed(name), depth, "out", ("Calls", "Inherits", "Implements", "DependsOn", "Uses")))
 
-    def tool_trace_execution_flow(self, name: str, depth: int = 3) -> list[dict]:
-        """The calls that a method leads to, by depth."""
-        return self._named(graph.callees(self.index.edges, self._seed(name), depth), 100)
+    def tool_trace_execution_flow(self, name: str, depth: int = 3, limit: int = PAGE, offset: int = 0) -> list[dict]:
+        """A page of the calls that a method leads to, by depth."""
+        return self._named(graph.callees(self.index.edges, self._seed(name), depth), limit, offset)
 
-    def tool_search_graph(self, text: str, kinds: list[str] | None = None) -> list[dict]:
-        """Nodes whose label or kind contains a text."""
-        return self._rows(tables.search_nodes(self.index.nodes, text, kinds).select("label", "full_name", "kind").orderBy("full_name"))
+    def tool_search_graph(self, text: str, kinds: list[str] | None = None, limit: int = PAGE, offset: int = 0) -> list[dict]:
+        """Nodes whose label or kind contains a text, a page at a time."""
+        return self._rows(tables.search_nodes(self.index.nodes, text, kinds).select("label", "full_name", "kind").orderBy("full_name", "kind", "label"), limit, offset)
 
     def tool_search_code(self, query: str) -> list[dict]:
         """Symbols and source lines."""
@@ -270,16 +271,16 @@ class Tools:
         """Counts of nodes by kind."""
         return self._rows(analysis.counts_by_kind(self.index.nodes))
 
-    def tool_graph_nodes(self, kind: str, limit: int | None = None, offset: int = 0) -> list[dict]:
-        """Nodes of a kind by full name and id, all of them or a page."""
+    def tool_graph_nodes(self, kind: str, limit: int = PAGE, offset: int = 0) -> list[dict]:
+        """Nodes of a kind by full name and id, a page at a time."""
         return self._rows(self.index.nodes.where(F.lower("kind") == kind.lower()).select("id", "label", "full_name", "kind").orderBy("full_name", "id"), limit, offset)
 
-    def tool_graph_edges(self, kind: str, limit: int | None = None, offset: int = 0) -> list[dict]:
-        """Edges of a kind by their ends, all of them or a page."""
+    def tool_graph_edges(self, kind: str, limit: int = PAGE, offset: int = 0) -> list[dict]:
+        """Edges of a kind by their ends, a page at a time."""
         return self._rows(self.index.edges.where(F.lower("kind") == kind.lower()).select("source_id", "target_id", "kind", "weight").orderBy("source_id", "target_id"), limit, offset)
 
-    def tool_graph_export(self, limit: int | None = None, offset: int = 0) -> dict:
-        """Nodes and edges with labels and colours, all of them or a page of each."""
+    def tool_graph_export(self, limit: int = PAGE, offset: int = 0) -> dict:
+        """Nodes and edges with labels and colours, a page of each; export.as_json() writes all of them."""
         n, e = export.graph_nodes(self.index.nodes), export.graph_edges(self.index.nodes, self.index.edges)
         return {"nodes": self._rows(n.orderBy("id"), limit, offset), "edges": self._rows(e.orderBy("source_id", "target_id", "kind"), limit, offset)}
 
@@ -302,7 +303,7 @@ class Tools:
         """Counts of common and unique symbols of two repositories."""
         return self._rows(analysis.compare_counts(self.index.symbols, first, second))
 
-    def tool_compare_symbols(self, first: str, second: str, status: str | None = None, limit: int | None = None, offset: int = 0) -> list[dict]:
+    def tool_compare_symbols(self, first: str, second: str, status: str | None = None, limit: int = PAGE, offset: int = 0) -> list[dict]:
         """The symbols of two repositories, each Common, UniqueToFirst or UniqueToSecond."""
         rows = analysis.compare(self.index.symbols, first, second).orderBy("status", "full_name")
         return self._rows(rows if status is None else rows.where(F.col("status") == status), limit, offset)

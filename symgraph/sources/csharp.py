@@ -465,6 +465,32 @@ def extract(files: DataFrame) -> DataFrame:
     return files.where(F.lower("file_path").endswith(".cs")).select("file_path", "content").mapInPandas(run, ROWS)
 
 
+def extract_shared(files: DataFrame, store: str, buckets: int = 64) -> DataFrame:
+    """extract() of files (file_path, content) by way of a store of what was extracted before, by content.
+
+    The store is a managed table, bucketed by content_hash, which any number of repositories share: a text is read once,
+    whatever its paths, and one that the store has isn't read at all. Joins with the store leave it where it lies. Texts that
+    can't be read leave their error in it; those without rows leave one that says so, and is dropped here.
+    """
+    spark = files.sparkSession
+    named = files.where(F.lower("file_path").endswith(".cs") & F.col("content").isNotNull()).withColumn("content_hash", F.sha2("content", 256))
+    known = spark.table(store) if spark.catalog.tableExists(store) else None
+    new = named.select("content_hash", "content").dropDuplicates(["content_hash"])
+    if known is not None:
+        new = new.join(known.select("content_hash").distinct(), "content_hash", "left_anti")
+    new = materialise(new, "csharp-new", True)
+    if count_of(new):
+        made = extract(new.select(F.concat("content_hash", F.lit(".cs")).alias("file_path"), "content")).withColumn("content_hash", F.regexp_replace("file_path", r"\.cs$", "")).drop("file_path")
+        none = new.select("content_hash").join(made.select("content_hash").distinct(), "content_hash", "left_anti").withColumn("row", F.lit("none"))
+        every = made.unionByName(none, allowMissingColumns=True)
+        every.write.mode("append").format("parquet").bucketBy(buckets, "content_hash").sortBy("content_hash").saveAsTable(store)
+        spark.catalog.refreshTable(store)
+    if not spark.catalog.tableExists(store):
+        return extract(files.where("false"))
+    rows = named.select("file_path", "content_hash").join(spark.table(store).where("row != 'none'"), "content_hash").drop("content_hash")
+    return rows.select([c.split(" ")[0] for c in re.split(r", (?![^<]*>)", ROWS)])
+
+
 def errors_of(rows: DataFrame) -> DataFrame:
     """file_path, error, message of the files that could not be read."""
     return rows.where("row = 'error'").select("file_path", F.col("name").alias("error"), F.col("context").alias("message"))

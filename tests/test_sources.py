@@ -338,3 +338,24 @@ def test_calls_go_to_the_type_of_their_receiver(spark):
         "Q.C": {"B.M"}, "New": {"A.M", "B.M"}, "Make": set(), "O.Down.Use": {"Up2.Deep", "Up2.Both"}, "P.E.Go": {"P.A.M"},
     }
     assert {k: v for k, v in calls.items()} == {k: {x.replace("Ext.Grow(A,int)", "Ext.Grow(A,int)") for x in v} for k, v in want.items() if v}
+
+
+def test_texts_are_extracted_once_whatever_their_repository(spark, tmp_path, monkeypatch):
+    store = "shared_rows"
+    spark.sql(f"drop table if exists {store}")
+    one = spark.createDataFrame([("a.cs", "class A { void M() { } }"), ("b.cs", "class A { void M() { } }"), ("c.cs", ""), ("d.txt", "class T { }"), ("e.cs", None)], "file_path string, content string")
+    got = csharp.extract_shared(one, store, 4)
+    want = csharp.extract(one)
+    key = lambda df: sorted(str(r) for r in df.collect())
+    assert key(got) == key(want) and got.columns == want.columns
+    two = one.where("file_path != 'b.cs'").withColumn("file_path", F.concat(F.lit("other/"), "file_path"))
+    texts = spark.table(store).select("content_hash").distinct().count()
+    real = csharp.extract
+    monkeypatch.setattr(csharp, "extract", lambda df: (_ for _ in ()).throw(AssertionError("a known text is read again")))
+    again = csharp.extract_shared(two, store, 4)
+    monkeypatch.setattr(csharp, "extract", real)
+    assert key(again) == key(csharp.extract(two)) and spark.table(store).select("content_hash").distinct().count() == texts == 2
+    plan = spark.table(store).select("content_hash", "name").join(spark.table(store).groupBy("content_hash").count(), "content_hash").hint("merge")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in text
+    spark.sql(f"drop table {store}")
