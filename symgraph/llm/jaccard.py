@@ -28,7 +28,7 @@ from symgraph.llm.components import chained, components
 from symgraph.session import broadcast_if, materialise, rows
 
 #: Hashes of a block of columns and of a worker's block of rows, about.
-COLUMN, HELD = 1 << 22, 1 << 20
+COLUMN, HELD = 1 << 21, 1 << 19
 #: Members of a column up to which pairs are made; documents of a block of rows; n-grams that are multiplied at a time.
 CROWD, ROWS, AT_ONCE = 64, 256, 1 << 16
 BROADCAST_ROWS = 300_000
@@ -237,15 +237,9 @@ def crowded_links(known: DataFrame, members: DataFrame) -> DataFrame:
     return dealt.join(known.select("x", "n", "found"), "x").groupBy("block1", "block2").applyInArrow(product, "u long, v long")
 
 
-def joined(docs: DataFrame, size: int = 5) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable, itself included).
-
-    Documents link when 100 * intersection >= 80 * union of their sets of size-word shingles, A-Z lower-cased, words as
-    between ASCII spaces; fewer words are one shingle. Null and empty texts and those without words have no shingle and link
-    with nothing. Equal texts are one node; repeated rows give repeated results; a null doc_id is never the smallest unless
-    its whole component has none; an empty table gives an empty result; other columns are not read. A long text is read by
-    one worker, which holds its hashes.
-    """
+def linked(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """named (doc_id, text, x: the text's hash), nodes (x, first: its smallest doc_id), seen (x, n: its set's size) and ids (node,
+    root) of the texts that links chain together, all but named written."""
     named = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("x", F.xxhash64("text"))
     nodes = materialise(named.groupBy("x").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times"), F.max(F.octet_length("text")).alias("bytes")), "jaccard-nodes", True)
     copied = broadcast_if(materialise(nodes.where("times > 1").select("x", "first"), "jaccard-copied", True), BROADCAST_ROWS)
@@ -281,15 +275,37 @@ def joined(docs: DataFrame, size: int = 5) -> DataFrame:
     if rows(crowd):
         links = links.unionByName(crowded_links(known, crowd))
     more = materialise(components(links), "jaccard-more", True)
-    groups = materialise(chained(roots, more).withColumnRenamed("node", "x").join(nodes.select("x", "first"), "x"), "jaccard-chained")
+    return named, nodes, seen, materialise(chained(roots, more), "jaccard-chained")
+
+
+def joined(docs: DataFrame, size: int = 5) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable, itself included).
+
+    Documents link when 100 * intersection >= 80 * union of their sets of size-word shingles, A-Z lower-cased, words as
+    between ASCII spaces; fewer words are one shingle. Null and empty texts and those without words have no shingle and link
+    with nothing. Equal texts are one node; repeated rows give repeated results; a null doc_id is never the smallest unless
+    its whole component has none; an empty table gives an empty result; other columns are not read. A long text is read by
+    one worker, which holds its hashes.
+    """
+    named, nodes, seen, ids = linked(docs, size)
+    groups = ids.withColumnRenamed("node", "x").join(nodes.select("x", "first"), "x")
     least = groups.groupBy("root").agg(F.min("first").alias("least"))
     groups = groups.join(least, "root").select("x", "least")
-    ids = materialise(seen.select("x", "n").join(groups, "x", "left"), "jaccard-groups", True)
-    out = named.select("doc_id", "x").join(broadcast_if(ids, BROADCAST_ROWS), "x")
+    found = materialise(seen.select("x", "n").join(groups, "x", "left"), "jaccard-groups", True)
+    out = named.select("doc_id", "x").join(broadcast_if(found, BROADCAST_ROWS), "x")
     smallest = F.when(F.col("n") > 0, F.coalesce("least", "first", "doc_id"))
     return out.join(broadcast_if(nodes.select("x", "first"), BROADCAST_ROWS), "x").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(smallest, "doc_id").alias("component_id"))
 
 
+def near_groups(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, component_id, x for each row of docs, for deduplication: as joined(), but a component is named by a number of
+    its own, and texts without words are one component."""
+    named, _, seen, ids = linked(docs, size)
+    roots = seen.select("x", "n").join(ids.withColumnRenamed("node", "x"), "x", "left")
+    roots = materialise(roots.select("x", F.when(F.col("n") > 0, F.coalesce("root", "x")).otherwise(0).alias("component_id")), "jaccard-named", True)
+    return named.select("doc_id", "x").join(broadcast_if(roots, BROADCAST_ROWS), "x").select("doc_id", "component_id", "x")
+
+
 #: For DuckDB: all pairs that share a shingle, and the smallest doc_id carried along the links.
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -216,10 +216,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def keep_similar(docs: DataFrame) -> DataFrame:
     """docs with one document of each component of five-word shingles at a Jaccard similarity of 0.8 or more, the one with
-    the smallest doc_id; all columns stay. That is wider than fingerprint bits reach; symgraph.llm.similar has the keys."""
-    from symgraph.llm import similar
+    the smallest doc_id; all columns stay. That is wider than fingerprint bits reach, so candidates come from the exact join
+    of operator 11 (symgraph.llm.jaccard). Nulls, empty and long texts and empty tables are as in near_groups."""
+    from symgraph.llm import jaccard
 
-    return similar.keep_one(docs)
+    return keep_least(docs, jaccard.near_groups(docs))
 
 
 def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:

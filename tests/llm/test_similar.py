@@ -1,11 +1,10 @@
 import random
 from itertools import combinations
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from symgraph.llm import similar
+from symgraph.llm import jaccard, simhash
 from symgraph.session import table
 
 WORDS = [f"w{i}" for i in range(5000)]
@@ -57,20 +56,9 @@ def test_stage_drops_near_copies_at_four_fifths(spark):
     assert sorted(r.doc_id for r in left.collect()) == brute_kept(rows)
 
 
-def test_fingerprints_estimate_similarity():
-    rng = np.random.default_rng(8)
-    far = []
-    for _ in range(300):
-        both, own = rng.integers(0, 1 << 63, 240, dtype=np.uint64), rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-        a, b = np.sort(np.concatenate([both, own[:30]])), np.sort(np.concatenate([both, own[30:]]))  # exactly 0.8
-        far.append(int(np.bitwise_count((similar.fingerprint(a) ^ similar.fingerprint(b)).view(np.uint64)).sum()))
-    assert abs(np.mean(far) - 102.4) < 3 and np.std(far) < 12 and max(far) <= similar.APART
-    assert similar.fingerprint(np.zeros(0, np.uint64)).tolist() == similar.fingerprint(np.zeros(0, np.uint64)).tolist()
-
-
-@pytest.mark.parametrize("most", [similar.BROADCAST_ROWS, 5])
+@pytest.mark.parametrize("most", [jaccard.BROADCAST_ROWS, 5])
 def test_group_of_edited_copies_and_real_texts(spark, monkeypatch, most):
-    monkeypatch.setattr(similar, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
     rng, rows = random.Random(3), [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()]
     base = rng.choices(WORDS, k=150)
     for k in range(150):
@@ -78,5 +66,5 @@ def test_group_of_edited_copies_and_real_texts(spark, monkeypatch, most):
         for at in rng.sample(range(150), rng.randrange(12)):
             edited[at] = f"edit{k}"
         rows.append((10_000 + k, " ".join(edited)))
-    left = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in left.collect()) == brute_kept(rows)
