@@ -114,10 +114,9 @@ GRAM, RAREST = 3, 3
 def postings(rows: DataFrame, text: Column, sizes: tuple[int, ...] = (1, 2, GRAM)) -> DataFrame:
     """_key, gram: the different runs of so many letters in the lower-cased text of each row (_key). An index of all sizes
     answers queries of any length."""
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("_low") - (n - 1)), lambda i: F.substring(F.col("_low"), i, F.lit(n)))
-    empty = F.array().cast("array<string>")
-    every = F.concat(*[F.when(F.length("_low") >= n, F.array_distinct(runs(n))).otherwise(empty) for n in sizes])
-    return rows.select("_key", F.lower(text).alias("_low")).select("_key", F.explode(every).alias("gram"))
+    letters = rows.select("_key", F.split(F.lower(text), "").alias("_c"))  # whose elements are found at once, unlike a text's
+    runs = lambda n: F.slice(F.transform("_c", lambda c, i: F.concat(c, *[F.coalesce(F.get("_c", i + k), F.lit("")) for k in range(1, n)])), 1, F.greatest(F.size("_c") - (n - 1), F.lit(0)))
+    return letters.select("_key", F.explode(F.concat(*[F.array_distinct(runs(n)) for n in sizes])).alias("gram")).where("gram != ''")
 
 
 def containing(rows: DataFrame, text: Column, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
