@@ -12,7 +12,7 @@ SOME = (
     "blast_radius callers_depth2 neighbourhood_depth2 cycle_detection resolve_symbol resolve_symbol_ranked list_symbols node_cascade_delete edge_ids content_hash repo_compare find_symbol_batch "
     "cross_repo_search rag_evidence rag_prompt context_prompt all_paths shortest_path health_score registry_paths asmdef_parse embed_documents stream_changes extract_csharp extract_csharp_edges extract_design_edges scan_files solution_projects projects owning_projects symbol_by_file nodes_by_file "
     "path_parts find_symbol_fuzzy_indexed implementations_transitive dependencies overrides_recursive model_dimensions unity_projects unity_types_by_text scene_graph prefab_graph assembly_graph addressable_graph event_fields event_edges blast_radius_depth2 pattern_constraints context_compressed hierarchy_diagram "
-    "source_text_search hybrid_rrf extract_terms context_budget chunk_lines vector_topk change_set rename_expand cache_evict json_props carry_forward graph_export"
+    "cycle_components depth_first_order pattern_triangles pattern_cycle enclosing_spans embedding_as_of question_entities watcher_state cache_hits project_visibility source_text_search hybrid_rrf extract_terms context_budget chunk_lines vector_topk change_set rename_expand cache_evict json_props carry_forward graph_export"
 ).split()
 
 
