@@ -130,8 +130,10 @@ def event_fields(symbols: DataFrame) -> DataFrame:
 
 
 def event_edges(fields: DataFrame, listeners: DataFrame) -> DataFrame:
-    """UnityEvent edges from events to their listeners (full_name, target_id)."""
-    return fields.join(listeners, "full_name").select(F.col("event_id").alias("source_id"), "target_id", F.lit("UnityEvent").alias("kind")).distinct()
+    """UnityEvent edges from events to their listeners (full_name, target_id). Fields and listeners are made distinct
+    before they meet, so that a name of many fields of one event doesn't give a pair for each of them and each listener."""
+    events, heard = fields.select("full_name", "event_id").distinct(), listeners.select("full_name", "target_id").distinct()
+    return events.join(heard, "full_name").select(F.col("event_id").alias("source_id"), "target_id", F.lit("UnityEvent").alias("kind")).distinct()
 
 
 def serialised(attributes: Column, access: Column) -> Column:

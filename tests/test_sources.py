@@ -359,3 +359,12 @@ def test_texts_are_extracted_once_whatever_their_repository(spark, tmp_path, mon
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in text
     spark.sql(f"drop table {store}")
+
+
+def test_fields_and_listeners_of_an_event_are_distinct_before_they_meet(spark):
+    fields = spark.range(300).selectExpr("'a' as full_name", "'e' as event_id")
+    heard = spark.range(300).selectExpr("'a' as full_name", "id div 3 as target_id")
+    found = unity.event_edges(fields, heard)
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert below.count("Aggregate") == 2  # else 90,000 pairs for 100 edges
+    assert sorted(r.target_id for r in found.collect()) == list(range(100))
