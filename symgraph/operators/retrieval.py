@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions import ids
 from symgraph.functions.text import CONTEXT_STOP_WORDS, chunk_tokens, cosine, dot, euclidean, prompt_tokens, terms
 from symgraph.operators import graph, search, tables
-from symgraph.session import materialise
+from symgraph.session import broadcast_if, materialise
 
 
 def asked_terms(questions: DataFrame, stop: list[str] | None = None) -> DataFrame:
@@ -226,8 +229,6 @@ def hashing_embedder(texts: pd.Series, size: int = 64) -> pd.Series:
     """A deterministic embedder for use without a model server: signed counts of hashed words, of unit length."""
     import zlib
 
-    import numpy as np
-
     def one(t):
         if t is None:
             return None
@@ -312,27 +313,113 @@ def replace_files(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("file_path").distinct(), "file_path", "left_anti").unionByName(new)
 
 
-#: Queries that are broadcast at a time (8 KB each with 1,024 numbers), and parts that a block's vectors are dealt over.
-QUERIES_AT_ONCE, SALTS = 1_000, 64
+#: Queries and vectors of a block, and queries of a block that are held against its vectors at a time.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE, TILE = 16_384, 8_192, 256
+#: Share of the largest possible score by which sums in another order may differ, generously.
+ROUNDING = 1e-10
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    whole = column.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
+
+
+def _summed(terms: Callable[[int], np.ndarray], length: int) -> np.ndarray:
+    """terms(0) + terms(1) + ..., one after another, as the functions of functions.text add them up."""
+    out = terms(0) + 0.0
+    for i in range(1, length):
+        out += terms(i)
+    return out
+
+
+def best_of_block(most: int, measure: str, kinds: tuple[str, str]):
+    """A function of a block of vectors and one of queries, all of one length: query, id, score of each query's best most.
+
+    Matrix products tell which pairs can be among them, up to rounding; these are then scored exactly, term by term, and of
+    equal scores the smallest ids stay."""
+    schema = _arrow_schema(f"query {kinds[0]}, id {kinds[1]}, score double")
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        vectors = vectors.take(pc.sort_indices(vectors["id"], null_placement="at_start"))
+        x, asked, n = _numbers(vectors["vector"]), _numbers(queries["target"]), min(most, vectors.num_rows)
+        long = x.shape[1]
+        square = lambda m: _summed(lambda i: m[:, i] * m[:, i], long)
+        size, asks = square(x), square(asked)
+        at, of, found = [], [], []
+        for low in range(0, len(asked), TILE):
+            y, b = asked[low : low + TILE], asks[low : low + TILE]
+            near = y @ x.T
+            if measure == "cosine":
+                norm = np.sqrt(b)[:, None] * np.sqrt(size)[None, :]
+                near, slack = np.divide(near, norm, out=np.zeros_like(near), where=norm > 0), np.full(len(y), ROUNDING)
+            elif measure == "dot":
+                slack = ROUNDING * np.sqrt(b * size.max())
+            else:
+                near, slack = 2 * near - size[None, :] - b[:, None], ROUNDING * (b + size.max())
+            last = np.partition(near, near.shape[1] - n, axis=1)[:, near.shape[1] - n]
+            rows, columns = np.nonzero(near >= (last - slack)[:, None])
+            score = np.empty(len(rows))
+            for cut in range(0, len(rows), 1 << 16):
+                i, j = rows[cut : cut + (1 << 16)], columns[cut : cut + (1 << 16)]
+                if measure == "euclidean":
+                    exact = -np.sqrt(_summed(lambda k: (x[j, k] - y[i, k]) * (x[j, k] - y[i, k]), long))
+                else:
+                    exact = _summed(lambda k: x[j, k] * y[i, k], long)
+                if measure == "cosine":
+                    whole = np.sqrt(size[j]) * np.sqrt(b[i])
+                    exact = np.divide(exact, whole, out=np.zeros_like(exact), where=whole > 0)
+                score[cut : cut + (1 << 16)] = exact
+            order = np.lexsort((columns, -score, rows))
+            rows, columns, score = rows[order], columns[order], score[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            stays = place < n
+            at.append(rows[stays] + low), of.append(columns[stays]), found.append(score[stays])
+        at, of = pa.array(np.concatenate(at)), pa.array(np.concatenate(of))
+        return pa.Table.from_arrays([queries["query"].take(at), vectors["id"].take(of), pa.array(np.concatenate(found))], names=["query", "id", "score"]).cast(schema)
+
+    return run
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, most: int = 10, where: Column | None = None, measure: str = "cosine", least: float | None = None) -> DataFrame:
     """Query, id, score, the best of each query (query, collection, target).
 
-    Queries are the small side: each is held against all vectors of its collection, and each task keeps its best before
-    the shuffle. More queries than a broadcast may hold are dealt in blocks, and each block's vectors over SALTS parts. where is a predicate on vectors; least drops lower scores; euclidean distances are negated.
+    Each query is held against all vectors of its collection: vectors and queries are dealt in blocks, each two blocks of
+    one length meet in a task, as a product of matrices, and only each query's best of a block are shuffled. What has no
+    such product (nulls, numbers that are none or extreme, unequal lengths) is scored pair by pair. where is a predicate on
+    vectors; least drops lower scores; euclidean distances are negated.
     """
     f = {"cosine": cosine, "dot": dot, "euclidean": lambda a, b: -euclidean(a, b)}[measure]
-    rows = vectors if where is None else vectors.where(where)
-    n = queries.count()
-    if n <= QUERIES_AT_ONCE:
-        near = rows.join(F.broadcast(queries), "collection")
-    else:
-        blocks = -(-n // QUERIES_AT_ONCE)
-        asked = queries.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        near = spread.join(asked, ["collection", "_block", "_salt"])
-    pairs = near.select("query", "id", f(F.col("vector"), F.col("target")).alias("score"))
+    rows = (vectors if where is None else vectors.where(where)).select("collection", "id", "vector")
+    asked = queries.select(*[F.col(c).alias(c) for c in ("query", "collection", "target")])  # which may come from vectors
+    plain = lambda c: F.coalesce((F.size(c) > 0) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & ((v == 0) | F.abs(v.cast("double")).between(1e-140, 1e140))), F.lit(False))
+    rows, asked = rows.withColumn("_plain", plain("vector")), asked.withColumn("_plain", plain("target"))
+    even, these = rows.where("_plain").withColumn("_long", F.size("vector")), asked.where("_plain").withColumn("_long", F.size("target"))
+    by = ["collection", "_long"]
+    parts = even.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select(*by, F.greatest(F.ceil(F.col("n") / VECTORS_AT_ONCE), F.least(F.lit(32), F.ceil(F.col("n") / 1024))).cast("int").alias("_parts"))
+    parts = materialise(parts.join(these.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("_blocks")), by, "left"), "vector-blocks", True)
+    known = broadcast_if(parts, 100_000)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = even.join(known, by).where("_blocks > 0").withColumn("_part", dealt("id", "_parts")).withColumn("_block", every("_blocks")).select(*by, "_part", "_block", "id", "vector")
+    two = these.join(known, by).withColumn("_block", dealt("query", "_blocks")).withColumn("_part", every("_parts")).select(*by, "_part", "_block", "query", "target")
+    kinds = (dict(asked.dtypes)["query"], dict(rows.dtypes)["id"])
+    block = [*by, "_part", "_block"]
+    pairs = one.groupBy(*block).cogroup(two.groupBy(*block)).applyInArrow(best_of_block(most, measure, kinds), f"query {kinds[0]}, id {kinds[1]}, score double")
+    others = these.join(known.select("collection", F.col("_long").alias("_other")), "collection").where("_long != _other").select("query", "collection", "target", F.col("_other").alias("_long"))
+    scored = lambda df: df.select("query", "id", f(F.col("vector"), F.col("target")).alias("score"))
+    pairs = pairs.unionByName(scored(even.join(others, by)))
+    pairs = pairs.unionByName(scored(rows.where("not _plain").join(asked, "collection"))).unionByName(scored(rows.where("_plain").join(asked.where("not _plain"), "collection")))
     if least is not None:
         pairs = pairs.where(F.col("score") >= least)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))  # limits each task's rows too

@@ -268,3 +268,27 @@ def test_many_vector_queries_are_dealt_in_blocks(spark, monkeypatch):
     few = sorted((r.query, r.id, r.place) for r in retrieval.vector_search(v, q, 3).collect())
     monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 7)
     assert sorted((r.query, r.id, r.place) for r in retrieval.vector_search(v, q, 3).collect()) == few and len(few) == 180
+
+
+def test_vector_blocks_against_pairs_one_by_one(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from symgraph.functions.text import cosine, dot, euclidean
+    from symgraph.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 9)
+    monkeypatch.setattr(retrieval, "VECTORS_AT_ONCE", 16)
+    monkeypatch.setattr(retrieval, "TILE", 4)
+    rows = [("c", i, [float(i * 7 % 11) - 5, float(i * 5 % 13) / 3, 1.5]) for i in range(80)] + [("d", 100 + i, [1.0, 2.0, 3.0]) for i in range(40)]  # many ties
+    rows += [("c", 200, None), ("c", 201, [1.0, None, 2.0]), ("c", 202, [float("nan"), 1.0, 1.0]), ("c", 203, [1.0, 2.0]), ("c", 204, []), ("c", 205, [0.0, 0.0, 0.0]), ("d", 206, [1e300, 1e-300, 1.0]), ("e", 207, [1.0])]
+    v = spark.createDataFrame(rows, "collection string, id long, vector array<double>")
+    q = v.where("id % 3 = 0 or id >= 200").selectExpr("concat('q', id) as query", "collection", "vector as target")
+    for measure, f in (("cosine", cosine), ("dot", dot), ("euclidean", lambda a, b: -euclidean(a, b))):
+        for least in (None, 0.5):
+            pairs = v.join(q, "collection").select("query", "id", f(F.col("vector"), F.col("target")).alias("score"))
+            pairs = pairs if least is None else pairs.where(F.col("score") >= least)
+            want = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where("place <= 4")
+            said = lambda df: sorted(map(repr, df.select("query", "id", "score", "place").collect()))
+            found = retrieval.vector_search(v, q, 4, measure=measure, least=least)
+            assert "CoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()  # not pair by pair
+            assert said(found) == said(want)
