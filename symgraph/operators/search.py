@@ -57,15 +57,19 @@ def by_trigrams(symbols: DataFrame, queries: DataFrame, most: int = 20, index: D
 
 
 def _overlaps(symbols: DataFrame, asked: DataFrame, columns: list[str], index: DataFrame | None, by: tuple[str, ...], most: int) -> DataFrame:
-    """by, columns, overlap, graded of the best most. Without an index the symbols are read once."""
+    """by, columns, overlap, graded of the best most. Without an index the symbols are read once.
+
+    Queries' grams go to the symbols, unless they are very many: so no gram's symbols meet in one task, and only symbols
+    that share a gram with a query are shuffled, by query and symbol."""
     own = [*by[1:], *columns]
     grams = asked.select("query", F.explode(trigrams(F.col("query"))).alias("gram")).groupBy("query", "gram").agg(F.count(F.lit(1)).alias("times"))
-    grams = grams.withColumn("grams", F.sum("times").over(Window.partitionBy("query")))
+    grams = materialise(grams.withColumn("grams", F.sum("times").over(Window.partitionBy("query"))), "query-grams", True)
+    grams = broadcast_if(grams, 100_000)
     if index is None:
         held = symbols.where(F.col("kind").isin(*SEARCHED)).select(*own, F.explode(F.array_distinct(trigrams(F.col("name")))).alias("gram"))
+        hits = held.join(grams, "gram").groupBy("query", *own, "grams").agg(F.sum("times").alias("overlap"))  # all of fixed width or keys: hashed, not sorted
     else:
-        held = index.join(symbols.select(*own), "id")
-    hits = held.join(grams, "gram").groupBy("query", "id").agg(F.sum("times").alias("overlap"), F.first("grams").alias("grams"), *[F.first(c).alias(c) for c in own if c != "id"])
+        hits = index.join(grams, "gram").groupBy("query", "id", "grams").agg(F.sum("times").alias("overlap")).join(symbols.select(*own), "id")
     best = _ranked(hits, list(by), [F.desc("overlap"), *ORDER], most)
     return best.select("query", *own, "overlap", (F.lit(0.3) + F.lit(0.4) * F.col("overlap") / F.col("grams")).alias("graded"))
 

@@ -292,3 +292,12 @@ def test_vector_blocks_against_pairs_one_by_one(spark, monkeypatch):
             found = retrieval.vector_search(v, q, 4, measure=measure, least=least)
             assert "CoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()  # not pair by pair
             assert said(found) == said(want)
+
+
+def test_grams_of_queries_go_to_the_symbols(spark):
+    s = spark.range(500).selectExpr("cast(id as string) as id", "'Method' as kind", "concat('aaa', id) as name", "concat('x.aaa', id) as full_name")
+    found = search.by_trigrams(s, spark.createDataFrame([("aaa7",)], "query string"), 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan  # the gram that all have isn't one task's
+    assert "aggregate(first" not in plan.lower() and "first(" not in plan  # strings as buffers are sorted
+    assert [(r.id, r.overlap) for r in found.orderBy(F.desc("overlap"), "id").collect()] == [("7", 2), ("70", 2), ("71", 2)]
