@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from symgraph.session import broadcast_if, shared_path
+from symgraph.session import merged_if, shared_path
 
-BROADCAST_ROWS = 300_000
+#: Rows that are broadcast at most: a job has some fifty such joins, and the driver holds all of them for a while.
+BROADCAST_ROWS = 30_000
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -28,15 +29,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates two contractions until nothing changes: each node's larger neighbours, then its smaller ones, are linked
     to its smallest neighbour. A round is one job, which writes its edges to the shared folder; a hub's edges meet only in
-    partial minima and in a join whose large partitions Spark can split. Self-links and repeated links are allowed; nodes
+    partial minima and in a merge join whose large partitions Spark can split; nothing is broadcast. Self-links and repeated links are allowed; nodes
     can be of any ordered type; links with a null are none; no edges give no rows.
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
     now, was = _written(now)
     for _ in range(most_rounds if was[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(_smallest(large), "u")
+        large = both.join(_smallest(both).hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(_smallest(large).hint("merge"), "u")
         now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now, size = _written(now.where("u != v").distinct())
         if size == was:
@@ -52,5 +53,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def chained(roots: DataFrame, more: DataFrame) -> DataFrame:
     """node, root of roots followed by more (both node, root, and written): more chains nodes that are roots, or alone, in roots."""
     last = more.select(F.col("node").alias("root"), F.col("root").alias("last"))
-    known = roots.join(broadcast_if(last, BROADCAST_ROWS), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-    return known.unionByName(more.join(broadcast_if(roots.select("node"), BROADCAST_ROWS), "node", "left_anti"))
+    known = roots.join(merged_if(last, BROADCAST_ROWS), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    return known.unionByName(more.join(merged_if(roots.select("node"), BROADCAST_ROWS), "node", "left_anti"))

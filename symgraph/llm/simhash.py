@@ -21,16 +21,15 @@ from pyspark.sql import functions as F
 
 from symgraph.llm import golay
 from symgraph.llm.common import in_batches, per_batch, rows_of, text_of
-from symgraph.llm.components import chained, components
+from symgraph.llm.components import BROADCAST_ROWS, chained, components
 from symgraph.llm.exact import without
-from symgraph.session import broadcast_if, materialise, rows
+from symgraph.session import materialise, merged_if, rows
 
 SEED = 42
 #: Lowest bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles whose bits are counted at a time.
 AT_ONCE = 1 << 16
-BROADCAST_ROWS = 300_000
 #: Fingerprints of which one task makes keys, and members from which on a bucket is split further.
 PRINTS_IN_TASK, CROWD = 50_000, 64
 #: Distinct fingerprints from which on keys are wide. Links are the same either way.
@@ -171,16 +170,16 @@ def linked(prints: DataFrame, most: int = 4, wide: bool = False) -> tuple[DataFr
     keyed = key_rows(_spread_out(prints), wide).withColumn("odd", odd_of())
     several = (F.col("low") != F.col("high")) & ((F.col("key") < F.lit(6 << 40)) | (F.col("some") != F.col("all")))
     buckets = keyed.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.max("odd").alias("some"), F.min("odd").alias("all")).where(several)
-    shared = materialise(keyed.join(buckets.select("key", "low"), "key"), "simhash-keys")
+    shared = materialise(keyed.join(buckets.select("key", "low").hint("merge"), "key"), "simhash-keys")
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
     stars = shared.where(within("print", "low") & (F.col("print") != F.col("low"))).select(F.col("print").alias("u"), F.col("low").alias("v"))
     roots = materialise(components(stars), "simhash-roots", True)
-    named = shared.join(broadcast_if(roots, BROADCAST_ROWS), F.col("print") == F.col("node"), "left")
+    named = shared.join(merged_if(roots, BROADCAST_ROWS), F.col("print") == F.col("node"), "left")
     named = materialise(named.select("key", "print", "odd", F.coalesce("root", "print").alias("root")), "simhash-named")
     mixed = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("key", "n")
     mixed = materialise(mixed, "simhash-mixed", True)
-    left = materialise(named.join(broadcast_if(mixed.select("key"), BROADCAST_ROWS), "key", "left_semi"), "simhash-open")
-    crowded = broadcast_if(materialise(mixed.where(F.col("n") > CROWD).select("key"), "simhash-crowded", True), BROADCAST_ROWS)
+    left = materialise(named.join(merged_if(mixed.select("key"), BROADCAST_ROWS), "key", "left_semi"), "simhash-open")
+    crowded = merged_if(materialise(mixed.where(F.col("n") > CROWD).select("key"), "simhash-crowded", True), BROADCAST_ROWS)
     few = left.join(crowded, "key", "left_anti").withColumn("sub", F.lit(0).cast("long"))
     left = few.unionByName(split(left.join(crowded, "key", "left_semi")))
     one, two = left.select("key", "sub", F.col("print").alias("u"), F.col("root").alias("a"), "odd"), left.select("key", "sub", F.col("print").alias("v"), F.col("root").alias("b"), F.col("odd").alias("even"))
@@ -202,8 +201,8 @@ def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
     roots, more = linked(nodes, most, rows(nodes) > WIDE)
     groups = materialise(chained(roots, more).withColumnRenamed("node", "print").join(nodes, "print"), "simhash-chained")
     least = groups.groupBy("root").agg(F.min("first").alias("least"))
-    groups = materialise(groups.join(least, "root").select("print", "least"), "simhash-groups", True)
-    ids = nodes.join(broadcast_if(groups, BROADCAST_ROWS), "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
+    groups = materialise(groups.join(least.hint("merge"), "root").select("print", "least"), "simhash-groups", True)
+    ids = nodes.join(merged_if(groups, BROADCAST_ROWS), "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
     return found.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "print", "x")
 
 

@@ -100,6 +100,13 @@ def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
 
 
+def merged_if(df: DataFrame, most: int) -> DataFrame:
+    """broadcast_if(), but with a hint for a sort-merge join where df is larger: Spark would broadcast what it takes for less
+    than 10 MB all the same, and the driver holds a broadcast several times over until its plan is gone."""
+    n, size = _held(df)
+    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -178,3 +178,14 @@ def test_components_of_paths_stars_and_loops(spark):
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 400)}, 600: 600, 601: 600}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert components(spark.createDataFrame([("b", "a"), ("c", "b")], "u string, v string")).where(F.col("root") == "a").count() == 3
+
+
+def test_components_broadcast_nothing_that_grows(spark, monkeypatch):
+    from symgraph.llm import components as C
+
+    plans = []
+    written = C._written
+    monkeypatch.setattr(C, "_written", lambda e: plans.append(e._jdf.queryExecution().executedPlan().toString()) or written(e))
+    edges = spark.range(1, 400).selectExpr("id as u", "id div 2 as v")
+    assert {(r.node, r.root) for r in C.components(edges).collect()} == {(i, 0) for i in range(400)}
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
