@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symgraph.session import in_batches  # noqa: F401 (for the operators here)
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -26,23 +28,6 @@ def rows_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, str]]:
 AT_ONCE = 512
 
 
-#: Rows and bytes of an Arrow batch between Spark and its Python workers. Texts are long: the usual 10,000 rows would hold
-#: tens of megabytes several times over in each worker and, outside the heap, in each executor; and some hundred of the
-#: longest would do so, too.
-ROWS_IN_BATCH, BYTES_IN_BATCH = 512, 4 << 20
-
-
-def in_batches(df: DataFrame) -> DataFrame:
-    """df, for a Python function over Arrow batches. Sets its session's batches to ROWS_IN_BATCH rows and BYTES_IN_BATCH at
-    most, where they aren't smaller; the settings stay, as the plan runs later."""
-    conf = df.sparkSession.conf
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_IN_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_IN_BATCH)):
-        now = str(conf.get(name))
-        if not (now.isdigit() and 0 < int(now) <= most):
-            conf.set(name, str(most))
-    return df
-
-
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable:
     """A mapInArrow function: make() runs once in each task and gives the function for its batches, AT_ONCE rows each."""
 

@@ -7,16 +7,17 @@ where. What a mention means is found later, by joins over the declarations of al
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions import ids
 from symgraph.plans.schema import FLAGS, PARAMETER
-from symgraph.session import broadcast_if, materialise
+from symgraph.session import broadcast_if, in_batches, materialise
 from symgraph.session import rows as count_of
 
 TOKEN = re.compile(
@@ -40,53 +41,57 @@ ROWS = (
 )
 
 
-@dataclass
-class Token:
-    text: str
-    line: int
-    column: int
-    word: bool = False
-
-
 @dataclass
 class Reader:
-    """Walks the tokens of one file."""
+    """Walks the tokens of one file: their texts, each kept once, lines, columns, and whether they are words.
+
+    members() yields after each member, so that rows can be taken away as they come. Mentions are read if wanted is calls
+    (those alone) or all."""
 
     path: str
     text: str
+    wanted: str = "all"
     rows: list[dict] = field(default_factory=list)
 
     def __post_init__(self):
-        self.lines, self.tokens = self.text.split("\n"), []
-        line, start, last = 0, 0, 0
+        self.texts, self.line, self.column, self.word = [], array("i"), array("i"), bytearray()
+        line, start, last, known = 0, 0, 0, {}
         for m in TOKEN.finditer(self.text):
             skipped = self.text.count("\n", last, m.start())
             if skipped:
                 line, start = line + skipped, self.text.rfind("\n", 0, m.start()) + 1
             t = m.group()
-            if not t.startswith(("//", "/*", "#")):
-                self.tokens.append(Token(t, line, m.start() - start, bool(re.match(r"@?[^\W\d]", t)) and not t.startswith(('@"', '@$'))))
+            kind = known.get(t)
+            if kind is None:
+                kind = (t, not t.startswith(("//", "/*", "#")), bool(re.match(r"@?[^\W\d]", t)) and not t.startswith(('@"', '@$')))
+                if len(t) <= 64:
+                    known[t] = kind
+            if kind[1]:
+                self.texts.append(kind[0])
+                self.line.append(line)
+                self.column.append(m.start() - start)
+                self.word.append(kind[2])
             last = m.start()
 
     def at(self, i: int) -> str:
-        return self.tokens[i].text if 0 <= i < len(self.tokens) else ""
+        return self.texts[i] if 0 <= i < len(self.texts) else ""
 
     def close(self, i: int, opening: str = "{", closing: str = "}") -> int:
         """Index of the bracket that closes the one at i, or the end."""
         depth = 0
-        while i < len(self.tokens):
+        while i < len(self.texts):
             depth += (self.at(i) == opening) - (self.at(i) == closing)
             if not depth:
                 return i
             i += 1
-        return len(self.tokens) - 1
+        return len(self.texts) - 1
 
     def angles(self, i: int) -> int:
         """Index after a list of type arguments that begins at i, or i."""
         if self.at(i) != "<":
             return i
         depth, j = 0, i
-        while j < len(self.tokens) and self.at(j) not in ("{", "}", ";"):
+        while j < len(self.texts) and self.at(j) not in ("{", "}", ";"):
             depth += self.at(j).count("<") - (self.at(j).count(">") if self.at(j) != "=>" else 0)
             j += 1
             if depth <= 0:
@@ -99,24 +104,24 @@ class Reader:
         if self.at(j) == "(":
             j = self.close(j, "(", ")") + 1
         else:
-            if not (j < len(self.tokens) and self.tokens[j].word):
+            if not (j < len(self.texts) and self.word[j]):
                 return i
             j = self.angles(j + 1)
-            while self.at(j) in (".", "::") and j + 1 < len(self.tokens):
+            while self.at(j) in (".", "::") and j + 1 < len(self.texts):
                 j = self.angles(j + 2)
         while self.at(j) in ("?", "*") or self.at(j) == "[" and self.at(j + 1) in ("]", ","):
             j = self.close(j, "[", "]") + 1 if self.at(j) == "[" else j + 1
         return j
 
     def words(self, i: int, j: int) -> str:
-        return re.sub(r"\s*([<>\[\](),.?:]+)\s*", r"\1", " ".join(t.text for t in self.tokens[i:j])).replace(",", ", ")
+        return re.sub(r"\s*([<>\[\](),.?:]+)\s*", r"\1", " ".join(self.texts[i:j])).replace(",", ", ")
 
     def declare(self, kind: str, name: str, owner: str, space: str, first: int, last: int, mods: list[str], signature: str = "", **more) -> str:
         """Adds a declaration; returns its key: the full name and, of a method, what tells it from its overloads."""
         full = f"{owner}.{name}" if owner else f"global::{name}"
         vis = {m for m in mods if m in ("public", "internal", "protected", "private")}
         access = {frozenset({"protected", "internal"}): "ProtectedInternal", frozenset({"private", "protected"}): "PrivateProtected"}.get(frozenset(vis), next(iter(vis), "NotApplicable" if kind == "Namespace" else "Private" if owner != space and kind != "Type" else "Internal").capitalize() if vis or kind != "Namespace" else "NotApplicable")
-        self.rows.append({"row": "declaration", "name": name, "full_name": full, "key": full + signature, "kind": kind, "owner": owner, "namespace": space, "start_line": self.tokens[first].line, "end_line": self.tokens[min(last, len(self.tokens) - 1)].line, "access": access, "flags": sorted({m for m in mods if m in ("static", "abstract", "sealed", "virtual", "override", "async", "readonly", "const", "volatile", "generic")})} | more)
+        self.rows.append({"row": "declaration", "name": name, "full_name": full, "key": full + signature, "kind": kind, "owner": owner, "namespace": space, "start_line": self.line[first], "end_line": self.line[min(last, len(self.texts) - 1)], "access": access, "flags": sorted({m for m in mods if m in ("static", "abstract", "sealed", "virtual", "override", "async", "readonly", "const", "volatile", "generic")})} | more)
         return full + signature
 
     def mention(self, first: int, last: int, source: str, space: str, known: dict[str, list[str]] | None = None) -> None:
@@ -126,36 +131,38 @@ class Reader:
         A name of either is no mention. Each mention has the chain of what it is taken from: names, calls (), elements [],
         this, base, types (:Name), or ? for what can't be told; a parameter or local stands as what it was declared as.
         """
+        if self.wanted not in ("calls", "all"):
+            return
         scopes = [dict(known or {})]
         for i in range(first, last):
-            t = self.tokens[i]
-            if t.text == "{":
+            t = self.texts[i]
+            if t == "{":
                 scopes.append(scopes[-1].copy())
-            elif t.text == "}" and len(scopes) > 1:
+            elif t == "}" and len(scopes) > 1:
                 scopes.pop()
             local = self.local(i, last, scopes[-1])
             if local:
                 scopes[-1][local[0]] = local[1]
-            if not t.word or t.text in KEYWORDS or t.text in MODIFIERS:
+            if not self.word[i] or t in KEYWORDS or t in MODIFIERS:
                 continue
             after = self.angles(i + 1)
             call = self.at(after) == "(" and self.at(i - 1) != "new"
             member = self.at(i - 1) in (".", "?.", "!.")
-            if not member and t.text in scopes[-1]:
+            if not call and self.wanted == "calls" or not member and t in scopes[-1]:
                 continue
             qualifier = self.at(i - 2) if member and i >= 2 else None
             chain = self.chain(i - 2, first, scopes[-1])[0] if member else []
-            self.rows.append({"row": "mention", "name": t.text, "owner": source, "namespace": space, "qualifier": qualifier, "line": t.line, "column": t.column, "call": call, "arguments": self.arguments(after) if call else None, "context": self.lines[t.line].strip(), "chain": chain})
+            self.rows.append({"row": "mention", "name": t, "owner": source, "namespace": space, "qualifier": qualifier, "line": self.line[i], "column": self.column[i], "call": call, "arguments": self.arguments(after) if call else None, "chain": chain})
 
     def local(self, i: int, last: int, scope: dict[str, list[str]]) -> tuple[str, list[str]] | None:
         """Name and chain of the local that is declared by a type at i or, of a lambda, at i."""
-        t, before = self.at(i), self.tokens[i - 1] if i else None
-        if self.tokens[i].word and self.at(i + 1) == "=>" and t not in KEYWORDS and self.at(i - 1) not in (".", "?."):
+        t, before, word_before = self.at(i), self.at(i - 1), bool(i and self.word[i - 1])
+        if self.word[i] and self.at(i + 1) == "=>" and t not in KEYWORDS and self.at(i - 1) not in (".", "?."):
             return t, ["?"]
-        if not self.tokens[i].word or t in KEYWORDS - BUILT_IN - {"var"} or before and (before.text in (".", "?.", "::", "<") or before.word and before.text not in BEFORE_LOCAL):
+        if not self.word[i] or t in KEYWORDS - BUILT_IN - {"var"} or before in (".", "?.", "::", "<") or word_before and before not in BEFORE_LOCAL:
             return None
         j = self.type_at(i)
-        if j == i or j >= last or not self.tokens[j].word or self.at(j) in KEYWORDS or self.at(j) in MODIFIERS or self.at(j + 1) not in ("=", ";", ",", "in", ")", ":", "when", "&&", "||", "}", "=>"):
+        if j == i or j >= last or not self.word[j] or self.at(j) in KEYWORDS or self.at(j) in MODIFIERS or self.at(j + 1) not in ("=", ";", ",", "in", ")", ":", "when", "&&", "||", "}", "=>"):
             return None
         name, of = self.at(j), self.words(i, j)
         if t != "var":
@@ -193,7 +200,7 @@ class Reader:
                 return [f":{kind}[]"]
             if j > i + 1 and (self.at(j) == "(" and self.close(j, "(", ")") + 1 == stop or self.at(j) == "{" or self.at(j) == "(" and self.at(self.close(j, "(", ")") + 1) == "{"):
                 return [":" + kind]
-        if self.at(i) == "(" and (close := self.close(i, "(", ")")) + 1 < stop and self.type_at(i + 1) == close and (self.tokens[close + 1].word or self.at(close + 1) == "("):
+        if self.at(i) == "(" and (close := self.close(i, "(", ")")) + 1 < stop and self.type_at(i + 1) == close and (self.word[close + 1] or self.at(close + 1) == "("):
             return [":" + self.words(i + 1, close)]  # a cast
         as_ = [n for n in range(i, stop) if self.at(n) == "as"]
         if as_ and self.type_at(as_[-1] + 1) == stop:
@@ -219,16 +226,16 @@ class Reader:
                 closed = k + 1
                 if self.at(k) == ">":
                     k = self.angle_back(k, first) - 1
-                if k < first or not self.tokens[k].word or self.at(k) in KEYWORDS - {"this", "base"}:
+                if k < first or not self.word[k] or self.at(k) in KEYWORDS - {"this", "base"}:
                     if closed < first:
                         return ["?"], first
                     return [*self.value(closed + 1, self.close(closed, "(", ")"), scope), *reversed(out)], closed
             elif t == ">":
                 k = self.angle_back(k, first) - 1
-            if k < first or not self.tokens[k].word:
+            if k < first or not self.word[k]:
                 return ([":string", *reversed(out)] if t[:1] in '"$@' and '"' in t else ["?"]), k
             n = k
-            while self.at(n - 1) in (".", "::") and n - 2 >= first and self.tokens[n - 2].word:
+            while self.at(n - 1) in (".", "::") and n - 2 >= first and self.word[n - 2]:
                 n -= 2
             if call and self.at(n - 1) == "new" and n - 1 >= first:
                 return [":" + self.words(n, k + 1), *reversed(out)], n - 1
@@ -264,16 +271,17 @@ class Reader:
             k += 1
         return n
 
-    def members(self, i: int, end: int, owner: str, space: str, kind: str) -> None:
+    def members(self, i: int, end: int, owner: str, space: str, kind: str) -> Iterator[None]:
         while i < end:
-            i = self.member(i, end, owner, space, kind)
+            i = yield from self.member(i, end, owner, space, kind)
+            yield
 
-    def member(self, i: int, end: int, owner: str, space: str, kind: str) -> int:
+    def member(self, i: int, end: int, owner: str, space: str, kind: str) -> Generator[None, None, int]:
         first, mods, attributes, said = i, [], [], {}
         while self.at(i) == "[":
             j = self.close(i, "[", "]")
             for k in range(i + 1, j):
-                if self.tokens[k].word and self.at(k - 1) in ("[", ","):
+                if self.word[k] and self.at(k - 1) in ("[", ","):
                     attributes.append(self.at(k))
                     if self.at(k) in SPOKEN and self.at(k + 1) == "(":
                         until = self.ends(k + 2, self.close(k + 1, "(", ")"))[0]
@@ -289,21 +297,21 @@ class Reader:
             j = i
             while j < end and self.at(j) != ";":
                 j += 1
-            if t == "using" and "=" not in (words := [x.text for x in self.tokens[i + 1 : j]]) and "static" not in words:
+            if t == "using" and "=" not in (words := self.texts[i + 1 : j]) and "static" not in words:
                 self.rows.append({"row": "using", "name": "global::" + "".join(words).removeprefix("global::")})
             return j + 1
         if t == "namespace":
             j = i + 1
             while self.at(j) not in ("{", ";") and j < end:
                 j += 1
-            name = "".join(x.text for x in self.tokens[i + 1 : j])
+            name = "".join(self.texts[i + 1 : j])
             stop = self.close(j) if self.at(j) == "{" else end
             parent = f"{owner}.{name}" if owner else f"global::{name}"
             self.declare("Namespace", name, owner, owner, first, stop, [])
-            self.members(j + 1, stop, parent, parent, "Namespace")
+            yield from self.members(j + 1, stop, parent, parent, "Namespace")
             return stop + 1
-        if t in TYPES and self.tokens[min(i + 1, len(self.tokens) - 1)].word:
-            return self.type_declaration(first, i, end, owner, space, mods, attributes, {k: ",".join(v) for k, v in said.items()})
+        if t in TYPES and self.word[min(i + 1, len(self.texts) - 1)]:
+            return (yield from self.type_declaration(first, i, end, owner, space, mods, attributes, {k: ",".join(v) for k, v in said.items()}))
         if t == "event":
             j = self.type_at(i + 1)
             name, stop = self.at(j), j + 1
@@ -319,7 +327,7 @@ class Reader:
             return i + 1
         return self.plain_member(first, i, end, owner, space, mods, attributes)
 
-    def type_declaration(self, first: int, i: int, end: int, owner: str, space: str, mods: list[str], attributes: list[str], said: dict[str, str]) -> int:
+    def type_declaration(self, first: int, i: int, end: int, owner: str, space: str, mods: list[str], attributes: list[str], said: dict[str, str]) -> Generator[None, None, int]:
         what = TYPES[self.at(i)]
         i += 1 + (self.at(i) == "record" and self.at(i + 1) in ("class", "struct"))
         name, j = self.at(i), self.angles(i + 1)
@@ -343,7 +351,7 @@ class Reader:
         meta = {"TypeKind": what, "Namespace": space.removeprefix("global::")} | ({"BaseType": bases[0]} if bases else {}) | ({"Interfaces": ",".join(bases)} if bases else {}) | said
         full = self.declare("Type", name, owner, space, first, stop, mods + ["generic"] * generic, type_name=what, bases=bases, attributes=attributes, metadata=meta)
         if what != "Enum" and self.at(j) == "{":
-            self.members(j + 1, stop, full, space, "Interface" if what == "Interface" else "Type")
+            yield from self.members(j + 1, stop, full, space, "Interface" if what == "Interface" else "Type")
         return stop + 1
 
     def parameters(self, i: int, j: int) -> list[dict]:
@@ -352,7 +360,7 @@ class Reader:
             depth += self.at(k) in ("(", "[", "<", "{")
             depth -= self.at(k) in (")", "]", ">", "}")
             if k == j or self.at(k) == "," and not depth:
-                part = [t.text for t in self.tokens[start:k]]
+                part = self.texts[start:k]
                 if part:
                     default = " ".join(part[part.index("=") + 1 :]) if "=" in part else None
                     head = part[: part.index("=")] if "=" in part else part
@@ -387,7 +395,7 @@ class Reader:
 
     def plain_member(self, first: int, i: int, end: int, owner: str, space: str, mods: list[str], attributes: list[str]) -> int:
         j = self.type_at(i)
-        if self.at(i) == "~" or j == i or self.at(j) == "(" and self.tokens[j - 1].word or "operator" in (self.at(i), self.at(j), self.at(j + 1)) or self.at(j) == "this":
+        if self.at(i) == "~" or j == i or self.at(j) == "(" and self.word[j - 1] or "operator" in (self.at(i), self.at(j), self.at(j + 1)) or self.at(j) == "this":
             stop = self.body(i + (j == i), end)  # constructors, destructors, operators, indexers: mentions go to the type
             k = self.angles(i + 1) if self.at(i + 1) == "(" else i + (j == i)
             while k < stop and self.at(k) not in ("(", "[", "{"):
@@ -413,7 +421,7 @@ class Reader:
             return stop + 1
         if self.at(k) in ("{", "=>"):
             stop = self.close(k) if self.at(k) == "{" else self.body(k, end)
-            words = {t.text for t in self.tokens[k : stop + 1]}
+            words = {*self.texts[k : stop + 1]}
             read = self.at(k) == "=>" or not words & {"set", "init"}
             full = self.declare("Property", name, owner, space, first, stop, mods, type_name=of, return_type=of, attributes=attributes, metadata={"Type": of, "IsReadOnly": str(read), "IsWriteOnly": str(self.at(k) == "{" and "get" not in words)})
             self.mention(k, stop, full, space)
@@ -441,28 +449,72 @@ class Reader:
 
 def read_file(path: str, text: str) -> list[dict]:
     """Rows of one file; what can't be read is skipped to the next member."""
-    r = Reader(path, text)
-    r.members(0, len(r.tokens), "", "", "")
-    return [{"file_path": path} | row for row in r.rows]
-
-
-def extract(files: DataFrame) -> DataFrame:
+    r, lines = Reader(path, text), text.split("\n")
+    for _ in r.members(0, len(r.texts), "", "", ""):
+        pass
+    return [{"file_path": path} | row | ({"context": lines[row["line"]].strip()} if row["row"] == "mention" else {}) for row in r.rows]
+
+
+#: Rows of a file that are held as objects at a time, and characters of lines that leave it at a time with them.
+ROWS_AT_ONCE, CHARACTERS_AT_ONCE = 2_000, 4 << 20
+
+
+def read_parts(path: str, text: str, schema: pa.Schema, wanted: str = "all") -> Iterator[pa.RecordBatch]:
+    """read_file() in parts of some ROWS_AT_ONCE rows: declarations, and mentions if wanted is calls (without their lines) or
+    all. A file's parts are kept, without the lines of mentions, until it is read to its end, as one that can't be read has
+    no rows; a line with many mentions is so never held as often as it has mentions."""
+    r, parts = Reader(path, text, wanted), []
+
+    def cut(rows: list[dict]) -> None:
+        parts.append(pa.RecordBatch.from_pylist([{"file_path": path} | row for row in rows], schema))
+        rows.clear()
+
+    for _ in r.members(0, len(r.texts), "", "", ""):
+        if len(r.rows) >= ROWS_AT_ONCE:
+            cut(r.rows)
+    cut(r.rows)
+    del r
+    lines, at = text.split("\n") if wanted == "all" else [], schema.get_field_index("context")
+    for part in parts:
+        if not lines:
+            yield part
+            continue
+        said = [None if n is None else lines[n].strip() for n in part.column(schema.get_field_index("line")).to_pylist()]
+        first = size = 0
+        for k, line in enumerate([*said, None]):
+            size += len(line or "")
+            if k == len(said) or size > CHARACTERS_AT_ONCE and k > first:
+                some = part.slice(first, k - first)
+                yield some.set_column(at, schema.field(at), pa.array(said[first:k], pa.string()))
+                first, size = k, len(line or "")
+
+
+def arrow_schema() -> pa.Schema:
+    """ROWS in Arrow's terms; needs a session."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ROWS))
+
+
+def extract(files: DataFrame, wanted: str = "all") -> DataFrame:
     """Rows of all .cs files (file_path, content); a file that can't be read gives one, an error.
 
-    Null and empty contents give no rows."""
-    names = [c.split(" ")[0] for c in re.split(r", (?![^<]*>)", ROWS)]
+    Null and empty contents give no rows. Where no mentions are needed, wanted is declarations; where only calls are, calls:
+    then they come without their lines (context). Texts come to a worker some megabytes at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for p, t in zip(pdf["file_path"], pdf["content"], strict=True):
+    schema = arrow_schema()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, t in zip(batch.column(0), batch.column(1), strict=True):
+                path = p.as_py()
                 try:
-                    rows += read_file(p, t or "")
+                    yield from read_parts(path, t.as_py() or "", schema, wanted)
                 except (IndexError, RecursionError, ValueError) as e:
-                    rows.append({"file_path": p, "row": "error", "name": type(e).__name__, "context": str(e)[:200]})
-            yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names).astype(object).where(lambda d: d.notna(), None)
+                    yield pa.RecordBatch.from_pylist([{"file_path": path, "row": "error", "name": type(e).__name__, "context": str(e)[:200]}], schema)
 
-    return files.where(F.lower("file_path").endswith(".cs")).select("file_path", "content").mapInPandas(run, ROWS)
+    return in_batches(files.where(F.lower("file_path").endswith(".cs")).select("file_path", "content")).mapInArrow(run, ROWS)
 
 
 def extract_shared(files: DataFrame, store: str, buckets: int = 64) -> DataFrame:
@@ -651,7 +703,7 @@ def receivers(asked: DataFrame, rows: DataFrame, symbols: DataFrame, closure: Da
     return now.select("id", "in_type", "file_path", "chain").join(done, "id", "left") if done is not None else now.select("id", "in_type", "file_path", "chain", F.lit(None).cast("string").alias("type_id"), F.lit(False).alias("above"), F.lit(False).alias("told"))
 
 
-def resolve(rows: DataFrame, symbols: DataFrame, closure: DataFrame | None = None, scope: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def resolve(rows: DataFrame, symbols: DataFrame, closure: DataFrame | None = None, scope: tuple[DataFrame, DataFrame] | None = None, places: bool = True) -> DataFrame:
     """target_id, source_id, kind, line and place of each mention that is understood.
 
     A mention after a receiver is a member of the receiver's type or the nearest of its bases (receivers() types chains of
@@ -661,19 +713,25 @@ def resolve(rows: DataFrame, symbols: DataFrame, closure: DataFrame | None = Non
     left after a receiver that can't be told is the only symbol of that name, if there is only one; after a type of
     another repository, only if it is an extension method. All joins are on a type and a name, or on a name that one symbol
     has, so frequent names don't meet. With a scope (visible()), only projects that a file's own project sees count (S6).
+
+    Mentions of one form (name, chain and arguments, in one type and file) mean the same, so each form is resolved once and
+    its mentions take that over. Without places, only target_id, source_id and kind of calls are given, each once.
     """
     closure = closure_of(rows, symbols, scope) if closure is None else closure
     closure = materialise(closure, "csharp-scopes")
     o = symbols.select(F.col("key").alias("owner"), F.when(F.col("kind") == "Type", F.col("id")).otherwise(F.col("declaring_type_id")).alias("in_type"), F.when(F.col("kind") == "Type", F.col("full_name")).otherwise(F.col("owner")).alias("of"))
-    m = rows.where("row = 'mention'").withColumn("mention", F.xxhash64("file_path", "line", "column", "owner")).drop("of", "in_type")
-    m = m.select("mention", "name", "file_path", "line", "column", "call", "arguments", "context", "chain", "owner").join(o, "owner").withColumnRenamed("owner", "source")
-    m = materialise(m, "csharp-mentions")
+    said = rows.where("row = 'mention'" if places else "row = 'mention' and call").drop("of", "in_type")
+    said = said.select("name", "file_path", "line", "column", "call", "arguments", "chain", "owner", *(["context"] if places else []))
+    said = said.join(o, "owner").withColumnRenamed("owner", "source").withColumn("mention", F.xxhash64("in_type", "of", "file_path", "name", "call", F.coalesce("arguments", F.lit(-1)), "chain"))
+    said = materialise(said, "csharp-mentions")
+    m = said.groupBy("mention").agg(*[F.first(c).alias(c) for c in ("name", "file_path", "call", "arguments", "chain", "in_type", "of")])
+    m = materialise(m, "csharp-forms")
     after = m.where(F.size("chain") > 0)
     typed = receivers(after.select("in_type", "of", "file_path", "chain").distinct(), rows, symbols, closure, scope)
     after = after.join(typed.drop("id"), ["in_type", "file_path", "chain"], "left")
     after = materialise(after, "csharp-received")
     s = symbols.where("kind not in ('Namespace', 'Type')").select("declaring_type_id", F.col("id").alias("target_id"), "name", F.col("kind").alias("target_kind"), F.col("full_name").alias("target_name"), F.col("key").alias("target_key"), "parameters", (F.col("kind") == "Method").alias("call"), F.col("file_path").alias("in_file"))
-    place = ["mention", "name", "call", "arguments", "source", "file_path", "line", "column", "context"]
+    place = ["mention", "name", "call", "arguments", "file_path"]
     of_type = after.where("type_id is not null").join(closure.where("not outer").select(F.col("type").alias("type_id"), "base", "depth"), "type_id").where("not above or depth > 0").select(*place, "base", "depth")
     bare = m.where(F.size("chain") == 0).join(closure.select(F.col("type").alias("in_type"), "base", "depth"), "in_type").select(*place, "base", "depth")
     found = of_type.unionByName(bare).join(s.withColumnRenamed("declaring_type_id", "base"), ["base", "name", "call"]).drop("base", "in_file")
@@ -696,9 +754,14 @@ def resolve(rows: DataFrame, symbols: DataFrame, closure: DataFrame | None = Non
     least = F.size(F.filter("parameters", lambda p: ~p["has_default"] & ~p["is_params"] & ~p["is_this"]))
     fits = F.coalesce(F.col("arguments").between(least, F.when(F.exists("parameters", lambda p: p["is_params"]), F.lit(1 << 30)).otherwise(n)), F.lit(False))
     order = F.struct((~fits).alias("a"), "depth", (~F.coalesce(n == F.col("arguments"), F.lit(False))).alias("b"), "target_name", "target_key")
-    best = every.groupBy("mention").agg(F.min_by(F.struct("target_id", "target_kind", "source", "file_path", "line", "column", "context"), order).alias("m")).select("m.*")
-    best = best.unionByName(of_types.select("target_id", F.lit("Type").alias("target_kind"), "source", "file_path", "line", "column", "context"))
-    return best.select("target_id", ids.node_id(F.col("source")).alias("source_id"), F.when(F.col("target_kind") == "Method", "Call").when(F.col("target_kind") == "Type", "Type").otherwise("Read").alias("kind"), "file_path", "line", "column", "context")
+    best = every.groupBy("mention").agg(F.min_by(F.struct("target_id", "target_kind"), order).alias("m")).select("mention", "m.*")
+    source, kind = ids.node_id(F.col("source")).alias("source_id"), F.when(F.col("target_kind") == "Method", "Call").when(F.col("target_kind") == "Type", "Type").otherwise("Read").alias("kind")
+    if not places:
+        calls = materialise(best.where("target_kind = 'Method'"), "csharp-best", True)
+        return said.join(broadcast_if(calls, 300_000), "mention").select("target_id", source, kind).distinct()
+    best, of_types = materialise(best, "csharp-best", True), materialise(of_types.select("mention", "target_id", F.lit("Type").alias("target_kind")), "csharp-types", True)
+    once = said.join(broadcast_if(best, 300_000), "mention").dropDuplicates(["file_path", "line", "column", "source"])
+    return once.unionByName(said.join(broadcast_if(of_types, 300_000), "mention")).select("target_id", source, kind, "file_path", "line", "column", "context")
 
 
 def refs_of(resolved: DataFrame) -> DataFrame:
