@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.session import materialise, rows
+from symgraph.session import broadcast_if, fits, materialise, rows
 
 
-def oriented(edges: DataFrame, direction: str = "out", kinds: tuple[str, ...] = ()) -> DataFrame:
-    """src, dst in the direction of travel: out, in or both."""
+def _ways(edges: DataFrame, direction: str, kinds: tuple[str, ...]) -> DataFrame:
     some = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
     out = some.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
     back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+
+
+def oriented(edges: DataFrame, direction: str = "out", kinds: tuple[str, ...] = ()) -> DataFrame:
+    """src, dst in the direction of travel: out, in or both."""
+    return _ways(edges, direction, kinds).distinct()
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, direction: str = "out", kinds: tuple[str, ...] = (), nodes: DataFrame | None = None, cap: int | None = None) -> DataFrame:
@@ -22,19 +26,21 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, direct
     A seed is not marked as reached, so it is in its own result if a cycle leads back to it; it is expanded once. With
     nodes (id), others are neither reported nor expanded. A cap stops a seed's search once it has so many nodes. Each level
     but the last is written, so plans grow by a join a level, and an empty one ends the search, so cycles do; beyond 3
-    levels the edges are written once, too.
+    levels the edges are written once, too. A small level goes to the edges, which are then not shuffled.
     """
-    step = oriented(edges, direction, kinds)
-    if nodes is not None:
-        step = step.join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
     long = max_depth is None or max_depth > 3
+    step = _ways(edges, direction, kinds)
+    within = lambda df, c: df if nodes is None else df.join(nodes.select(F.col("id").alias(c)), c, "left_semi").select(df.columns)
     if long:
-        step = materialise(step, "bfs-edges")
-    frontier = seeds.select(F.col("seed"), F.col("seed").alias("at")).distinct()
+        step = materialise(within(step.distinct(), "dst"), "bfs-edges")
+    frontier = materialise(seeds.select(F.col("seed"), F.col("seed").alias("at")).distinct(), "bfs-seeds", True)
+    frontier = broadcast_if(frontier, 100_000)
     found, depth = None, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        reached = frontier.join(step, frontier["at"] == step["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.min("at").alias("parent"))
+        reached = frontier.join(step, F.col("at") == F.col("src")).groupBy("seed", F.col("dst").alias("node")).agg(F.min("at").alias("parent"))
+        if not long:
+            reached = within(reached, "node")
         fresh = reached if found is None else reached.join(found.select("seed", "node"), ["seed", "node"], "left_anti")
         fresh = fresh.select("seed", "node", F.lit(depth).alias("depth"), "parent")
         if depth != max_depth:
@@ -43,9 +49,11 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, direct
                 break
         found = fresh if found is None else found.unionByName(fresh)
         frontier = fresh.where("node != seed").select("seed", F.col("node").alias("at"))
+        small = depth != max_depth and fits(fresh, 100_000)
         if cap is not None:
             open_ = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < cap)
             frontier = frontier.join(open_, "seed", "left_semi")
+        frontier = F.broadcast(frontier) if small else frontier
     if found is None:
         found = frontier.select("seed", F.col("at").alias("node"), F.lit(0).alias("depth"), F.col("at").alias("parent")).limit(0)
     if cap is not None:
@@ -97,8 +105,11 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, cap: int =
     return found.withColumn("score", 1 / (1 + F.col("depth")))
 
 
-def relationships(symbols: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """from_name, to_name, kind of edges that leave symbols and whose target exists."""
+def relationships(symbols: DataFrame, nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """from_name, to_name, kind of edges that leave symbols and whose target exists (G9, J1); with sources (id), of these."""
+    if sources is not None:
+        some = materialise(sources.select(F.col("id").alias("source_id")).distinct(), "sources", True)
+        edges = edges.join(broadcast_if(some, 100_000), "source_id", "left_semi")
     s, n = symbols.select(F.col("id").alias("source_id"), F.col("full_name").alias("from_name")), nodes.select(F.col("id").alias("target_id"), F.col("full_name").alias("to_name"))
     return edges.join(s, "source_id").join(n, "target_id").select("source_id", "target_id", "from_name", "to_name", "kind")
 

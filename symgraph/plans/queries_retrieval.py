@@ -42,9 +42,10 @@ SOLD = "calls AS (SELECT DISTINCT s.id AS source_id, md5('part:' || l_partkey::v
 @A.stored
 def _sold(spark, d):
     """Calls of suppliers to parts."""
-    s = A.symbols(spark, d).where("kind = 'Method'").select("id", "name")
-    line = table(spark, d, "lineitem").select(F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("name"), ids.node_id(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("target_id"))
-    return line.join(s, "name").select(F.col("id").alias("source_id"), "target_id", F.lit("Calls").alias("kind")).distinct()
+    s = A.symbols(spark, d).where("kind = 'Method'").select("id", "name").distinct()
+    line = table(spark, d, "lineitem").select(F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("name"), "l_partkey")
+    line = line.repartition("name").distinct()  # dealt once, as the join wants it; an id has one name, so what comes out is distinct
+    return line.join(s, "name").select(F.col("id").alias("source_id"), ids.node_id(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("target_id"), F.lit("Calls").alias("kind"))
 
 
 TERMS_SQL = f"terms AS (SELECT question, unnest({_terms('question', STOP_WORDS)}) AS term, generate_subscripts({_terms('question', STOP_WORDS)}, 1) AS place FROM questions)"
@@ -80,7 +81,8 @@ def rag_prompt(spark, d):
     from symgraph.operators.graph import relationships
 
     s = A.symbols(spark, d)
-    return retrieval.prompts(_evidence(spark, d), s, relationships(s, A.nodes(spark, d), _sold(spark, d)))
+    found = _evidence(spark, d)
+    return retrieval.prompts(found, s, relationships(s, A.nodes(spark, d), _sold(spark, d), found.select("id")))
 
 
 @query("SELECT conv_id, turn, length(text) // 4 AS tokens, CASE WHEN contains(lower(text), 'who calls') OR contains(lower(text), 'caller') THEN 'Callers' WHEN contains(lower(text), 'implement') THEN 'Implementations' WHEN contains(lower(text), 'inherit') OR contains(lower(text), 'derive') THEN 'Hierarchy' WHEN contains(lower(text), 'impact') OR contains(lower(text), 'affect') OR contains(lower(text), 'break') THEN 'Impact' WHEN contains(lower(text), 'how') THEN 'Explain' ELSE 'Search' END AS intent FROM conversations WHERE role = 'user'")

@@ -91,20 +91,24 @@ def rows(df: DataFrame) -> int:
     return _held(df)[0]
 
 
+def fits(df: DataFrame, most: int) -> bool:
+    """Whether a materialised df is small enough for broadcast_if()."""
+    n, size = _held(df)
+    return n <= most and size <= BROADCAST_BYTES
+
+
 def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES, else df: a shuffled join.
 
     df should be materialised, as it is counted where its size isn't known.
     """
-    n, size = _held(df)
-    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def merged_if(df: DataFrame, most: int) -> DataFrame:
     """broadcast_if(), but with a hint for a sort-merge join where df is larger: Spark would broadcast what it takes for less
     than 10 MB all the same, and the driver holds a broadcast several times over until its plan is gone."""
-    n, size = _held(df)
-    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df.hint("merge")
+    return F.broadcast(df) if fits(df, most) else df.hint("merge")
 
 
 #: Rows and bytes of an Arrow batch between Spark and its Python workers. Texts are long: the usual 10,000 rows would hold
