@@ -147,8 +147,9 @@ def file_key(files: DataFrame) -> DataFrame:
 
 
 def text_index(files: DataFrame) -> DataFrame:
-    """postings() of files; write it, bucketed by gram if it is large, to answer source_text() many times."""
-    return postings(file_key(files.where("content is not null")), F.col("content")).distinct()
+    """postings() of files; write it, bucketed by gram if it is large, to answer source_text() many times. Made without a
+    shuffle: a repeated file has its postings again, which containing() counts once."""
+    return postings(file_key(files.where("content is not null")), F.col("content"))
 
 
 def source_text(files: DataFrame, queries: DataFrame, most: int | None = 20, symbols: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
