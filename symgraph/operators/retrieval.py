@@ -138,16 +138,17 @@ def entities(questions: DataFrame, names: DataFrame, longest: int = 4) -> DataFr
     apart by all their columns, and repeated ones are one.
     """
     cut = lambda c: F.filter(F.split(F.lower(c), r"[\s.,;:?!()'\"]+"), lambda w: w != "")
-    words = questions.distinct().withColumn("_words", cut("question"))
+    asked = materialise(questions.distinct().withColumn("_id", F.monotonically_increasing_id()), "asked")  # runs carry a number, not the text
+    words = asked.select("_id", cut("question").alias("_words"))
     starts = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_words")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.struct(i.alias("place"), n.alias("words")))))
     runs = words.where(F.size("_words") > 0).withColumn("_run", F.explode(F.filter(starts, lambda r: r["place"] + r["words"] - 1 <= F.size("_words"))))
-    runs = runs.select(*questions.columns, "_run.place", "_run.words", F.array_join(F.slice("_words", F.col("_run.place"), F.col("_run.words")), " ").alias("name"))
+    runs = runs.select("_id", "_run.place", "_run.words", F.array_join(F.slice("_words", F.col("_run.place"), F.col("_run.words")), " ").alias("name"))
     known = names.select(F.array_join(cut("name"), " ").alias("name"), "id").where("name != ''").distinct()
     hits = runs.join(known, "name")
-    within = F.collect_set(F.struct("place", "words")).over(Window.partitionBy(*questions.columns))  # a question's own hits
+    within = F.collect_set(F.struct("place", "words")).over(Window.partitionBy("_id"))  # a question's own hits
     hits = hits.withColumn("_all", within)
     inside = F.exists("_all", lambda o: (o["words"] > F.col("words")) & (o["place"] <= F.col("place")) & (o["place"] + o["words"] >= F.col("place") + F.col("words")))
-    return hits.where(~inside).select(*questions.columns, "place", "words", "name", "id")
+    return hits.where(~inside).drop("_all").join(asked, "_id").select(*questions.columns, "place", "words", "name", "id")
 
 
 def strategy(question: Column, found: Column) -> Column:
