@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,18 +101,20 @@ def blast_radius(symbols: DataFrame, edges: DataFrame, refs: DataFrame, seeds: D
     types, interfaces = (picked.where(c).select(F.col("id").alias("seed")) for c in ("kind = 'Type'", "kind = 'Type' and type_name = 'Interface'"))
     if depth == 1:  # degrees
         calls = edges.where("kind = 'Calls'").select("source_id", "target_id").distinct()
-        one = lambda end, name: calls.groupBy(F.col(end).alias("seed")).agg(F.count(F.lit(1)).alias(name)).join(seeds, "seed", "left_semi")
-        up, down = one("target_id", "callers").withColumns({"direct": F.col("callers"), "indirect": F.lit(0).cast("long")}), one("source_id", "callees")
+        one = lambda end, *names: calls.groupBy(F.col(end).alias("seed")).agg(*[F.count(F.lit(1)).alias(n) for n in names])
+        up, down = one("target_id", "callers", "direct"), one("source_id", "callees")
     else:
         up = at(graph.callers(edges, seeds, depth), "callers", F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"))
         down = at(graph.callees(edges, seeds, depth), "callees")
     derived = graph.count_below(edges.where("kind = 'Inherits'"), types).withColumnRenamed("n", "derived")
-    implemented = edges.where("kind = 'Implements'").select("source_id", F.col("target_id").alias("seed")).distinct().join(interfaces, "seed", "left_semi").groupBy("seed").agg(F.count(F.lit(1)).alias("implementations"))
-    used = refs.join(seeds, F.col("symbol_id") == F.col("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("refs"), F.count_if(F.contains("context", F.lit("Test")) | F.contains("context", F.lit("test"))).alias("tests"))
-    rows = picked.withColumn("seed", F.col("id"))
-    for df in (up, down, used, derived, implemented):
-        rows = rows.join(df, "seed", "left")
+    implemented = edges.where("kind = 'Implements'").select("source_id", F.col("target_id").alias("seed")).distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("implementations"))
+    implemented = implemented.join(interfaces, "seed", "left_semi")
+    used = refs.groupBy(F.col("symbol_id").alias("seed")).agg(F.count(F.lit(1)).alias("refs"), F.count_if(F.contains("context", F.lit("Test")) | F.contains("context", F.lit("test"))).alias("tests"))
     numbers = ["callers", "direct", "indirect", "callees", "refs", "tests", "derived", "implementations"]
+    # one sum and one join in place of five joins, whose sorts a task would hold all at once
+    parts = [df.select("seed", *[(F.col(n) if n in df.columns else F.lit(0)).cast("long").alias(n) for n in numbers]) for df in (up, down, used, derived, implemented)]
+    counts = reduce(DataFrame.unionByName, parts).groupBy("seed").agg(*[F.sum(n).alias(n) for n in numbers])
+    rows = picked.withColumn("seed", F.col("id")).join(counts, "seed", "left")
     rows = rows.fillna(0, numbers)
     c = {k: F.col(k) for k in numbers}
     rows = rows.withColumn("score", risk(c["callers"], c["callees"], c["refs"], c["derived"], c["implementations"]))
