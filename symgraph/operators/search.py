@@ -133,12 +133,13 @@ def containing(rows: DataFrame, text: Column, queries: DataFrame, index: DataFra
     wanted = materialise(wanted, "asked-grams", True)
     if index is None:
         index = postings(rows, text, tuple(sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())) or (GRAM,))
-    held = materialise(index.join(broadcast_if(wanted.select("gram").distinct(), 100_000), "gram", "left_semi").distinct(), "posting-lists")
+    held = materialise(index.join(broadcast_if(wanted.select("gram").distinct(), 100_000), "gram", "left_semi"), "posting-lists")
     often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     rare = wanted.join(often, "gram", "left").withColumn("_place", F.row_number().over(Window.partitionBy("query").orderBy(F.col("often").asc_nulls_first(), "gram"))).where(F.col("_place") <= RAREST)
-    rare = materialise(rare.withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("query"))).select("query", "gram", "need"), "rare-grams", True)
-    found = held.join(broadcast_if(rare, 100_000), "gram").groupBy("query", "_key").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    return found.where("n = need").select("query", "_key")
+    bit = F.expr("shiftleft(1, _place - 1)")
+    rare = materialise(rare.select("query", "gram", bit.alias("bit"), F.sum(bit).over(Window.partitionBy("query")).alias("need")), "rare-grams", True)
+    found = held.join(broadcast_if(rare, 100_000), "gram").groupBy("query", "_key").agg(F.bit_or("bit").alias("has"), F.first("need").alias("need"))
+    return found.where("has = need").select("query", "_key")  # a repeated row sets its bits again
 
 
 def file_key(files: DataFrame) -> DataFrame:

@@ -37,7 +37,10 @@ def _symbol(full, name, kind, type_name, repository, owner=None, member=False, k
 
 @stored
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Regions are namespaces, nations classes in them, suppliers and customers their methods, parts properties."""
+    """Regions are namespaces, nations classes in them, suppliers and customers their methods, parts properties.
+
+    Dealt evenly by id: the tables are so small on disk that one split may hold a million parts, and so would one task of
+    each query."""
     c, none = F.col, F.lit(None).cast("string")
     region, nation = table(spark, d, "region"), table(spark, d, "nation")
     space = F.concat(F.lit("global::"), "r_name")
@@ -48,7 +51,8 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
         rows = table(spark, d, t).join(F.broadcast(places), c(f"{p}_nationkey") == c("n_nationkey"))  # 25 rows
         out = out.unionByName(rows.select(_symbol(F.concat(home, F.lit("."), f"{p}_name"), c(f"{p}_name"), "Method", none, c("r_name"), home, member=True)))
     part = table(spark, d, "part")
-    return out.unionByName(part.select(_symbol(F.concat(F.lit("global::"), "p_brand", F.lit("."), "p_name"), c("p_name"), "Property", c("p_type"), c("p_brand"), key=F.concat(F.lit("part:"), c("p_partkey").cast("string")))))
+    out = out.unionByName(part.select(_symbol(F.concat(F.lit("global::"), "p_brand", F.lit("."), "p_name"), c("p_name"), "Property", c("p_type"), c("p_brand"), key=F.concat(F.lit("part:"), c("p_partkey").cast("string")))))
+    return out.repartition(spark.sparkContext.defaultParallelism, "id")
 
 
 SYMBOLS = """symbols AS (

@@ -120,6 +120,20 @@ def test_posting_lists_answer_like_a_scan(spark):
     assert search.source_text(files.where("false"), q, None).collect() == []
 
 
+def test_posting_lists_are_neither_summed_nor_shuffled(spark, monkeypatch):
+    plans, write = {}, search.materialise
+    monkeypatch.setattr(search, "materialise", lambda df, name, *more: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, name, *more))
+    files = spark.createDataFrame([(k % 7, f"some text {k % 7}") for k in range(40)], "_key long, t string")
+    got = search.containing(files, F.col("t"), spark.createDataFrame([("text 3",), ("TEXT 3",), ("om",), ("zz",)], "query string"))
+    assert sorted(map(tuple, got.collect())) == sorted([("text 3", 3), ("TEXT 3", 3), *[("om", k) for k in range(7)]])
+    assert not plans["posting-lists"].startswith("Aggregate")
+
+
+def test_symbols_are_dealt_evenly(spark):
+    sizes = [r[1] for r in A.symbols(spark, "/root/testdata/sf0.01").groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 1.5 * sum(sizes) / len(sizes)
+
+
 def test_vector_lists_recall(spark):
     d = "/root/testdata/sf0.01"
     v = A.vectors(spark, d)
