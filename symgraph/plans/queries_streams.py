@@ -13,12 +13,11 @@ CHUNKS = 4
 
 
 def _batches(rows, path: str, run) -> None:
-    """Appends the chunks of rows (chunk) one after another to the folder, and runs the stream to its end after each two: it
-    is stopped and begins again from its checkpoint."""
+    """Appends the chunks of rows (chunk) one after another to the folder, each by all tasks, and runs the stream to its end
+    after each: all that is new is one batch, then the stream is stopped and begins again from its checkpoint."""
     for k in range(CHUNKS):
-        rows.where(F.col("chunk") == k).drop("chunk").coalesce(1).write.mode("append").parquet(path)
-        if k % 2:
-            run().awaitTermination()
+        rows.where(F.col("chunk") == k).drop("chunk").write.mode("append").parquet(path)
+        run().awaitTermination()
 
 
 def _chunked(spark, d):
@@ -34,7 +33,7 @@ seen AS (SELECT *, lag(hash) OVER (PARTITION BY user_id ORDER BY chunk) AS was F
 SELECT 'user' || user_id AS file_path, seq, CASE WHEN hash = 'error' THEN 'Deleted' ELSE 'Modified' END AS change_type FROM seen WHERE was IS NULL OR was != hash"""
 )
 def watcher_state(spark, d):
-    """Events as changes of their user's file, in four batches with a restart: one that leaves the file as an earlier batch
+    """Events as changes of their user's file, in four batches with restarts: one that leaves the file as an earlier batch
     left it isn't reported."""
     log, out, at = (shared_path(spark, n) for n in ("state-log", "state-out", "state-checkpoint"))
     e = _chunked(spark, d)
@@ -42,21 +41,29 @@ def watcher_state(spark, d):
     rows = e.select("chunk", F.col("event_id").cast("long").alias("seq"), F.concat(F.lit("user"), "user_id").alias("file_path"), F.when(gone, "Deleted").otherwise("Modified").alias("change_type"), F.when(~gone, F.col("event_type")).alias("hash"), F.lit(None).cast("string").alias("old_path"))
 
     def run():
-        stream = C.changed(C.expand_renames(spark.readStream.schema(C.LOG).option("maxFilesPerTrigger", 1).parquet(log)))
+        stream = C.changed(C.expand_renames(spark.readStream.schema(C.LOG).parquet(log)))
         return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
 
     _batches(rows, log, run)
     return spark.read.parquet(out).select("file_path", "seq", "change_type")
 
 
+def _by_time(spark, d):
+    """Events in chunks of about equal size that follow one another in time, whatever the order of their ids: a read that
+    comes later than the watermark would be dropped."""
+    e = table(spark, d, "events").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    cuts = e.select(F.percentile_approx("_at", [k / CHUNKS for k in range(1, CHUNKS)], 1000)).first()[0] or []
+    return e.withColumn("chunk", F.coalesce(sum(((F.col("_at") > c).cast("int") for c in cuts), F.lit(0)), F.lit(CHUNKS - 1))).drop("_at")
+
+
 @query("SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 21600000000, false) AS hit FROM events")
 def cache_hits(spark, d):
     """Events as reads of their user's cache entry, which lives for six hours after its last read."""
     log, out, at = (shared_path(spark, n) for n in ("cache-log", "cache-out", "cache-checkpoint"))
-    rows = _chunked(spark, d).select("chunk", F.col("user_id").alias("key"), F.col("event_id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = _by_time(spark, d).select("chunk", F.col("user_id").alias("key"), F.col("event_id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
 
     def run():
-        reads = spark.readStream.schema(rows.drop("chunk").schema).option("maxFilesPerTrigger", 1).parquet(log)
+        reads = spark.readStream.schema(rows.drop("chunk").schema).parquet(log)
         return C.cache_reads(reads, 6 * 3600 * 1000).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
 
     _batches(rows, log, run)

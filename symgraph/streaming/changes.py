@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,32 +63,52 @@ def changed(changes: DataFrame) -> DataFrame:
     return changes.groupBy("file_path").applyInPandasWithState(_changed, "seq long, hash string, file_path string, change_type string", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: Groups of cache keys: a call into Python takes milliseconds a group, and a group's keys are handled together.
+BUCKETS = 1024
+NEVER = np.iinfo(np.int64).min
+
+
 def _read(ttl_ms: int):
-    """Hits and misses of one cache key in the order of its reads; each read refreshes the entry."""
+    """Hits and misses of a bucket's cache keys in the order of their reads; each read refreshes its entry."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        keys, since = state.get if state.exists else ([], [])
+        timed_out = state.hasTimedOut
+        reads = [] if timed_out else list(frames)
+        held = pd.Series(keys, dtype=reads[0]["key"].dtype if reads else object)
+        codes, names = pd.factorize(pd.concat([held, *(r["key"] for r in reads)], ignore_index=True), use_na_sentinel=False)
+        used = np.full(len(names), NEVER)
+        used[codes[: len(held)]] = since
+        if reads:
+            rows, codes = pd.concat(reads, ignore_index=True), codes[len(held) :]
+            at, ids = rows["ts"].to_numpy("datetime64[us]").astype(np.int64), rows["id"].to_numpy()
+            order = np.lexsort((ids, at, codes))
+            codes, at = codes[order], at[order]
+            before = np.where(np.append(True, codes[1:] != codes[:-1]), NEVER, np.append(NEVER, at[:-1]))
+            before = np.maximum(before, used[codes])
+            hit = np.empty(len(at), bool)
+            hit[order] = (before != NEVER) & (before >= at - ttl_ms * 1000)
+            np.maximum.at(used, codes, at)
+            yield pd.DataFrame({"key": rows["key"], "id": ids, "ts": rows["ts"], "hit": hit})
+        ends, now = used // 1000 + ttl_ms + 1, state.getCurrentWatermarkMs()
+        left = ends > now
+        if not left.any():
             state.remove()
             return
-        rows = pd.concat(frames).sort_values(["ts", "id"], kind="stable")
-        used = state.get[0] if state.exists else None
-        hits = []
-        for at in rows["ts"].astype("datetime64[us]").astype("int64").tolist():
-            hits.append(used is not None and at - used <= ttl_ms * 1000)
-            used = at if used is None else max(used, at)
-        state.update((used,))
-        state.setTimeoutTimestamp(max(used // 1000 + ttl_ms + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": rows["key"], "id": rows["id"], "ts": rows["ts"], "hit": hits})
+        state.update((names[left].tolist(), used[left].tolist()))
+        state.setTimeoutTimestamp(max(int(ends[left].min()), now + 1))
 
     return run
 
 
-def cache_reads(reads: DataFrame, ttl_ms: int = 30 * 60 * 1000, watermark: str = "1 minute") -> DataFrame:
+def cache_reads(reads: DataFrame, ttl_ms: int = 30 * 60 * 1000, watermark: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """ST6: key, id, ts, hit of a stream of reads (key, id, ts): a read is a hit if the key was read at most ttl before, and
-    refreshes the entry. Entries are state with a timer: the watermark drops those that no read could still hit. Reads that
-    come later than the watermark are dropped."""
+    refreshes the entry. Entries are state with a timer, a bucket of keys each: the watermark drops those that no read could
+    still hit. Reads that come later than the watermark are dropped."""
     kind = dict(reads.dtypes)["key"]
-    return reads.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(_read(ttl_ms), f"key {kind}, id long, ts timestamp, hit boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets)))  # nulls apart: pandas would make longs beside them floats
+    dealt = reads.withWatermark("ts", watermark).select("key", "id", "ts", bucket.alias("bucket")).groupBy("bucket")
+    return dealt.applyInPandasWithState(_read(ttl_ms), f"key {kind}, id long, ts timestamp, hit boolean", f"keys array<{kind}>, used array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def watch(spark: SparkSession, log: str, checkpoint: str, apply: Callable[[DataFrame, int], None], once: bool = True):

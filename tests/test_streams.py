@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from symgraph.plans import queries_streams
 from symgraph.sources import csharp
 from symgraph.streaming import changes as C
 
@@ -42,6 +44,29 @@ def test_cache_reads_refresh(spark, tmp_path):
     assert {r.id: r.hit for r in spark.read.parquet(out).collect()} == {0: False, 1: True, 2: False, 3: True, 4: False, 6: True}  # 5 came too late
 
 
+def test_cache_hits_of_events_out_of_order_of_time(spark, tmp_path, monkeypatch):
+    start, ttl = dt.datetime(2024, 1, 1), dt.timedelta(hours=6)
+    rows = [(200 - k, start + dt.timedelta(hours=2 * k + k % 5), k * k % 7) for k in range(200)] + [(201, start, 9)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    last, want = {}, {}
+    for e, ts, u in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[e] = u in last and ts - last[u] <= ttl
+        last[u] = ts
+    assert {r.event_id: r.hit for r in queries_streams.cache_hits(spark, str(tmp_path)).collect()} == want and 20 < sum(want.values()) < 180
+
+
+@pytest.mark.parametrize("buckets", [1, 2, C.BUCKETS])
+def test_cache_keys_share_a_bucket(spark, tmp_path, buckets):
+    log, out, at = (str(tmp_path / n) for n in ("log", "out", "at"))
+    start, kind = dt.datetime(2024, 1, 1), "key long, id long, ts timestamp"
+    big = (1 << 60) + 1
+    for rows in ([(big, 0, 0), (None, 1, 3), (big + 1, 2, 5), (7, 9, 5)], [(big, 3, 29), (None, 4, 33), (big + 1, 5, 36), (8, 6, 36)], [(big, 7, 59), (8, 8, 90)]):
+        spark.createDataFrame([(k, i, start + dt.timedelta(minutes=m)) for k, i, m in rows], kind).coalesce(1).write.mode("append").parquet(log)
+        C.cache_reads(spark.readStream.schema(kind).parquet(log), buckets=buckets).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    got = {r.id: (r.key, r.hit) for r in spark.read.parquet(out).collect()}
+    assert got == {0: (big, False), 1: (None, False), 2: (big + 1, False), 9: (7, False), 3: (big, True), 4: (None, True), 5: (big + 1, False), 6: (8, False), 7: (big, True), 8: (8, False)}
+
+
 def test_names_of_projects_that_are_not_referenced(spark):
     texts = {"one/A": "namespace N; public class A { public void M() { } }", "two/B": "namespace N; public class A2 { public void M() { } } public class Only { public void Lone() { } }", "use/C": "namespace N; public class C { void Go(A a, A2 b) { a.M(); b.M(); x.Lone(); } }"}
     rows = csharp.extract(spark.createDataFrame([(f"{k}.cs", v) for k, v in texts.items()], "file_path string, content string")).cache()
