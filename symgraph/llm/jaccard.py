@@ -237,9 +237,10 @@ def crowded_links(known: DataFrame, members: DataFrame) -> DataFrame:
     return dealt.join(known.select("x", "n", "found"), "x").groupBy("block1", "block2").applyInArrow(product, "u long, v long")
 
 
-def linked(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def linked(docs: DataFrame, size: int = 5, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """named (doc_id, text, x: the text's hash), nodes (x, first: its smallest doc_id), seen (x, n: its set's size) and ids (node,
-    root) of the texts that links chain together, all but named written."""
+    root) of the texts that links chain together, all but named written. candidates (u, v: hashes of two texts), if any, are
+    verified first, with the hubs."""
     named = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("x", F.xxhash64("text"))
     nodes = materialise(named.groupBy("x").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times"), F.max(F.octet_length("text")).alias("bytes")), "jaccard-nodes", True)
     copied = broadcast_if(materialise(nodes.where("times > 1").select("x", "first"), "jaccard-copied", True), BROADCAST_ROWS)
@@ -262,6 +263,7 @@ def linked(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame, DataFr
     member = F.struct("x", "n")
     hubs = rare.groupBy("gram").agg(F.min(member).alias("a"), F.max(member).alias("b")).where("a.x != b.x").select("gram", F.array("a", "b").alias("hubs"))
     stars = rare.join(broadcast_if(materialise(hubs, "jaccard-hubs", True), BROADCAST_ROWS), "gram").select(F.col("x").alias("u"), F.col("n").alias("n1"), F.inline("hubs")).toDF("u", "n1", "v", "n2").where((F.col("u") != F.col("v")) & alike(F.col("n1"), F.col("n2")))
+    stars = stars.select("u", "v") if candidates is None else stars.select("u", "v").unionByName(candidates)
     roots = materialise(components(verified(known, stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())), "jaccard-roots", True)
     # what is still apart
     rooted = materialise(rare.join(broadcast_if(roots, BROADCAST_ROWS), F.col("x") == F.col("node"), "left").select("gram", "x", "n", F.coalesce("root", "x").alias("root")), "jaccard-rooted")
@@ -297,10 +299,10 @@ def joined(docs: DataFrame, size: int = 5) -> DataFrame:
     return out.join(broadcast_if(nodes.select("x", "first"), BROADCAST_ROWS), "x").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(smallest, "doc_id").alias("component_id"))
 
 
-def near_groups(docs: DataFrame, size: int = 5) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = 5, candidates: DataFrame | None = None) -> DataFrame:
     """doc_id, component_id, x for each row of docs, for deduplication: as joined(), but a component is named by a number of
     its own, and texts without words are one component."""
-    named, _, seen, ids = linked(docs, size)
+    named, _, seen, ids = linked(docs, size, candidates)
     roots = seen.select("x", "n").join(ids.withColumnRenamed("node", "x"), "x", "left")
     roots = materialise(roots.select("x", F.when(F.col("n") > 0, F.coalesce("root", "x")).otherwise(0).alias("component_id")), "jaccard-named", True)
     return named.select("doc_id", "x").join(broadcast_if(roots, BROADCAST_ROWS), "x").select("doc_id", "component_id", "x")

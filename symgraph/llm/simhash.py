@@ -188,6 +188,15 @@ def linked(prints: DataFrame, most: int = 4, wide: bool = False) -> tuple[DataFr
     return roots, materialise(components(more), "simhash-more", True)
 
 
+def chains(docs: DataFrame, size: int = 4, most: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """found (doc_id, print, x) and nodes (print, first: its smallest doc_id), both written, and roots (print, root) of the
+    fingerprints that links chain together."""
+    found = materialise(fingerprints(docs, size), "simhash-prints")
+    nodes = materialise(found.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-nodes", True)
+    roots, more = linked(nodes, most, rows(nodes) > WIDE)
+    return found, nodes, chained(roots, more).withColumnRenamed("node", "print")
+
+
 def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), print, x.
 
@@ -196,10 +205,8 @@ def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
     whole component has none. An empty table gives an empty result; other columns are not read. A long text is read by one
     worker, AT_ONCE shingles at a time. Rows of equal fingerprint are one node, so copies are never paired.
     """
-    found = materialise(fingerprints(docs, size), "simhash-prints")
-    nodes = materialise(found.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-nodes", True)
-    roots, more = linked(nodes, most, rows(nodes) > WIDE)
-    groups = materialise(chained(roots, more).withColumnRenamed("node", "print").join(nodes, "print"), "simhash-chained")
+    found, nodes, roots = chains(docs, size, most)
+    groups = materialise(roots.join(nodes, "print"), "simhash-chained")
     least = groups.groupBy("root").agg(F.min("first").alias("least"))
     groups = materialise(groups.join(least.hint("merge"), "root").select("print", "least"), "simhash-groups", True)
     ids = nodes.join(merged_if(groups, BROADCAST_ROWS), "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
@@ -213,13 +220,26 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return keep_least(docs, near_groups(docs))
 
 
+def candidates(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
+    """u, v, written: hashes of two different texts whose fingerprints are linked, each text of a component with its smallest
+    one."""
+    found, _, roots = chains(docs, size, most)
+    roots = merged_if(materialise(roots, "simhash-chained", True), BROADCAST_ROWS)
+    named = found.select("print", "x").distinct().join(roots, "print", "left").select("x", F.coalesce("root", "print").alias("root"))
+    named = materialise(named, "simhash-texts")
+    first = named.groupBy("root").agg(F.min("x").alias("u"), F.max("x").alias("high")).where("u != high").select("root", "u")
+    first = merged_if(materialise(first, "simhash-firsts", True), BROADCAST_ROWS)
+    return materialise(named.join(first, "root").where("x != u").select("u", F.col("x").alias("v")), "simhash-candidates", True)
+
+
 def keep_similar(docs: DataFrame) -> DataFrame:
     """docs with one document of each component of five-word shingles at a Jaccard similarity of 0.8 or more, the one with
-    the smallest doc_id; all columns stay. That is wider than fingerprint bits reach, so candidates come from the exact join
-    of operator 11 (symgraph.llm.jaccard). Nulls, empty and long texts and empty tables are as in near_groups."""
+    the smallest doc_id; all columns stay. Candidates are first the texts that fingerprints link, which the exact similarity
+    then has to confirm; as 0.8 is wider than fingerprint bits reach, what is still apart comes from the exact join of
+    operator 11 (symgraph.llm.jaccard). Nulls, empty and long texts and empty tables are as in near_groups."""
     from symgraph.llm import jaccard
 
-    return keep_least(docs, jaccard.near_groups(docs))
+    return keep_least(docs, jaccard.near_groups(docs, candidates=candidates(docs)))
 
 
 def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:

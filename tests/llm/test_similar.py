@@ -68,3 +68,20 @@ def test_group_of_edited_copies_and_real_texts(spark, monkeypatch, most):
         rows.append((10_000 + k, " ".join(edited)))
     left = simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in left.collect()) == brute_kept(rows)
+
+
+def test_stage_verifies_what_fingerprints_link(spark, monkeypatch):
+    """A repeated passage weighs as often as it is repeated in a fingerprint, but once in a set of shingles: that link isn't
+    confirmed; another one is."""
+    rng = random.Random(5)
+    passage = rng.choices(WORDS, k=9)
+    base = rng.choices(WORDS, k=900)
+    texts = [passage * 40 + rng.choices(WORDS, k=20), passage * 40 + rng.choices(WORDS, k=20), base, [*base[:-1], "edit"], rng.choices(WORDS, k=60)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    near = {(i, j) for i, j in combinations(range(5), 2) if (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() <= 4}
+    assert near == {(0, 1), (2, 3)}
+    docs, checked, check = spark.createDataFrame(rows, "doc_id long, text string"), [], jaccard.verified
+    name = {r.x: r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(text) x").collect()}
+    monkeypatch.setattr(jaccard, "verified", lambda known, pairs: checked.append({tuple(sorted((name[r.u], name[r.v]))) for r in pairs.collect()}) or check(known, pairs))
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 4] == brute_kept(rows) and near <= checked[0]
