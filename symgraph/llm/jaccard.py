@@ -24,14 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm.common import in_batches, rows_of, text_of
-from symgraph.llm.components import chained, components
-from symgraph.session import broadcast_if, materialise, rows
+from symgraph.llm.components import BROADCAST_ROWS, chained, components
+from symgraph.session import broadcast_if, materialise, merged_if, rows
 
 #: Hashes of a block of columns and of a worker's block of rows, about.
 COLUMN, HELD = 1 << 21, 1 << 19
 #: Members of a column up to which pairs are made; documents of a block of rows; n-grams that are multiplied at a time.
 CROWD, ROWS, AT_ONCE = 64, 256, 1 << 16
-BROADCAST_ROWS = 300_000
+#: Times BROADCAST_ROWS that are broadcast to the texts, which are long to shuffle; twice in a job.
+TO_TEXTS = 10
 
 
 def grams(text: str, size: int) -> np.ndarray:
@@ -163,9 +164,9 @@ def verified(known: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (u, v and others) whose overlap reaches 4/9 of their sizes' sum."""
     pairs = materialise(pairs, "jaccard-pairs", True)
     wanted = materialise(pairs.select(F.col("u").alias("x")).distinct().unionByName(pairs.select(F.col("v").alias("x")).distinct()).distinct(), "jaccard-verify", True)
-    some = known.select("x", "n", "found").join(broadcast_if(wanted, BROADCAST_ROWS), "x", "left_semi")
+    some = known.select("x", "n", "found").join(merged_if(wanted, BROADCAST_ROWS), "x", "left_semi")
     one, two = (some.select(F.col("x").alias(x), F.col("n").alias(n), F.col("found").alias(f)) for x, n, f in (("u", "n1", "found1"), ("v", "n2", "found2")))
-    both = one.join(broadcast_if(pairs, BROADCAST_ROWS), "u").join(two, "v")
+    both = one.join(merged_if(pairs, BROADCAST_ROWS), "u").join(two, "v")
     return both.where(F.size(F.array_intersect("found1", "found2")) * 9 >= (F.col("n1") + F.col("n2")) * 4).select(pairs.columns)
 
 
@@ -225,7 +226,7 @@ def crowded_links(known: DataFrame, members: DataFrame) -> DataFrame:
     block = F.xxhash64("home", "level", F.expr("pmod(xxhash64(x), parts)"))
     placed = materialise(placed.join(shares, ["home", "level"]).select("x", "n", "root", "level", block.alias("block")), "jaccard-placed", True)
     blocks = placed.groupBy("block").agg(F.first("level").alias("level"), F.min("root").alias("low"), F.max("root").alias("high"))
-    there = members.select("gram", "x").join(broadcast_if(placed.select("x", "block"), BROADCAST_ROWS), "x").select("gram", "block").distinct()
+    there = members.select("gram", "x").join(merged_if(placed.select("x", "block"), BROADCAST_ROWS), "x").select("gram", "block").distinct()
     there = materialise(there.join(blocks, "block"), "jaccard-blocks")
     one, two = (there.select("gram", *[F.col(c).alias(c + e) for c in ("block", "level", "low", "high")]) for e in "12")
     apart = ~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2")))
@@ -243,7 +244,7 @@ def linked(docs: DataFrame, size: int = 5, candidates: DataFrame | None = None)
     verified first, with the hubs."""
     named = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("x", F.xxhash64("text"))
     nodes = materialise(named.groupBy("x").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times"), F.max(F.octet_length("text")).alias("bytes")), "jaccard-nodes", True)
-    copied = broadcast_if(materialise(nodes.where("times > 1").select("x", "first"), "jaccard-copied", True), BROADCAST_ROWS)
+    copied = broadcast_if(materialise(nodes.where("times > 1").select("x", "first"), "jaccard-copied", True), TO_TEXTS * BROADCAST_ROWS)
     texts = named.join(copied, "x", "left").where("first is null or doc_id = first").select("x", "text")
     total = nodes.agg(F.sum("bytes")).first()[0] or 0
     bits = min(32, max(0, int(np.ceil(np.log2(max(1, total / 6 / COLUMN))))))
@@ -251,26 +252,26 @@ def linked(docs: DataFrame, size: int = 5, candidates: DataFrame | None = None)
     seen = tiled.groupBy("block").applyInArrow(shared_of, "x long, n long, shared long")
     seen = materialise(seen.groupBy("x").agg(F.max("n").alias("n"), F.max("shared").alias("shared")), "jaccard-shared")
     some = materialise(seen.where("n > 0 and shared * 5 >= n * 4").select("x"), "jaccard-some", True)
-    known = in_batches(texts.join(broadcast_if(some, BROADCAST_ROWS), "x", "left_semi")).mapInArrow(sets(size), "x long, n long, found array<long>")
+    known = in_batches(texts.join(broadcast_if(some, TO_TEXTS * BROADCAST_ROWS), "x", "left_semi")).mapInArrow(sets(size), "x long, n long, found array<long>")
     known = materialise(known.dropDuplicates(["x"]), "jaccard-sets")
     # the rarest n-grams of each document
     cells = known.select("x", "n", F.explode("found").alias("gram"))
     often = materialise(cells.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "jaccard-often", True)
-    ranked = cells.join(broadcast_if(often, BROADCAST_ROWS), "gram").groupBy("x").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("cells"))
+    ranked = cells.join(merged_if(often, BROADCAST_ROWS), "gram").groupBy("x").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("cells"))
     first = F.expr("cast(greatest(0, n - (n * 4 + 4) div 5 + 1 - (n - size(cells))) as int)")
     rare = materialise(ranked.select("x", "n", F.explode(F.slice("cells", F.lit(1), first)).alias("cell")).select("cell.gram", "x", "n"), "jaccard-rare")
     # each column's members against two of them
     member = F.struct("x", "n")
     hubs = rare.groupBy("gram").agg(F.min(member).alias("a"), F.max(member).alias("b")).where("a.x != b.x").select("gram", F.array("a", "b").alias("hubs"))
-    stars = rare.join(broadcast_if(materialise(hubs, "jaccard-hubs", True), BROADCAST_ROWS), "gram").select(F.col("x").alias("u"), F.col("n").alias("n1"), F.inline("hubs")).toDF("u", "n1", "v", "n2").where((F.col("u") != F.col("v")) & alike(F.col("n1"), F.col("n2")))
+    stars = rare.join(merged_if(materialise(hubs, "jaccard-hubs", True), BROADCAST_ROWS), "gram").select(F.col("x").alias("u"), F.col("n").alias("n1"), F.inline("hubs")).toDF("u", "n1", "v", "n2").where((F.col("u") != F.col("v")) & alike(F.col("n1"), F.col("n2")))
     stars = stars.select("u", "v") if candidates is None else stars.select("u", "v").unionByName(candidates)
     roots = materialise(components(verified(known, stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())), "jaccard-roots", True)
     # what is still apart
-    rooted = materialise(rare.join(broadcast_if(roots, BROADCAST_ROWS), F.col("x") == F.col("node"), "left").select("gram", "x", "n", F.coalesce("root", "x").alias("root")), "jaccard-rooted")
+    rooted = materialise(rare.join(merged_if(roots, BROADCAST_ROWS), F.col("x") == F.col("node"), "left").select("gram", "x", "n", F.coalesce("root", "x").alias("root")), "jaccard-rooted")
     mixed = rooted.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).where("a != b").select("gram", "m")
     mixed = materialise(mixed, "jaccard-mixed", True)
-    few = rooted.join(broadcast_if(mixed.where(F.col("m") <= CROWD).select("gram"), BROADCAST_ROWS), "gram", "left_semi")
-    crowd = materialise(rooted.join(broadcast_if(mixed.where(F.col("m") > CROWD).select("gram"), BROADCAST_ROWS), "gram", "left_semi"), "jaccard-crowd", True)
+    few = rooted.join(merged_if(mixed.where(F.col("m") <= CROWD).select("gram"), BROADCAST_ROWS), "gram", "left_semi")
+    crowd = materialise(rooted.join(merged_if(mixed.where(F.col("m") > CROWD).select("gram"), BROADCAST_ROWS), "gram", "left_semi"), "jaccard-crowd", True)
     one, two = (few.select("gram", *[F.col(c).alias(c + e) for c in ("x", "n", "root")]) for e in "12")
     pairs = one.join(two, "gram").where((F.col("x1") < F.col("x2")) & (F.col("root1") != F.col("root2")) & alike(F.col("n1"), F.col("n2")))
     links = verified(known, pairs.select(F.col("x1").alias("u"), F.col("x2").alias("v"), F.col("root1").alias("a"), F.col("root2").alias("b")).distinct()).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -294,9 +295,9 @@ def joined(docs: DataFrame, size: int = 5) -> DataFrame:
     least = groups.groupBy("root").agg(F.min("first").alias("least"))
     groups = groups.join(least, "root").select("x", "least")
     found = materialise(seen.select("x", "n").join(groups, "x", "left"), "jaccard-groups", True)
-    out = named.select("doc_id", "x").join(broadcast_if(found, BROADCAST_ROWS), "x")
+    out = named.select("doc_id", "x").join(merged_if(found, BROADCAST_ROWS), "x")
     smallest = F.when(F.col("n") > 0, F.coalesce("least", "first", "doc_id"))
-    return out.join(broadcast_if(nodes.select("x", "first"), BROADCAST_ROWS), "x").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(smallest, "doc_id").alias("component_id"))
+    return out.join(merged_if(nodes.select("x", "first"), BROADCAST_ROWS), "x").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(smallest, "doc_id").alias("component_id"))
 
 
 def near_groups(docs: DataFrame, size: int = 5, candidates: DataFrame | None = None) -> DataFrame:
@@ -305,7 +306,7 @@ def near_groups(docs: DataFrame, size: int = 5, candidates: DataFrame | None = N
     named, _, seen, ids = linked(docs, size, candidates)
     roots = seen.select("x", "n").join(ids.withColumnRenamed("node", "x"), "x", "left")
     roots = materialise(roots.select("x", F.when(F.col("n") > 0, F.coalesce("root", "x")).otherwise(0).alias("component_id")), "jaccard-named", True)
-    return named.select("doc_id", "x").join(broadcast_if(roots, BROADCAST_ROWS), "x").select("doc_id", "component_id", "x")
+    return named.select("doc_id", "x").join(merged_if(roots, BROADCAST_ROWS), "x").select("doc_id", "component_id", "x")
 
 
 #: For DuckDB: all pairs that share a shingle, and the smallest doc_id carried along the links.

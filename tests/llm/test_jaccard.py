@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pyarrow as pa
 import pytest
@@ -100,3 +101,17 @@ def test_shared_counts(spark):
         made = docs.mapInArrow(jaccard.tiles(5, bits), jaccard.TILE).groupBy("c").applyInArrow(jaccard.shared_here, jaccard.COUNTED)
         found = made.groupBy("block").applyInArrow(jaccard.shared_of, "x long, n long, shared long")
         assert sorted(map(tuple, found.collect())) == [(1, 3, 2), (2, 4, 2), (3, 2, 0)]
+
+
+def test_pairs_to_verify_are_not_broadcast(spark):
+    """Of 44,850 pairs none goes to the driver: they are merged with the sets, and each link is found."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = {x: list(range(x, x + 20)) for x in range(300)}
+        known = spark.createDataFrame([(x, 20, s) for x, s in sets.items()], "x long, n long, found array<long>")
+        pairs = spark.createDataFrame(list(combinations(sets, 2)), "u long, v long")
+        links = jaccard.verified(known, pairs)
+        assert "Inner, Build" not in links._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in links.collect()} == {(a, b) for a, b in combinations(sets, 2) if b - a <= 2}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
